@@ -43,11 +43,16 @@ def norm(v, digits=None):
     return v
 
 
+TIMES = {}
+
+
 def compare(spark, con, sf_dir, fn, oracle, digits=None):
     """Returns (spark rows, oracle rows, message); an empty message means equal."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
     cols = sorted(df.columns)
     got = Counter(tuple(norm(v, digits) for v in r) for r in df.select(*cols).collect())
+    TIMES["spark"] = time.time() - t0
     if oracle is None:
         return sum(got.values()), None, ""
     rel = con.execute(oracle)
@@ -86,7 +91,7 @@ def main(argv):
             except Exception as exc:  # noqa: BLE001
                 n, m, msg = None, None, f"{type(exc).__name__}: {str(exc)[:1500]}"
             bad += bool(msg)
-            print(f"{'BAD' if msg else 'ok '} {real} rows={n}/{m} {time.time() - t0:.1f}s {msg[:1800]}", flush=True)
+            print(f"{'BAD' if msg else 'ok '} {real} rows={n}/{m} {TIMES.get('spark', 0):.1f}s of {time.time() - t0:.1f}s {msg[:1800]}", flush=True)
     print("bad:", bad)
 
 
