@@ -80,6 +80,9 @@ def main(argv):
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
+    if argv and argv[0] == "--from":
+        names = list(queries)
+        argv = names[names.index(argv[1]):]
     for name in argv or queries:
         for real in ([name] if name in queries else [q for q in queries if q.startswith(name)]):
             t0 = time.time()

@@ -21,6 +21,25 @@ CTES = {
     "loud": """loud AS (
   SELECT vec_id AS video_id, (i - 1)::INT AS idx, embedding[i]::DOUBLE * 40 AS db, embedding[i]::DOUBLE AS sample
   FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))""",
+    "job": """job AS (
+  SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'error' ELSE 'running' END AS status,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 7 <> 0 THEN 'E' || (o_orderkey % 5) END AS error_code,
+    CASE o_orderkey % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'local' END AS source_type,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'https://youtube.example/v' ELSE 'https://example.org/v' END AS url,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'cs2' ELSE o_orderpriority END AS category,
+    (o_orderkey % 2400) * 1000 AS took, o_orderdate AS done, coalesce(n, 0) AS highlights, coalesce(q, 0)::INT AS kills, coalesce(r, false) AS has_montage
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*)::INT AS n, sum(l_quantity) AS q, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+jobx AS (
+  SELECT job_id, strftime(done, '%Y-%m') AS month, status = 'error' OR error_code IS NOT NULL AS failed, status = 'completed' AS completed,
+    CASE WHEN status = 'error' OR error_code IS NOT NULL THEN coalesce(error_code, 'UNKNOWN') END AS error,
+    CASE WHEN source_type IS NOT NULL THEN source_type WHEN contains(url, 'youtube') THEN 'youtube' ELSE 'unknown' END AS source, category,
+    CASE WHEN took > 0 AND took < 1800000 THEN took END AS took_ms, highlights, has_montage OR category = 'cs2' AS montage,
+    CASE WHEN (has_montage OR category = 'cs2') AND kills > 0 THEN kills END AS kills FROM job)""",
+    "project": """project AS (
+  SELECT c_custkey AS id, c_custkey AS job_id, c_mktsegment || ' ' || c_name AS title, 'https://example.org/' || c_custkey AS url,
+    CASE WHEN c_nationkey % 2 = 0 THEN 'youtube' ELSE 'local' END AS source_type, coalesce(n, 0)::INT AS clip_count, coalesce(last, 902016000000) AS created_at, coalesce(last, 902016000000) AS updated_at,
+    CASE WHEN c_acctbal <= 5000 AND last IS NOT NULL THEN last + 604800000 END AS expires_at, c_acctbal > 5000 AS saved
+  FROM customer LEFT JOIN (SELECT o_custkey, epoch_ms(max(o_orderdate)) AS last, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)""",
 }
 
 

@@ -26,12 +26,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(squeeze(text), " "), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    """Number of words, counted on the squeezed text without building an array."""
-    clean = squeeze(text)
+def count_squeezed(clean: Column) -> Column:
+    """Number of words of an already squeezed column, without building an array."""
     return F.when(clean == "", 0).otherwise(F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit(""))) + 1)
 
 
+def word_count(text: Column) -> Column:
+    return count_squeezed(squeeze(text))
+
+
 def profile_value(category: Column | None, field: str) -> Column:
     """A number of the line's category profile, as a constant lookup."""
     default = F.lit(float(PROFILES["generic"][field]))
@@ -48,14 +51,15 @@ CAPS_JAVA = r"(?:(?<![A-Za-z0-9_])(?=[A-Z])|(?<=[A-Za-z0-9_])(?=[ÄÖÜ]))[A-ZÄ
 
 
 def measure_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the helper columns the line rules read, in two layers so that each is computed once per line:
+    """Add the helper columns the line rules read, in layers so that each is computed once per line:
     ``clean`` (filler-free text), ``low``/``raw_low`` (lower case), ``tok`` (tokens), word counts and marks."""
     src = F.col(text)
-    first = df.withColumn("raw_low", F.lower(src)).withColumn("tok", tokens(F.col("raw_low")))
-    stripped = F.when(may_hit(F.col("tok"), [FILLERS]), F.regexp_replace(src, java(FILLERS), "")).otherwise(src)
-    first = first.withColumn("clean", squeeze(stripped)).withColumn("low", F.lower("clean"))
+    rows = df.withColumns({"raw_low": F.lower(src), "_sq": squeeze(src)})
+    rows = rows.withColumns({"tok": tokens(F.col("raw_low")), "words": count_squeezed(F.col("_sq"))})
+    rows = rows.withColumn("clean", F.when(may_hit(F.col("tok"), [FILLERS]), squeeze(F.regexp_replace("_sq", java(FILLERS), ""))).otherwise(F.col("_sq")))
+    rows = rows.withColumn("low", F.lower("clean"))
     upper = F.when(F.col("clean") != F.col("low"), F.regexp_count("clean", F.lit(CAPS_JAVA))).otherwise(0)
-    return first.withColumns({"n": word_count(F.col("clean")), "words": word_count(src), "caps": upper, "ask": F.contains("clean", F.lit("?")), "cry": F.contains("clean", F.lit("!"))})
+    return rows.withColumns({"n": count_squeezed(F.col("clean")), "caps": upper, "ask": F.contains("clean", F.lit("?")), "cry": F.contains("clean", F.lit("!"))}).drop("_sq")
 
 
 HELPERS = ("raw_low", "tok", "low", "n", "caps", "ask", "cry")

@@ -59,3 +59,35 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = ordered(lines, ["video_id"], "seq", tile=4096, run_sum={"_end": "_len"})
     return timed.select("video_id", "seq", "text", ((F.col("_end") - F.col("_dur")) / 10).alias("start"), (F.col("_end") / 10).alias("end"),
                         (F.col("_dur") / 10).alias("duration"))
+
+
+AS_OF_MS = 902016000000  # 1998-08-02
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with their ``lineitem`` totals as processed jobs. Lines are summed per order before the join."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).cast("int").alias("highlights"), F.sum("l_quantity").cast("int").alias("kills"), F.max(F.col("l_returnflag") == "R").alias("has_montage"))
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    k, done = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    return o.select(
+        k.alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "error").otherwise("running").alias("status"),
+        F.when((F.col("o_orderstatus") == "P") & (k % 7 != 0), F.concat(F.lit("E"), (k % 5).cast("string"))).alias("error_code"),
+        F.when(k % 3 == 0, "youtube").when(k % 3 == 1, "local").alias("source_type"),
+        F.when(k % 2 == 0, "https://youtube.example/v").otherwise("https://example.org/v").alias("url"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "cs2").otherwise(F.col("o_orderpriority")).alias("category"),
+        F.timestamp_millis(F.unix_millis(done) - (k % 2400) * 1000).alias("started_at"), done.alias("completed_at"), done.alias("created_at"),
+        F.coalesce("highlights", F.lit(0)).alias("highlights"), F.coalesce("kills", F.lit(0)).alias("kills"), F.coalesce("has_montage", F.lit(False)).alias("has_montage"))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` with the latest order as library projects; expiry is seven days after the order."""
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.unix_millis(F.max("o_orderdate").cast("timestamp")).alias("last"), F.count(F.lit(1)).cast("int").alias("n"))
+    c = table(spark, sf_dir, "customer").join(last, "c_custkey", "left")
+    saved = F.col("c_acctbal") > 5000
+    return c.select(
+        F.col("c_custkey").alias("id"), F.col("c_custkey").alias("job_id"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("title"), F.concat(F.lit("https://example.org/"), "c_custkey").alias("url"),
+        F.when(F.col("c_nationkey") % 2 == 0, "youtube").otherwise("local").alias("source_type"), F.coalesce("n", F.lit(0)).alias("clip_count"),
+        F.coalesce("last", F.lit(AS_OF_MS)).alias("created_at"), F.coalesce("last", F.lit(AS_OF_MS)).alias("updated_at"),
+        F.when(~saved & F.col("last").isNotNull(), F.col("last") + 7 * 86400000).alias("expires_at"), saved.alias("saved"))
