@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numeric import half_up, nz
 from tideline.functions.patterns import (
-    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_lower, has, has_lower, hits, hits_lower, java, may_hit, tokens)
+    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_lower, has_lower, hits_lower, java, may_hit, tokens)
 from tideline.functions.profiles import PROFILES
 
 SPACE = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -135,7 +135,7 @@ def teaser_score(clean: Column, base: Column, ratio: Column) -> Column:
     n = word_count(clean)
     place = (F.when((ratio >= 0.45) & (ratio <= 0.88), 6).when((ratio >= 0.35) & (ratio < 0.45), 1).otherwise(0)
              - F.when(ratio < 0.35, 18).otherwise(0) - F.when(ratio < 0.12, 8).otherwise(0) - F.when(ratio > 0.95, 5).otherwise(0))
-    return (base + F.when((n >= 4) & (n <= 16), 5).otherwise(0) - F.when(n <= 2, 4).otherwise(0) + hits(clean, TEASER) * 9
+    return (base + F.when((n >= 4) & (n <= 16), 5).otherwise(0) - F.when(n <= 2, 4).otherwise(0) + hits_lower(F.lower(clean), TEASER) * 9
             + F.when(clean.contains("!"), 4).otherwise(0) + place)
 
 
@@ -145,9 +145,9 @@ def valid_cliffhanger(clean: Column) -> Column:
     marked = clean.rlike(r"[?!…]\s*$")
     return (
         F.when((F.length(clean) < 10) | (n < 4) | (n > 18), False)
-        .when(has(clean, DANGLING), False)
+        .when(has_lower(F.lower(clean), DANGLING), False)
         .when(clean.rlike(r"[,;:]\s*$") & ~marked, False)
-        .otherwise(marked | ((n >= 7) & clean.rlike(r"\.\s*$")) | (has(clean, OPENERS) & (n >= 5)))
+        .otherwise(marked | ((n >= 7) & clean.rlike(r"\.\s*$")) | (has_lower(F.lower(clean), OPENERS) & (n >= 5)))
     )
 
 
@@ -156,7 +156,7 @@ def cliffhanger_score(clean: Column, base: Column, ratio: Column, teaser_at: Col
     lead = teaser_at - at
     value = (
         base * 0.55 + F.when(clean.rlike(r"\?\s*$"), 14).otherwise(0) + F.when(clean.rlike(r"\.\.\.|…"), 9).otherwise(0)
-        + F.when(clean.endswith("!") & (n <= 10), 3).otherwise(0) + hits(clean, TEASE) * 11
+        + F.when(clean.endswith("!") & (n <= 10), 3).otherwise(0) + hits_lower(F.lower(clean), TEASE) * 11
         + F.when((lead >= 2) & (lead <= 25), 8).otherwise(0) - F.when(at > teaser_at + 1, 12).otherwise(0)
         + F.when(ratio < 0.7, 5).otherwise(0) - F.when(ratio > 0.85, 6).otherwise(0)
         + F.when((n >= 5) & (n <= 12), 6).otherwise(0) - F.when(n > 16, 10).otherwise(0))
