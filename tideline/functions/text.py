@@ -130,60 +130,78 @@ DANGLING = r"(?:^|\s)(sonst|und|oder|aber|weil|dass|wenn|ich|er|sie|es|dem|den|d
 OPENERS = r"^(was|wie|warum|wieso|what|how|why|wait|warte)\b"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is evaluated once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _seen(clean: Column) -> Column:
+    return F.struct(clean.alias("c"), F.lower(clean).alias("l"), count_squeezed(clean).alias("n"))
+
+
 def teaser_score(clean: Column, base: Column, ratio: Column) -> Column:
     """Value of a line as opening scene; ``base`` is its line score and ``ratio`` its place in the clip."""
-    n = word_count(clean)
     place = (F.when((ratio >= 0.45) & (ratio <= 0.88), 6).when((ratio >= 0.35) & (ratio < 0.45), 1).otherwise(0)
              - F.when(ratio < 0.35, 18).otherwise(0) - F.when(ratio < 0.12, 8).otherwise(0) - F.when(ratio > 0.95, 5).otherwise(0))
-    return (base + F.when((n >= 4) & (n <= 16), 5).otherwise(0) - F.when(n <= 2, 4).otherwise(0) + hits_lower(F.lower(clean), TEASER) * 9
-            + F.when(clean.contains("!"), 4).otherwise(0) + place)
+    words = _let(_seen(clean), lambda v: F.when(v["n"].between(4, 16), 5).otherwise(0) - F.when(v["n"] <= 2, 4).otherwise(0) + hits_lower(v["l"], TEASER) * 9 + F.when(v["c"].contains("!"), 4).otherwise(0))
+    return base + words + place
 
 
-def valid_cliffhanger(clean: Column) -> Column:
-    """Whether the filler-free text reads as a complete tease."""
-    n = word_count(clean)
-    marked = clean.rlike(r"[?!…]\s*$")
+def _valid(v: Column) -> Column:
+    marked = v["c"].rlike(r"[?!…]\s*$")
     return (
-        F.when((F.length(clean) < 10) | (n < 4) | (n > 18), False)
-        .when(has_lower(F.lower(clean), DANGLING), False)
-        .when(clean.rlike(r"[,;:]\s*$") & ~marked, False)
-        .otherwise(marked | ((n >= 7) & clean.rlike(r"\.\s*$")) | (has_lower(F.lower(clean), OPENERS) & (n >= 5)))
+        F.when((F.length(v["c"]) < 10) | (v["n"] < 4) | (v["n"] > 18), False)
+        .when(has_lower(v["l"], DANGLING), False)
+        .when(v["c"].rlike(r"[,;:]\s*$") & ~marked, False)
+        .otherwise(marked | ((v["n"] >= 7) & v["c"].rlike(r"\.\s*$")) | (has_lower(v["l"], OPENERS) & (v["n"] >= 5)))
     )
 
 
+def valid_cliffhanger(clean: Column) -> Column:
+    """Whether the filler-free text reads as a complete tease."""
+    return _let(_seen(clean), _valid)
+
+
 def cliffhanger_score(clean: Column, base: Column, ratio: Column, teaser_at: Column, at: Column) -> Column:
-    n = word_count(clean)
     lead = teaser_at - at
-    value = (
-        base * 0.55 + F.when(clean.rlike(r"\?\s*$"), 14).otherwise(0) + F.when(clean.rlike(r"\.\.\.|…"), 9).otherwise(0)
-        + F.when(clean.endswith("!") & (n <= 10), 3).otherwise(0) + hits_lower(F.lower(clean), TEASE) * 11
-        + F.when((lead >= 2) & (lead <= 25), 8).otherwise(0) - F.when(at > teaser_at + 1, 12).otherwise(0)
-        + F.when(ratio < 0.7, 5).otherwise(0) - F.when(ratio > 0.85, 6).otherwise(0)
-        + F.when((n >= 5) & (n <= 12), 6).otherwise(0) - F.when(n > 16, 10).otherwise(0))
-    return F.when(valid_cliffhanger(clean), value).otherwise(-999.0)
+    place = (F.when((lead >= 2) & (lead <= 25), 8).otherwise(0) - F.when(at > teaser_at + 1, 12).otherwise(0) + F.when(ratio < 0.7, 5).otherwise(0) - F.when(ratio > 0.85, 6).otherwise(0))
+
+    def words(v: Column) -> Column:
+        return F.when(_valid(v), (
+            F.when(v["c"].rlike(r"\?\s*$"), 14.0).otherwise(0.0) + F.when(v["c"].rlike(r"\.\.\.|…"), 9).otherwise(0) + F.when(v["c"].endswith("!") & (v["n"] <= 10), 3).otherwise(0)
+            + hits_lower(v["l"], TEASE) * 11 + F.when(v["n"].between(5, 12), 6).otherwise(0) - F.when(v["n"] > 16, 10).otherwise(0)))
+
+    return F.coalesce(_let(_seen(clean), words) + base * 0.55 + place, F.lit(-999.0))
 
 
 def format_cliffhanger(clean: Column, most: int = 72) -> Column:
     """The tease with closing mark, cut at a word; empty when the result is not a complete tease."""
+    def shorten(marked: Column) -> Column:
+        cut = F.substring(marked, 1, most)
+        space = F.length(cut) - F.instr(F.reverse(cut), " ")
+        short = F.trim(F.when(F.contains(cut, F.lit(" ")) & (space > 24), F.substring(cut, F.lit(1), space)).otherwise(cut))
+        return F.when(F.length(marked) <= most, marked).otherwise(F.when(short.rlike(r"[?!…]$"), short).otherwise(F.concat(short, F.lit("…"))))
+
+    def checked(out: Column) -> Column:
+        return F.when((clean != "") & valid_cliffhanger(strip_fillers(out)), out).otherwise("")
+
     marked = F.when(clean.rlike(r"[?!….]$"), clean).otherwise(F.concat(clean, F.lit("…")))
-    cut = F.substring(marked, 1, most)
-    space = F.length(cut) - F.instr(F.reverse(cut), " ")
-    short = F.trim(F.when(F.contains(cut, F.lit(" ")) & (space > 24), cut.substr(F.lit(1), space)).otherwise(cut))
-    short = F.when(short.rlike(r"[?!…]$"), short).otherwise(F.concat(short, F.lit("…")))
-    out = F.when(F.length(marked) <= most, marked).otherwise(short)
-    return F.when((clean != "") & valid_cliffhanger(strip_fillers(out)), out).otherwise("")
+    return _let(_let(marked, shorten), checked)
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the words of ``b`` (longer than three characters) that occur in ``a``."""
     keep = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), r"[^A-Za-z0-9_äöüßÄÖÜ\s]", " "), r"\s+"), lambda w: F.length(w) > 3)
-    wa, wb = F.array_distinct(keep(a)), keep(b)
-    shared = F.size(F.filter(wb, lambda w: F.array_contains(wa, w)))
-    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(shared / F.greatest(F.size(wb), F.lit(1)))
+
+    def share(v: Column) -> Column:
+        shared = F.size(F.filter(v["b"], lambda w: F.array_contains(v["a"], w)))
+        return F.when((F.size(v["a"]) == 0) | (F.size(v["b"]) == 0), 0.0).otherwise(shared / F.greatest(F.size(v["b"]), F.lit(1)))
+
+    return _let(F.struct(F.array_distinct(keep(a)).alias("a"), keep(b).alias("b")), share)
 
 
 def teaser_seconds(clean: Column) -> Column:
-    n = word_count(clean)
+    n = count_squeezed(clean)
     return F.when(n <= 5, 1.5).when(n <= 10, 2.2).otherwise(2.8)
 
 
