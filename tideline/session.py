@@ -22,10 +22,11 @@ def build_session(app: str = "tideline", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stream state that all executors see; a local one only on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         context.setCheckpointDir(named)
@@ -33,10 +34,11 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder, so that loops neither grow the plan nor recompute it
     and a lost executor costs one task, not the whole history."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
