@@ -179,23 +179,28 @@ def peak_clusters(peaks: DataFrame, gap: float = 18.0, span: float = 105.0, leas
 PACK = [*KEY, "pack_at", "pack_seq"]
 
 
-def dedupe_packs(packed: DataFrame) -> DataFrame:
-    """The timeline rule inside each pack: feed regions only where there are two, one event per 1.6 s group.
-
-    All windows share the pack key, so the rows are shuffled once; a pack has at most four rows.
-    """
-    pack = W.partitionBy(*PACK)
-    timed = pack.orderBy("at", "seq")
-    rows = packed.withColumns({"_tr": ev.top_right().cast("int"), "_score": ev.timeline_score()})
-    rows = rows.withColumn("_feeds", F.sum("_tr").over(pack)).filter((F.col("_feeds") < 2) | (F.col("_tr") == 1))
-    rows = rows.withColumn("_new", (F.coalesce(F.col("at") - F.lag("at").over(timed), F.lit(DEDUPE_GAP + 1)) > DEDUPE_GAP).cast("int"))
+def dedupe_groups(rows: DataFrame, keys: list[str], gap: float = DEDUPE_GAP, most: int | None = None) -> DataFrame:
+    """The timeline rule inside small groups: feed regions only where there are two, one event per group of close
+    detections, the first ``most`` in time order. All windows share the group key, so rows are shuffled once."""
+    group = W.partitionBy(*keys)
+    timed = group.orderBy("at", "seq")
+    rows = rows.withColumns({"_tr": ev.top_right().cast("int"), "_score": ev.timeline_score()})
+    rows = rows.withColumn("_feeds", F.sum("_tr").over(group)).filter((F.col("_feeds") < 2) | (F.col("_tr") == 1))
+    rows = rows.withColumn("_new", (F.coalesce(F.col("at") - F.lag("at").over(timed), F.lit(gap + 1)) > gap).cast("int"))
     rows = rows.withColumn("_grp", F.sum("_new").over(timed.rowsBetween(W.unboundedPreceding, 0)))
-    group = W.partitionBy(*PACK, "_grp")
-    rows = rows.withColumn("_top", F.max("_score").over(group)).filter(F.col("_score") >= F.col("_top") - 0.05)
-    rows = rows.withColumn("_rk", F.row_number().over(group.orderBy("at", "seq"))).filter("_rk = 1")
+    close = W.partitionBy(*keys, "_grp")
+    rows = rows.withColumn("_top", F.max("_score").over(close)).filter(F.col("_score") >= F.col("_top") - 0.05)
+    rows = rows.withColumn("_rk", F.row_number().over(close.orderBy("at", "seq"))).filter("_rk = 1")
+    if most:
+        rows = rows.withColumn("_pos", F.row_number().over(timed)).filter(F.col("_pos") <= most).drop("_pos")
     return rows.drop("_tr", "_score", "_feeds", "_new", "_grp", "_top", "_rk")
 
 
+def dedupe_packs(packed: DataFrame) -> DataFrame:
+    """The timeline rule inside each pack; a pack has at most four rows."""
+    return dedupe_groups(packed, PACK)
+
+
 def segment_columns(rows: DataFrame, red: Column, video_end: Column, per: list[str]) -> DataFrame:
     """Add ``start``/``duration``/``peak_time`` of the cut around each kill: shortened before the next kill, shifted
     back at the end of the recording, null where it is too short. ``red`` chooses the timing profile."""
