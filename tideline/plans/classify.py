@@ -28,21 +28,25 @@ for _i, (_cat, _profile) in enumerate(PROFILES.items()):
     RULES += [{"set": "keywords", "pos": 200 + _i, "category": _cat, "game": None, "weight": 1.0, "pattern": p} for p in _profile["keywords"]]
 
 
-def _guard(low: Column, tok: Column, rules: list[dict]) -> Column:
-    """A cheap test that holds wherever one of the rules matches: plain substrings for patterns whose words may be
-    glued together, whole tokens for the rest."""
+def _needs(rule: dict) -> tuple[set[str], set[str]]:
+    """Whole tokens and plain substrings one of which occurs in every text the rule matches: tokens where the
+    alternatives are plain words, substrings where words may be glued together."""
     words, parts = set(), set()
-    for rule in rules:
-        body = rule["pattern"]
-        group = re.fullmatch(r"\\b\((.*)\)\\b", body)
-        for alt in (group.group(1).split("|") if group else body.split("|")):
-            plain = re.sub(r"\\b|\(\?[!:].*$", "", alt)
-            run = re.match(r"[a-z0-9_]+", re.sub(r"^[^a-z0-9_]+", "", plain))
-            if run is None:
-                parts.update(ch for ch in "?!" if ch in alt)
-                continue
-            whole = group and re.fullmatch(r"[a-z0-9_äöüß ]+", alt)
-            (words if whole else parts).add(run.group())
+    group = re.fullmatch(r"\\b\((.*)\)\\b", rule["pattern"])
+    for alt in (group.group(1) if group else rule["pattern"]).split("|"):
+        plain = re.sub(r"\\b|\(\?[!:].*$", "", alt)
+        run = re.match(r"[a-z0-9_]+", re.sub(r"^[^a-z0-9_]+", "", plain))
+        if run is None:
+            parts.update(ch for ch in "?!" if ch in alt)
+        elif group and re.fullmatch(r"[a-z0-9_äöüß ]+", alt):
+            words.add(run.group())
+        else:
+            parts.add(run.group())
+    return words, parts
+
+
+def _guard(low: Column, tok: Column, words: set[str], parts: set[str]) -> Column:
+    """A cheap test that holds wherever a rule with these needs matches."""
     test = F.arrays_overlap(tok, F.array(*[F.lit(w) for w in sorted(words)])) if words else F.lit(False)
     for p in sorted(parts):
         test = test | F.contains(low, F.lit(p))
@@ -51,12 +55,21 @@ def _guard(low: Column, tok: Column, rules: list[dict]) -> Column:
 
 def rule_counts(texts: DataFrame, sets: tuple[str, ...], keys: list[str]) -> DataFrame:
     """Matches per text and rule, as long rows ``(keys, rule, n)``, for texts in column ``low``; ``more`` holds the
-    start of the following text, whose own matches are subtracted again."""
-    rules = [(i, r) for i, r in enumerate(RULES) if r["set"] in sets]
+    start of the following text, whose own matches are subtracted again.
+
+    Each text is cut into tokens once and only the tokens that start some rule are kept; a rule's pattern runs only on
+    texts that hold one of its own.
+    """
+    rules = [(i, r, *_needs(r)) for i, r in enumerate(RULES) if r["set"] in sets]
+    words, parts = set().union(*[x[2] for x in rules]), set().union(*[x[3] for x in rules])
     rows = texts.withColumns({"_ext": F.concat_ws(" ", "low", "more"), "_after": nz(F.col("more"), "")})
-    rows = rows.withColumn("_tok", tokens(F.col("_ext"))).filter(_guard(F.col("_ext"), F.col("_tok"), [r for _, r in rules]))
-    count = lambda c, p: F.regexp_count(c, F.lit(java_lower(p)))
-    found = F.array(*[F.struct(F.lit(i).alias("rule"), (count("_ext", r["pattern"]) - count("_after", r["pattern"])).alias("n")) for i, r in rules])
+    rows = rows.withColumn("_tok", F.array_intersect(tokens(F.col("_ext")), F.array(*[F.lit(w) for w in sorted(words)])))
+    rows = rows.filter((F.size("_tok") > 0) | _guard(F.col("_ext"), F.col("_tok"), set(), parts))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count("_ext", F.lit(java_lower(pattern))) - F.when(F.col("_after") == "", 0).otherwise(F.regexp_count("_after", F.lit(java_lower(pattern))))
+
+    found = F.array(*[F.struct(F.lit(i).alias("rule"), F.when(_guard(F.col("_ext"), F.col("_tok"), w, p), count(r["pattern"])).otherwise(0).alias("n")) for i, r, w, p in rules])
     return rows.select(*keys, F.explode(F.filter(found, lambda x: x["n"] != 0)).alias("_m")).select(*keys, "_m.rule", "_m.n")
 
 

@@ -134,19 +134,26 @@ def backward_anchors(seeds: DataFrame, reads: DataFrame) -> DataFrame:
     return seeds.join(found, [*KEY, "seq"], "left").withColumns({"anchor": nz(F.col("anchor"), F.col("time")), "best_conf": nz(F.col("best_conf"), 0.5)})
 
 
+def _close(a: str, b: str, threshold: float) -> bool:
+    """Whether the similarity reaches the threshold; the length bound rules most pairs out without comparing."""
+    if not a or not b or 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+        return False
+    return _ratio(a, b) >= threshold
+
+
 def _same(a: dict, b: dict, threshold: float) -> bool:
     """The reading rule on two plain records, for the carried state."""
     if a["partial"] != b["partial"]:
         part, full = (a, b) if a["partial"] else (b, a)
-        return len(part["killer"]) >= 3 and any(full[f] and _ratio(part["killer"], full[f]) >= threshold for f in ("killer", "victim"))
+        return len(part["killer"]) >= 3 and any(_close(part["killer"], full[f], threshold) for f in ("killer", "victim"))
     if a["partial"]:
-        return min(len(a["killer"]), len(b["killer"])) >= 3 and _ratio(a["killer"], b["killer"]) >= threshold
-    if a["key"] and b["key"] and _ratio(a["key"], b["key"]) >= threshold:
+        return min(len(a["killer"]), len(b["killer"])) >= 3 and _close(a["killer"], b["killer"], threshold)
+    if a["key"] and b["key"] and _close(a["key"], b["key"], threshold):
         return True
     if min(len(x[f]) for x in (a, b) for f in ("killer", "victim")) < 3:
         return False
-    close = all(_ratio(a[f], b[f]) >= threshold for f in ("killer", "victim"))
-    return close and not (a["assist"] and b["assist"] and _ratio(a["assist"], b["assist"]) < threshold)
+    close = all(_close(a[f], b[f], threshold) for f in ("killer", "victim"))
+    return close and not (a["assist"] and b["assist"] and not _close(a["assist"], b["assist"], threshold))
 
 
 def registry(reads: DataFrame, threshold: float = FEED_RATIO) -> DataFrame:
