@@ -151,11 +151,11 @@ def cold_open_timeline(spark, d):
     return out.select("video_id", "wid", "seq", "part", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))
 
 
-@query("teaser_merge", sql("""SELECT video_id, wid, seq, 'teaser' AS part, round(s, 6) AS "start", round(greatest(0.05, least(2.2, e) - s), 6) AS duration FROM cw WHERE e > s AND wid = 0 AND least(2.2, e) > s
+@query("teaser_merge", sql("""SELECT video_id, wid, seq, 'teaser' AS part, round(s, 6) AS "start", round(greatest(0.05, least(2.2, e) - s), 6) AS duration FROM cw WHERE e > s AND least(2.2, e) > s
 UNION ALL SELECT video_id, wid, seq, 'main', round(2.2 + s, 6), round(greatest(0.05, e - s), 6) FROM cw WHERE e > s""", "line", more=CW))
 def teaser_merge(spark, d):
     words = _words(spark, d)
-    out = c.merge_teaser(words.filter("wid = 0"), words, F.lit(2.2))
+    out = c.merge_teaser(words, words, F.lit(2.2))
     return out.select("video_id", "wid", "seq", "part", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))
 
 

@@ -24,8 +24,8 @@ def _arr(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-SRC = f"""titled AS (SELECT doc_id AS video_id, ({_arr(TITLES)})[doc_id % 12 + 1] AS title, ({_arr(TITLES)})[doc_id % 7 + 1] || ' ' || lang AS tags, left(text, 200) AS description FROM documents),
-spoken AS (SELECT video_id, seq, lower(({_arr(TALK)})[(video_id * 7 + seq) % 16 + 1] || ' ' || left(text, 80)) AS low FROM line),
+SRC = f"""titled AS (SELECT doc_id AS video_id, ({_arr(TITLES)})[doc_id % 12 + 1] AS title, ({_arr(TITLES)})[doc_id % 7 + 1] || ' ' || lang AS tags, text AS description FROM documents),
+spoken AS (SELECT video_id, seq, lower(({_arr(TALK)})[(video_id * 7 + seq) % 16 + 1] || ' ' || text) AS low FROM line),
 whole AS (SELECT video_id, string_agg(low, ' ' ORDER BY seq) AS low FROM spoken GROUP BY 1)"""
 
 
@@ -52,7 +52,7 @@ merged AS (SELECT video_id, category, game, round(sum(points), 6) AS score, min(
 
 def _titled(spark, d):
     pick = lambda n: F.element_at(F.array(*[F.lit(t) for t in TITLES]), (F.col("doc_id") % n + 1).cast("int"))
-    return views.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), pick(12).alias("title"), F.concat_ws(" ", pick(7), "lang").alias("tags"), F.left("text", F.lit(200)).alias("description"))
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), pick(12).alias("title"), F.concat_ws(" ", pick(7), "lang").alias("tags"), F.col("text").alias("description"))
 
 
 def _meta(spark, d):
@@ -62,7 +62,7 @@ def _meta(spark, d):
 
 def _spoken(spark, d):
     phrase = F.element_at(F.array(*[F.lit(t) for t in TALK]), ((F.col("video_id") * 7 + F.col("seq")) % 16 + 1).cast("int"))
-    return views.transcript(spark, d).select("video_id", "seq", F.concat(phrase, F.lit(" "), F.left("text", F.lit(80))).alias("text"))
+    return views.transcript(spark, d).select("video_id", "seq", F.concat(phrase, F.lit(" "), "text").alias("text"))
 
 
 @query("matcher_scores", sql("SELECT video_id, category, game, round(sum(points), 6) AS score FROM mpt GROUP BY 1, 2, 3", "line", more=META))

@@ -66,11 +66,11 @@ def upsert_projects(spark, d):
     return p.upsert(views.projects(spark, d), _fresh(spark, d)).select("id", "title", "created_at", "saved", "expires_at")
 
 
-@query("update_projects", sql(f"""SELECT id, CASE WHEN id % 3 = 0 THEN 'patched' ELSE title END AS title, CASE WHEN id % 3 = 0 THEN id % 2 = 0 ELSE saved END AS saved,
-  CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN NULL ELSE coalesce(expires_at, {T} + 604800000) END ELSE expires_at END AS expires_at, CASE WHEN id % 3 = 0 THEN {T} ELSE updated_at END AS updated_at FROM project""", "project"))
+@query("update_projects", sql(f"""SELECT id, CASE WHEN source_type = 'local' THEN 'patched' ELSE title END AS title, CASE WHEN source_type = 'local' THEN id % 2 = 0 ELSE saved END AS saved,
+  CASE WHEN source_type = 'local' THEN CASE WHEN id % 2 = 0 THEN NULL ELSE coalesce(expires_at, {T} + 604800000) END ELSE expires_at END AS expires_at, CASE WHEN source_type = 'local' THEN {T} ELSE updated_at END AS updated_at FROM project""", "project"))
 def update_projects(spark, d):
     base = views.projects(spark, d)
-    patches = base.filter("id % 3 = 0").select("id", (F.col("id") % 2 == 0).alias("saved"), F.lit("patched").alias("title"), F.lit(None).cast("bigint").alias("expires_at"))
+    patches = base.filter("source_type = 'local'").select("id", (F.col("id") % 2 == 0).alias("saved"), F.lit("patched").alias("title"), F.lit(None).cast("bigint").alias("expires_at"))
     return p.update(base, patches, now()).select("id", "title", "saved", "expires_at", "updated_at")
 
 

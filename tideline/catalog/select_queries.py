@@ -78,20 +78,18 @@ def hud_window_boost(spark, d):
 
 
 HIGH = CAND + """,
-pool AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY local_score DESC, seq)::INT AS list_index FROM cand WHERE seq % 3 = 0),
-hl AS (SELECT video_id, seq AS hid, start_time + 1.5 AS start_time, end_time + 4 AS end_time, CASE WHEN seq % 4 = 0 THEN (seq % 9)::INT END AS candidate_id FROM cand WHERE seq % 3 = 1),
+pool AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY local_score DESC, seq)::INT AS list_index FROM cand),
+hl AS (SELECT video_id, seq AS hid, start_time + 1.5 AS start_time, end_time + 4 AS end_time, CASE WHEN seq % 4 = 0 THEN (seq % 9)::INT END AS candidate_id FROM cand),
 hit AS (SELECT h.video_id, h.hid, min(p.list_index) AS match_index FROM hl h JOIN pool p ON p.video_id = h.video_id AND (p.list_index = h.candidate_id OR abs(p.start_time - h.start_time) < 4
   OR (least(p.end_time, h.end_time) > greatest(p.start_time, h.start_time) AND (least(p.end_time, h.end_time) - greatest(p.start_time, h.start_time)) / least(p.end_time - p.start_time, h.end_time - h.start_time) > 0.5)) GROUP BY 1, 2)"""
 
 
 def _pool(spark, d):
-    c = _cand(spark, d).filter("seq % 3 = 0")
-    return c.withColumn("list_index", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("local_score"), "seq")))
+    return _cand(spark, d).withColumn("list_index", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("local_score"), "seq")))
 
 
 def _high(spark, d):
-    c = _cand(spark, d).filter("seq % 3 = 1")
-    return c.select("video_id", F.col("seq").alias("hid"), (F.col("start_time") + 1.5).alias("start_time"), (F.col("end_time") + 4).alias("end_time"), F.when(F.col("seq") % 4 == 0, (F.col("seq") % 9).cast("int")).alias("candidate_id"))
+    return _cand(spark, d).select("video_id", F.col("seq").alias("hid"), (F.col("start_time") + 1.5).alias("start_time"), (F.col("end_time") + 4).alias("end_time"), F.when(F.col("seq") % 4 == 0, (F.col("seq") % 9).cast("int")).alias("candidate_id"))
 
 
 @query("disjunctive_match", sql("SELECT h.video_id, h.hid, match_index FROM hl h LEFT JOIN hit USING (video_id, hid)", "kill_event", more=HIGH))
@@ -99,9 +97,9 @@ def disjunctive_match(spark, d):
     return s.attach_candidates(_high(spark, d), _pool(spark, d)).select("video_id", "hid", "match_index")
 
 
-@query("pick_validation", sql("""SELECT p.video_id, p.seq AS pick, c.seq, c.start_time FROM (SELECT video_id, seq, (seq % 15)::INT AS n FROM cand WHERE seq % 7 = 0) p JOIN pool c ON c.video_id = p.video_id AND c.list_index = p.n""", "kill_event", more=HIGH))
+@query("pick_validation", sql("""SELECT p.video_id, p.seq AS pick, c.seq, c.start_time FROM (SELECT video_id, seq, (seq % 15)::INT AS n FROM cand) p JOIN pool c ON c.video_id = p.video_id AND c.list_index = p.n""", "kill_event", more=HIGH))
 def pick_validation(spark, d):
-    picks = _cand(spark, d).filter("seq % 7 = 0").select("video_id", F.col("seq").alias("pick"), F.concat(F.when(F.col("seq") % 2 == 0, "#").otherwise(""), (F.col("seq") % 15).cast("string")).alias("candidate_id"))
+    picks = _cand(spark, d).select("video_id", F.col("seq").alias("pick"), F.concat(F.when(F.col("seq") % 2 == 0, "#").otherwise(""), (F.col("seq") % 15).cast("string")).alias("candidate_id"))
     return s.resolve_picks(picks, _pool(spark, d)).select("video_id", "pick", "seq", "start_time")
 
 
@@ -123,12 +121,12 @@ def share_kill_pairs(spark, d):
     return s.sharing_pairs(_montages(spark, d), 25.0)
 
 
-@query("antijoin_overlap", sql("""SELECT video_id, seq FROM mont a WHERE seq % 2 = 1 AND (SELECT count(*) FROM mont e WHERE e.video_id = a.video_id AND e.seq % 2 = 0 AND e.seq % 20 = 0) < 5
-AND NOT EXISTS (SELECT 1 FROM mont e WHERE e.video_id = a.video_id AND e.seq % 20 = 0 AND (abs(e.start_time - a.start_time) < 20 OR (least(e.end_time, a.end_time) > greatest(e.start_time, a.start_time)
+@query("antijoin_overlap", sql("""SELECT video_id, seq FROM mont a WHERE kills = 1 AND (SELECT count(*) FROM mont e WHERE e.video_id = a.video_id AND e.kills >= 3) < 5
+AND NOT EXISTS (SELECT 1 FROM mont e WHERE e.video_id = a.video_id AND e.kills >= 3 AND (abs(e.start_time - a.start_time) < 20 OR (least(e.end_time, a.end_time) > greatest(e.start_time, a.start_time)
   AND (least(e.end_time, a.end_time) - greatest(e.start_time, a.start_time)) / least(e.end_time - e.start_time, a.end_time - a.start_time) > 0.35)))""", "kill_event", more=MONT, recursive=True))
 def antijoin_overlap(spark, d):
-    m = _montages(spark, d).select("video_id", "seq", "start_time", "end_time")
-    return s.drop_overlapping_audio(m.filter("seq % 2 = 1"), m.filter("seq % 20 = 0")).select("video_id", "seq")
+    m = _montages(spark, d).select("video_id", "seq", "start_time", "end_time", "kills")
+    return s.drop_overlapping_audio(m.filter("kills = 1"), m.filter("kills >= 3")).select("video_id", "seq")
 
 
 @query("profile_lookup", sql("SELECT o_orderkey, " + "CASE cat " + " ".join(f"WHEN '{n}' THEN {p['min_clip']}" for n, p in PROFILES.items()) + " ELSE 12 END::DOUBLE AS min_clip, CASE cat " + " ".join(f"WHEN '{n}' THEN {p['max_clip']}" for n, p in PROFILES.items()) + """ ELSE 45 END::DOUBLE AS max_clip
@@ -154,7 +152,7 @@ def line_near_event(spark, d):
 
 REVIEW = QUALITY + ",\n" + FEED + """,
 vkey AS (SELECT DISTINCT video_id, floor("time" * 10 + 0.5) || '_' || roi AS pk FROM validated UNION SELECT DISTINCT video_id, floor("time" * 10 + 0.5) || '_' || roi FROM quality WHERE video_id NOT IN (SELECT video_id FROM validated)),
-final_t AS (SELECT video_id, floor("time" * 10 + 0.5) / 10 AS ft FROM validated WHERE seq % 2 = 0),
+final_t AS (SELECT video_id, floor("time" * 10 + 0.5) / 10 AS ft FROM validated WHERE highlight_score >= 0.2),
 review AS (SELECT e.video_id, e.seq, e.roi, c.seq IS NOT NULL AS confirmed, q.seq IS NOT NULL AS passes_quality, v.pk IS NOT NULL AS in_pool,
   EXISTS (SELECT 1 FROM final_t f WHERE f.video_id = e.video_id AND abs(f.ft - e."time") <= 1.8) AS in_final FROM kill_event e LEFT JOIN confirmed c USING (video_id, seq) LEFT JOIN quality q USING (video_id, seq)
   LEFT JOIN vkey v ON v.video_id = e.video_id AND v.pk = floor(e."time" * 10 + 0.5) || '_' || e.roi)"""
@@ -163,7 +161,7 @@ review AS (SELECT e.video_id, e.seq, e.roi, c.seq IS NOT NULL AS confirmed, q.se
 def _review(spark, d):
     e = views.kill_events(spark, d)
     pool = k.quality_pool(e)
-    final = k.fingerprint_kills(e).filter("seq % 2 = 0").select("video_id", (F.floor(F.col("time") * 10 + 0.5) / 10).alias("cut_time"))
+    final = k.fingerprint_kills(e).filter("highlight_score >= 0.2").select("video_id", (F.floor(F.col("time") * 10 + 0.5) / 10).alias("cut_time"))
     return review.annotate(e, pool, final)
 
 
@@ -253,7 +251,7 @@ def quality_selection(spark, d):
     """Three to five highlights per recording from picks and candidates."""
     pool = s.ranked_pool(s.merge_pool(_cand(spark, d), F.lit(2592.0)))
     c = pool.select("video_id", "list_index", "start_time", "end_time", "local_score", (F.col("local_score") / 20).alias("text_score"), "confidence", "montage")
-    picks = c.filter("list_index % 2 = 1").select("video_id", F.col("list_index").alias("candidate_id"), "start_time", "end_time", F.col("text_score").alias("quality"), "confidence",
+    picks = c.select("video_id", F.col("list_index").alias("candidate_id"), "start_time", "end_time", F.col("text_score").alias("quality"), "confidence",
                                                  (F.col("text_score") >= 8).alias("strong"), F.col("list_index").alias("rank"))
     return s.quality_selection(picks, c, F.lit(2592.0))
 
