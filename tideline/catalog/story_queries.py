@@ -167,8 +167,8 @@ def name_normalise(spark, d):
     return views.table(spark, d, "part").select("p_partkey", i.normalise_name(F.col("p_name")).alias("norm"))
 
 
-FRAMES = """hit AS (SELECT l_suppkey AS video_id, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS pk, epoch_ms(l_shipdate) / 86400000.0 * 2 - 18000 AS t, l_quantity * 2 AS x, l_discount * 300 AS y, 900 + l_tax * 500 AS w, 500 + l_linenumber * 5.0 AS h FROM lineitem),
-one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY video_id, seq ORDER BY pk) = 1),
+FRAMES = """hit AS (SELECT l_suppkey AS video_id, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS pk, l_quantity AS q1, l_discount AS q2, l_tax AS q3, epoch_ms(l_shipdate) / 86400000.0 * 2 - 18000 AS t, l_quantity * 2 AS x, l_discount * 300 AS y, 900 + l_tax * 500 AS w, 500 + l_linenumber * 5.0 AS h FROM lineitem),
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY video_id, seq ORDER BY pk, q1, q2, q3, t) = 1),
 lagged AS (SELECT *, lag(t) OVER o AS pt, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(w) OVER o AS pw, lag(h) OVER o AS ph FROM one WINDOW o AS (PARTITION BY video_id ORDER BY t, seq)),
 inter AS (SELECT *, greatest(0, least(x + w, px + pw) - greatest(x, px)) * greatest(0, least(y + h, py + ph) - greatest(y, py)) AS shared FROM lagged),
 chained AS (SELECT *, sum(CASE WHEN t - pt <= 4.5 AND shared / greatest(w * h + pw * ph - shared, 1) > 0.35 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY t, seq) AS chain FROM inter)"""
@@ -176,9 +176,9 @@ chained AS (SELECT *, sum(CASE WHEN t - pt <= 4.5 AND shared / greatest(w * h +
 
 def _hits(spark, d):
     li = views.table(spark, d, "lineitem")
-    rows = li.select(F.col("l_suppkey").alias("video_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_partkey", (F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86400000.0 * 2 - 18000).alias("t"),
+    rows = li.select(F.col("l_suppkey").alias("video_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_partkey", "l_quantity", "l_discount", "l_tax", (F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86400000.0 * 2 - 18000).alias("t"),
                      (F.col("l_quantity") * 2).alias("x"), (F.col("l_discount") * 300).alias("y"), (900 + F.col("l_tax") * 500).alias("w"), (500 + F.col("l_linenumber") * 5.0).alias("h"))
-    return rows.groupBy("video_id", "seq").agg(F.min_by(F.struct("t", "x", "y", "w", "h"), "l_partkey").alias("r")).select("video_id", "seq", "r.*")
+    return rows.groupBy("video_id", "seq").agg(F.min_by(F.struct("t", "x", "y", "w", "h"), F.struct("l_partkey", "l_quantity", "l_discount", "l_tax", "t")).alias("r")).select("video_id", "seq", "r.*")
 
 
 @query("panel_chains", sql("SELECT video_id, chain::BIGINT AS chain, count(*) AS hits, round(sum(x), 4) AS sum_x FROM chained GROUP BY 1, 2", more=FRAMES))
