@@ -138,8 +138,8 @@ def skip_reasons(spark, d):
     return i.skip_reasons(_classified(spark, d)[1])
 
 
-@query("pipeline_funnel")
-def pipeline_funnel(spark, d):
+@query("identity_funnel")
+def identity_funnel(spark, d):
     """Counters of every stage per recording."""
     ocr = _ocr(spark, d)
     reads = i.read_feed(ocr)
