@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, embedding_dedup, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, toxicity
+from tideline.llm import bpe, context_tree, embedding_dedup, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, toxicity
 from tideline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_tree.score_texts(table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
