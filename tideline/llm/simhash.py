@@ -102,6 +102,15 @@ def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return keyed.mapInArrow(_compare, "a bigint, b bigint")
 
 
+def _rooted(made: DataFrame, id_col: str, hot: int) -> DataFrame:
+    """Per fingerprint of ``made``: ``of``, ``group`` (the smallest fingerprint reachable) and the group's smallest id."""
+    distinct = stash(made.groupBy("fp").agg(F.min(id_col).alias("least")))
+    joined = components(near_links(distinct.select("fp"), hot))
+    rooted = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    least = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    return stash(rooted.select("fp", "group").join(least, "group").select(F.col("fp").alias("of"), "group", "component_id"))
+
+
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """The id, ``fp`` (long) and ``component_id`` of every row: the smallest id reachable over links of fingerprints.
 
@@ -110,9 +119,15 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives an empty table.
     """
     made = stash(docs.select(F.col(id_col).alias(id_col), fingerprints(F.col(text_col), size).alias("fp")))
-    distinct = stash(made.groupBy("fp").agg(F.min(id_col).alias("least")))
-    joined = components(near_links(distinct.select("fp"), hot))
-    rooted = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stash(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"))
-    return made.join(groups, F.col("fp") == F.col("of")).select(id_col, "fp", "component_id")
+    return made.join(_rooted(made, id_col, hot), F.col("fp") == F.col("of")).select(id_col, "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``docs`` with all its columns, and of each group one row: that of the smallest id (null last), of equal ids any one."""
+    names = set(docs.columns)
+    fp, row = (next(n for n in (f"{name}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for name in ("simhash_fp", "simhash_row"))
+    marked = stash(docs.select("*", fingerprints(F.col(text_col), size).alias(fp)).withColumn(row, F.monotonically_increasing_id()))
+    rows = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    groups = rows.join(_rooted(rows, "id", hot), F.col("fp") == F.col("of"))
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(stay, row, "left_semi").select(*docs.columns)
