@@ -67,14 +67,14 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def _blocks(id_type: pa.DataType, buckets: int, names: list[str]):
+def _blocks(id_type: pa.DataType, buckets: int, names: list[str], block_chars: int):
     """Per block a row for every bucket that has pre-tokens of it, and a row for each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             done = 0
-            for texts in pieces((t.as_py() for t in batch.column(1)), BLOCK):
+            for texts in pieces((t.as_py() for t in batch.column(1)), block_chars):
                 found = split(texts)
                 block += 1
                 n = len(found.words)
@@ -147,7 +147,7 @@ def _reassemble(id_col: str):
     return join
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK) -> DataFrame:
     """The id and ``ids`` (little-endian unsigned 32-bit integers) of every row, by the rank file at ``path``.
 
     Null and empty texts have no ids (an empty binary). Rows with equal ids are encoded one by one, other columns are not
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     binary = [T.StructField(n, T.BinaryType()) for n in ("payload", "sizes", "places")]
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField(id_col, field.dataType), T.StructField("is_text", T.BooleanType()), *binary])
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_blocks(to_arrow_type(field.dataType), buckets, schema.names), schema)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_blocks(to_arrow_type(field.dataType), buckets, schema.names, block_chars), schema)
     met = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_encode(path), schema).drop("bucket")
     return met.groupBy("block").applyInArrow(_reassemble(id_col), T.StructType([T.StructField(id_col, field.dataType), T.StructField("ids", T.BinaryType())]))
 

@@ -42,7 +42,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         shift += np.log(x + i)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _distinct_grams(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nda
 ROW = "kind string, bucket int, block bigint, keys binary, counts binary, texts binary, ids array<bigint>, folds binary"
 
 
-def _blocks(buckets: int):
+def _blocks(buckets: int, block_bytes: int):
     """Per block a row with its texts and, per bucket, rows of its words and grams with their counts in training texts."""
 
     def row(kind: str, bucket: int, block: int, **rest):
@@ -178,7 +178,7 @@ def _blocks(buckets: int):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             done = 0
-            for texts in pieces((t.as_py() for t in batch.column(2)), BLOCK):
+            for texts in pieces((t.as_py() for t in batch.column(2)), block_bytes):
                 block += 1
                 learn = batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                 words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -296,7 +296,7 @@ def _assemble(buckets: int, ends: int, types: int, tokens: int):
     return score
 
 
-def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """Scores of all rows, by a model of those for which ``learn`` holds.
 
     Columns: the id, learned, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text)
@@ -306,7 +306,7 @@ def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stash(docs.select(F.col(id_col).cast("bigint"), F.coalesce(learn, F.lit(False)), F.col(text_col).cast("string")).mapInArrow(_blocks(buckets), ROW))
+    rows = stash(docs.select(F.col(id_col).cast("bigint"), F.coalesce(learn, F.lit(False)), F.col(text_col).cast("string")).mapInArrow(_blocks(buckets, block_bytes), ROW))
     words, strings = rows.filter("kind = 'words'").select("bucket", "block", "keys", "counts"), rows.filter("kind = 'grams'").select("bucket", "block", "keys", "counts")
     tops = strings.groupBy("bucket").applyInArrow(_top, "last bigint, path bigint, zeros double, ones double, weighted double")
     summed = tops.groupBy("last", "path").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # at most 256 x 255 rows
