@@ -43,12 +43,12 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(texts: Iterable[str | None], limit: int = PIECE_BYTES) -> Iterator[list[str]]:
-    """Texts in order, in lists of about ``limit`` characters at most; a longer text is a list of its own. Null is empty."""
+def pieces(texts: Iterable[str | None], limit: int = PIECE_BYTES, most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, in lists of about ``limit`` characters and ``most`` texts at most; a longer text is a list of its own. Null is empty."""
     held, size = [], 0
     for text in texts:
         text = text or ""
-        if held and size + len(text) > limit:
+        if held and (size + len(text) > limit or len(held) == most):
             yield held
             held, size = [], 0
         held.append(text)

@@ -30,8 +30,8 @@ from tideline.llm.bpe_words import ragged
 from tideline.llm.common import pieces, stash
 
 DEPTH = 5
-#: Bytes of text in a block.
-BLOCK = 8 << 20
+#: Bytes of text in a block, and texts: a text's number has 16 bits beside a gram's 48.
+BLOCK, BLOCK_TEXTS = 8 << 20, 1 << 16
 #: Context depth whose subtrees stay together.
 TOP = 2
 
@@ -62,11 +62,16 @@ def stream(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(raw: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """For every scored byte one number: the byte before it highest, the one before that next, ..., the byte itself lowest."""
-    at = np.flatnonzero(scored)
-    out = raw[at].astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        out |= raw[at - back].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
-    return out
+    out = np.zeros((len(raw) - DEPTH, 8), dtype=np.uint8)
+    for back in range(DEPTH + 1):
+        out[:, DEPTH + 1 - back if back else 0] = raw[DEPTH - back:len(raw) - back]
+    return out.view("<u8").ravel()[scored[DEPTH:]]
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    first = np.flatnonzero(np.append(len(ordered) > 0, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
 class Subtrees:
@@ -157,12 +162,10 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _distinct_grams(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct grams in the order of buckets, and each bucket's part."""
-    keys = np.sort(pd.unique(codes))
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted grams within the order of buckets, and each bucket's part."""
     to = _bucket_of(keys, buckets)
-    order = np.argsort(to, kind="stable")
-    return keys[order], np.concatenate([[0], np.cumsum(np.bincount(to, minlength=buckets))])
+    return np.argsort(to, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(to, minlength=buckets))])
 
 
 ROW = "kind string, bucket int, block bigint, keys binary, counts binary, texts binary, ids array<bigint>, folds binary"
@@ -178,7 +181,7 @@ def _blocks(buckets: int, block_bytes: int):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             done = 0
-            for texts in pieces((t.as_py() for t in batch.column(2)), block_bytes):
+            for texts in pieces((t.as_py() for t in batch.column(2)), block_bytes, BLOCK_TEXTS):
                 block += 1
                 learn = batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                 words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -195,12 +198,13 @@ def _blocks(buckets: int, block_bytes: int):
                     rows.append(row("words", bucket, block, keys=zstandard.compress(b"\n".join([vocabulary[k] for k in own.tolist()]), 3), counts=squeeze(counts[own].astype(np.uint32))))
                 raw, scored = stream(words)
                 codes = grams(raw, scored)
-                keys, ends = _distinct_grams(codes, buckets)
                 trained = np.repeat(learn, np.fromiter((sum(map(len, own)) + max(len(own), 1) for own in words), dtype=np.int64, count=len(words)))
-                order = np.argsort(keys)
-                hits = np.searchsorted(keys[order], codes[trained])
+                keys, _ = runs(np.sort(codes))
+                taught, times = runs(np.sort(codes[trained]))
                 counts = np.zeros(len(keys), dtype=np.uint32)
-                counts[order] = np.bincount(hits, minlength=len(keys))
+                counts[np.searchsorted(keys, taught)] = times
+                order, ends = _by_bucket(keys, buckets)
+                keys, counts = keys[order], counts[order]
                 for bucket in np.flatnonzero(np.diff(ends)).tolist():
                     part = slice(ends[bucket], ends[bucket + 1])
                     rows.append(row("grams", bucket, block, keys=squeeze(np.diff(keys[part], prepend=np.uint64(0))), counts=squeeze(counts[part])))
@@ -277,14 +281,14 @@ def _assemble(buckets: int, ends: int, types: int, tokens: int):
         place = dict(zip(vocabulary, counts.tolist(), strict=True))
         each = np.fromiter((place[w] for own in words for w in own), dtype=np.int64)
         raw, scored = stream(words)
-        codes = grams(raw, scored)
-        keys, parts = _distinct_grams(codes, buckets)
-        costs = np.concatenate([np.zeros(0, np.float32)] + [unsqueeze(found["grams", b]["numbers"], np.float32) for b in np.flatnonzero(np.diff(parts)).tolist()])
-        order = np.argsort(keys)
-        # Each text's own sum: a text's score does not depend on what else is in its block.
-        by_byte = costs[order][np.searchsorted(keys[order], codes)].astype(np.float64)
         sizes = np.fromiter((sum(map(len, own)) + max(len(own), 1) for own in words), dtype=np.int64, count=len(words))
-        sums = np.add.reduceat(by_byte, np.cumsum(sizes) - sizes)
+        # Grams and the texts they are in, sorted as one number.
+        both = np.sort(grams(raw, scored) << np.uint64(16) | np.repeat(np.arange(len(words), dtype=np.uint64), sizes))
+        keys, times = runs(both >> np.uint64(16))
+        order, parts = _by_bucket(keys, buckets)
+        costs = np.empty(len(keys))
+        costs[order] = np.concatenate([unsqueeze(found["grams", b]["numbers"], np.float32) for b in np.flatnonzero(np.diff(parts)).tolist()])
+        sums = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=np.repeat(costs, times), minlength=len(words))
         owner = np.repeat(np.arange(len(words)), n_words)
         bottom = np.log10(tokens + types + 1)
         base = np.bincount(owner, weights=np.log10(each + 1), minlength=len(words)) + np.log10(ends + 1) - (n_words + 1) * bottom
