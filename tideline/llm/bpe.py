@@ -3,7 +3,8 @@
 Texts are taken in blocks of bounded size. A block sends its distinct pre-tokens, dealt to buckets by hash, and per document
 the sequence of their places in the block (frequent ones have small places, so a position costs little more than a byte).
 All copies of a pre-token meet in one bucket and are encoded there once; ids go back to the blocks, where positions are
-replaced by ids. Blocks are numbered by task and order, so ``docs`` has to come in a repeatable order, as from files.
+replaced by ids. Texts are cut twice, once for the pre-tokens and once for the sequences, so that sequences travel once.
+Blocks are numbered by task and order: ``docs`` has to come in a repeatable order, as from files.
 """
 from __future__ import annotations
 
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tideline.llm.bpe_words import WordTable, encode_words, ragged, read_ranks
 from tideline.llm.common import pieces
@@ -28,6 +28,8 @@ from tideline.llm.pretokens import split
 
 #: Characters of text in a block.
 BLOCK = 4 << 20
+#: Bytes of ids decoded at once.
+DECODE_BYTES = 4 << 20
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -67,8 +69,8 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def _blocks(id_type: pa.DataType, buckets: int, names: list[str], block_chars: int):
-    """Per block a row for every bucket that has pre-tokens of it, and a row for each document."""
+def _blocks(buckets: int, names: list[str], block_chars: int, words_only: bool):
+    """Of each block either a row for every bucket that has pre-tokens of it, or a row for each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -78,71 +80,68 @@ def _blocks(id_type: pa.DataType, buckets: int, names: list[str], block_chars: i
                 found = split(texts)
                 block += 1
                 n = len(found.words)
-                place = np.empty(n, dtype=np.int64)
                 order = np.argsort(-np.bincount(found.codes, minlength=n), kind="stable")
-                place[order] = np.arange(n)
-                words = [found.words[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
-                sizes = np.fromiter(map(len, words), dtype=np.uint32, count=n)
-                to = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=n) % buckets
-                by = np.argsort(to, kind="stable")
-                rows = []
-                for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if n else []:
-                    text = np.frombuffer(b"".join([words[k] for k in own.tolist()]), dtype=np.uint8)
-                    rows.append((int(to[own[0]]), squeeze(text), squeeze(sizes[own]), squeeze(to_varints(np.diff(own, prepend=0))[0])))
-                raw, size = to_varints(place[found.codes])
-                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(found.per_text)])]
-                m = len(texts)
-                spread = zlib.crc32(str(block).encode()) % buckets
-                arrays = [
-                    pa.array([r[0] for r in rows] + [spread] * m, type=pa.int32()), pa.array([block] * (len(rows) + m), type=pa.int64()),
-                    pa.concat_arrays([pa.nulls(len(rows), id_type), batch.column(0).slice(done, m)]), pa.array([False] * len(rows) + [True] * m),
-                    pa.concat_arrays([pa.array([r[1] for r in rows], type=pa.binary()), binaries(raw, np.diff(ends))]),
-                    pa.array([r[2] for r in rows] + [None] * m, type=pa.binary()), pa.array([r[3] for r in rows] + [None] * m, type=pa.binary()),
-                ]
-                done += m
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                if words_only:
+                    words = [found.words[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
+                    sizes = np.fromiter(map(len, words), dtype=np.uint32, count=n)
+                    to = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=n) % buckets
+                    by = np.argsort(to, kind="stable")
+                    rows = []
+                    for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if n else []:
+                        text = np.frombuffer(b"".join([words[k] for k in own.tolist()]), dtype=np.uint8)
+                        rows.append((int(to[own[0]]), block, squeeze(text), squeeze(sizes[own]), squeeze(to_varints(np.diff(own, prepend=0))[0])))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], names=names)
+                else:
+                    place = np.empty(n, dtype=np.int64)
+                    place[order] = np.arange(n)
+                    raw, size = to_varints(place[found.codes])
+                    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(found.per_text)])]
+                    m = len(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * m, type=pa.int64()), batch.column(0).slice(done, m), binaries(raw, np.diff(ends))], names=names)
+                    done += m
 
     return cut
 
 
 def _encode(path: str):
-    """The pre-tokens of each row replaced by their ids; rows of documents pass."""
+    """The pre-tokens of each row replaced by their ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(functools.partial(encode_words, path), np.uint32)
         for batch in batches:
-            payload, sizes = batch.column("payload").to_pylist(), batch.column("sizes").to_pylist()
-            for k, is_text in enumerate(batch.column("is_text").to_pylist()):
-                if is_text:
-                    continue
-                raw, ends = unsqueeze(payload[k], np.uint8).tobytes(), np.cumsum(unsqueeze(sizes[k], np.uint32)).tolist()
-                words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)]
-                at = table.places(words)
-                payload[k], sizes[k] = squeeze(table.flat[ragged(table.starts[at], table.counts[at])]), squeeze(table.counts[at].astype(np.uint32))
-            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(payload, type=pa.binary())).set_column(batch.schema.get_field_index("sizes"), "sizes", pa.array(sizes, type=pa.binary()))
+            payload, sizes = [], []
+            for text, lengths in zip(batch.column("payload").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                raw, ends = unsqueeze(text, np.uint8).tobytes(), np.cumsum(unsqueeze(lengths, np.uint32)).tolist()
+                at = table.places([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)])
+                payload.append(squeeze(table.flat[ragged(table.starts[at], table.counts[at])].astype(np.uint32)))
+                sizes.append(squeeze(table.counts[at].astype(np.uint16)) if table.counts[at].max() < 1 << 16 else squeeze(table.counts[at].astype(np.uint32)))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"payload": pa.array(payload, type=pa.binary()), "sizes": pa.array(sizes, type=pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in ("block", "payload", "sizes", "places")], names=["block", "payload", "sizes", "places"])
 
     return encode
 
 
 def _reassemble(id_col: str):
-    def join(block: pa.Table) -> pa.Table:
-        is_text = block["is_text"].to_numpy()
-        words, texts = block.filter(pa.array(~is_text)), block.filter(pa.array(is_text))
+    def join(words: pa.Table, texts: pa.Table) -> pa.Table:
         flat, counts, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for ids, sizes, steps in zip(words["payload"].to_pylist(), words["sizes"].to_pylist(), words["places"].to_pylist(), strict=True):
             flat.append(unsqueeze(ids, np.uint32))
-            counts.append(unsqueeze(sizes, np.uint32).astype(np.int64))
             places.append(np.cumsum(from_varints(unsqueeze(steps, np.uint8))))
+            raw = unsqueeze(sizes, np.uint8)
+            counts.append(raw.view(np.uint16 if len(raw) == 2 * len(places[-1]) else np.uint32).astype(np.int64))
         flat, counts, order = np.concatenate(flat), np.concatenate(counts), np.argsort(np.concatenate(places))
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
-        raw = texts["payload"].to_pylist()
-        codes = from_varints(np.frombuffer(b"".join(raw), dtype=np.uint8))
-        per_text = np.array([int(np.count_nonzero(np.frombuffer(r, dtype=np.uint8) < 128)) for r in raw], dtype=np.int64)
-        sizes = counts[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per_text)]
-        ids = flat[ragged(starts[codes], sizes)].astype("<u4")
-        return pa.table({id_col: texts[id_col], "ids": binaries(ids, np.diff(ends, prepend=0))})
+        done, raw = [], texts["payload"].to_pylist()
+        for at in range(0, len(raw), 512):
+            part = raw[at:at + 512]
+            codes = from_varints(np.frombuffer(b"".join(part), dtype=np.uint8))
+            per_text = np.array([int(np.count_nonzero(np.frombuffer(r, dtype=np.uint8) < 128)) for r in part], dtype=np.int64)
+            sizes = counts[codes]
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per_text)]
+            done.append(binaries(flat[ragged(starts[codes], sizes)].astype("<u4"), np.diff(ends, prepend=0)))
+        return pa.table({id_col: texts[id_col], "ids": pa.chunked_array(done, type=pa.binary())})
 
     return join
 
@@ -155,11 +154,16 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """
     field = docs.schema[id_col]
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    binary = [T.StructField(n, T.BinaryType()) for n in ("payload", "sizes", "places")]
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField(id_col, field.dataType), T.StructField("is_text", T.BooleanType()), *binary])
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_blocks(to_arrow_type(field.dataType), buckets, schema.names, block_chars), schema)
-    met = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_encode(path), schema).drop("bucket")
-    return met.groupBy("block").applyInArrow(_reassemble(id_col), T.StructType([T.StructField(id_col, field.dataType), T.StructField("ids", T.BinaryType())]))
+    binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
+    block = T.StructField("block", T.LongType())
+    words = T.StructType([T.StructField("bucket", T.LongType()), block, *binary("payload", "sizes", "places")])
+    texts = T.StructType([block, T.StructField(id_col, field.dataType), *binary("payload")])
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    sent = rows.mapInArrow(_blocks(buckets, words.names, block_chars, True), words).repartitionById(buckets, F.col("bucket").cast("int"))
+    encoded = sent.mapInArrow(_encode(path), T.StructType([block, *binary("payload", "sizes", "places")]))
+    sequences = rows.mapInArrow(_blocks(buckets, texts.names, block_chars, False), texts)
+    met = encoded.groupBy("block").cogroup(sequences.groupBy("block"))
+    return met.applyInArrow(_reassemble(id_col), T.StructType([T.StructField(id_col, field.dataType), T.StructField("ids", T.BinaryType())]))
 
 
 @functools.lru_cache(2)
@@ -182,13 +186,20 @@ def decode(ids: Column, path: str) -> Column:
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         flat, starts, sizes = _token_bytes(path)
         for column in batches:
-            rows = [b"" if r is None else r for r in column.to_pylist()]
-            codes = np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int64)
-            if len(codes) and (codes.max() >= len(sizes) or sizes[codes].min() < 0):
-                raise ValueError("an id is not in the vocabulary")
-            size = sizes[codes]
-            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(np.array([len(r) // 4 for r in rows], dtype=np.int64))]
-            out = binaries(flat[ragged(starts[codes], size)], np.diff(ends, prepend=0))
+            rows, done, at = column.to_pylist(), [], 0
+            while at < len(rows):
+                to, held = at, 0
+                while to < len(rows) and (to == at or held + len(rows[to] or b"") <= DECODE_BYTES):
+                    held += len(rows[to] or b"")
+                    to += 1
+                codes = np.frombuffer(b"".join([r or b"" for r in rows[at:to]]), dtype="<u4")
+                if len(codes) and (codes.max() >= len(sizes) or sizes[codes].min() < 0):
+                    raise ValueError("an id is not in the vocabulary")
+                size = sizes[codes]
+                ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(np.array([len(r or b"") // 4 for r in rows[at:to]], dtype=np.int64))]
+                done.append(binaries(flat[ragged(starts[codes], size)], np.diff(ends, prepend=0)))
+                at = to
+            out = pa.concat_arrays(done) if done else pa.array([], type=pa.binary())
             yield pa.compute.if_else(column.is_valid(), out, pa.scalar(None, type=pa.binary()))
 
     return join(ids)

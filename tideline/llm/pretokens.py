@@ -16,7 +16,6 @@ import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
@@ -101,15 +100,13 @@ def cut(texts: list[str], kinds: Callable[[np.ndarray], np.ndarray] = regex_kind
     return joined, chars, begin
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, dtype=np.uint64), dtype=np.uint64)]) for x in (_ODD, inverse))
+@functools.cache
+def _weights() -> np.ndarray:
+    return np.random.default_rng(11).integers(1 << 63, size=1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def split(texts: list[str], kinds: Callable[[np.ndarray], np.ndarray] = regex_kinds) -> Pieces:
-    """Distinct pre-tokens and their sequence. Substrings are grouped by a rolling hash and compared with their group's first."""
+    """Distinct pre-tokens and their sequence. Substrings are grouped by a hash and compared with their group's first."""
     joined, chars, begin = cut(texts, kinds)
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], len(chars))[:len(starts)].astype(np.int64)
@@ -118,14 +115,14 @@ def split(texts: list[str], kinds: Callable[[np.ndarray], np.ndarray] = regex_ki
     per_text = np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
     if not len(starts):
         return Pieces(ends, [], np.zeros(0, dtype=np.int64), per_text)
-    up, down = _powers(1 << max(16, len(chars).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:len(chars)], dtype=np.uint64)])
-    key = (total[ends] - total[starts]) * down[starts]
-    key ^= (ends - starts).astype(np.uint64) << np.uint64(56)
+    length = ends - starts
+    place = (np.arange(len(chars)) - np.repeat(starts, length)) & 4095
+    key = np.add.reduceat(_weights()[place] * (chars + np.uint64(1)), starts)
+    del place
+    key ^= length.astype(np.uint64) << np.uint64(56)
     codes, _ = pd.factorize(key)
     lead = np.full(int(codes.max()) + 1, -1, dtype=np.int64)
     lead[codes[::-1]] = np.arange(len(codes))[::-1]
-    length = ends - starts
     shift = np.repeat(starts[lead[codes]] - starts, length)
     same = (length == length[lead[codes]]).all() and (chars == chars[np.arange(len(chars)) + shift]).all()
     if not same:  # two substrings with one hash: group by the strings themselves
