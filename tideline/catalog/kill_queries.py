@@ -159,7 +159,7 @@ pk AS (SELECT m.video_id, m.pack_at, m.pack_seq, m."time", m.seq, m.roi, s.*, p.
       ELSE greatest(0, m."time" - CASE m.roi WHEN 'bottom_kills' THEN 0.65 WHEN 'top_right' THEN 0.85 ELSE 0.75 END) END AS anchor,
     CASE WHEN s.n = 1 OR (s.n >= 2 AND s.span <= 32 AND coalesce(p.max_gap, 0) <= 22) THEN s.marked ELSE s.red END AS use_red
   FROM mkill m JOIN pstat s USING (video_id, pack_seq) JOIN pgap p USING (video_id, pack_seq)),
-longc AS (SELECT video_id, any_value(pack_at) AS pack_at, pack_seq, 'continuous' AS kind, any_value(n) AS kill_count, any_value(mean_conf) AS mean_conf, any_value(span) AS span,
+longc AS (SELECT video_id, any_value(pack_at) AS pack_at, pack_seq, 'continuous' AS kind, any_value(n) AS kill_count, any_value(mean_conf) AS mean_conf, any_value(span) AS span, arg_min(anchor, ("time", seq)) AS a0,
     greatest(0, arg_min(anchor, ("time", seq)) - CASE WHEN any_value(use_red) THEN 1.2 ELSE 1.2 END) AS b, least(2592.0, arg_max(anchor, ("time", seq)) + 8) AS e FROM pk WHERE dense GROUP BY video_id, pack_seq),
 longf AS (SELECT *, CASE WHEN e - b < 12 THEN least(2592.0, b + 12) ELSE e END AS e2 FROM longc),
 nexted AS (SELECT *, lead(anchor) OVER (PARTITION BY video_id, pack_seq ORDER BY "time", seq) AS nx, CASE WHEN use_red THEN 1.0 ELSE 1.2 END AS pre FROM pk WHERE NOT dense),
@@ -193,6 +193,17 @@ def pack_clips(spark, d):
     return _clips(spark, d).drop("segments")
 
 
+@query("pack_segments", sql("""SELECT video_id, pack_seq, 0 AS place, floor(b * 10 + 0.5) / 10 AS "start", floor((e2 - b) * 10 + 0.5) / 10 AS duration, floor(a0 * 10 + 0.5) / 10 AS peak_time, kill_count::INT AS kill_count FROM longf WHERE e2 - b >= 4
+UNION ALL SELECT video_id, pack_seq, 0, st, du, pt, 1 FROM cut WHERE n = 1 AND du >= 3
+UNION ALL SELECT video_id, pack_seq, (row_number() OVER (PARTITION BY video_id, pack_seq ORDER BY "time", seq) - 1)::INT, st, d2, pt, 1 FROM (SELECT *, count(*) OVER p AS cuts, sum(d2) OVER p AS total, max(pt) OVER p - min(pt) OVER p AS wide, coalesce(max(jump) OVER p, 0) AS leap
+    FROM final WHERE n >= 2 WINDOW p AS (PARTITION BY video_id, pack_seq))
+  WHERE cuts >= 2 AND floor(total * 10 + 0.5) / 10 >= CASE WHEN cuts >= 4 THEN 12 WHEN cuts >= 3 THEN 7 ELSE 4 END AND wide <= 55 AND leap <= 35""", "kill_event", more=SMALL, recursive=True))
+def pack_segments(spark, d):
+    """Every cut of every clip, in order."""
+    cuts = _clips(spark, d).select("video_id", "pack_seq", F.posexplode("segments").alias("place", "s"))
+    return cuts.select("video_id", "pack_seq", "place", "s.start", "s.duration", "s.peak_time", "s.kill_count")
+
+
 @query("top_montages", sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY kill_count DESC, local_score DESC, pack_at, pack_seq)::INT AS list_index
 FROM ({CLIPS})) WHERE list_index <= 12""", "kill_event", more=SMALL, recursive=True))
 def top_montages(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tideline import views
 from tideline.catalog import query
 from tideline.catalog.prefix import sql
+from tideline.operators.ordered import places
 from tideline.plans import projects as p
 
 T = "902016000000"
@@ -45,10 +46,21 @@ def expiry_buckets(spark, d):
     return views.projects(spark, d).groupBy(p.expiry_label(F.col("saved"), days).alias("label")).agg(F.count(F.lit(1)).alias("projects"))
 
 
-@query("library_by_date", sql("SELECT id, updated_at FROM project ORDER BY updated_at DESC, id LIMIT 50", "project"))
+@query("library_by_date", sql("SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id)::BIGINT AS place FROM project", "project"))
 def library_by_date(spark, d):
-    """The newest fifty projects, as the library shows them."""
-    return views.projects(spark, d).orderBy(*p.library_order("date")).limit(p.RECENT_CAP).select("id", "updated_at")
+    """All projects in the library's order."""
+    return places(views.projects(spark, d), p.library_order("date")).select("id", "updated_at", "place")
+
+
+@query("library_by_title", sql("SELECT id, row_number() OVER (ORDER BY coalesce(title, ''), id)::BIGINT AS place FROM project", "project"))
+def library_by_title(spark, d):
+    return places(views.projects(spark, d), p.library_order("title")).select("id", "place")
+
+
+@query("library_by_kills", sql("SELECT id, row_number() OVER (ORDER BY clip_count DESC, updated_at DESC, id)::BIGINT AS place FROM project", "project"))
+def library_by_kills(spark, d):
+    rows = views.projects(spark, d).withColumn("peak_kills", F.col("clip_count"))
+    return places(rows, p.library_order("kills")).select("id", "place")
 
 
 FRESH = f"""fresh AS (SELECT id + 700 AS id, 'again ' || title AS title, url, source_type, clip_count + 1 AS clip_count, {T} AS created_at, {T} AS updated_at, {T} + 604800000 AS expires_at, false AS saved FROM project)"""

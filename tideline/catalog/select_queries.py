@@ -46,19 +46,18 @@ picked AS (SELECT video_id, i::INT - 1 AS place, kept[i].q AS seq FROM g1, unnes
 
 
 @query("nearest_event", sql("""SELECT a.video_id, a.seq, n.seq AS near_seq, round(n.d, 9) AS distance FROM kill_event a LEFT JOIN LATERAL (
-  SELECT b.seq, abs(b."time" - a."time") AS d FROM kill_event b WHERE b.video_id = a.video_id AND starts_with(b.roi, 'top_right') AND abs(b."time" - a."time") <= 2.5 ORDER BY abs(b."time" - a."time"), b.seq LIMIT 1) n ON true
-WHERE a.roi = 'bottom_kills'""", "kill_event"))
+  SELECT b.seq, abs(b."time" - a."time") AS d FROM kill_event b WHERE b.video_id = a.video_id AND starts_with(b.roi, 'top_right') AND abs(b."time" - a."time") <= 2.5 ORDER BY abs(b."time" - a."time"), b.seq LIMIT 1) n ON true""", "kill_event"))
 def nearest_event(spark, d):
     e = views.kill_events(spark, d)
-    out = nearest_join(e.filter("roi = 'bottom_kills'").select("video_id", "seq", "time"), e.filter("roi like 'top_right%'"), KEY, ["seq"], F.col("time"), F.col("time"), ["seq"], 2.5, {"near_seq": "seq"})
+    out = nearest_join(e.select("video_id", "seq", "time"), e.filter("roi like 'top_right%'"), KEY, ["seq"], F.col("time"), F.col("time"), ["seq"], 2.5, {"near_seq": "seq"})
     return out.select("video_id", "seq", "near_seq", F.round("distance", 9).alias("distance"))
 
 
-@query("confirmed_peaks", sql("""SELECT video_id, count(*) AS confirmed FROM kill_event a WHERE roi = 'center_banner' AND EXISTS (SELECT 1 FROM kill_event b WHERE b.video_id = a.video_id AND starts_with(b.roi, 'top_right')
+@query("confirmed_peaks", sql("""SELECT video_id, count(*) AS confirmed FROM kill_event a WHERE NOT starts_with(roi, 'top_right') AND EXISTS (SELECT 1 FROM kill_event b WHERE b.video_id = a.video_id AND starts_with(b.roi, 'top_right')
   AND abs(b."time" - a."time") <= 3.5) GROUP BY 1""", "kill_event"))
 def confirmed_peaks(spark, d):
     e = views.kill_events(spark, d)
-    peaks, feed = e.filter("roi = 'center_banner'").select("video_id", "seq", "time"), e.filter("roi like 'top_right%'").select("video_id", F.col("time").alias("_t"))
+    peaks, feed = e.filter("roi not like 'top_right%'").select("video_id", "seq", "time"), e.filter("roi like 'top_right%'").select("video_id", F.col("time").alias("_t"))
     near = band_join(peaks, feed, KEY, F.col("time"), F.col("_t"), 3.5, 3.5).filter(F.abs(F.col("_t") - F.col("time")) <= 3.5).select("video_id", "seq").distinct()
     return near.groupBy("video_id").agg(F.count(F.lit(1)).alias("confirmed"))
 
@@ -121,12 +120,12 @@ def share_kill_pairs(spark, d):
     return s.sharing_pairs(_montages(spark, d), 25.0)
 
 
-@query("antijoin_overlap", sql("""SELECT video_id, seq FROM mont a WHERE kills = 1 AND (SELECT count(*) FROM mont e WHERE e.video_id = a.video_id AND e.kills >= 3) < 5
+@query("antijoin_overlap", sql("""SELECT video_id, seq FROM mont a WHERE kills < 3 AND (SELECT count(*) FROM mont e WHERE e.video_id = a.video_id AND e.kills >= 3) < 5
 AND NOT EXISTS (SELECT 1 FROM mont e WHERE e.video_id = a.video_id AND e.kills >= 3 AND (abs(e.start_time - a.start_time) < 20 OR (least(e.end_time, a.end_time) > greatest(e.start_time, a.start_time)
   AND (least(e.end_time, a.end_time) - greatest(e.start_time, a.start_time)) / least(e.end_time - e.start_time, a.end_time - a.start_time) > 0.35)))""", "kill_event", more=MONT, recursive=True))
 def antijoin_overlap(spark, d):
     m = _montages(spark, d).select("video_id", "seq", "start_time", "end_time", "kills")
-    return s.drop_overlapping_audio(m.filter("kills = 1"), m.filter("kills >= 3")).select("video_id", "seq")
+    return s.drop_overlapping_audio(m.filter("kills < 3"), m.filter("kills >= 3")).select("video_id", "seq")
 
 
 @query("profile_lookup", sql("SELECT o_orderkey, " + "CASE cat " + " ".join(f"WHEN '{n}' THEN {p['min_clip']}" for n, p in PROFILES.items()) + " ELSE 12 END::DOUBLE AS min_clip, CASE cat " + " ".join(f"WHEN '{n}' THEN {p['max_clip']}" for n, p in PROFILES.items()) + """ ELSE 45 END::DOUBLE AS max_clip
@@ -263,12 +262,13 @@ def valid_highlights(spark, d):
     return s.valid_highlights(rows, F.lit(2580.0)).select("video_id", "seq", "start_time", "end_time")
 
 
-@query("boosted_candidates", sql("""SELECT video_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY boosted DESC, list_index)::INT AS list_index, boosted AS local_score, least(99, floor(boosted / max(boosted) OVER (PARTITION BY video_id) * 100 + 0.5))::INT AS confidence
+@query("boosted_candidates", sql("""SELECT video_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY boosted DESC, list_index)::INT AS list_index, boosted AS local_score, least(99, floor(boosted / max(boosted) OVER (PARTITION BY video_id) * 100 + 0.5))::INT AS confidence,
+  CASE WHEN list_index <= 6 THEN list_filter([CASE WHEN seq % 18 >= 8 THEN 'audio-spike' END, CASE WHEN seq % 10 >= 5 THEN 'audio-burst' END, CASE WHEN seq % 13 >= 6 THEN 'visual-event' END], lambda x: x IS NOT NULL) ELSE [] END AS flags
 FROM (SELECT *, floor(local_score + CASE WHEN list_index <= 6 THEN seq % 45 + seq % 13 ELSE 0 END + 0.5) AS boosted FROM ranked WHERE list_index <= 12)""", "kill_event", more=RANKED))
 def boosted_candidates(spark, d):
     pool = s.ranked_pool(s.merge_pool(_cand(spark, d), F.lit(2592.0))).withColumn("flags", F.expr("cast(array() as array<string>)"))
     signals = pool.select("video_id", "list_index", (F.col("seq") % 45).cast("double").alias("audio_points"), (F.col("seq") % 13).cast("double").alias("visual_points"), (F.col("seq") % 18).alias("spike"), (F.col("seq") % 10).alias("burst"))
-    return s.boost_signals(pool, signals, 6).select("video_id", "seq", "list_index", "local_score", "confidence")
+    return s.boost_signals(pool, signals, 6).select("video_id", "seq", "list_index", "local_score", "confidence", "flags")
 
 
 @query("viral_scores", sql("""SELECT video_id, seq, greatest(4, least(8, floor(CASE WHEN montage THEN 4.5 + confidence / 100 * 2.5 ELSE 4 + confidence / 100 * 2 END + kills * 0.2 + 0.5)))::BIGINT AS viral FROM cand""", "kill_event", more=CAND))

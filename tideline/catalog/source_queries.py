@@ -19,25 +19,27 @@ def _docs(spark, d):
     return views.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.split("text", "\n").alias("ls"))
 
 
+def _escaped(text):
+    """A line as caption files hold it: markup characters as entities."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 # One caption per text line: line i starts at 7 i + 0.25 seconds and lasts (i mod 5) + 0.5 seconds.
 CAP = """cap AS (SELECT doc_id AS video_id, (i - 1)::INT AS seq, trim(ls[i]) AS text, (i - 1) * 7 + 0.25::DOUBLE AS "start", (i - 1) % 5 + 0.5::DOUBLE AS dur FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i))"""
 
 
-@query("vtt_cues", sql("""SELECT video_id, text, "start", "start" + dur AS "end" FROM cap WHERE text <> '' AND NOT contains(text, '<') AND NOT contains(text, '&') AND NOT contains(text, '-->')""", more=CAP))
+@query("vtt_cues", sql("""SELECT video_id, text, "start", "start" + dur AS "end" FROM cap WHERE text <> ''""", more=CAP))
 def vtt_cues(spark, d):
-    cue = lambda s, i: F.concat(_clock(i * 7 + F.lit(0.25), False), F.lit(" --> "), _clock(i * 7 + F.lit(0.25) + i % 5 + 0.5, True), F.lit(" align:start\n<c>"), s, F.lit("</c>\n\n"))
-    keep = F.filter("ls", lambda s: F.lit(True))
-    raw = _docs(spark, d).select("video_id", F.concat(F.lit("WEBVTT\r\n\nNOTE made\n\n"), F.array_join(F.transform(keep, cue), "")).alias("content"))
-    out = c.vtt_cues(raw)
-    return out.filter(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit("&")) & ~F.contains("text", F.lit("-->"))).select("video_id", "text", "start", "end")
+    cue = lambda s, i: F.concat(_clock(i * 7 + F.lit(0.25), False), F.lit(" --> "), _clock(i * 7 + F.lit(0.25) + i % 5 + 0.5, True), F.lit(" align:start\n<c>"), _escaped(s), F.lit("</c>\n\n"))
+    raw = _docs(spark, d).select("video_id", F.concat(F.lit("WEBVTT\r\n\nNOTE made\n\n"), F.array_join(F.transform("ls", cue), "")).alias("content"))
+    return c.vtt_cues(raw).select("video_id", "text", "start", "end")
 
 
-@query("json3_cues", sql("""SELECT video_id, seq, text, "start", "start" + dur AS "end" FROM cap WHERE text <> '' AND NOT contains(text, '<') AND NOT contains(text, '&')""", more=CAP))
+@query("json3_cues", sql("""SELECT video_id, seq, text, "start", "start" + dur AS "end" FROM cap WHERE text <> ''""", more=CAP))
 def json3_cues(spark, d):
-    ev = lambda s, i: F.struct((i * 7000 + 250).cast("double").alias("tStartMs"), ((i % 5) * 1000 + 500).cast("double").alias("dDurationMs"), F.array(F.struct(s.alias("utf8"))).alias("segs"))
+    ev = lambda s, i: F.struct((i * 7000 + 250).cast("double").alias("tStartMs"), ((i % 5) * 1000 + 500).cast("double").alias("dDurationMs"), F.array(F.struct(_escaped(s).alias("utf8"))).alias("segs"))
     raw = _docs(spark, d).select("video_id", F.to_json(F.struct(F.transform("ls", ev).alias("events"))).alias("content"))
-    out = c.json3_cues(raw)
-    return out.filter(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit("&"))).select("video_id", "seq", "text", "start", "end")
+    return c.json3_cues(raw).select("video_id", "seq", "text", "start", "end")
 
 
 @query("stt_words", sql("""SELECT video_id, seq, text, "start" + 600 AS "start", "start" + 600 + dur AS "end", CASE WHEN seq % 2 = 0 THEN 'A' END AS speaker FROM cap WHERE text <> ''""", more=CAP))
@@ -101,9 +103,9 @@ def detector_events(spark, d):
     return out.select("video_id.video_id", F.col("video_id.real_seq").alias("seq"), "roi", "confidence")
 
 
-@query("video_metadata", sql("""SELECT doc_id AS video_id, CASE WHEN doc_id % 5 = 0 THEN 'Unknown video' ELSE source END AS title, trim(left(trim(text), 3000)) AS description, CASE WHEN doc_id % 4 <> 0 THEN n_chars::DOUBLE END AS duration, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'up' END AS channel FROM documents WHERE NOT contains(text, chr(9))"""))
+@query("video_metadata", sql("""SELECT doc_id AS video_id, CASE WHEN doc_id % 5 = 0 THEN 'Unknown video' ELSE source END AS title, trim(left(trim(text), 3000)) AS description, CASE WHEN doc_id % 4 <> 0 THEN n_chars::DOUBLE END AS duration, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'up' END AS channel FROM documents"""))
 def video_metadata(spark, d):
-    docs = views.table(spark, d, "documents").filter(~F.contains("text", F.lit("\t")))
+    docs = views.table(spark, d, "documents")
     raw = docs.select(F.col("doc_id").alias("video_id"), F.to_json(F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("title"), F.col("text").alias("description"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars").cast("double")).alias("duration"),
                                                                      F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("channel"), F.lit("up").alias("uploader"))).alias("content"))
     return r.video_metadata(raw).select("video_id", "title", F.trim("description").alias("description"), "duration", "channel")

@@ -4,7 +4,6 @@ from __future__ import annotations
 # Scoring profile per content category.
 PROFILES: dict[str, dict] = {
     "shooter": {
-        "label": "Shooter / FPS",
         "keywords": (
             r"\b(ace|clutch|1v\d|one v|headshot|nade|frag|pick|trade|one tap|multikill)\b",
             r"\b(round win|won the round|gg|team kill|tk|awp|operator)\b",
@@ -19,7 +18,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 11, "lore_penalty": 14, "audio_weight": 1.35, "structure_weight": 1, "monologue_penalty": 1.3, "min_clip": 20, "max_clip": 35,
     },
     "moba": {
-        "label": "MOBA",
         "keywords": (
             r"\b(penta|quadra|triple kill|teamfight|baron|drake|dragon|elder|herald)\b",
             r"\b(ff|surrender|got him|nice|clean|outplay|flash|ult)\b",
@@ -33,7 +31,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 10, "lore_penalty": 13, "audio_weight": 1.15, "structure_weight": 1.25, "monologue_penalty": 1.2, "min_clip": 14, "max_clip": 45,
     },
     "survival": {
-        "label": "Survival / Sandbox",
         "keywords": (
             r"\b(died|death|killed|rip|gg|base|raid|loot|craft|build)\b",
             r"\b(gestorben|tod|base|raid|loot|craften|bauen)\b",
@@ -47,7 +44,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 9, "lore_penalty": 16, "audio_weight": 1.2, "structure_weight": 1.1, "monologue_penalty": 1.25, "min_clip": 12, "max_clip": 40,
     },
     "horror": {
-        "label": "Horror",
         "keywords": (
             r"\b(scared|scream|screaming|oh my god|no way|wtf|help|run)\b",
             r"\b(erschrocken|schrei|hilfe|lauf|grusel|angst)\b",
@@ -60,7 +56,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 10, "lore_penalty": 12, "audio_weight": 1.45, "structure_weight": 1, "monologue_penalty": 1.15, "min_clip": 10, "max_clip": 32,
     },
     "racing": {
-        "label": "Racing / Sports",
         "keywords": (
             r"\b(overtake|overtook|crash|podium|win|won|goal|score|clutch)\b",
             r"\b(überhol|crash|unfall|sieg|tor|punkt)\b",
@@ -70,7 +65,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 9, "lore_penalty": 14, "audio_weight": 1.2, "structure_weight": 1.05, "monologue_penalty": 1.2, "min_clip": 12, "max_clip": 38,
     },
     "react": {
-        "label": "Reaction",
         "keywords": (
             r"\b(react|reaction|watching|oh my god|no way|wtf|insane|crazy)\b",
             r"\b(reagiert|reaction|schau|oh mein gott|krass|wahnsinn)\b",
@@ -80,7 +74,6 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 10, "lore_penalty": 16, "audio_weight": 1.1, "structure_weight": 1.15, "monologue_penalty": 1.1, "min_clip": 12, "max_clip": 42,
     },
     "talk": {
-        "label": "Talk / IRL",
         "keywords": (
             r"\b(wait|what|why|no way|actually|truth|secret|crazy|insane)\b",
             r"\b(warte|was|warum|krass|wahrheit|geheim)\b",
@@ -90,7 +83,7 @@ PROFILES: dict[str, dict] = {
         "keyword_bonus": 8, "lore_penalty": 20, "audio_weight": 0.85, "structure_weight": 1.35, "monologue_penalty": 1.4, "min_clip": 14, "max_clip": 45,
     },
     "generic": {
-        "label": "Generic", "keywords": (), "lore": (),
+        "keywords": (), "lore": (),
         "keyword_bonus": 9, "lore_penalty": 18, "audio_weight": 1, "structure_weight": 1, "monologue_penalty": 1, "min_clip": 12, "max_clip": 45,
     },
 }

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.session import settle
+
 TILE = "_tile"
 DEFAULT_TILE_SEC = 3600.0
 
@@ -146,3 +148,13 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
     return out if rank else out.drop(name)
+
+
+def places(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Number all rows from 1 in ``order`` (unique): range partitions are numbered each on its own, and the sizes of
+    those before are added. Range bounds are sampled, so the partitions are written once."""
+    cut = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part")) - F.col("_n")  # a row per partition
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return cut.withColumn(name, inside).join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import gap_sessions, windowed, within
+from tideline.operators.ordered import MICRO, gap_sessions, windowed, within
 from tideline.session import settle
 
 PIECE_SEC = 3600.0
@@ -74,6 +74,10 @@ def scan_sessions(
     return rows.select(*keys, session, "_z._rows.*", F.col("_z._states").alias("state")).select(*df.columns, "state")
 
 
+def _micros(t: Column) -> Column:
+    return F.round(t * MICRO).cast("bigint")
+
+
 def spaced_peaks(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,7 +89,8 @@ def spaced_peaks(
     piece_sec: float = PIECE_SEC,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Greedy selection, strongest first, dropping rows closer than ``spacing`` to a stronger accepted row.
+    """Greedy selection, strongest first, dropping rows closer than ``spacing`` (in whole microseconds) to a stronger
+    accepted row.
 
     Rows further apart than ``spacing`` never interact, so each gap component is decided on its own. Components that fit
     in one piece are folded; longer ones are decided in rounds in which every row that beats all its undecided
@@ -102,15 +107,15 @@ def spaced_peaks(
                           .when(F.struct(a[t], *[a[c] for c in tie]) < F.struct(b[t], *[b[c] for c in tie]), -1).otherwise(1))
     kind = pieces.schema["_rows"].dataType.simpleString()
     kept = F.aggregate(ranked, F.expr(f"cast(array() as {kind})"),
-                       lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q[t] - p[t]) < spacing), acc).otherwise(F.concat(acc, F.array(p))))
+                       lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(_micros(q[t]) - _micros(p[t])) < round(spacing * MICRO)), acc).otherwise(F.concat(acc, F.array(p))))
     chosen = short.select(*keys, F.explode(kept).alias("_p")).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in rest]).select(*df.columns)
     if not split:
         return chosen
 
-    order = F.struct(F.col(strength), -F.col(t), *[-F.col(c) for c in tie])
+    order = F.struct(-F.col(strength), F.col(t), *tie)
     undecided = settle(grouped.join(long_comps, [*keys, "_comp"], "left_semi").drop("_comp").withColumn("_order", order))
     while not undecided.isEmpty():
-        best = windowed(undecided, keys, t, spacing, [], {"_best": lambda spec: F.max("_order").over(within(spec, spacing, spacing, strict=True))})
+        best = windowed(undecided, keys, t, spacing, [], {"_best": lambda spec: F.min("_order").over(within(spec, spacing, spacing, strict=True))})
         best = best.withColumn("_in", (F.col("_order") == F.col("_best")).cast("int"))
         round_ = settle(windowed(best, keys, t, spacing, [], {"_hit": lambda spec: F.max("_in").over(within(spec, spacing, spacing, strict=True))}))
         chosen = chosen.unionByName(round_.filter("_in = 1").select(*df.columns))

@@ -204,8 +204,12 @@ def frame_confidence(score: Column) -> Column:
 GERMAN = r"\b(der|die|das|und|ich|nicht|ist|ein|eine|wir|ihr|schon|auch|mal)\b"
 ENGLISH = r"\b(the|and|you|this|that|with|have|from|they|what)\b"
 LANGUAGE_CODES = (
-    "de nl he lt ml te sq fr ca hi fi vi da et br es uk no th az hy mn sd id lv bn bs gl so ka yi pl is kk km am lo mg ha bg ne mr sn gu ar ta hr mi fa tk tl su "
-    "yue tr sv cs hu sr sl kn mk zh it sw be uz fo nn as ru cy yo tg my ln jv ur af ht ro sk lb bo tt haw pt pa si oc mt ja eu ps ko el ms la sa ba en").split()
+    "de", "nl", "he", "lt", "ml", "te", "sq", "fr", "ca", "hi", "fi", "vi", "da", "et", "br", "es", "uk", "no", "th", "az", "hy", "mn", "sd", "id",
+    "lv", "bn", "bs", "gl", "so", "ka", "yi", "pl", "is", "kk", "km", "am", "lo", "mg", "ha", "bg", "ne", "mr", "sn", "gu", "ar", "ta", "hr", "mi",
+    "fa", "tk", "tl", "su", "yue", "tr", "sv", "cs", "hu", "sr", "sl", "kn", "mk", "zh", "it", "sw", "be", "uz", "fo", "nn", "as", "ru", "cy", "yo",
+    "tg", "my", "ln", "jv", "ur", "af", "ht", "ro", "sk", "lb", "bo", "tt", "haw", "pt", "pa", "si", "oc", "mt", "ja", "eu", "ps", "ko", "el", "ms",
+    "la", "sa", "ba", "en",
+)
 LANGUAGE_NAMES = {
     "german": "de", "deutsch": "de", "english": "en", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "russian": "ru", "japanese": "ja",
     "korean": "ko", "chinese": "zh", "arabic": "ar", "hindi": "hi", "turkish": "tr", "polish": "pl", "swedish": "sv", "norwegian": "no", "danish": "da", "finnish": "fi",
