@@ -207,3 +207,16 @@ def test_candidate_pool_is_spread_and_ranked(spark):
             assert 12 <= a.end_time - a.start_time <= 45.1
             for b in mine[i + 1:]:
                 assert abs(a.start_time - b.start_time) >= 20
+
+
+def test_short_windows_do_not_use_up_the_anchor_limit(spark):
+    """Forty strong lines at the very end make windows that are too short; the next anchors take their places."""
+    rows = [(1, i, "no way that was insane! " + str(i) if i % 3 == 0 else "and then we walk on", i * 5.0, i * 5.0 + 4) for i in range(150)]
+    rows += [(1, 200 + i, "no way that was insane oh my god!! " + str(i), 750 + i * 4.0, 753 + i * 4.0) for i in range(10)]
+    lines = w.scored_lines(spark.createDataFrame(rows, "video_id long, seq int, text string, start double, end double"))
+    ends = spark.createDataFrame([(1, 760.0)], "video_id long, video_end double")
+    points = w.top_anchors(lines, ends, most=None)
+    long_enough = lambda best: sorted(r.aid for r in best.filter("w_end - w_start >= 12").collect())[:28]
+    some = w.worth_scoring(lines, points)
+    assert long_enough(w.best_windows(lines, some)) == long_enough(w.best_windows(lines, points))
+    assert 28 <= some.count() <= points.count()

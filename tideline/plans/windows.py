@@ -242,6 +242,16 @@ def shifted_windows(points: DataFrame, low: Column | float = MIN_CLIP, high: Col
     return rows.filter(is_base | (F.col("_e") - F.col("_s") >= lo)).drop("_b0", "_b1", "_s", "_e")
 
 
+def worth_scoring(lines: DataFrame, points: DataFrame, category: Column | None = None, most: int = MOST_RAW) -> DataFrame:
+    """Of anchors ranked by ``aid`` those that may be among the first ``most`` with a window of at least the profile's
+    least length. Only an unshifted window can be shorter, so an anchor whose own one is long enough surely counts."""
+    lo, hi = tx.profile_value(category, "min_clip"), tx.profile_value(category, "max_clip")
+    own = shifted_windows(dynamic_tail(points.select(*KEY, "aid", "peak", "video_end"), lines, 45.0), lo, hi).filter("pos = 0")
+    sure = own.select(*KEY, "aid", (F.col("w_end") - F.col("w_start") >= lo).cast("int").alias("_sure"))
+    counted = ordered(sure, KEY, "aid", tile=4096, run_sum={"_count": "_sure"}).filter(F.col("_count") - F.col("_sure") < most)
+    return points.join(counted.select(*KEY, "aid"), [*KEY, "aid"], "left_semi")
+
+
 def best_windows(lines: DataFrame, points: DataFrame, category: Column | None = None) -> DataFrame:
     """``lines`` should be settled, they are read several times.
 
@@ -258,9 +268,11 @@ def best_windows(lines: DataFrame, points: DataFrame, category: Column | None =
     return best.select(*KEY, "aid", "_w.*")
 
 
-def top_anchors(lines: DataFrame, video_end: DataFrame, chapters: DataFrame | None = None, peaks: DataFrame | None = None, most: int = MOST_RAW) -> DataFrame:
-    """The strongest anchors of each recording with the peak their window is built around."""
-    ranked = top_per_key(anchors(lines, chapters, peaks), KEY, [F.desc("score"), F.col("kind"), F.col("time")], most, rank="aid")
+def top_anchors(lines: DataFrame, video_end: DataFrame, chapters: DataFrame | None = None, peaks: DataFrame | None = None, most: int | None = MOST_RAW) -> DataFrame:
+    """The strongest anchors of each recording, or all of them in that order, with the peak their window is built around."""
+    order = [F.desc("score"), F.col("kind"), F.col("time")]
+    found = anchors(lines, chapters, peaks)
+    ranked = top_per_key(found, KEY, order, most, rank="aid") if most is not None else found.withColumn("aid", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)))
     points = ranked.join(video_end, KEY)
     near = peak_line_near(peak_line_near(points, lines, "time", 18.0, "_p18"), lines, "time", 45.0, "_p45")
     peak = F.when(F.col("loud"), F.col("time")).otherwise(F.coalesce("_p18", "_p45", "time"))
