@@ -98,6 +98,38 @@ def test_greedy_rank_fold_and_rounds_agree(spark, fold_rows):
     assert have == sorted(want)
 
 
+@pytest.mark.parametrize("most", [7, None])
+@pytest.mark.parametrize("shape", ["random", "ramp", "fall", "even"])
+def test_greedy_in_tiles_equals_plain_greedy(spark, shape, most):
+    rows, _ = points(spark, n=150, span=300, seed=9)
+    value = {"random": lambda i, t, s: s, "ramp": lambda i, t, s: t, "fall": lambda i, t, s: -t, "even": lambda i, t, s: 1.0}[shape]
+    rows = [(v, i, t, float(value(i, t, s))) for v, i, t, s in rows]
+    df = spark.createDataFrame(rows, "video_id long, seq long, t double, v double")
+    got = greedy_rank(df, K, [-F.col("v"), F.col("t"), F.col("seq")], lambda a, b: F.abs(a["t"] - b["t"]) < 6, most, span=(F.col("t"), F.col("t") + 6), fold_rows=5, tile_sec=20)
+    want = []
+    for v in range(3):
+        kept = []
+        for t, i, s in sorted(((t, i, s) for a, i, t, s in rows if a == v), key=lambda x: (-x[2], x[0], x[1])):
+            if (most is None or len(kept) < most) and all(abs(t - q) >= 6 for q, _ in kept):
+                kept.append((t, i))
+        want += [(v, n + 1, i) for n, (_, i) in enumerate(kept)]
+    assert sorted((r.video_id, r.place, r.seq) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [4_000, 8_000])
+def test_rounds_do_not_follow_the_rows(spark, n, monkeypatch):
+    """One dense recording in which every row waits for the one before: the number of written tables stays the same."""
+    from tideline.operators import greedy
+
+    written = []
+    monkeypatch.setattr(greedy, "settle", lambda df: written.append(1) or df.checkpoint())
+    df = spark.range(n).select(F.lit(1).alias("video_id"), F.col("id").alias("seq"), (F.col("id") * 3600.0 / n).alias("t"))
+    gap = 3600.0 / n * 2.5
+    got = greedy.greedy_rank(df, K, [F.col("t")], lambda a, b: F.abs(a["t"] - b["t"]) < gap, None, span=(F.col("t"), F.col("t") + gap), tile_sec=300)
+    assert got.count() == -(-n // 3)
+    assert len(written) <= 3 + 3 * 6
+
+
 @pytest.mark.parametrize("chunk_rows", [5000, 7])
 def test_carried_state_is_independent_of_chunks(spark, chunk_rows):
     rows, df = points(spark, n=60, seed=3)

@@ -55,7 +55,7 @@ def _rank_chains(members: DataFrame, order) -> DataFrame:
     c = c.withColumn("score", cluster_score(F.col("kills"), F.col("span"), F.col("_c"), F.col("_f"), F.col("first_at"))).drop("_c", "_f")
     c = ordered(c, KEY, "first_at", ["chain"], run_max={"_reach": "last_at"})
     c = gap_sessions(c, KEY, "first_at", 3.0, ["chain"], out="_group", end="_reach").drop("_reach")
-    out = greedy_rank(c, [*KEY, "_group"], order(), lambda a, b: montages_share(a["kill_times"], b["kill_times"]), 1_000_000)
+    out = greedy_rank(c, [*KEY, "_group"], order(), lambda a, b: montages_share(a["kill_times"], b["kill_times"]), None, span=(F.col("first_at") - 3, F.col("last_at") + 3))
     return out.drop("_group", "place")
 
 

@@ -213,7 +213,8 @@ def shooter_selection(montages: DataFrame, long_video: Column | bool = True, foc
         return F.when(a["chain"] & b["chain"], montages_share(a["kill_times"], b["kill_times"])).otherwise(plain)
 
     order = [-F.col("kills"), -nz(F.col("output_duration"), 0.0), -F.col("backed").cast("int"), -score, F.col("seq")]
-    return greedy_rank(pool, KEY, order, close, most).drop("_gap")
+    reach = (F.col("start_time") - 10, F.greatest(F.col("end_time"), F.col("start_time") + F.col("_gap")) + 10)
+    return greedy_rank(pool, KEY, order, close, most, span=reach).drop("_gap")
 
 
 def viral_score(kills: Column, mean_conf: Column, backed: Column) -> Column:
