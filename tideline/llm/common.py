@@ -12,7 +12,7 @@ from tideline.session import shared_folder
 #: ASCII white space; everything else belongs to a word.
 SPACES = b" \t\n\v\f\r"
 #: UTF-8 bytes of text that Python code holds in its working arrays at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

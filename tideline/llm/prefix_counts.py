@@ -185,7 +185,7 @@ def stored_counts(text: Column, path: str) -> Column:
     @arrow_udf("array<int>")
     def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [c for piece in pieces((t.as_py() for t in texts), PIECE_BYTES // 4) for c in prefix_counts(piece, path)]
+            rows = [c for piece in pieces((t.as_py() for t in texts), PIECE_BYTES // 2) for c in prefix_counts(piece, path)]
             yield pa.array(rows, type=pa.list_(pa.int32()))
 
     return store(text)
@@ -197,7 +197,7 @@ def answers(text: Column, path: str, limit: int) -> Column:
     @arrow_udf("struct<n_tokens:bigint,keep_chars:bigint>")
     def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [(int(c[-1]), longest_within(c, limit)) for piece in pieces((t.as_py() for t in texts), PIECE_BYTES // 4) for c in prefix_counts(piece, path)]
+            rows = [(int(c[-1]), longest_within(c, limit)) for piece in pieces((t.as_py() for t in texts), PIECE_BYTES // 2) for c in prefix_counts(piece, path)]
             both = np.array(rows, dtype=np.int64).reshape(-1, 2)
             yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["n_tokens", "keep_chars"])
 
