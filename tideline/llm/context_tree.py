@@ -31,7 +31,7 @@ from tideline.llm.common import pieces, stash
 
 DEPTH = 5
 #: Bytes of text in a block, and texts: a text's number has 16 bits beside a gram's 48.
-BLOCK, BLOCK_TEXTS = 8 << 20, 1 << 16
+BLOCK, BLOCK_TEXTS = 4 << 20, 1 << 16
 #: Context depth whose subtrees stay together.
 TOP = 2
 
