@@ -35,7 +35,7 @@ def test_quality_rules_on_edge_table(docs, rows, labels):
 
 def test_binomial_tail():
     for n, p in ((1, 0.5), (30, 0.1), (500, 0.003), (4000, 0.02)):
-        for k in {0, 1, 3, n // 50, n // 2, n - 1, n}:
+        for k in {0, 1, min(3, n), n // 50, n // 2, n - 1, n}:
             exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
             assert quality_rules.binomial_tail(k, n, p) == pytest.approx(min(exact, 1.0), abs=1e-9)
 
@@ -58,7 +58,7 @@ def test_rules_are_certified_per_stratum(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(6000)], "doc_id bigint, quality int")
     got = quality_rules.quality_rules(docs, labels)
     failed = {r[0] for r in got.filter("not base_failed and not kept").select("doc_id").collect()}
-    assert failed == {i for i in range(0, 5980, 10) if i % 2 == 0}
+    assert failed == set(range(10, 5980, 10))  # all words of document 0 repeat
     assert got.filter("stratum = 'rare' and size(failed) > 0").count() == 0
 
 

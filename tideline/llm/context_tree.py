@@ -15,7 +15,9 @@ ends. Blocks are numbered by task and order, and written once.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -171,6 +173,11 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 ROW = "kind string, bucket int, block bigint, keys binary, counts binary, texts binary, ids array<bigint>, folds binary"
 
 
+def _vocabulary(words: list[list[bytes]]) -> list[bytes]:
+    """Distinct words in the order in which they first occur: the same whenever a block is read."""
+    return list(dict.fromkeys(chain.from_iterable(words)))
+
+
 def _blocks(buckets: int, block_bytes: int):
     """Per block a row with its texts and, per bucket, rows of its words and grams with their counts in training texts."""
 
@@ -185,13 +192,10 @@ def _blocks(buckets: int, block_bytes: int):
                 block += 1
                 learn = batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                 words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-                known: dict[bytes, int] = {}
-                at = np.fromiter((known.setdefault(w, len(known)) for own in words for w in own), dtype=np.int64)
-                times = np.repeat(learn, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-                seen = np.bincount(at[times], minlength=len(known))
-                vocabulary = sorted(known)
+                seen = Counter(chain.from_iterable(compress(words, learn.tolist())))
+                vocabulary = _vocabulary(words)
                 to = np.fromiter(map(zlib.crc32, vocabulary), dtype=np.int64, count=len(vocabulary)) % buckets
-                counts = seen[np.fromiter((known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))]
+                counts = np.fromiter(map(seen.__getitem__, vocabulary), dtype=np.int64, count=len(vocabulary))
                 rows = []
                 for bucket in np.unique(to).tolist():
                     own = np.flatnonzero(to == bucket)
@@ -258,7 +262,9 @@ def _count_words(rows: pa.Table) -> pa.Table:
     """Counts of each row's words over all blocks; and a row without a block: distinct words and words of training texts."""
     each = [zstandard.decompress(k).split(b"\n") for k in rows["keys"].to_pylist()]
     known: dict[bytes, int] = {}
-    at = [np.fromiter((known.setdefault(w, len(known)) for w in own), dtype=np.int64, count=len(own)) for own in each]
+    for own in each:
+        known.update(zip([w for w in own if w not in known], range(len(known), len(known) + len(own)), strict=False))
+    at = [np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own)) for own in each]
     seen = np.bincount(np.concatenate(at), weights=np.concatenate([unsqueeze(c, np.uint32) for c in rows["counts"].to_pylist()]), minlength=len(known)).astype(np.int64)
     out = [{"block": block, "kind": "words", "bucket": bucket, "numbers": squeeze(seen[own])} for block, bucket, own in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), at, strict=True)]
     out.append({"block": None, "kind": "sums", "bucket": rows["bucket"][0].as_py(), "numbers": np.array([np.count_nonzero(seen), seen.sum()], dtype=np.int64).tobytes()})
@@ -273,13 +279,13 @@ def _assemble(buckets: int, ends: int, types: int, tokens: int):
         block = next(r for (kind, _), r in found.items() if kind == "texts")
         words = [line.split(b" ") if line else [] for line in zstandard.decompress(block["texts"]).split(b"\n")]
         n_words = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        vocabulary = sorted({w for own in words for w in own})
+        vocabulary = _vocabulary(words)
         to = np.fromiter(map(zlib.crc32, vocabulary), dtype=np.int64, count=len(vocabulary)) % buckets
         counts = np.zeros(len(vocabulary), dtype=np.int64)
         for bucket in np.unique(to).tolist():
             counts[to == bucket] = unsqueeze(found["words", bucket]["numbers"], np.int64)
         place = dict(zip(vocabulary, counts.tolist(), strict=True))
-        each = np.fromiter((place[w] for own in words for w in own), dtype=np.int64)
+        each = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n_words.sum()))
         raw, scored = stream(words)
         sizes = np.fromiter((sum(map(len, own)) + max(len(own), 1) for own in words), dtype=np.int64, count=len(words))
         # Grams and the texts they are in, sorted as one number.

@@ -33,8 +33,8 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    known: dict[bytes, int] = {}
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
+    known = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
     seen, lines, repeats = set(), 0, 0
     for line in raw.split(b"\n"):
         if line.strip():
