@@ -202,3 +202,20 @@ def test_dynamic_window_is_capped(spark):
 @pytest.mark.parametrize("text,code", [("No transcript", "captions"), ("boom", "other"), ("Video download failed: x", "download")])
 def test_error_classes(spark, text, code):
     assert spark.createDataFrame([(text,)], "m string").select(cl.error_class(F.col("m"))).first()[0] == code
+
+
+def test_phrases_over_short_and_empty_lines(spark):
+    """Counts equal those on the joined text, for one-word lines, empty lines and phrases over three lines."""
+    import re
+
+    from tideline.plans import classify
+
+    words = "let me explain call of duty react to the cs 2 dota headshot minecraft   reacting to x".split(" ")
+    said = {1: words, 2: [w for x in words for w in (x, "")], 3: [" ".join(words)], 4: ["call", "", "", "of duty call of", "duty", " ", "let me", "explain"], 5: ["", " "], 6: ["reacting", "to", "to", "react", "to"]}
+    rows = [(v, i, t) for v, ts in said.items() for i, t in enumerate(ts)]
+    lines = spark.createDataFrame(rows, "video_id long, seq int, text string")
+    got = {}
+    for r in classify.rule_counts(classify.joined_lines(lines), ("title", "spoken", "keywords"), ["video_id"]).collect():
+        got[r.video_id, r.rule] = got.get((r.video_id, r.rule), 0) + r.n
+    want = {(v, i): n for v, ts in said.items() for i, rule in enumerate(classify.RULES) if (n := len(re.findall(rule["pattern"], " ".join(ts))))}
+    assert {k: n for k, n in got.items() if n} == want

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import nz
 from tideline.functions.patterns import BORING_WORDS, KILL_WORDS, has, java, java_lower, tokens
 from tideline.functions.profiles import GAMING_WORDS, PROFILES, SHOOTER_GAMES, SOURCE_WEIGHTS, SPOKEN_MATCHERS, TITLE_MATCHERS
-from tideline.operators.ordered import ordered
+from tideline.operators.ordered import ordered, windowed
 
 KEY = ["video_id"]
 MATCH_CAP, KEYWORD_CAP, KEYWORD_LEAST, KEYWORD_POINTS = 3, 4, 3, 2.5
 # Share of the transcript weight that title matchers and category keywords get.
 TITLE_ON_SPEECH, KEYWORDS_ON_SPEECH = 0.55, 0.4
-# No pattern spans more characters than this, so a line and the start of the next one hold every match.
-JUNCTION = 60
+# No pattern spans more words than this, whatever lies between them, so a line and as many words behind it hold every match.
+JUNCTION = 8
 SOURCES = ("title", "description", "tags", "channel", "transcript", "visual")
 
 RULES: list[dict] = []
@@ -58,15 +58,17 @@ def rule_counts(texts: DataFrame, sets: tuple[str, ...], keys: list[str]) -> Dat
     start of the following text, whose own matches are subtracted again.
 
     Each text is cut into tokens once and only the tokens that start some rule are kept; a rule's pattern runs only on
-    texts that hold one of its own.
+    texts that hold one of its own, and beyond the text only if it can match several words.
     """
     rules = [(i, r, *_needs(r)) for i, r in enumerate(RULES) if r["set"] in sets]
     words, parts = set().union(*[x[2] for x in rules]), set().union(*[x[3] for x in rules])
-    rows = texts.withColumns({"_ext": F.concat_ws(" ", "low", "more"), "_after": nz(F.col("more"), "")})
+    rows = texts.withColumn("_after", nz(F.col("more"), "")).withColumn("_ext", F.concat("low", "_after"))
     rows = rows.withColumn("_tok", F.array_intersect(tokens(F.col("_ext")), F.array(*[F.lit(w) for w in sorted(words)])))
     rows = rows.filter((F.size("_tok") > 0) | _guard(F.col("_ext"), F.col("_tok"), set(), parts))
 
     def count(pattern: str) -> Column:
+        if not re.search(r" |\\s|\\W|(?<!\\)\.", pattern):
+            return F.regexp_count("low", F.lit(java_lower(pattern)))
         return F.regexp_count("_ext", F.lit(java_lower(pattern))) - F.when(F.col("_after") == "", 0).otherwise(F.regexp_count("_after", F.lit(java_lower(pattern))))
 
     found = F.array(*[F.struct(F.lit(i).alias("rule"), F.when(_guard(F.col("_ext"), F.col("_tok"), w, p), count(r["pattern"])).otherwise(0).alias("n")) for i, r, w, p in rules])
@@ -78,10 +80,16 @@ def _rule_value(field: str) -> Column:
 
 
 def joined_lines(lines: DataFrame) -> DataFrame:
-    """Lines with the start of the next line, so that phrases across a line end count without joining a recording's
-    whole text in one place."""
-    low = lines.withColumn("low", F.lower("text")).withColumn("_start", F.left("low", F.lit(JUNCTION)))
-    return ordered(low, KEY, "seq", tile=4096, lead={"more": "_start"}).drop("_start")
+    """Lines with the words that follow them, over as many lines as that takes, so that phrases across line ends count
+    without joining a recording's whole text in one place. Blank lines are left out but keep their space."""
+    low = ordered(lines.withColumns({"low": F.lower("text"), "_one": F.lit(1)}), KEY, "seq", tile=4096, run_sum={"_at": "_one"})
+    low = ordered(low.filter(F.col("low").rlike(r"\S")), KEY, "seq", tile=4096, lag={"_before": "_at"}, run_sum={"_pos": "_one"})
+    space = F.repeat(F.lit(" "), (F.col("_at") - F.col("_before")).cast("int"))
+    start = F.concat(nz(space, ""), F.regexp_extract("low", r"^\s*(?:\S+\s*){0,%d}" % JUNCTION, 0))
+    next_ = lambda spec: F.collect_list("_start").over(spec.rowsBetween(1, JUNCTION))
+    rows = windowed(low.withColumn("_start", start), KEY, "_pos", JUNCTION, ["seq"], {"_next": next_}, tile=4096)
+    more = F.regexp_extract(F.array_join("_next", ""), r"^\s*(?:\S+\s+){0,%d}\S*" % (JUNCTION - 1), 0)
+    return rows.withColumn("more", more).drop("_one", "_at", "_before", "_pos", "_start", "_next")
 
 
 def metadata_points(texts: DataFrame) -> DataFrame:
@@ -163,7 +171,8 @@ def is_gameplay(text: Column) -> Column:
 def talk_counts(lines: DataFrame) -> DataFrame:
     """Kill and holding vocabulary over whole transcripts."""
     rows = joined_lines(lines)
-    ext, after = F.concat_ws(" ", "low", "more"), nz(F.col("more"), "")
+    after = nz(F.col("more"), "")
+    ext = F.concat("low", after)
     count = lambda p: F.regexp_count(ext, F.lit(java_lower(p))) - F.regexp_count(after, F.lit(java_lower(p)))
     return rows.groupBy(*KEY).agg(F.sum(count(KILL_WORDS)).alias("kill_terms"), F.sum(count(BORING_WORDS)).alias("boring_terms"))
 
