@@ -139,7 +139,14 @@ def window_emotion(spark, d):
     return views.table(spark, d, "orders").select(k, score.alias("emotion"))
 
 
-@query("settings_hash")
+HASHES = """h0 AS (SELECT *, 'x' AS other FROM orders),
+h1 AS (SELECT *, left(sha256('{"o_custkey":' || o_custkey || '}'), 16) AS raw_hash FROM h0),
+h2 AS (SELECT *, left(sha256('{"o_orderstatus":"' || o_orderstatus || '","raw_hash":"' || raw_hash || '"}'), 16) AS grade_hash FROM h1),
+h3 AS (SELECT *, left(sha256('{"o_orderpriority":"' || o_orderpriority || '","grade_hash":"' || grade_hash || '"}'), 16) AS captions_hash FROM h2),
+h4 AS (SELECT *, left(sha256('{"o_totalprice":' || o_totalprice || ',"captions_hash":"' || captions_hash || '"}'), 16) AS music_hash FROM h3)"""
+
+
+@query("settings_hash", sql("""SELECT o_orderkey, raw_hash, grade_hash, captions_hash, music_hash, CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> 'x' THEN 'captions' ELSE 'noop' END AS tier FROM h4""", more=HASHES))
 def settings_hash(spark, d):
     """Stable settings hashes and the tier of work each change needs."""
     from tideline.plans.tiers import tier_of, with_hashes

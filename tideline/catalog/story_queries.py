@@ -187,7 +187,18 @@ def panel_chains(spark, d):
     return pn.chains(hits).groupBy("video_id", "chain").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("x"), 4).alias("sum_x"))
 
 
-@query("best_panels")
+PANELS = FRAMES.replace("one AS (", "raw1 AS (", 1).replace("lagged AS (SELECT *, lag(t)", """moved AS (SELECT *, w * h AS area, w / greatest(h, 1.0) AS aspect, sqrt((x + 450 + w / 2 - 960) ** 2 + (y + 200 + h / 2 - 540) ** 2) AS dist FROM raw1),
+one AS (SELECT *, area * (1 - dist / 540.0) * least(w / 607.0, 2.2) AS score FROM moved WHERE area BETWEEN 207360 AND 1824768 AND aspect BETWEEN 0.85 AND 4.2 AND w >= 607.0 * 1.06 AND dist <= 410.4
+  AND area * (1 - dist / 540.0) * least(w / 607.0, 2.2) > 0),
+lagged AS (SELECT *, lag(t)""", 1) + """,
+seg AS (SELECT video_id, chain, count(*) AS n, sum(score) AS total, avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h, min(t) AS t0, max(t) AS t1 FROM chained GROUP BY 1, 2),
+top AS (SELECT *, total / n AS mean FROM seg QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY total * n DESC, chain) = 1),
+box AS (SELECT *, greatest(0, floor(x) - 38) AS x1, greatest(0, floor(y) - 21) AS y1, greatest(0, t0 - 0.4) AS s0, least(10000, t1 + 1.2) AS e0 FROM top WHERE n >= 2 AND mean >= 607.0 * 1080 * 0.015),
+timed AS (SELECT *, CASE WHEN e0 - s0 < 1.5 THEN least(10000, s0 + 2.5) ELSE e0 END AS s1 FROM box)"""
+
+
+@query("best_panels", sql("""SELECT video_id, n, x1::INT AS box_x, y1::INT AS box_y, (least(1920, floor(x) + floor(w) + 38) - x1)::INT AS box_w, (least(1080, floor(y) + floor(h) + 21) - y1)::INT AS box_h,
+  round_even(greatest(0, s0), 2) AS start_time, round_even(least(10000, s1), 2) AS end_time, round_even(least(1.0, mean / (607.0 * 1080 * 0.08)), 3) AS confidence FROM timed""", more=PANELS))
 def best_panels(spark, d):
     """The strongest panel of every recording."""
     hits = _hits(spark, d).withColumn("score", pn.panel_score(F.col("x") + 450, F.col("y") + 200, F.col("w"), F.col("h"), 1920.0, 1080.0)).filter("score > 0")
