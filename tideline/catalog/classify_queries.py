@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import views
 from tideline.catalog import query
+from tideline.catalog.loudness_queries import CLUSTERS
 from tideline.catalog.prefix import sql
 from tideline.functions import patterns as p
 from tideline.functions.profiles import GAMING_WORDS, SHOOTER_GAMES
@@ -106,7 +107,10 @@ def metadata_category(spark, d):
     return c.best_category(c.merged_scores(c.metadata_points(_meta(spark, d))), videos).select("video_id", "category", "score", "confidence")
 
 
-@query("visual_category")
+@query("visual_category", sql(f"""SELECT t.video_id, false AS gaming, coalesce(b.category, 'generic') AS category, b.game, coalesce(b.score, 0)::DOUBLE AS score, {CONF.replace('score', 'coalesce(b.score, 0)')}::INT AS confidence FROM titled t
+LEFT JOIN (SELECT video_id, category, game, round(sum(points), 6) AS score, min(pos) AS pos FROM (SELECT video_id, category, game, points, pos FROM mpt
+    UNION ALL SELECT video_id, 'shooter', 'Valorant', (video_id % 60) * 0.35::DOUBLE * {c.SOURCE_WEIGHTS["visual"]}::DOUBLE, 9000 FROM titled)
+  GROUP BY 1, 2, 3 HAVING round(sum(points), 6) > 0 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(sum(points), 6) DESC, min(pos)) = 1) b USING (video_id)""", "line", more=META))
 def visual_category(spark, d):
     """Category after a frame classification adds its points."""
     visual = _titled(spark, d).select("video_id", F.lit("shooter").alias("category"), F.lit("Valorant").alias("game"), (F.col("video_id") % 60).cast("double").alias("score"))
@@ -129,7 +133,11 @@ def talk_counts(spark, d):
     return c.talk_counts(_spoken(spark, d))
 
 
-@query("shooter_inference")
+@query("shooter_inference", sql(f"""SELECT video_id, reason, 82 AS confidence FROM (SELECT video_id, CASE WHEN coalesce(clusters, 0) >= 1 THEN 'kill chains' WHEN coalesce(n, 0) >= 5 THEN 'combat spikes'
+    WHEN kill_terms >= 4 AND kill_terms > boring_terms THEN 'kill terms' END AS reason
+  FROM (SELECT video_id, len(regexp_extract_all(low, '{p.KILL_WORDS}')) AS kill_terms, len(regexp_extract_all(low, '{p.BORING_WORDS}')) AS boring_terms FROM whole)
+  LEFT JOIN (SELECT video_id, count(*) AS n FROM peaks GROUP BY 1) USING (video_id)
+  LEFT JOIN (SELECT video_id, count(*) AS clusters FROM (SELECT video_id, c0 FROM walk GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1) USING (video_id)) WHERE reason IS NOT NULL""", "line", "loud", more=SRC + ",\n" + CLUSTERS, recursive=True))
 def shooter_inference(spark, d):
     """Recordings whose sound or speech says shooter, with the reason."""
     peaks = l.loudness_peaks(l.loudness_scan(views.loudness(spark, d).select("video_id", "idx", "db")), "kill").withColumn("strength", F.col("strength").cast("double"))
