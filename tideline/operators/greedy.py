@@ -56,7 +56,7 @@ def greedy_rank(
     folded = packed.select(*keys, F.posexplode(F.aggregate("_a", F.expr(f"cast(array() as {kind})"), walk)).alias("place", "_r"))
     out = folded.select(*keys, "_r.*", (F.col("place") + 1).alias("place"))
     if split and span:
-        kept = _decide_in_tiles(rows.join(large, keys, "left_semi"), keys, conflict, tile_sec)
+        kept = decide_in_tiles(rows.join(large, keys, "left_semi"), keys, conflict, tile_sec)
         ranked = kept.select(*keys, "_r.*", F.row_number().over(W.partitionBy(*keys).orderBy("_o")).alias("place"))
         out = out.unionByName(ranked.filter(F.col("place") <= most) if most is not None else ranked)
     elif split:
@@ -73,7 +73,7 @@ def greedy_rank(
     return out.select(*df.columns, "place")
 
 
-def _decide_in_tiles(rows: DataFrame, keys: list[str], conflict: Callable[[Column, Column], Column], tile_sec: float) -> DataFrame:
+def decide_in_tiles(rows: DataFrame, keys: list[str], conflict: Callable[[Column, Column], Column], tile_sec: float) -> DataFrame:
     """The kept rows of ``(keys, _o, _r, _s, _e)``.
 
     Each conflict points from the better row to the worse. A row is kept once all better ones are dropped and dropped once

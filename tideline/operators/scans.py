@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import MICRO, gap_sessions, windowed, within
+from tideline.operators.greedy import TILE_SEC, decide_in_tiles
+from tideline.operators.ordered import MICRO, gap_sessions
 from tideline.session import settle
 
 PIECE_SEC = 3600.0
@@ -56,9 +57,12 @@ def scan_sessions(
     ids = [*keys, session, "_part", "_sub"]
     pieces = settle(_pieces(df, keys, session, t, tie, piece_sec, piece_rows))
     blank = F.lit(None).cast(state)
-    current = pieces.withColumn("_entry", blank)
-    current = current.withColumn("_states", _fold(step, state))
-    if not pieces.filter("_part > 0 or _sub > 0").isEmpty():
+    done = pieces.withColumn("_entry", blank).withColumn("_states", _fold(step, state))
+    more = settle(pieces.filter("_part > 0 or _sub > 0").select(*keys, session).distinct())
+    if not more.isEmpty():
+        # Only sessions of several pieces take part in the rounds.
+        current = done.join(more, [*keys, session], "left_semi")
+        done = done.join(more, [*keys, session], "left_anti")
         along = W.partitionBy(*keys, session).orderBy("_part", "_sub")
         while True:
             current = settle(current)
@@ -70,7 +74,8 @@ def scan_sessions(
             stale = F.col("_want").isNotNull()
             current = current.join(entries, ids, "left").withColumn("_entry", F.coalesce("_want", "_entry"))
             current = current.withColumn("_states", F.when(stale, _fold(step, state)).otherwise(F.col("_states"))).drop("_want")
-    rows = current.select(*keys, session, F.explode(F.arrays_zip("_rows", "_states")).alias("_z"))
+        done = done.unionByName(current)
+    rows = done.select(*keys, session, F.explode(F.arrays_zip("_rows", "_states")).alias("_z"))
     return rows.select(*keys, session, "_z._rows.*", F.col("_z._states").alias("state")).select(*df.columns, "state")
 
 
@@ -93,8 +98,8 @@ def spaced_peaks(
     accepted row.
 
     Rows further apart than ``spacing`` never interact, so each gap component is decided on its own. Components that fit
-    in one piece are folded; longer ones are decided in rounds in which every row that beats all its undecided
-    neighbours is accepted, which gives the same answer without ever gathering the component.
+    in one piece are folded; longer ones are decided tile by tile, which gives the same answer without ever gathering
+    the component.
     """
     grouped = gap_sessions(df, keys, t, spacing, tie, out="_comp", strict=True)
     pieces = settle(_pieces(grouped, keys, "_comp", t, tie, piece_sec, piece_rows))
@@ -112,12 +117,8 @@ def spaced_peaks(
     if not split:
         return chosen
 
-    order = F.struct(-F.col(strength), F.col(t), *tie)
-    undecided = settle(grouped.join(long_comps, [*keys, "_comp"], "left_semi").drop("_comp").withColumn("_order", order))
-    while not undecided.isEmpty():
-        best = windowed(undecided, keys, t, spacing, [], {"_best": lambda spec: F.min("_order").over(within(spec, spacing, spacing, strict=True))})
-        best = best.withColumn("_in", (F.col("_order") == F.col("_best")).cast("int"))
-        round_ = settle(windowed(best, keys, t, spacing, [], {"_hit": lambda spec: F.max("_in").over(within(spec, spacing, spacing, strict=True))}))
-        chosen = chosen.unionByName(round_.filter("_in = 1").select(*df.columns))
-        undecided = round_.filter("_hit = 0").drop("_best", "_in", "_hit")
-    return chosen
+    order = F.struct((-F.col(strength)).alias("o0"), F.col(t).alias("o1"), *[F.col(c).alias(f"o{i + 2}") for i, c in enumerate(tie)])
+    open_ = grouped.join(long_comps, [*keys, "_comp"], "left_semi").select(*keys, order.alias("_o"), F.struct(*rest).alias("_r"), F.col(t).alias("_s"), (F.col(t) + F.lit(float(spacing))).alias("_e"))
+    near = lambda a, b: F.abs(_micros(a[t]) - _micros(b[t])) < round(spacing * MICRO)
+    kept = decide_in_tiles(open_, keys, near, min(float(piece_sec), TILE_SEC))
+    return chosen.unionByName(kept.select(*keys, "_r.*").select(*df.columns))
