@@ -136,10 +136,12 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Toxicity:
     """Train in one task on at most ``sample_rows`` labelled rows for which ``learn`` holds, the smallest id hashes first.
 
-    Without labelled rows of both classes every text gets the share of label 1, or 0.5. Null texts count as empty."""
-    rows = docs.filter(learn) if learn is not None else docs
-    rows = rows.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(labels_by_id(labels, label), "label_id")
-    chosen = rows.select(F.xxhash64("label_id").alias("place"), "label_id", "text", "label").orderBy("place", "label_id", "text").limit(sample_rows)
+    Ids are chosen before any text is moved; their number is the bound of what is broadcast. Without labelled rows of both
+    classes every text gets the share of label 1, or 0.5. Null texts count as empty."""
+    rows = (docs.filter(learn) if learn is not None else docs).select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    place = F.xxhash64("label_id").alias("place")
+    ids = rows.select("label_id").distinct().join(labels_by_id(labels, label), "label_id").select(place, "label_id", "label").orderBy("place", "label_id").limit(sample_rows)
+    chosen = rows.join(F.broadcast(ids), "label_id").select("place", "label_id", "text", "label").orderBy("place", "label_id", "text").limit(sample_rows)
 
     def fit(group: pa.Table) -> pa.Table:
         rows_ = sorted(zip(group["place"].to_pylist(), group["label_id"].to_pylist(), group["text"].to_pylist(), group["label"].to_pylist(), strict=True))
