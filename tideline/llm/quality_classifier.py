@@ -40,6 +40,18 @@ def matrix(texts: pa.Array) -> np.ndarray:
     return np.array([features(t.as_py()) for t in texts]).reshape(-1, len(NAMES))
 
 
+def feature_column(text: Column) -> Column:
+    """Array column of a text column's features."""
+
+    @arrow_udf("array<double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = matrix(texts)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+    return of(text)
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Log prior odds, and per class (0, 1) the mean, the inverse Cholesky factor and the log determinant."""
@@ -74,16 +86,17 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> D
 def fit_quality(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Discriminant | None:
     """Fit on all labelled rows of ``docs`` for which ``learn`` holds; None if a class has no row.
 
-    Rows without an id or with contradicting labels teach nothing; repeated rows count as often as they occur.
+    Features are computed where the texts are; only they are joined with the labels. Rows without an id or with contradicting
+    labels teach nothing; repeated rows count as often as they occur.
     """
     rows = docs.filter(learn) if learn is not None else docs
-    rows = rows.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(labels_by_id(labels, label), "label_id").select("text", "label")
+    rows = rows.select(F.col(id_col).alias("label_id"), feature_column(F.col(text_col)).alias("x")).join(labels_by_id(labels, label), "label_id").select("x", "label")
     wide, d = 1 + len(NAMES) + len(NAMES) ** 2, len(NAMES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, wide))
         for batch in batches:
-            x, y = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            x, y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d), batch.column(1).to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 own = x[y == k]
                 total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
