@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from tideline.llm.common import PIECE_BYTES, labels_by_id, pieces
 
 #: Labelled rows to learn from at most: those whose ids have the smallest hashes; and bytes of text of them at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64 << 20
 #: Rows of the embedding table, their width, n-gram lengths in bytes; training steps, rows of a step (an eighth at most) and rate.
 ROWS, WIDTH, GRAMS = 1 << 18, 2, (3, 4, 5)
 STEPS, BATCH, RATE = 400, 512, 0.1
