@@ -13,6 +13,7 @@ from tideline.session import shared_folder
 SPACES = b" \t\n\v\f\r"
 #: UTF-8 bytes of text that Python code holds in its working arrays at once.
 PIECE_BYTES = 2 << 20
+_STASHES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +41,17 @@ def stash(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: a compact cut of the lineage, which any executor can read again."""
     path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STASHES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stashes(spark: SparkSession) -> None:
+    """Delete all tables that ``stash`` wrote in this process; results that still read them must have been saved."""
+    while _STASHES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STASHES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pieces(texts: Iterable[str | None], limit: int = PIECE_BYTES, most: int = 1 << 20) -> Iterator[list[str]]:
     """Texts in order, in lists of about ``limit`` characters and ``most`` texts at most; a longer text is a list of its own. Null is empty."""
     held, size = [], 0
