@@ -62,7 +62,29 @@ def report_history(spark, d):
     return r.monthly_report(_jobs(spark, d)).orderBy(F.desc("month")).limit(r.HISTORY_MONTHS).select("month", "total_jobs")
 
 
-@query("text_report")
+def _clock_sql(ms):
+    return f"CASE WHEN coalesce({ms}, 0) = 0 THEN 'N/A' ELSE printf('%dm %ds', floor(floor({ms} / 1000) / 60)::BIGINT, floor({ms} / 1000)::BIGINT % 60) END"
+
+
+def _counts_sql(column):
+    return f"""SELECT month, {column} AS value, count(*) AS jobs, floor(count(*) * 1000 / any_value(total) + 0.5) / 10 AS percent, (row_number() OVER (PARTITION BY month ORDER BY count(*) DESC, {column}))::INT AS pos
+  FROM (SELECT *, count(*) OVER (PARTITION BY month) AS total FROM jobx) WHERE {column} IS NOT NULL GROUP BY month, {column}"""
+
+
+TEXT_REPORT = f"""SELECT month, 0 AS part, (i - 1)::INT AS pos, ls[i] AS line FROM (SELECT month, [
+  'Monthly report: ' || month, 'Total jobs processed:     ' || total_jobs,
+  'Successful completions:   ' || completed_jobs || ' (' || printf('%.1f', floor((completed_jobs * 100.0::DOUBLE / total_jobs) * 10 + 0.5) / 10) || '%)',
+  'Failed jobs:              ' || failed_jobs || ' (' || printf('%.1f', floor((failed_jobs * 100.0::DOUBLE / total_jobs) * 10 + 0.5) / 10) || '%)',
+  'Average:                  ' || {_clock_sql('avg_ms')}, 'Median:                   ' || {_clock_sql('median_ms')},
+  'Fastest:                  ' || {_clock_sql('min_ms')}, 'Slowest:                  ' || {_clock_sql('max_ms')},
+  'Avg highlights/video:     ' || printf('%.1f', floor((avg_highlights) * 10 + 0.5) / 10), 'Montage jobs:             ' || montage_jobs] AS ls FROM report LEFT JOIN dur USING (month)), unnest(range(1, 11)) AS t(i)
+UNION ALL SELECT month, 1, pos, '  ' || rpad(value, 20, ' ') || ' ' || jobs || ' (' || printf('%.1f', percent) || '%)' FROM ({_counts_sql('category')})
+UNION ALL SELECT month, 2, pos, '  ' || rpad(value, 20, ' ') || ' ' || jobs FROM ({_counts_sql('error')})
+UNION ALL SELECT month, 3, (back - 1)::INT, '  ' || m || ': ' || n || ' jobs, ' || printf('%.1f', floor((a) * 10 + 0.5) / 10) || ' avg highlights' FROM (
+  SELECT r.month, b.month AS m, b.total_jobs AS n, b.avg_highlights AS a, row_number() OVER (PARTITION BY r.month ORDER BY b.month DESC) AS back FROM report r JOIN report b ON b.month < r.month) WHERE back <= {r.TREND_MONTHS}"""
+
+
+@query("text_report", sql(TEXT_REPORT, "job", more=REPORT))
 def text_report(spark, d):
     """The monthly report as text lines."""
     jobs = _jobs(spark, d)
