@@ -43,16 +43,52 @@ def next_distant_event(spark, d):
     return c.next_at_least(rows, 30.0).select("video_id", "seq", "next_seq")
 
 
-@query("sliding_chains")
+SLIDING = """nx AS (SELECT video_id, seq, "time" AS t0, lead("time", 1) OVER o AS t1, lead("time", 2) OVER o AS t2, lead("time", 3) OVER o AS t3, lead(seq, 1) OVER o AS s1, lead(seq, 2) OVER o AS s2, lead(seq, 3) OVER o AS s3
+  FROM kill_event WINDOW o AS (PARTITION BY video_id ORDER BY "time", seq)),
+ok AS (SELECT *, coalesce(t1 - t0 <= 95, false) AS k1, coalesce(t1 - t0 <= 95 AND t2 - t1 <= 95 AND t2 - t0 <= 600, false) AS k2, coalesce(t1 - t0 <= 95 AND t2 - t1 <= 95 AND t3 - t2 <= 95 AND t3 - t0 <= 600, false) AS k3 FROM nx),
+mem AS (SELECT video_id, seq AS chain, seq FROM ok UNION ALL SELECT video_id, seq, s1 FROM ok WHERE k1 UNION ALL SELECT video_id, seq, s2 FROM ok WHERE k2 UNION ALL SELECT video_id, seq, s3 FROM ok WHERE k3),
+mf AS (SELECT chain, e.*, sum(CASE WHEN starts_with(roi, 'top_right') THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, chain) AS feeds,
+    CASE WHEN player_kill OR red_highlight THEN 50 ELSE 0 END + highlight_score * 30 + confidence * 12 + CASE WHEN starts_with(roi, 'top_right') THEN 4 ELSE 0 END AS score FROM mem JOIN kill_event e USING (video_id, seq)),
+mp AS (SELECT *, lag("time") OVER (PARTITION BY video_id, chain ORDER BY "time", seq) AS pv FROM mf WHERE feeds < 2 OR starts_with(roi, 'top_right')),
+mg AS (SELECT *, sum(CASE WHEN pv IS NULL OR "time" - pv > 4.5 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, chain ORDER BY "time", seq) AS g FROM mp),
+mt AS (SELECT *, max(score) OVER (PARTITION BY video_id, chain, g) AS top FROM mg),
+mk AS (SELECT * FROM mt WHERE score >= top - 0.05 QUALIFY row_number() OVER (PARTITION BY video_id, chain, g ORDER BY "time", seq) = 1),
+kept AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY video_id, chain ORDER BY "time", seq) <= 4)"""
+WIDE_CHAINS = """hop AS (SELECT a.video_id, a.seq, (SELECT min(struct_pack(t := b."time", s := b.seq)) FROM kill_event b WHERE b.video_id = a.video_id AND b."time" >= a."time" + 30).s AS nxt FROM kill_event a),
+path AS (SELECT h0.video_id, h0.seq AS s0, h0.nxt AS s1, h1.nxt AS s2, h2.nxt AS s3 FROM hop h0 LEFT JOIN hop h1 ON h1.video_id = h0.video_id AND h1.seq = h0.nxt LEFT JOIN hop h2 ON h2.video_id = h0.video_id AND h2.seq = h1.nxt),
+mem AS (SELECT video_id, s0 AS chain, unnest(list_filter([s0, s1, s2, s3], lambda x: x IS NOT NULL)) AS seq FROM path),
+kept AS (SELECT chain, e.* FROM mem JOIN kill_event e USING (video_id, seq) QUALIFY max("time") OVER (PARTITION BY video_id, chain) - min("time") OVER (PARTITION BY video_id, chain) >= 75)"""
+
+
+def _no_shared_kill(order):
+    """Chains of ``kept`` kills in ``order``, each left out that shares a kill with one before."""
+    return f"""ch AS (SELECT video_id, chain, list("time" ORDER BY "time") AS kill_times, count(*)::INT AS kills, min("time") AS first_at, max("time") AS last_at, max("time") - min("time") AS span, avg(confidence) AS c,
+  sum(CASE WHEN player_kill OR red_highlight OR starts_with(roi, 'top_right') THEN 1 ELSE 0 END) AS f FROM kept GROUP BY 1, 2 HAVING count(*) >= 2),
+sc AS (SELECT *, CASE WHEN kills >= 4 THEN 90 WHEN kills = 3 THEN 55 ELSE 12 END + kills * 35 + c * 28 + f * 18 + least(120.0, span * 0.35) - CASE WHEN first_at < 90 THEN 15 ELSE 0 END
+  - CASE WHEN span < 75 THEN 100 WHEN span < 120 THEN 50 ELSE 0 END AS score FROM ch),
+ps AS (SELECT video_id, list({{'q': chain, 'k': kill_times}} ORDER BY {order}) AS ps FROM sc GROUP BY 1),
+red AS (SELECT video_id, list_reduce(list_transform(ps, lambda x: [x]), lambda acc, p: CASE WHEN len(list_filter(acc, lambda y: len(list_filter(y.k, lambda u: len(list_filter(p[1].k, lambda t: abs(t - u) < 3)) > 0)) > 0)) > 0
+  THEN acc ELSE list_append(acc, p[1]) END, [{{'q': -1::BIGINT, 'k': [-1e9::DOUBLE]}}]) AS got FROM ps),
+chosen AS (SELECT video_id, unnest(list_transform(got, lambda x: x.q)) AS chain FROM red)"""
+
+
+CHAINS = "SELECT sc.video_id, chain, kill_times, kills, first_at, last_at, round(span, 6) AS span, round(score, 6) AS score FROM sc JOIN chosen USING (video_id, chain)"
+
+
+def _rounded(chains):
+    return chains.withColumns({"span": F.round("span", 6), "score": F.round("score", 6)})
+
+
+@query("sliding_chains", sql(CHAINS, "kill_event", more=SLIDING + ",\n" + _no_shared_kill("kills DESC, span, score DESC, first_at, chain")))
 def sliding_chains(spark, d):
     """Chains of two to four kills that share none."""
-    return c.sliding_chains(views.kill_events(spark, d))
+    return _rounded(c.sliding_chains(views.kill_events(spark, d)))
 
 
-@query("wide_gap_chains")
+@query("wide_gap_chains", sql(CHAINS, "kill_event", more=WIDE_CHAINS + ",\n" + _no_shared_kill("span DESC, kills DESC, score DESC, first_at, chain")))
 def wide_gap_chains(spark, d):
     """Chains of distant kills that share none."""
-    return c.wide_chains(views.kill_events(spark, d))
+    return _rounded(c.wide_chains(views.kill_events(spark, d)))
 
 
 def _peaks(spark, d):
