@@ -27,9 +27,9 @@ from tideline.llm.common import pieces
 from tideline.llm.pretokens import split
 
 #: Characters of text in a block.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Bytes of ids decoded at once.
-DECODE_BYTES = 4 << 20
+DECODE_BYTES = 2 << 20
 
 
 def squeeze(array: np.ndarray) -> bytes:

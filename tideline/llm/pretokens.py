@@ -116,15 +116,20 @@ def split(texts: list[str], kinds: Callable[[np.ndarray], np.ndarray] = regex_ki
     if not len(starts):
         return Pieces(ends, [], np.zeros(0, dtype=np.int64), per_text)
     length = ends - starts
-    place = (np.arange(len(chars)) - np.repeat(starts, length)) & 4095
-    key = np.add.reduceat(_weights()[place] * (chars + np.uint64(1)), starts)
-    del place
+    at = np.arange(len(chars), dtype=np.int32 if len(chars) < 1 << 31 else np.int64)
+    mixed = _weights()[(at - np.repeat(starts.astype(at.dtype), length)) & 4095]
+    np.multiply(mixed, chars, out=mixed)
+    key = np.add.reduceat(mixed, starts)
+    del mixed
     key ^= length.astype(np.uint64) << np.uint64(56)
     codes, _ = pd.factorize(key)
     lead = np.full(int(codes.max()) + 1, -1, dtype=np.int64)
     lead[codes[::-1]] = np.arange(len(codes))[::-1]
-    shift = np.repeat(starts[lead[codes]] - starts, length)
-    same = (length == length[lead[codes]]).all() and (chars == chars[np.arange(len(chars)) + shift]).all()
+    same = (length == length[lead[codes]]).all()
+    if same:
+        at += np.repeat((starts[lead[codes]] - starts).astype(at.dtype), length)
+        same = (chars == chars[at]).all()
+    del at
     if not same:  # two substrings with one hash: group by the strings themselves
         known: dict[str, int] = {}
         codes = np.fromiter((known.setdefault(joined[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts))
