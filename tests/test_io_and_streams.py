@@ -1,6 +1,9 @@
 """Files in, files out, and streams against batch."""
+import datetime
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline import views
@@ -106,3 +109,38 @@ def test_stream_baseline_matches_window(spark, tmp_path):
     at = {r.centre.timestamp(): r.base for r in rows}
     want = sum(i % 7 for i in range(200) if 0 <= i * 0.5 - 10.0 + 30 < 60) / sum(1 for i in range(200) if 0 <= i * 0.5 - 10.0 + 30 < 60)
     assert abs(at[10.0] - want) < 1e-9
+
+
+def _in_batches(spark, folder, rows, schema, cuts):
+    """A stream that reads ``rows`` in ``cuts`` micro-batches, in the order given."""
+    size = -(-len(rows) // cuts)
+    for i in range(cuts):
+        spark.createDataFrame(rows[i * size:(i + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(folder / "src"))
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "src"))
+
+
+@pytest.mark.parametrize("cuts", [1, 6])
+def test_packs_do_not_depend_on_batches_or_order(spark, tmp_path, cuts):
+    rnd = random.Random(5)
+    times = sorted(round(rnd.uniform(0, 900), 1) for _ in range(80)) + [9000.0]
+    arriving = sorted(((t + (rnd.uniform(0, 8) if t < 9000 else 0), i, t) for i, t in enumerate(times)))  # up to eight seconds late
+    rows = [(1, i, t, datetime.datetime.fromtimestamp(t, datetime.timezone.utc)) for _, i, t in arriving]
+    stream = _in_batches(spark, tmp_path, rows, "video_id long, seq long, t double, ts timestamp", cuts)
+    got = sorted((r.pack_at, r.kills) for r in live.run_to_table(live.burst_packs(stream), str(tmp_path / "out")).collect())
+    packs = []
+    for t in times[:-1]:
+        if packs and t - packs[-1][-1] <= 22 and t - packs[-1][0] <= 55 and len(packs[-1]) < 4:
+            packs[-1].append(t)
+        else:
+            packs.append([t])
+    assert got == [(p[0], len(p)) for p in packs]
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_supersession_does_not_depend_on_batches(spark, tmp_path, cuts):
+    rnd = random.Random(6)
+    rows = [(k, g) for k in range(3) for g in range(7)]
+    rnd.shuffle(rows)
+    stream = _in_batches(spark, tmp_path, rows, "key long, generation long", cuts)
+    out = live.run_to_table(live.with_supersession(stream), str(tmp_path / "out")).groupBy("key", "generation").agg(F.max("superseded").alias("s")).collect()
+    assert {(r.key, r.generation): r.s for r in out} == {(k, g): g < 6 for k, g in rows}

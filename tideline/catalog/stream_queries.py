@@ -53,9 +53,10 @@ def stream_job_state(spark, d):
 
 @query("stream_superseded", sql("""SELECT key, count(*) AS requests, count(*) FILTER (WHERE generation < newest) AS superseded FROM (SELECT user_id AS key, event_id AS generation, max(event_id) OVER (PARTITION BY user_id) AS newest FROM events) GROUP BY 1"""))
 def stream_superseded(spark, d):
-    """Requests replaced by a newer one of the same key; with one micro-batch per file all older ones are replaced."""
+    """Requests replaced by a newer one of the same key."""
     requests = _events(spark, d).select(F.col("video_id").alias("key"), F.col("seq").alias("generation"))
     rows = live.run_to_table(live.with_supersession(requests), _folder(spark))
+    rows = rows.groupBy("key", "generation").agg(F.max("superseded").alias("superseded"))
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if("superseded").alias("superseded"))
 
 

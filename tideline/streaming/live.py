@@ -50,46 +50,56 @@ def job_state(updates: DataFrame) -> DataFrame:
 
 
 def with_supersession(requests: DataFrame) -> DataFrame:
-    """Mark requests that a newer generation of the same key has replaced; state is one number per key."""
+    """Mark requests that a newer generation of the same key has replaced; state is the newest generation per key.
+
+    A row that was sent as current is sent again as superseded when a newer one comes, so the latest word on a request,
+    ``max(superseded)``, does not depend on how the input is cut into batches."""
     schema = "key bigint, generation bigint, superseded boolean"
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else -1
-        parts = list(batches)
-        newest = max([newest, *(int(p["generation"].max()) for p in parts)])
+        before = state.get[0] if state.exists else None
+        seen = [int(g) for p in batches for g in p["generation"]]
+        newest = max([*seen, *([before] if before is not None else [])])
         state.update((newest,))
-        for p in parts:
-            yield pd.DataFrame({"key": [key[0]] * len(p), "generation": p["generation"], "superseded": p["generation"] < newest})
+        again = [before] if before is not None and before < newest else []
+        yield pd.DataFrame({"key": [key[0]] * (len(seen) + len(again)), "generation": seen + again, "superseded": [g < newest for g in seen + again]})
 
     return requests.groupBy("key").applyInPandasWithState(judge, schema, "newest bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def burst_packs(events: DataFrame, gap: float = 22.0, span: float = 55.0, most: int = 4, delay: str = DETECTION_DELAY) -> DataFrame:
-    """Packs limited by gap, span and count. State per recording is the open pack; it is emitted when the next event
-    starts a new one or when the watermark passes its gap. Events must carry ``t`` (seconds) beside ``ts``."""
+    """Packs limited by gap, span and count. Events carry ``t``, the seconds of ``ts``.
+
+    State per recording is the open pack and the events that the watermark has not passed: those may still be preceded by
+    late ones, so they are packed in order of time once it has. A pack is sent when the next event starts a new one or the
+    watermark passes its gap."""
     out = "video_id bigint, pack_at double, kills int, last_at double"
 
     def pack(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            first, last, n = state.get
-            state.remove()
-            yield pd.DataFrame({"video_id": [key[0]], "pack_at": [first], "kills": [n], "last_at": [last]})
-            return
-        current = list(state.get) if state.exists else None
+        first, last, n, waiting = state.get if state.exists else (0.0, 0.0, 0, [])
+        waiting = sorted([*waiting, *(float(t) for p in batches for t in p["t"])] if not state.hasTimedOut else waiting)
+        passed = state.getCurrentWatermarkMs() / 1000
         closed = []
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        for t in rows["t"]:
-            if current and t - current[1] <= gap and t - current[0] <= span and current[2] < most:
-                current[1], current[2] = t, current[2] + 1
+        for t in [t for t in waiting if t <= passed]:
+            if n and t - last <= gap and t - first <= span and n < most:
+                last, n = t, n + 1
             else:
-                if current:
-                    closed.append(current)
-                current = [t, t, 1]
-        state.update(tuple(current))
-        state.setTimeoutTimestamp(max(int((current[1] + gap) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+                if n:
+                    closed.append((first, last, n))
+                first, last, n = t, t, 1
+        waiting = [t for t in waiting if t > passed]
+        if n and passed > last + gap:
+            closed.append((first, last, n))
+            n = 0
+        if n or waiting:
+            state.update((first, last, n, waiting))
+            due = min([*([last + gap] if n else []), *waiting[:1]])
+            state.setTimeoutTimestamp(max(int(due * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"video_id": [key[0]] * len(closed), "pack_at": [c[0] for c in closed], "kills": [c[2] for c in closed], "last_at": [c[1] for c in closed]})
 
-    return events.withWatermark("ts", delay).groupBy("video_id").applyInPandasWithState(pack, out, "first double, last double, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("ts", delay).groupBy("video_id").applyInPandasWithState(pack, out, "first double, last double, n int, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def words_in_clips(words: DataFrame, clips: DataFrame, late: str = "1 hour") -> DataFrame:
