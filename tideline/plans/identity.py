@@ -93,17 +93,23 @@ def read_feed(ocr: DataFrame) -> DataFrame:
 
 
 def same_reading(threshold: float = FEED_RATIO) -> Column:
-    """Whether the readings in columns ``a_*`` and ``b_*`` describe the same feed line."""
-    col = lambda side, f: nz(F.col(f"{side}_{f}"), "")
-    like = lambda x, y: (F.length(x) > 0) & (F.length(y) > 0) & (name_ratio(x, y) >= threshold)
-    part_full = lambda p, f: (F.length(col(p, "killer")) >= 3) & (like(col(p, "killer"), col(f, "killer")) | like(col(p, "killer"), col(f, "victim")))
-    three = lambda *cs: F.array_min(F.array(*[F.length(c) for c in cs])) >= 3
-    named = three(col("a", "killer"), col("b", "killer"), col("a", "victim"), col("b", "victim")) & like(col("a", "killer"), col("b", "killer")) & like(col("a", "victim"), col("b", "victim"))
-    assist = (col("a", "assist") == "") | (col("b", "assist") == "") | (name_ratio(col("a", "assist"), col("b", "assist")) >= threshold)
+    """Whether the readings in columns ``a_*`` and ``b_*`` describe the same feed line. Pairs that the length bound rules
+    out are dropped by built-in functions; the rule itself runs once per remaining pair."""
+    col = lambda side, f: nz(F.col(f"{side}_{f}"), "")
+    may = lambda x, y: (F.length(x) > 0) & (F.length(y) > 0) & (2 * F.least(F.length(x), F.length(y)) >= threshold * (F.length(x) + F.length(y)))
+    part_full = lambda p, f: may(col(p, "killer"), col(f, "killer")) | may(col(p, "killer"), col(f, "victim"))
     ap, bp = F.col("a_partial"), F.col("b_partial")
-    return (F.when(ap & ~bp, part_full("a", "b")).when(bp & ~ap, part_full("b", "a"))
-            .when(ap & bp, three(col("a", "killer"), col("b", "killer")) & like(col("a", "killer"), col("b", "killer")))
-            .otherwise(like(col("a", "key"), col("b", "key")) | (named & assist)))
+    possible = (F.when(ap & ~bp, part_full("a", "b")).when(bp & ~ap, part_full("b", "a")).when(ap & bp, may(col("a", "killer"), col("b", "killer")))
+                .otherwise(may(col("a", "key"), col("b", "key")) | (may(col("a", "killer"), col("b", "killer")) & may(col("a", "victim"), col("b", "victim")))))
+    fields = ("killer", "assist", "victim", "partial", "key")
+
+    @F.pandas_udf("boolean")
+    def same(sides: pd.DataFrame) -> pd.Series:
+        sides = [[dict(zip(fields, row)) for row in zip(*(sides[f"{x}_{f}"] for f in fields))] for x in "ab"]
+        return pd.Series([_same(a, b, threshold) for a, b in zip(*sides)], dtype="boolean")
+
+    both = F.struct(*[(col(x, f) if f != "partial" else F.col(f"{x}_partial")).alias(f"{x}_{f}") for x in "ab" for f in fields])
+    return possible & same(both)
 
 
 def _side(prefix: str) -> list[Column]:
@@ -121,7 +127,7 @@ def backward_anchors(seeds: DataFrame, reads: DataFrame) -> DataFrame:
     pairs = band_join(s, r, KEY, F.col("seed_t"), F.col("read_t"), BACK_MOST, 0.0)
     step = F.round((F.col("seed_t") - F.col("read_t")) / BACK_STEP)
     on_grid = F.abs(F.col("seed_t") - F.col("read_t") - step * BACK_STEP) < 1e-6
-    pairs = pairs.filter(on_grid & (F.col("read_t") >= SPAWN_CUTOFF)).withColumn("_same", same_reading()).filter("_same")
+    pairs = pairs.filter(on_grid & (F.col("read_t") >= SPAWN_CUTOFF)).filter(same_reading())
     steps = pairs.groupBy(*KEY, "seq", "seed_t").agg(F.sort_array(F.collect_set(F.struct(step.cast("int").alias("i"), F.col("read_c").alias("c")))).alias("_s"))
     begin = F.struct(F.lit(-1).alias("at"), F.lit(0.5).alias("best"), F.lit(True).alias("go"))
 
@@ -142,7 +148,7 @@ def _close(a: str, b: str, threshold: float) -> bool:
 
 
 def _same(a: dict, b: dict, threshold: float) -> bool:
-    """The reading rule on two plain records, for the carried state."""
+    """The reading rule on two plain records."""
     if a["partial"] != b["partial"]:
         part, full = (a, b) if a["partial"] else (b, a)
         return len(part["killer"]) >= 3 and any(_close(part["killer"], full[f], threshold) for f in ("killer", "victim"))
