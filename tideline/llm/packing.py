@@ -27,11 +27,13 @@ CAPACITY, END_ID = 1024, 2
 STEPS = 400
 #: Pieces of one length are ranked in groups of about so many rows; at least LEAST_SALTS groups.
 RANK_ROWS, LEAST_SALTS = 100_000, 64
+#: Pre-tokens whose ids a task remembers, and characters of text that it has in hand at once.
+CACHE, PIECE = 120_000, 1 << 20
 
 
 @functools.lru_cache(2)
 def _ids(path: str) -> WordTable:
-    return WordTable(functools.partial(encode_words, path), np.uint32)
+    return WordTable(functools.partial(encode_words, path), np.uint32, CACHE)
 
 
 def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -44,7 +46,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, done = batch.column(0), 0
-            for texts in pieces(t.as_py() for t in batch.column(1)):
+            for texts in pieces((t.as_py() for t in batch.column(1)), PIECE):
                 ids, counts = encode_texts(texts, path, _ids(path))
                 owner, rows, blobs = [], [], []
                 for k, own in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
