@@ -22,13 +22,15 @@ SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64 << 20
 #: Rows of the embedding table, their width, n-gram lengths in bytes; training steps, rows of a step (an eighth at most) and rate.
 ROWS, WIDTH, GRAMS = 1 << 18, 2, (3, 4, 5)
 STEPS, BATCH, RATE = 400, 512, 0.1
+#: Shrinkage of the embeddings per step and unit of the rate.
+DECAY = 1.0
 #: Logits per unit of an averaged embedding and of the bias: one telling word among hundreds has to be able to decide.
 SCALE, BIAS_SCALE = 50.0, 5.0
 #: Weight of all toxic rows together: a single telling word in a long text should still reach the strict threshold.
-TOXIC_SHARE = 0.75
+TOXIC_SHARE = 0.85
 THRESHOLD = 0.7
 #: Words whose numbers a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MULTIPLIERS = np.cumprod(np.full(max(GRAMS), 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 
@@ -68,6 +70,13 @@ def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (codes[order] >> np.uint64(40)).astype(np.int64) % ROWS, np.cumsum(counts) - counts
 
 
+def all_subwords(vocabulary: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words, some at a time so that working arrays stay small."""
+    parts = [subwords(vocabulary[at:at + step]) for at in range(0, len(vocabulary), step)]
+    sizes = np.concatenate([np.diff(np.append(starts, len(rows))) for rows, starts in parts])
+    return np.concatenate([rows.astype(np.int32) for rows, _ in parts]), np.cumsum(sizes) - sizes
+
+
 @dataclass(frozen=True)
 class Toxicity:
     """Log odds that each embedding row adds, and those of an empty text."""
@@ -75,7 +84,7 @@ class Toxicity:
     bias: float
 
     def word_values(self, vocabulary: list[bytes]) -> np.ndarray:
-        at, starts = subwords(vocabulary)
+        at, starts = all_subwords(vocabulary)
         return np.add.reduceat(self.rows[at], starts) / np.diff(np.append(starts, len(at)))
 
 
@@ -97,13 +106,14 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Log odds per embedding row and those of no word, from Adam steps on the cross entropy of batches; label 1 weighs TOXIC_SHARE of all."""
     known: dict[bytes, int] = {}
-    bags = [np.fromiter((known.setdefault(w, len(known)) for w in set(words(t))), dtype=np.int64) for t in texts]
+    bags = [np.fromiter((known.setdefault(w, len(known)) for w in dict.fromkeys(words(t))), dtype=np.int32) for t in texts]
     keep = np.array([len(b) > 0 for b in bags], dtype=bool)
     y, bags = np.asarray(labels)[keep].astype(np.float32), [b for b in bags if len(b)]
     if not len(y) or y.min() == y.max():
         share = float(np.clip(np.mean(labels) if len(labels) else 0.5, 0.01, 0.99))
         return np.zeros(ROWS, dtype=np.float32), float(np.log(share / (1 - share)))
-    subs, starts = subwords(list(known))
+    subs, starts = all_subwords(list(known))
+    del known
     sizes = np.diff(np.append(starts, len(subs)))
     doc_words, doc_sizes = np.concatenate(bags), np.array([len(b) for b in bags])
     doc_starts = np.cumsum(doc_sizes) - doc_sizes
@@ -128,6 +138,8 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
         for k, g in grads.items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
+            if k == "E":
+                params[k] *= np.float32(1 - rate * DECAY)
             params[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     turn = SCALE * (params["W"][:, 1] - params["W"][:, 0])
     return (params["E"] @ turn).astype(np.float32), float(BIAS_SCALE * (params["b"][1] - params["b"][0]))
