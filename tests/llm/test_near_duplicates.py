@@ -154,3 +154,62 @@ def test_query_columns(spark):
     got = QUERIES["op6_embedding_dedup"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert got.filter(F.col("kept") != (F.col("vec_id") == F.col("component_id"))).count() == 0
+
+
+def slow_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def survivors(rows, least=0.8):
+    """Smallest ids of the groups that links of five-word Jaccard ``least`` join, over all pairs."""
+    sets = [slow_shingles(t) for _, t in rows]
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= least
+    label = groups_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(label[k], []).append(i)
+    return sorted(map(min, groups.values()))
+
+
+def edited(rng, changes):
+    """A text and a copy of it with ``changes`` words replaced."""
+    words = [f"w{rng.randrange(100_000)}" for _ in range(rng.randint(150, 600))]
+    other = list(words)
+    for at in rng.sample(range(len(words)), max(1, round(changes * len(words)))):
+        other[at] = f"x{rng.randrange(100_000)}"
+    return " ".join(words), " ".join(other)
+
+
+def test_pipeline_leaves_what_all_pairs_leave(spark):
+    """Pairs of similarity 0.65 to 0.98, a large group around one text, a chain, short and empty texts."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [t for k in range(150) for t in edited(rng, [0.005, 0.01, 0.018, 0.022, 0.03][k % 5])]
+    base = edited(rng, 0)[0].split()
+    for _ in range(80):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), 3):
+            copy[at] = f"y{rng.randrange(1000)}"
+        texts.append(" ".join(copy))
+    chain = [f"c{k}" for k in range(240)]
+    texts += [" ".join(chain[k:k + 200]) for k in range(0, 40, 8)] + ["one two", "One  Two", "one three", "", None, " \n", texts[0].upper()]
+    rows = list(zip(rng.sample(range(10_000), len(texts)), texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.drop_near_copies(spark, docs.repartition(5), "")
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == survivors(rows)
+
+
+def test_bands_meet_at_the_least_similarity():
+    """Sets of similarity 0.8 agree in a band as often as the formula says."""
+    from tideline.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(1500):
+        own = rng.integers(0, 1 << 63, 360, dtype=np.uint64)
+        a, b = own[:324], np.concatenate([own[:288], own[324:]])  # 288 of 360
+        met += (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+    assert met >= 1494
