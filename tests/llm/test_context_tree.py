@@ -103,6 +103,27 @@ def test_scores_equal_the_slow_tree(spark, small, block_bytes):
     check(spark, small, block_bytes)
 
 
+def test_scores_do_not_depend_on_cells(spark, small, monkeypatch):
+    """Borders through nearly every context, and none."""
+    for cells in (300, 1):
+        monkeypatch.setattr(ct, "_plan", lambda docs, text_col, buckets, cell, n=cells: (3, ct.borders(np.unique(ct.grams(*ct.stream([model_text(t).split() for _, t, *_ in small]))), n)))
+        check(spark, small, 30)
+
+
+def test_a_crowded_context_is_cut():
+    """All grams end in the same two context bytes; no cell has more than a small share of them."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 100_000, dtype=np.uint64)) | np.uint64(0x2061 << 32)
+    parts = np.diff(np.concatenate([[0], np.searchsorted(keys, ct.borders(keys, 50)), [len(keys)]]))
+    assert len(parts) == 50 and parts.max() < 1.1 * len(keys) / 50
+
+
+def test_cells_follow_the_input(spark):
+    rows = [(i, " ".join(f"w{i * k % 997}" for k in range(1, 60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    few, many = (ct._plan(docs, "text", 4, cell) for cell in (10**9, 200))
+    assert few[0] == 4 and len(few[1]) == 3 and many[0] > 4 and len(many[1]) > 30
+
+
 def test_chances_sum_to_one(spark, small):
     tree = SlowTree([model_text(t) for _, t, *_ in small])
     raw = [model_text(t).strip() for _, t, *_ in small]

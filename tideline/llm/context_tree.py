@@ -6,8 +6,11 @@ and half the product of its children's, so all depths are mixed by how well they
 depends on it and the ``DEPTH`` bytes before it only. So blocks of texts send their distinct byte strings of that length to
 Spark, which sums them, weighs the trees and sends back one number per string; a text's score is the sum over its bytes.
 
-The nodes of contexts with the same last two bytes lie in one task; above them are at most 256 x 255 nodes, which is the bound
-of what the driver sees. Words and their counts take the same way for the unigram base score.
+Strings sorted from their last context byte backwards follow the tree, so they are cut into cells: ranges of about ``CELL``
+strings of blocks each, more of them the longer the input is, at borders taken from a sample of texts. A frequent context is
+cut like any other. Nodes that a border may cut, at most one per border, depth and decision path, are summed by Spark and
+weighed on the driver; all others lie in one cell. Words and their counts go to as many buckets as their number asks for, for
+the unigram base score.
 
 The model's text is the lower-cased words, a space after each but the last, then a line end; contexts before the text are line
 ends. Blocks are numbered by task and order, and written once.
@@ -34,8 +37,10 @@ from tideline.llm.common import pieces, stash
 DEPTH = 5
 #: Bytes of text in a block, and texts: a text's number has 16 bits beside a gram's 48.
 BLOCK, BLOCK_TEXTS = 4 << 20, 1 << 16
-#: Context depth whose subtrees stay together.
-TOP = 2
+#: Strings, or words, of blocks that one task sums at once, as far as the sample tells.
+CELL = 2_000_000
+#: Texts of the sample that borders are taken from, and characters of each; no result depends on them.
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -76,98 +81,97 @@ def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-class Subtrees:
-    """The nodes at depths TOP to DEPTH of all contexts that sorted grams have, with counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        symbol = keys & np.uint64(255)
-        self.place: list[list[np.ndarray]] = []  # [decision][depth - TOP]: node of each gram
-        self.own: list[list[np.ndarray]] = []  # log estimate of each node
-        self.below: list[list[np.ndarray]] = []  # sum over a node's children of their log weighted probability
-        self.chance: list[list[np.ndarray]] = []  # probability of a one at each node
-        self.top: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # nodes at depth TOP: number, zeros, ones, weighted
-        self.bits = [(symbol >> np.uint64(7 - k)) & np.uint64(1) for k in range(8)]
-        for k in range(8):
-            path = (symbol >> np.uint64(8 - k)) | np.uint64(1 << k)
-            places, owns, belows, chances = [], [], [], []
-            node_of = weighted = nodes = zeros = ones = None
-            for depth in range(DEPTH, TOP - 1, -1):
-                context = keys >> np.uint64(8 * (DEPTH + 1 - depth))
-                number = (context << np.uint64(8)) | path
-                before = node_of
-                codes, nodes = pd.factorize(number)
-                node_of = codes
-                ones = np.bincount(codes, weights=counts * self.bits[k], minlength=len(nodes))
-                zeros = np.bincount(codes, weights=counts, minlength=len(nodes)) - ones
-                own = estimate(zeros, ones)
-                if before is None:
-                    below, weighted_new = np.zeros(len(nodes)), own
-                else:
-                    parent = np.zeros(len(weighted), dtype=np.int64)
-                    parent[before] = codes
-                    below = np.bincount(parent, weights=weighted, minlength=len(nodes))
-                    weighted_new = np.logaddexp(own, below) - np.log(2)
-                weighted = weighted_new
-                places.insert(0, codes)
-                owns.insert(0, own)
-                belows.insert(0, below)
-                chances.insert(0, (ones + 0.5) / (zeros + ones + 1))
-            self.place.append(places)
-            self.own.append(owns)
-            self.below.append(belows)
-            self.chance.append(chances)
-            self.top.append((nodes, zeros, ones, weighted))
-
-    def chance_of_one(self, k: int) -> np.ndarray:
-        """Mixed probability of a one at decision ``k`` from depth TOP down, for each gram."""
-        mixed = self.chance[k][-1][self.place[k][-1]]
-        for level in range(DEPTH - TOP - 1, -1, -1):
-            node = self.place[k][level]
-            mixed = mix(self.own[k][level][node], self.below[k][level][node], self.chance[k][level][node], mixed)
-        return mixed
-
-
-def mix(own: np.ndarray, below: np.ndarray, chance: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-    """A node's own chance and the deeper one, weighed by how well either coded the training texts."""
-    weight = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-    return weight * chance + (1 - weight) * deeper
-
-
-class TopNodes:
-    """The nodes at depths 0 and 1: arrays by last byte (0 to 255, and 256 for depth 0) and decision path (1 to 255)."""
-
-    def __init__(self, rows: list[tuple[int, int, float, float, float]]):
-        zeros, ones, below = (np.zeros((257, 256)) for _ in range(3))
-        for last, path, n0, n1, weighted in rows:
-            zeros[last, path], ones[last, path], below[last, path] = n0, n1, weighted
-        zeros[256], ones[256] = zeros[:256].sum(axis=0), ones[:256].sum(axis=0)
-        self.own, self.chance = estimate(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
-        below[256] = (np.logaddexp(self.own[:256], below[:256]) - np.log(2)).sum(axis=0)
-        self.below = below
-
-    def log10(self, keys: np.ndarray, trees: Subtrees) -> np.ndarray:
-        """Log10 probability of each gram's byte after its context."""
-        symbol = (keys & np.uint64(255)).astype(np.int64)
-        last = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
-        total = np.zeros(len(keys))
-        for k in range(8):
-            path, chance = (symbol >> (8 - k)) | (1 << k), trees.chance_of_one(k)
-            for row in (last, 256):
-                chance = mix(self.own[row, path], self.below[row, path], self.chance[row, path], chance)
-            total += np.log10(np.where(trees.bits[k] == 1, chance, 1 - chance))
-        return total
-
-
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Grams with the same last two bytes share a bucket."""
-    mixed = (keys >> np.uint64(8 * (DEPTH + 1 - TOP))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted grams within the order of buckets, and each bucket's part."""
-    to = _bucket_of(keys, buckets)
-    return np.argsort(to, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(to, minlength=buckets))])
+def borders(keys: np.ndarray, cells: int) -> np.ndarray:
+    """Where sorted grams are cut into ``cells`` parts of about the same size. A whole context of DEPTH bytes stays in one part."""
+    if not len(keys):
+        return keys
+    at = keys[np.arange(1, cells) * len(keys) // cells] >> np.uint64(8) << np.uint64(8)
+    return np.unique(at[at > keys[0]])
+
+
+def _cut(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each cell's part of sorted grams begins, and the end."""
+    return np.concatenate([[0], np.searchsorted(keys, ends), [len(keys)]])
+
+
+class Shared:
+    """Nodes of the contexts that a border between cells may cut, at depths 0 to DEPTH - 1: arrays by context and decision path."""
+
+    def __init__(self, ends: np.ndarray):
+        self.contexts = [np.unique(ends >> np.uint64(8 * (DEPTH + 1 - depth))) for depth in range(DEPTH)]
+        self.weight, self.chance = ([np.zeros((len(c), 256)) for c in self.contexts] for _ in range(2))
+
+    def find(self, depth: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of a depth's nodes are shared ones, and their rows and paths."""
+        if depth == DEPTH or not len(self.contexts[depth]):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        context = number >> np.uint64(8)
+        row = np.minimum(np.searchsorted(self.contexts[depth], context), len(self.contexts[depth]) - 1)
+        here = np.flatnonzero(self.contexts[depth][row] == context)
+        return here, row[here], (number[here] & np.uint64(255)).astype(np.int64)
+
+    def fill(self, rows: list[tuple[int, int, int, float, float, float]]) -> None:
+        """From all cells' sums (depth, context, path, zeros, ones, log weighted probability of children that are not shared)."""
+        zeros, ones, below = ([np.zeros(w.shape) for w in self.weight] for _ in range(3))
+        for depth, context, path, n0, n1, weighted in rows:
+            row = np.searchsorted(self.contexts[depth], np.uint64(context))
+            zeros[depth][row, path], ones[depth][row, path], below[depth][row, path] = n0, n1, weighted
+        for depth in range(DEPTH - 1, -1, -1):
+            own = estimate(zeros[depth], ones[depth])
+            self.chance[depth] = (ones[depth] + 0.5) / (zeros[depth] + ones[depth] + 1)
+            self.weight[depth] = own_weight(own, below[depth])
+            if depth:
+                up = np.searchsorted(self.contexts[depth - 1], self.contexts[depth] >> np.uint64(8))
+                np.add.at(below[depth - 1], up, np.logaddexp(own, below[depth]) - np.log(2))
+
+
+def own_weight(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Weight of a node's own chance against the deeper one: how well either coded the training texts."""
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+
+def decision(keys: np.ndarray, counts: np.ndarray, k: int, shared: Shared):
+    """Nodes of decision ``k`` for a cell's sorted distinct grams.
+
+    The node of each gram at depth DEPTH; then per depth, DEPTH to 0: node numbers (context, path), zeros, ones, log own
+    estimate, sum over children that are not shared of their log weighted probability, and each node's parent."""
+    symbol = keys & np.uint64(255)
+    number = (keys >> np.uint64(8) << np.uint64(8)) | (symbol >> np.uint64(8 - k)) | np.uint64(1 << k)
+    new = np.append(True, number[1:] != number[:-1])
+    first = np.flatnonzero(new)
+    ones = np.add.reduceat(counts * ((symbol >> np.uint64(7 - k)) & np.uint64(1)), first)
+    zeros, number = np.add.reduceat(counts, first) - ones, number[first]
+    below, levels = np.zeros(len(first)), []
+    for depth in range(DEPTH, -1, -1):
+        own = estimate(zeros, ones)
+        weighted = own if depth == DEPTH else np.logaddexp(own, below) - np.log(2)
+        weighted[shared.find(depth, number)[0]] = 0
+        up, parents = pd.factorize((number >> np.uint64(16) << np.uint64(8)) | (number & np.uint64(255)))
+        levels.append((depth, number, zeros, ones, own, below, up))
+        if depth:
+            zeros, ones, below = (np.bincount(up, weights=x, minlength=len(parents)) for x in (zeros, ones, weighted))
+            number = parents
+    return np.cumsum(new) - 1, levels
+
+
+def log10_costs(keys: np.ndarray, counts: np.ndarray, shared: Shared) -> np.ndarray:
+    """Log10 probability of the byte of each of a cell's sorted distinct grams after its context; one decision is in hand at a time."""
+    total = np.zeros(len(keys))
+    for k in range(8):
+        place, levels = decision(keys, counts, k, shared)
+        node = mixed = None
+        for depth, number, zeros, ones, own, below, up in levels:
+            chance = (ones + 0.5) / (zeros + ones + 1)
+            if mixed is None:
+                mixed, node = chance, up
+                continue
+            weight = own_weight(own, below)
+            here, row, path = shared.find(depth, number)
+            weight[here], chance[here] = shared.weight[depth][row, path], shared.chance[depth][row, path]
+            mixed = weight[node] * chance[node] + (1 - weight[node]) * mixed
+            node = up[node]
+        total += np.log10(np.where((keys >> np.uint64(7 - k)) & np.uint64(1) == 1, mixed[place], 1 - mixed[place]))
+    return total
 
 
 ROW = "kind string, bucket int, block bigint, keys binary, counts binary, texts binary, ids array<bigint>, folds binary"
@@ -178,8 +182,8 @@ def _vocabulary(words: list[list[bytes]]) -> list[bytes]:
     return list(dict.fromkeys(chain.from_iterable(words)))
 
 
-def _blocks(buckets: int, block_bytes: int):
-    """Per block a row with its texts and, per bucket, rows of its words and grams with their counts in training texts."""
+def _blocks(buckets: int, ends: np.ndarray, block_bytes: int):
+    """Per block a row with its texts, and rows of its words per bucket and of its grams per cell, with their counts in training texts."""
 
     def row(kind: str, bucket: int, block: int, **rest):
         return {"kind": kind, "bucket": bucket, "block": block, "keys": None, "counts": None, "texts": None, "ids": None, "folds": None} | rest
@@ -207,11 +211,10 @@ def _blocks(buckets: int, block_bytes: int):
                 taught, times = runs(np.sort(codes[trained]))
                 counts = np.zeros(len(keys), dtype=np.uint32)
                 counts[np.searchsorted(keys, taught)] = times
-                order, ends = _by_bucket(keys, buckets)
-                keys, counts = keys[order], counts[order]
-                for bucket in np.flatnonzero(np.diff(ends)).tolist():
-                    part = slice(ends[bucket], ends[bucket + 1])
-                    rows.append(row("grams", bucket, block, keys=squeeze(np.diff(keys[part], prepend=np.uint64(0))), counts=squeeze(counts[part])))
+                parts = _cut(keys, ends)
+                for cell in np.flatnonzero(np.diff(parts)).tolist():
+                    part = slice(parts[cell], parts[cell + 1])
+                    rows.append(row("grams", cell, block, keys=squeeze(np.diff(keys[part], prepend=np.uint64(0))), counts=squeeze(counts[part])))
                 joined = zstandard.compress(b"\n".join(b" ".join(own) for own in words), 3)
                 rows.append(row("texts", zlib.crc32(str(block).encode()) % buckets, block, texts=joined, ids=batch.column(0).slice(done, len(texts)).to_pylist(), folds=learn.tobytes()))
                 done += len(texts)
@@ -225,34 +228,40 @@ _ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa
 
 
 def _gather(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each row's grams, and all distinct ones with their counts summed."""
+    """Each row's grams, and all distinct ones, sorted, with their counts summed."""
     each = [np.cumsum(unsqueeze(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]
     counts = np.concatenate([unsqueeze(c, np.uint32) for c in rows["counts"].to_pylist()]).astype(np.float64)
     codes, keys = pd.factorize(np.concatenate(each))
-    return each, keys, np.bincount(codes, weights=counts, minlength=len(keys))
+    sums, order = np.bincount(codes, weights=counts, minlength=len(keys)), np.argsort(keys)
+    return each, keys[order], sums[order]
+
 
+SHARED_ROW = "depth int, context bigint, path int, zeros double, ones double, weighted double"
 
-def _top(rows: pa.Table) -> pa.Table:
-    """Nodes at depth TOP of one bucket, summed by last byte: their counts and log weighted probabilities."""
-    _, keys, counts = _gather(rows)
-    last, path, zeros, ones, weighted = [], [], [], [], []
-    for nodes, n0, n1, w in Subtrees(keys, counts).top:
-        codes, parents = pd.factorize((nodes >> np.uint64(16) << np.uint64(8)) | (nodes & np.uint64(255)))
-        last.append((parents >> np.uint64(8)).astype(np.int64))
-        path.append((parents & np.uint64(255)).astype(np.int64))
-        for out, x in ((zeros, n0), (ones, n1), (weighted, w)):
-            out.append(np.bincount(codes, weights=x, minlength=len(parents)))
-    columns = [np.concatenate(x) for x in (last, path, zeros, ones, weighted)]
-    return pa.table(dict(zip(("last", "path", "zeros", "ones", "weighted"), columns, strict=True)))
 
+def _sum_shared(shared: Shared):
+    """A cell's part of the nodes that borders may cut."""
+
+    def sums(rows: pa.Table) -> pa.Table:
+        _, keys, counts = _gather(rows)
+        out = [[np.zeros(0, t) for t in (np.int32, np.int64, np.int32, float, float, float)]]
+        for k in range(8):
+            for depth, number, zeros, ones, _, below, _ in decision(keys, counts, k, shared)[1]:
+                here, row, path = shared.find(depth, number)
+                if len(here):
+                    out.append([np.full(len(here), depth, np.int32), shared.contexts[depth][row].astype(np.int64), path.astype(np.int32), zeros[here], ones[here], below[here]])
+        return pa.table(dict(zip(("depth", "context", "path", "zeros", "ones", "weighted"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return sums
+
+
+def _score_grams(shared):
+    """Costs of each row's grams; ``shared`` is broadcast."""
 
-def _score_grams(top: TopNodes):
     def score(rows: pa.Table) -> pa.Table:
         each, keys, counts = _gather(rows)
-        costs = top.log10(keys, Subtrees(keys, counts)).astype(np.float32)
-        order = np.argsort(keys)
-        keys, costs = keys[order], costs[order]
-        out = [{"block": block, "kind": "grams", "bucket": bucket, "numbers": squeeze(costs[np.searchsorted(keys, own)])} for block, bucket, own in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), each, strict=True)]
+        costs = log10_costs(keys, counts, shared.value).astype(np.float32)
+        out = [{"block": block, "kind": "grams", "bucket": cell, "numbers": squeeze(costs[np.searchsorted(keys, own)])} for block, cell, own in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), each, strict=True)]
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
     return score
@@ -271,7 +280,7 @@ def _count_words(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
-def _assemble(buckets: int, ends: int, types: int, tokens: int):
+def _assemble(buckets: int, borders_: np.ndarray, ends: int, types: int, tokens: int):
     """Scores of a block's texts from the numbers of its words and grams."""
 
     def score(rows: pa.Table) -> pa.Table:
@@ -291,9 +300,8 @@ def _assemble(buckets: int, ends: int, types: int, tokens: int):
         # Grams and the texts they are in, sorted as one number.
         both = np.sort(grams(raw, scored) << np.uint64(16) | np.repeat(np.arange(len(words), dtype=np.uint64), sizes))
         keys, times = runs(both >> np.uint64(16))
-        order, parts = _by_bucket(keys, buckets)
-        costs = np.empty(len(keys))
-        costs[order] = np.concatenate([unsqueeze(found["grams", b]["numbers"], np.float32) for b in np.flatnonzero(np.diff(parts)).tolist()])
+        parts = _cut(keys, borders_)
+        costs = np.concatenate([unsqueeze(found["grams", b]["numbers"], np.float32) for b in np.flatnonzero(np.diff(parts)).tolist()])
         sums = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=np.repeat(costs, times), minlength=len(words))
         owner = np.repeat(np.arange(len(words)), n_words)
         bottom = np.log10(tokens + types + 1)
@@ -306,7 +314,21 @@ def _assemble(buckets: int, ends: int, types: int, tokens: int):
     return score
 
 
-def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+def _plan(docs: DataFrame, text_col: str, buckets: int, cell: int) -> tuple[int, np.ndarray]:
+    """Buckets of words and borders of cells, from the number of bytes and a sample of texts."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text) + 1)).first()
+    if not n:
+        return buckets, np.zeros(0, dtype=np.uint64)
+    sample = docs.select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).filter(F.rand(7) < SAMPLE / n).limit(2 * SAMPLE).collect()
+    words = [r["text"].encode("utf-8", "surrogatepass").lower().split() for r in sample]
+    codes = np.sort(grams(*stream(words))) if words else np.zeros(0, dtype=np.uint64)
+    keys, _ = runs(codes)
+    need = lambda found: max(buckets, -(-int(size * found / max(len(codes), 1)) // cell))
+    return need(len(_vocabulary(words))), borders(keys, need(len(keys)))
+
+
+def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, cell: int = CELL) -> DataFrame:
     """Scores of all rows, by a model of those for which ``learn`` holds.
 
     Columns: the id, learned, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text)
@@ -315,22 +337,24 @@ def score_texts(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_
     an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stash(docs.select(F.col(id_col).cast("bigint"), F.coalesce(learn, F.lit(False)), F.col(text_col).cast("string")).mapInArrow(_blocks(buckets, block_bytes), ROW))
+    buckets, ends = _plan(docs, text_col, int(spark.conf.get("spark.sql.shuffle.partitions")), cell)
+    rows = stash(docs.select(F.col(id_col).cast("bigint"), F.coalesce(learn, F.lit(False)), F.col(text_col).cast("string")).mapInArrow(_blocks(buckets, ends, block_bytes), ROW))
     words, strings = rows.filter("kind = 'words'").select("bucket", "block", "keys", "counts"), rows.filter("kind = 'grams'").select("bucket", "block", "keys", "counts")
-    tops = strings.groupBy("bucket").applyInArrow(_top, "last bigint, path bigint, zeros double, ones double, weighted double")
-    summed = tops.groupBy("last", "path").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()  # at most 256 x 255 rows
-    top = TopNodes([tuple(r) for r in summed])
+    shared = Shared(ends)
+    if len(ends):
+        parts = strings.groupBy("bucket").applyInArrow(_sum_shared(shared), SHARED_ROW)
+        shared.fill(parts.groupBy("depth", "context", "path").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect())  # 5 x 255 rows per border at most
+    shared = spark.sparkContext.broadcast(shared)
     answer = "block bigint, kind string, bucket int, numbers binary"
     counted = stash(words.groupBy("bucket").applyInArrow(_count_words, answer))
     sums = [np.frombuffer(r["numbers"], dtype=np.int64) for r in counted.filter("kind = 'sums'").select("numbers").collect()]  # one row per bucket
     texts = rows.filter("kind = 'texts'").select("block", "kind", "bucket", "texts", "ids", "folds")
     learned = docs.filter(learn).count()
     types, tokens = int(sum(s[0] for s in sums)) + (learned > 0), int(sum(s[1] for s in sums)) + learned
-    scored = strings.groupBy("bucket").applyInArrow(_score_grams(top), answer)
+    scored = strings.groupBy("bucket").applyInArrow(_score_grams(shared), answer)
     met = counted.filter("kind = 'words'").unionByName(scored).unionByName(texts, allowMissingColumns=True)
-    out = met.groupBy("block").applyInArrow(_assemble(buckets, learned, types, tokens), "id bigint, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
+    out = met.groupBy("block").applyInArrow(_assemble(buckets, ends, learned, types, tokens), "id bigint, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
     return out.withColumnRenamed("id", id_col)
 
 
-__all__ = ["DEPTH", "Subtrees", "TopNodes", "estimate", "grams", "ragged", "score_texts", "stream"]
+__all__ = ["DEPTH", "Shared", "borders", "estimate", "grams", "ragged", "score_texts", "stream"]
