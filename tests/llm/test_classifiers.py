@@ -132,3 +132,23 @@ def test_same_text_same_score(docs, labels):
     twice = toxicity.score_toxicity(docs.select((F.lit(1)).alias("doc_id"), "text"), model)
     both = docs.select("text", toxicity.toxicity_score(F.col("text"), model).alias("s")).groupBy("text").agg((F.max("s") - F.min("s")).alias("gap"))
     assert both.filter("gap > 1e-9").count() == 0 and twice.count() == docs.count()
+
+
+def test_a_long_text_does_not_push_out_the_others(spark):
+    """The first row by hash is longer than the byte bound; all others are still learned from."""
+    first = spark.range(400).orderBy(F.xxhash64("id")).first()["id"]
+    rows = [(i, " ".join(f"long{k}" for k in range(5000)) if i == first else f"the {['garden', 'idiot'][i % 2]} is here {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, sample_bytes=20_000)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == (i % 2 == 1) for i in scores if i != first)
+    assert toxicity.within([50, 3, 4, 9, 2], 10) == [False, True, True, False, True]
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_one_class_drops_nothing(spark, toxic):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, toxic) for i in range(40)], "doc_id bigint, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    assert scored.filter("score = 0.5 and predicted = 0").count() == 40

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tideline.llm.common import PIECE_BYTES, labels_by_id, pieces
+from tideline.llm.common import PIECE_BYTES, labels_by_id, pieces, stash
 
-#: Labelled rows to learn from at most: those whose ids have the smallest hashes; and bytes of text of them at most.
+#: Labelled rows to learn from at most: those whose ids have the smallest hashes; and bytes of their distinct words at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 64 << 20
 #: Rows of the embedding table, their width, n-gram lengths in bytes; training steps, rows of a step (an eighth at most) and rate.
 ROWS, WIDTH, GRAMS = 1 << 18, 2, (3, 4, 5)
@@ -104,14 +104,15 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Log odds per embedding row and those of no word, from Adam steps on the cross entropy of batches; label 1 weighs TOXIC_SHARE of all."""
+    """Log odds per embedding row and those of no word, from Adam steps on the cross entropy of batches; label 1 weighs TOXIC_SHARE of all.
+
+    All are 0 unless texts with words have both labels."""
     known: dict[bytes, int] = {}
     bags = [np.fromiter((known.setdefault(w, len(known)) for w in dict.fromkeys(words(t))), dtype=np.int32) for t in texts]
     keep = np.array([len(b) > 0 for b in bags], dtype=bool)
     y, bags = np.asarray(labels)[keep].astype(np.float32), [b for b in bags if len(b)]
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(np.mean(labels) if len(labels) else 0.5, 0.01, 0.99))
-        return np.zeros(ROWS, dtype=np.float32), float(np.log(share / (1 - share)))
+        return np.zeros(ROWS, dtype=np.float32), 0.0
     subs, starts = all_subwords(list(known))
     del known
     sizes = np.diff(np.append(starts, len(subs)))
@@ -145,25 +146,51 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     return (params["E"] @ turn).astype(np.float32), float(BIAS_SCALE * (params["b"][1] - params["b"][0]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Toxicity:
+def distinct_words(text: Column) -> Column:
+    """String column of a text's distinct words in their order, all that training looks at."""
+
+    @arrow_udf("string")
+    def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([b" ".join(dict.fromkeys(words(t.as_py() or ""))).decode("utf-8", "replace") for t in texts], type=pa.string())
+
+    return bags(text)
+
+
+def within(sizes: list[int], limit: int) -> list[bool]:
+    """Which of the sizes are taken, in order, if one that no longer fits is left out and later ones are still tried."""
+    out, held = [], 0
+    for size in sizes:
+        out.append(held + size <= limit)
+        held += size * out[-1]
+    return out
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Toxicity:
     """Train in one task on at most ``sample_rows`` labelled rows for which ``learn`` holds, the smallest id hashes first.
 
-    Ids are chosen before any text is moved; their number is the bound of what is broadcast. Without labelled rows of both
-    classes every text gets the share of label 1, or 0.5. Null texts count as empty."""
+    Ids are chosen before any text is moved; their number is the bound of what is broadcast and of the sizes that the driver
+    sees. Texts go as their distinct words, ``sample_bytes`` of these at most: a text that does not fit is left out, those
+    after it are still tried. Without labelled rows of both classes every text scores 0.5, below the threshold. Null texts
+    count as empty."""
     rows = (docs.filter(learn) if learn is not None else docs).select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     place = F.xxhash64("label_id").alias("place")
     ids = rows.select("label_id").distinct().join(labels_by_id(labels, label), "label_id").select(place, "label_id", "label").orderBy("place", "label_id").limit(sample_rows)
-    chosen = rows.join(F.broadcast(ids), "label_id").select("place", "label_id", "text", "label").orderBy("place", "label_id", "text").limit(sample_rows)
+    chosen = stash(rows.join(F.broadcast(ids), "label_id").select("place", "label_id", "label", distinct_words(F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    size = F.octet_length("text").alias("size")
+    sizes = chosen.select("row", "place", "label_id", size, F.xxhash64("text").alias("hash")).orderBy("place", "label_id", "size", "hash", "row").limit(sample_rows).collect()
+    held = [(r["row"],) for r, ok in zip(sizes, within([r["size"] for r in sizes], sample_bytes), strict=True) if ok]
+    if not held:
+        return Toxicity(np.zeros(ROWS, dtype=np.float32), 0.0)
 
     def fit(group: pa.Table) -> pa.Table:
         rows_ = sorted(zip(group["place"].to_pylist(), group["label_id"].to_pylist(), group["text"].to_pylist(), group["label"].to_pylist(), strict=True))
-        fits = np.cumsum([len(r[2]) for r in rows_]) <= SAMPLE_BYTES
-        held = [r for r, ok in zip(rows_, fits.tolist(), strict=True) if ok]
-        values, bias = train([r[2] for r in held], np.array([r[3] for r in held]))
+        values, bias = train([r[2] for r in rows_], np.array([r[3] for r in rows_]))
         return pa.table({"rows": pa.array([values.astype("<f4").tobytes()], type=pa.binary()), "bias": pa.array([bias], type=pa.float64())})
 
-    model = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "rows binary, bias double").first()
-    return Toxicity(np.frombuffer(model["rows"], dtype="<f4"), model["bias"]) if model else Toxicity(np.zeros(ROWS, dtype=np.float32), 0.0)
+    taken = docs.sparkSession.createDataFrame(held, "row bigint")
+    model = chosen.join(F.broadcast(taken), "row", "left_semi").select("place", "label_id", "text", "label", F.lit(0).alias("all")).groupBy("all").applyInArrow(fit, "rows binary, bias double").first()
+    return Toxicity(np.frombuffer(model["rows"], dtype="<f4"), model["bias"])
 
 
 def toxicity_score(text: Column, model: Toxicity) -> Column:
