@@ -82,3 +82,20 @@ def test_long_texts_take_linear_time():
 
 def test_empty_table(no_docs):
     assert pii.find_pii(no_docs).count() == 0
+
+
+def test_ibans_followed_by_capitals_and_numbers():
+    found = lambda text: [text[s.start:s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for behind in ("", " EUR 500", " BIC COBADEFF", " 2024", " BIC", ", BIC X", " und mehr", " A B C D E F G H"):
+            assert found(f"pay {iban}{behind}") == [iban], behind
+    assert found("DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert found("AB12 ABCDEFGHIJKLMN DE89370400440532013000 EUR") == ["DE89370400440532013000"]
+    assert found("DE89370400440532013001 EUR 500") == []
+    assert pii.redact("IBAN DE89370400440532013000 EUR 500") == "IBAN <iban> EUR 500"
+
+
+def test_many_iban_starts_take_linear_time():
+    started = time.time()
+    assert pii.find_spans("AB12 " * 80_000) is not None
+    assert time.time() - started < 20

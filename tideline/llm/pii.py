@@ -39,6 +39,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_LENGTHS = {country: int(n) for n, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split()) for country in countries.split(",")}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
 NOT_DIGIT, CONTEXT_WORD = re.compile(r"[^0-9]+"), re.compile(r"[^\W\d_][^\W\d_-]*")
@@ -76,6 +79,24 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost spans that pass mod-97. A pattern's match may run on into words and numbers behind: the end that the country's
+    length gives goes first, then the whole match; of an unknown country all ends of tokens, the longest first."""
+    found = IBAN.search(text)
+    while found:
+        start, at = found.span()
+        ends = [at, *(start + k for k in range(len(found[0]) - 1, 0, -1) if found[0][k] == " ")]
+        if (length := IBAN_LENGTHS.get(found[0][:2])) is not None:
+            ends = [e for e in ends if e - start - text.count(" ", start, e) == length] + ends[:1]
+        at = start + 1
+        for end in ends:
+            if 15 <= len(plain := text[start:end].replace(" ", "")) <= 34 and mod97(plain):
+                yield start, end
+                at = end
+                break
+        found = IBAN.search(text, at)
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Kind, start, end and whether a checksum has confirmed it, of spans that pass their kind's check."""
     if "@" in text:
@@ -91,9 +112,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in PHONE.finditer(text):
             if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", *m.span(), False
-    for m in IBAN.finditer(text):
-        if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and mod97(plain):
-            yield "iban", *m.span(), True
+    for start, end in ibans(text):
+        yield "iban", start, end, True
     for kind, pattern in (("ssn", SSN), ("secret", SECRET)):
         for m in pattern.finditer(text):
             yield kind, *m.span(), False
