@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, context_tree, embedding_dedup, hard_negatives, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, toxicity
+from tideline.llm import bpe, context_tree, embedding_dedup, hard_negatives, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, toxicity, url_filter
 from tideline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,12 @@ found AS (
 )
 SELECT * FROM found WHERE rank <= 5
 """
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.Rule(verdict, at) for verdict, at in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
+    pages = table(spark, sf_dir, "pages")
+    rule = url_filter.rule_of(*url_filter.host_and_path(F.col("url")), rules)
+    ruled = pages.select("url", (url_filter.rule_verdict(rule, rules) == url_filter.BLOCK).cast("int").alias("label"))
+    return url_filter.url_filter(pages, rules, url_filter.fit_urls(ruled))
