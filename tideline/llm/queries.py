@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, context_tree, embedding_dedup, hard_negatives, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from tideline.llm import bpe, context_tree, embedding_dedup, hard_negatives, packing, pii, prefix_counts, quality_classifier, quality_rules, simhash, spelling, toxicity, url_filter
 from tideline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,51 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = url_filter.rule_of(*url_filter.host_and_path(F.col("url")), rules)
     ruled = pages.select("url", (url_filter.rule_verdict(rule, rules) == url_filter.BLOCK).cast("int").alias("label"))
     return url_filter.url_filter(pages, rules, url_filter.fit_urls(ruled))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(spelling.runs(F.col("text"))).alias("run"))
+    tokens = tokens.withColumn("h", F.crc32(F.concat_ws(":", "doc", "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", 1, at), F.substring(F.col("run"), at + 2, F.length("run")))
+    return spelling.spelling_variants(tokens.select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("word")))
+
+
+ORACLES["op13_spelling"] = """
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+        unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run
+    FROM documents
+),
+counted AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+    SELECT run, n, flatten(list_transform(range(1, length(doc || ':' || run) + 1),
+        lambda i: CASE WHEN unicode((doc || ':' || run)[i]) < 128 THEN [unicode((doc || ':' || run)[i])::BIGINT]
+            ELSE [192 + (unicode((doc || ':' || run)[i])::BIGINT >> 6), 128 + unicode((doc || ':' || run)[i])::BIGINT % 64] END)) AS b
+    FROM counted
+),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, crc[xor(c, x) % 256 + 1])), 4294967295) AS h FROM bytes, steps),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n AS times FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM changed GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END::BIGINT AS form_n
+    FROM words LEFT JOIN best USING (word)
+),
+walk AS (
+    SELECT word, word AS reached, 0 AS step FROM forms
+    UNION ALL SELECT w.word, f.form, w.step + 1 FROM walk w JOIN forms f ON f.word = w.reached WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word) r USING (word)
+"""
