@@ -21,6 +21,12 @@ CTES = {
     "loud": """loud AS (
   SELECT vec_id AS video_id, (i - 1)::INT AS idx, embedding[i]::DOUBLE * 40 AS db, embedding[i]::DOUBLE AS sample
   FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))""",
+    "long_loud": """loud AS (
+  SELECT vec_id // 8 AS video_id, ((vec_id % 8) * 64 + i - 1)::INT AS idx, embedding[i]::DOUBLE * 40 AS db
+  FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))""",
+    "long_line": """ln AS (SELECT video_id // 16 AS video_id, (video_id % 16) * 1000000 + seq AS seq,
+    ['', 'Got him! ', '', '', 'bomb planted, ', '', 'nice HEADSHOT ', '', 'waiting to plant, ', '', 'ace, defused: ', '', 'one tap ', '', 'clutch the bomb ', '', 'eco, nice '][length(text) % 17 + 1] || text AS text,
+    "start" + (video_id % 16) * 40 AS "start", "end" + (video_id % 16) * 40 AS "end" FROM line)""",
     "job": """job AS (
   SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'error' ELSE 'running' END AS status,
     CASE WHEN o_orderstatus = 'P' AND o_orderkey % 7 <> 0 THEN 'E' || (o_orderkey % 5) END AS error_code,
@@ -42,6 +48,9 @@ jobx AS (
   FROM customer LEFT JOIN (SELECT o_custkey, epoch_ms(max(o_orderdate)) AS last, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)""",
 }
 
+CTES["long_event"] = CTES["kill_event"].replace("kill_event AS", "plain_event AS") + """,
+kill_event AS (SELECT * REPLACE (seq // 25 AS video_id, ("time" * 100) % 640 AS "time") FROM plain_event)"""
+
 
 def sql(body: str, *names: str, more: str = "", recursive: bool = False) -> str:
     """``body`` preceded by the named views and any further CTE text."""

@@ -61,6 +61,35 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("_dur") / 10).alias("duration"))
 
 
+# Longer recordings for analyses that need sound, kills and speech together.
+LONG_VECTORS, LONG_EVENTS, LONG_TEXTS, LONG_SEC = 8, 25, 16, 640.0
+
+
+CALLS = ("", "Got him! ", "", "", "bomb planted, ", "", "nice HEADSHOT ", "", "waiting to plant, ", "", "ace, defused: ", "", "one tap ", "", "clutch the bomb ", "", "eco, nice ")
+
+
+def long_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight vectors in a row as one loudness series of 256 s."""
+    rows = loudness(spark, sf_dir)
+    part = F.col("video_id") % LONG_VECTORS
+    return rows.select(F.floor(F.col("video_id") / LONG_VECTORS).alias("video_id"), (part * 64 + F.col("idx")).cast("int").alias("idx"), "db")
+
+
+def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections on a faster clock (one second per 10 s of wall time, wrapped at 640 s), 25 of them a recording."""
+    return kill_events(spark, sf_dir).withColumns({"video_id": F.floor(F.col("seq") / LONG_EVENTS), "time": (F.col("time") * 100) % LONG_SEC})
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of 16 documents, each 40 s after the one before, as one transcript. The prose has no calls of its own, so a line's
+    length decides which call, if any, it begins with."""
+    rows = transcript(spark, sf_dir)
+    call = F.element_at(F.array(*[F.lit(x) for x in CALLS]), (F.length("text") % len(CALLS) + 1).cast("int"))
+    later = (F.col("video_id") % LONG_TEXTS) * 40
+    return rows.select(F.floor(F.col("video_id") / LONG_TEXTS).alias("video_id"), (F.col("video_id") % LONG_TEXTS * 1_000_000 + F.col("seq")).alias("seq"),
+                       F.concat(call, F.col("text")).alias("text"), (F.col("start") + later).alias("start"), (F.col("end") + later).alias("end"))
+
+
 AS_OF_MS = 902016000000  # 1998-08-02
 
 
