@@ -1,12 +1,15 @@
 """Shooter highlights from sound, kill feed and speech together."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideline import views
 from tideline.catalog import query
 from tideline.catalog.kill_queries import CONFIRMED
 from tideline.catalog.loudness_queries import CLUSTERS
+from tideline.catalog import shooter_sql as q
 from tideline.catalog.prefix import sql
 from tideline.functions import patterns as p
 from tideline.plans import loudness as l
@@ -65,31 +68,40 @@ def _dedupe(src, name):
 
 def _apart(src, name):
     """Event peaks 3.5 s apart, best first, four at most."""
-    return f"""{name}l AS (SELECT video_id, c0, list({{'t': "time", 's': confidence * 12}} ORDER BY CASE WHEN starts_with(roi, 'top_right') THEN 45.0 ELSE 0 END + confidence * 12 DESC, "time", roi) AS ps FROM {src} GROUP BY 1, 2),
-{name} AS (SELECT video_id, c0, x.t AS t, x.s AS s FROM (SELECT video_id, c0, unnest(list_reduce(list_transform(ps, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda q: abs(q.t - p[1].t) < 3.5)) > 0
+    return f"""{name}l AS (SELECT video_id, c0, list({{'t': "time", 's': confidence * 12, 'r': roi}} ORDER BY CASE WHEN starts_with(roi, 'top_right') THEN 45.0 ELSE 0 END + confidence * 12 DESC, "time", roi) AS ps FROM {src} GROUP BY 1, 2),
+{name} AS (SELECT video_id, c0, x.t AS t, x.s AS s, x.r AS roi FROM (SELECT video_id, c0, unnest(list_reduce(list_transform(ps, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda q: abs(q.t - p[1].t) < 3.5)) > 0
   THEN acc ELSE list_append(acc, p[1]) END)) AS x FROM {name}l))"""
 
 
 def _tight(src, name):
     """Peaks up to the first gap above 22 s."""
-    return f"""{name} AS (SELECT video_id, c0, t, s FROM (SELECT *, sum(late) OVER (PARTITION BY video_id, c0 ORDER BY t ROWS UNBOUNDED PRECEDING) AS cut
+    return f"""{name} AS (SELECT video_id, c0, t, s, roi FROM (SELECT *, sum(late) OVER (PARTITION BY video_id, c0 ORDER BY t ROWS UNBOUNDED PRECEDING) AS cut
   FROM (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY video_id, c0 ORDER BY t) > 22)::INT, 0) AS late FROM {src})) WHERE cut = 0)"""
 
 
-LADDER = ",\n".join([
-    CHAIN, FLAGGED, CONFIRMED, "rich AS (SELECT video_id FROM confirmed GROUP BY 1 HAVING count(*) >= 2)",
+def _ladder(chain="chain", peaks="cp", x=""):
+    parts = _LADDER.replace("FROM chain ", f"FROM {chain} ").replace("FROM cp ", f"FROM {peaks} ")
+    return q.renamed(parts, x, *re.findall(r"(?m)^(\w+) AS \(", parts)) if x else parts
+
+
+BASE = [CHAIN, FLAGGED, CONFIRMED]
+_LADDER = ",\n".join([
+    "rich AS (SELECT video_id FROM confirmed GROUP BY 1 HAVING count(*) >= 2)",
     _around("near1", sh.FEED), _dedupe("near1", "one"), _apart("one", "one_a"), _tight("one_a", "set0"),
     _around("near2", sh.FEED_WIDE), _dedupe("near2", "two"), _apart("two", "two_a"), _tight("two_a", "set1"),
-    """set3 AS (SELECT c.video_id, c.c0, f.t, 11.0::DOUBLE AS s FROM chain c JOIN said f USING (video_id) WHERE f.moment AND f.t BETWEEN cs - 6 AND ce + 18 QUALIFY row_number() OVER (PARTITION BY video_id, c0 ORDER BY f.t) <= 4)""", _tight("set3", "set2"),
+    """set3 AS (SELECT c.video_id, c.c0, f.t, 11.0::DOUBLE AS s, NULL::VARCHAR AS roi FROM chain c JOIN said f USING (video_id) WHERE f.moment AND f.t BETWEEN cs - 6 AND ce + 18 QUALIFY row_number() OVER (PARTITION BY video_id, c0 ORDER BY f.t) <= 4)""", _tight("set3", "set2"),
     """marks AS (SELECT video_id, seq, "time", confidence FROM confirmed UNION ALL SELECT video_id, seq, "time", confidence FROM kill_event ANTI JOIN confirmed USING (video_id)),
 mk AS (SELECT p.video_id, p.c0, p.t, p.s, arg_min(m.confidence, (abs(m."time" - p.t), m."time", m.seq)) AS mark FROM cp p LEFT JOIN marks m ON m.video_id = p.video_id AND abs(m."time" - p.t) <= 2.5 GROUP BY ALL),
-mr AS (SELECT *, row_number() OVER (PARTITION BY video_id, c0 ORDER BY mark IS NULL, s + coalesce(mark, 0) * 40 DESC, t) AS rk FROM mk),
-mark5 AS (SELECT * FROM mr WHERE mark IS NOT NULL AND rk <= 5), set5 AS (SELECT video_id, c0, t, s FROM mr WHERE mark IS NOT NULL AND rk <= 4), top4 AS (SELECT * FROM mr WHERE rk <= 4)""", _tight("mark5", "set4"),
+mr AS (SELECT *, NULL::VARCHAR AS roi, row_number() OVER (PARTITION BY video_id, c0 ORDER BY mark IS NULL, s + coalesce(mark, 0) * 40 DESC, t) AS rk FROM mk),
+mark5 AS (SELECT * FROM mr WHERE mark IS NOT NULL AND rk <= 5),
+set5 AS (SELECT video_id, c0, t, s, roi FROM mr WHERE mark IS NOT NULL AND rk <= 4),
+top4 AS (SELECT * FROM mr WHERE rk <= 4)""", _tight("mark5", "set4"),
     _around("near6", sh.NEAR_FEED), _apart("near6", "set6"), _tight("top4", "set7"),
     "sets AS (" + " UNION ALL ".join(f"SELECT {i} AS place, '{name}' AS rung, {least} AS least, * FROM set{i}" for i, (name, least) in enumerate(
         [("feed", 2), ("feed_wide", 2), ("lines", 2), ("lines", 2), ("marked", 2), ("marked", 2), ("near_feed", 2), ("loud", 1)])) + ")",
     "counted AS (SELECT *, count(*) OVER (PARTITION BY video_id, c0, place) >= least AS ok FROM sets)",
     "ladder AS (SELECT * FROM counted QUALIFY place = min(place) FILTER (WHERE ok) OVER (PARTITION BY video_id, c0))"])
+LADDER = ",\n".join([*BASE, _ladder()])
 
 
 @query("peak_ladder", sql("SELECT video_id, c0 AS cluster_at, rung, t AS \"time\", round(s, 4) AS strength FROM ladder", "long_loud", "line", "long_line", "long_event", more=LADDER, recursive=True))
@@ -99,13 +111,26 @@ def peak_ladder(spark, d):
     return sh.peak_ladder(*sh.chain_peaks(peaks), events, flagged).select("video_id", "cluster_at", "rung", "time", F.round("strength", 4).alias("strength"))
 
 
-@query("chain_montages")
+_TABLES = ("long_loud", "line", "long_line", "long_event")
+MONTAGES = ",\n".join([LADDER, q.PAYOFF_PEAKS, q.montages("ladder", "chain", "cm")])
+WINDOWS = ",\n".join([MONTAGES, q.FEED_MONTAGES, q.SPARSE, _ladder("sp_chain", "sp", "sx_"), q.montages("sx_ladder", "sp_chain", "sm"), q.UNION_ALL])
+
+
+def _cuts(made):
+    """Cut lists as three arrays."""
+    return made.withColumns({name: F.transform("segments", lambda x: x[field]) for name, field in (("starts", "start"), ("lengths", "duration"), ("peak_times", "peak_time"))}).drop("segments")
+
+
+@query("chain_montages", sql("""SELECT video_id, c0 AS cluster_at, rung, st AS starts, du AS lengths, pt AS peak_times, start_time, end_time, output_duration, kill_count::INT AS kill_count, sure, hud_kills, keyword_lines, has_payoff, hook,
+  coalesce((SELECT left(arg_min(l.text, (abs(l."start" - hook), l."start", l.seq)), 72) FROM ln l WHERE l.video_id = cm.video_id AND l.text <> '' AND abs(l."start" - hook) < 8), '') AS peak_line, round(composite, 4) AS composite FROM cm""",
+                              *_TABLES, more=MONTAGES, recursive=True))
 def chain_montages(spark, d):
     """Montages of loud chains with payoff and composite."""
     scan, peaks, events, flagged = _signals(spark, d)
     made = sh.chain_montages(*sh.chain_peaks(peaks), events, flagged, scan, END)
-    made = sh.near_line(made, flagged, ["cluster_at"], "hook", "peak_line")
-    return made.select("video_id", "cluster_at", "rung", "segments", "start_time", "end_time", "output_duration", "kill_count", "sure", "hud_kills", "keyword_lines", "has_payoff", "hook", "peak_line", F.round("composite", 4).alias("composite"))
+    made = _cuts(sh.near_line(made, flagged, ["cluster_at"], "hook", "peak_line"))
+    return made.select("video_id", "cluster_at", "rung", "starts", "lengths", "peak_times", "start_time", "end_time", "output_duration", "kill_count", "sure", "hud_kills", "keyword_lines", "has_payoff", "hook",
+                       F.coalesce("peak_line", F.lit("")).alias("peak_line"), F.round("composite", 4).alias("composite"))
 
 
 PLAIN = CHAIN + ",\n" + FLAGGED + """,
@@ -134,13 +159,16 @@ def _windows(spark, d):
     return settle(sh.shooter_windows(peaks, events, flagged, scan, END)), sh.feed_clips(events, scan, END)
 
 
-@query("shooter_windows")
+@query("shooter_windows", sql("SELECT video_id, source, st AS starts, du AS lengths, pt AS peak_times, start_time, end_time, output_duration, kill_count::INT AS kill_count, has_payoff, round(composite, 4) AS composite FROM win", *_TABLES, more=WINDOWS, recursive=True))
 def shooter_windows(spark, d):
     """All montages of a recording by source, with the early stop."""
-    return _windows(spark, d)[0].select("video_id", "source", "segments", "start_time", "end_time", "output_duration", "kill_count", "has_payoff", F.round("composite", 4).alias("composite"))
+    made = _cuts(_windows(spark, d)[0])
+    return made.select("video_id", "source", "starts", "lengths", "peak_times", "start_time", "end_time", "output_duration", F.col("kill_count").cast("int"), "has_payoff", F.round("composite", 4).alias("composite"))
 
 
-@query("signal_pool")
+@query("signal_pool", sql("""SELECT video_id, list_index::INT AS list_index, from_pool, start_time, end_time, kill_count, local_score::DOUBLE AS local_score,
+  least(99, floor(local_score / first_value(local_score) OVER (PARTITION BY video_id ORDER BY list_index) * 100 + 0.5))::INT AS confidence FROM pool""", *_TABLES, more=WINDOWS + ",\n" + q.POOL, recursive=True))
 def signal_pool(spark, d):
-    """Candidates of recordings without a transcript."""
-    return sh.signal_pool(*_windows(spark, d)).select("video_id", "list_index", "from_pool", "start_time", "end_time", "kill_count", "local_score", "confidence")
+    """Candidates of recordings without a transcript: feed clips and the montages beside them."""
+    made = sh.signal_pool(*_windows(spark, d))
+    return made.select("video_id", "list_index", "from_pool", "start_time", "end_time", F.col("kill_count").cast("bigint"), "local_score", "confidence")
