@@ -105,7 +105,7 @@ fk2 AS (SELECT * FROM fk QUALIFY count(*) OVER (PARTITION BY video_id) >= 2),
 FEED_MONTAGES = FEED_CLIPS + """,
 fm0 AS (SELECT video_id, pack_seq AS id, pack_at, pack_seq, kill_count AS kills, confidence, st, du, pt, 40.0 AS most, len(st) >= 3 AND kill_count >= 2 AS may FROM twoc),
 """ + payoff("fm0", "fm") + """,
-feedm AS (SELECT *, (320 + kills * 55 + CASE WHEN confidence = 0 THEN 70 ELSE confidence END * 2)::DOUBLE AS composite FROM fm)"""
+feedm AS (SELECT * REPLACE (kills AS kill_count), (320 + kills * 55 + CASE WHEN confidence = 0 THEN 70 ELSE confidence END * 2)::DOUBLE AS composite FROM fm)"""
 
 #: The strongest peak of a poor recording with its neighbours.
 SPARSE = """facts AS (SELECT video_id, (SELECT count(*) FROM kill_event e WHERE e.video_id = v.video_id) AS events, (SELECT count(*) FROM confirmed e WHERE e.video_id = v.video_id) AS confirmed,

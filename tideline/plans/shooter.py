@@ -330,15 +330,17 @@ def shooter_windows(peaks: DataFrame, events: DataFrame, flagged: DataFrame, sca
     chained = chained.join(facts.select(*KEY, "confirmed"), KEY, "left").filter(~((nz(F.col("confirmed"), 0) >= 3) & (F.col("hud_kills") < 2)))
     slim = lambda df, order: df.select(*KEY, *_OUT, order.alias("_order"))
     poor = facts.filter(~full & (F.col("events") < 3) & (F.col("loud_peaks") >= 2)).select(*KEY)
-    few = lambda df: df.join(poor, KEY, "left_semi")
-    lone = c.sparse_peaks(few(peaks)).withColumn("idx", half_up(F.col("time") * 2).cast("int"))
-    lone = lone.withColumn("cluster_at", F.min("time").over(W.partitionBy(*KEY)))
-    sparse = chain_montages(*with_chains(settle(lone.select(*CLUSTER, "time", "idx", "strength"))), few(events), few(flagged), few(scan), video_end)
-    return until_enough([
+    sources = [
         ("feed", slim(feed, _order(-F.col("composite"), F.col("pack_at"), F.col("pack_seq").cast("double"))), None),
         ("chain", slim(chained, _order(-F.col("score"), F.col("cluster_at"))), ~nz(full, False)),
-        ("sparse", slim(sparse, _order(F.lit(0.0), F.col("cluster_at"))), nz(~full, True) & (F.col("have") < 4)),
-    ], KEY, [F.floor("start_time")], [F.col("_order")], facts).drop("_order")
+    ]
+    if not poor.isEmpty():
+        few = lambda df: df.join(poor, KEY, "left_semi")
+        lone = c.sparse_peaks(few(peaks)).withColumn("idx", half_up(F.col("time") * 2).cast("int"))
+        lone = lone.withColumn("cluster_at", F.min("time").over(W.partitionBy(*KEY)))
+        sparse = chain_montages(*with_chains(settle(lone.select(*CLUSTER, "time", "idx", "strength"))), few(events), few(flagged), few(scan), video_end)
+        sources.append(("sparse", slim(sparse, _order(F.lit(0.0), F.col("cluster_at"))), nz(~full, True) & (F.col("have") < 4)))
+    return until_enough(sources, KEY, [F.floor("start_time")], [F.col("_order")], facts).drop("_order")
 
 
 def feed_candidates(candidates: DataFrame, clips: DataFrame) -> DataFrame:
