@@ -144,3 +144,59 @@ def test_supersession_does_not_depend_on_batches(spark, tmp_path, cuts):
     stream = _in_batches(spark, tmp_path, rows, "key long, generation long", cuts)
     out = live.run_to_table(live.with_supersession(stream), str(tmp_path / "out")).groupBy("key", "generation").agg(F.max("superseded").alias("s")).collect()
     assert {(r.key, r.generation): r.s for r in out} == {(k, g): g < 6 for k, g in rows}
+
+
+def _files(spark, folder, rows, schema, cuts):
+    """``rows`` as files that a stream reads one by one; the second half is to be added between two runs."""
+    size = -(-len(rows) // cuts)
+    return [lambda i=i: spark.createDataFrame(rows[i * size:(i + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(folder / "src")) for i in range(cuts)]
+
+
+def _twice(spark, folder, rows, schema, cuts, make):
+    """All rows that ``make(stream)`` gives when it is stopped and started again half way."""
+    files = _files(spark, folder, rows, schema, cuts)
+    read = lambda: spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "src"))
+    for part in (files[:cuts // 2 + 1], files[cuts // 2 + 1:]):
+        for write in part:
+            write()
+        out = live.run_to_table(make(read()), str(folder / "out"))
+    return out.collect()
+
+
+def _utc(t):
+    return datetime.datetime.fromtimestamp(t, datetime.timezone.utc)
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_strongest_reading_wins_whatever_the_batches(spark, tmp_path, cuts):
+    rnd = random.Random(8)
+    made = [(1, rnd.choice("ab"), round(rnd.uniform(0, 60), 1), i, float(rnd.randint(1, 5))) for i in range(60)] + [(2, "z", 300.0, 99, 1.0)]
+    rows = [(v, k_, _utc(1000 + t), q, x) for v, k_, t, q, x in sorted(made, key=lambda r: r[2] + (rnd.uniform(0, 8) if r[0] == 1 else 0))]
+    got = _twice(spark, tmp_path, rows, "video_id long, key string, ts timestamp, seq long, strength double", cuts, live.strongest)
+    want = set()
+    for name in "ab":
+        own = sorted((t, q, x) for v, k_, t, q, x in made if v == 1 and k_ == name)
+        first = own[0][0]
+        near = [r for r in own if round((r[0] - first) * 10) <= 70]
+        best = min(near, key=lambda r: (-r[2], r[0], r[1]))
+        want.add((1, name, round((1000 + first) * 1000), best[1], best[2], len(near)))
+        for t in {r[0] for r in own[len(near):]}:
+            last = max((r for r in own if r[0] == t), key=lambda r: r[1])
+            want.add((1, name, round((1000 + t) * 1000), last[1], last[2], sum(r[0] == t for r in own)))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_expiry_sweeps_whatever_the_batches(spark, tmp_path, cuts):
+    rnd = random.Random(9)
+    made = [(i % 4, round(rnd.uniform(0, 20_000)), i, rnd.random() < 0.2, rnd.choice([None, 300, 900])) for i in range(50)] + [(9, 90_000, 99, True, None)]
+    rows = [(p, _utc(t), q, saved, None if life is None else (t + life) * 1000) for p, t, q, saved, life in sorted(made, key=lambda r: r[1] + (rnd.uniform(0, 500) if r[0] < 9 else 0))]
+    got = _twice(spark, tmp_path, rows, "id long, ts timestamp, seq long, saved boolean, expires_ms long", cuts, lambda s: live.expiries(s, 600.0, "10 minutes"))
+    want = set()
+    for p in range(4):
+        own = sorted((t, q, saved, life) for i, t, q, saved, life in made if i == p)
+        for (t, q, saved, life), nxt in zip(own, [*own[1:], (10**9,)]):
+            due = None if saved or life is None else -(-(t + life) // 600) * 600
+            if due is not None and due < nxt[0]:
+                want.add((p, q, due * 1000))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 5

@@ -74,3 +74,23 @@ def stream_packs(spark, d):
     t = (F.unix_micros("ts") / F.lit(1e6) - views.EPOCH_2024) / 1000
     scaled = e.select("video_id", "seq", t.alias("t"), F.timestamp_millis((t * 1000).cast("bigint")).alias("ts"))
     return live.run_to_table(live.burst_packs(scaled), _folder(spark))
+
+
+_READ = """rd AS (SELECT user_id AS video_id, event_type AS key, (epoch_us(ts) // 1000) AS ms, event_id AS seq, value AS strength, (SELECT epoch_us(max(ts)) // 1000 FROM events) - 10000 AS seen FROM events),
+ff AS (SELECT *, min(ms) OVER (PARTITION BY video_id, key) AS first_ms FROM rd)"""
+
+
+@query("stream_strongest", sql("""SELECT video_id, key, first_ms AS anchor_ms, arg_min(seq, (-strength, ms, seq)) AS seq, max(strength) AS strength, count(*)::INT AS readings FROM ff WHERE ms - first_ms <= 50000000 AND first_ms + 50000000 <= seen GROUP BY video_id, key, first_ms
+UNION ALL SELECT video_id, key, ms, arg_max(seq, seq), arg_max(strength, seq), count(*)::INT FROM ff WHERE ms - first_ms > 50000000 AND ms <= seen GROUP BY video_id, key, ms""", more=_READ))
+def stream_strongest(spark, d):
+    """The strongest of repeated readings, and later moments of the same key."""
+    e = _events(spark, d).select("video_id", F.col("event_type").alias("key"), "ts", "seq", F.col("value").alias("strength"))
+    return live.run_to_table(live.strongest(e, within=50_000.0, keep=1e9), _folder(spark))
+
+
+@query("stream_expiry", sql("""SELECT id, seq, due AS swept_ms FROM (SELECT *, lead(ms) OVER (PARTITION BY id ORDER BY ms, seq) AS nxt FROM (SELECT user_id AS id, event_id AS seq, (epoch_us(ts) // 1000) AS ms,
+  CASE WHEN value < 40 THEN ceil(((epoch_us(ts) // 1000) + 21600000) / 600000.0)::BIGINT * 600000 END AS due FROM events)) WHERE due IS NOT NULL AND due < coalesce(nxt, 9e15) AND due <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000"""))
+def stream_expiry(spark, d):
+    """Projects that a sweep removes: six hours after an update that did not save them, unless another one came."""
+    e = _events(spark, d).select(F.col("video_id").alias("id"), "ts", "seq", (F.col("value") >= 40).alias("saved"), (F.unix_millis("ts") + 21_600_000).alias("expires_ms"))
+    return live.run_to_table(live.expiries(e), _folder(spark))

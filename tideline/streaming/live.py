@@ -102,6 +102,97 @@ def burst_packs(events: DataFrame, gap: float = 22.0, span: float = 55.0, most:
     return events.withWatermark("ts", delay).groupBy("video_id").applyInPandasWithState(pack, out, "first double, last double, n int, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _wait(state: GroupState, times: list[int]) -> None:
+    """Wake up once the watermark reaches the first of ``times``."""
+    state.setTimeoutTimestamp(max(min(times) - 1, state.getCurrentWatermarkMs() + 1))
+
+
+def strongest(readings: DataFrame, within: float = 7.0, keep: float = 86400.0, delay: str = DETECTION_DELAY) -> DataFrame:
+    """Kills from repeated readings ``(video_id, key, ts, seq, strength)``: of those within ``within`` seconds of a key's first
+    reading the strongest, with the first one's time; each later moment of the key is a kill of its own.
+
+    State per key is the first reading, the strongest so far and what the watermark has not passed; it goes ``keep`` seconds after
+    the first one, and the key starts anew. Ties go to the earlier reading; of later readings of one moment the last one counts."""
+    out = "video_id bigint, key string, anchor_ms bigint, seq bigint, strength double, readings int"
+    held = "first bigint, best double, best_seq bigint, n int, open boolean, times array<bigint>, strengths array<double>, seqs array<bigint>"
+    reach, life = int(within * 1000), int(keep * 1000)
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, best, best_seq, n, open_, *waiting = state.get if state.exists else (-1, 0.0, 0, 0, False, [], [], [])
+        rows = list(zip(*waiting))
+        if not state.hasTimedOut:
+            rows += [(int(t), float(x), int(q)) for p in batches for t, x, q in zip(p["ms"], p["strength"], p["seq"])]
+        rows.sort(key=lambda r: (r[0], r[2]))
+        passed, kills, later = state.getCurrentWatermarkMs(), [], {}
+
+        def close(upto: int) -> None:
+            nonlocal first, open_
+            if open_ and first + reach <= upto:
+                kills.append((first, best_seq, best, n))
+                open_ = False
+            if first >= 0 and first + life <= upto:
+                first = -1
+
+        for t, x, q in [r for r in rows if r[0] <= passed]:
+            close(t - 1)
+            if first < 0:
+                first, best, best_seq, n, open_ = t, x, q, 1, True
+            elif t - first <= reach:
+                n += 1
+                if x > best:
+                    best, best_seq = x, q
+            else:
+                later[t] = (t, q, x, later[t][3] + 1 if t in later else 1)
+        close(passed)
+        rows = [r for r in rows if r[0] > passed]
+        if first >= 0 or rows:
+            times, strengths, seqs = (list(c) for c in zip(*rows)) if rows else ([], [], [])
+            state.update((first, best, best_seq, n, open_, times, strengths, seqs))
+            _wait(state, [*times[:1], *([first + reach] if open_ else []), *([first + life] if first >= 0 else [])])
+        elif state.exists:
+            state.remove()
+        kills += later.values()
+        yield pd.DataFrame([(key[0], key[1], *k) for k in kills], columns=["video_id", "key", "anchor_ms", "seq", "strength", "readings"])
+
+    rows = readings.withWatermark("ts", delay).select("video_id", "key", "ts", F.unix_millis("ts").alias("ms"), "seq", "strength")
+    return rows.groupBy("video_id", "key").applyInPandasWithState(judge, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expiries(updates: DataFrame, sweep: float = 600.0, delay: str = "10 minutes") -> DataFrame:
+    """What a sweep every ``sweep`` seconds removes, from updates ``(id, ts, seq, saved, expires_ms)`` of projects.
+
+    A project goes with the first sweep at or after its expiry, unless an update has come by then: the newest update alone decides,
+    and saved ones don't expire. State per project is the next sweep that would remove it and the updates that the watermark has not
+    passed; a timer fires where nothing else arrives."""
+    out = "id bigint, seq bigint, swept_ms bigint"
+    step = int(sweep * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due, due_seq, *waiting = state.get if state.exists else (-1, 0, [], [], [])
+        rows = list(zip(*waiting))
+        if not state.hasTimedOut:
+            rows += [(int(t), int(q), -1 if saved or pd.isna(e) else -(-int(e) // step) * step) for p in batches for t, q, saved, e in zip(p["ms"], p["seq"], p["saved"], p["expires_ms"])]
+        rows.sort()
+        passed, swept = state.getCurrentWatermarkMs(), []
+        for t, q, then in [r for r in rows if r[0] <= passed]:
+            if 0 <= due < t:
+                swept.append((due_seq, due))
+            due, due_seq = then, q
+        if 0 <= due <= passed:
+            swept.append((due_seq, due))
+            due = -1
+        rows = [r for r in rows if r[0] > passed]
+        if due >= 0 or rows:
+            state.update((due, due_seq, *([list(c) for c in zip(*rows)] if rows else ([], [], []))))
+            _wait(state, [*[r[0] for r in rows[:1]], *([due] if due >= 0 else [])])
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *x) for x in swept], columns=["id", "seq", "swept_ms"])
+
+    rows = updates.withWatermark("ts", delay).select("id", "ts", F.unix_millis("ts").alias("ms"), "seq", "saved", F.col("expires_ms").cast("double").alias("expires_ms"))
+    return rows.groupBy("id").applyInPandasWithState(run, out, "due bigint, due_seq bigint, times array<bigint>, seqs array<bigint>, dues array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def words_in_clips(words: DataFrame, clips: DataFrame, late: str = "1 hour") -> DataFrame:
     """Words joined to the clip windows they fall into, whichever arrives first; both sides expire."""
     w = words.withWatermark("word_ts", late).alias("w")
