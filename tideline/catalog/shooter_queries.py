@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline import views
 from tideline.catalog import query
 from tideline.catalog.kill_queries import CONFIRMED
-from tideline.catalog.loudness_queries import CLUSTERS
+from tideline.catalog.loudness_queries import CLUSTERS, SCAN
 from tideline.catalog import shooter_sql as q
 from tideline.catalog.prefix import sql
 from tideline.functions import patterns as p
@@ -172,3 +172,25 @@ def signal_pool(spark, d):
     """Candidates of recordings without a transcript: feed clips and the montages beside them."""
     made = sh.signal_pool(*_windows(spark, d))
     return made.select("video_id", "list_index", "from_pool", "start_time", "end_time", F.col("kill_count").cast("bigint"), "local_score", "confidence")
+
+
+ENGAGED = SCAN + """,
+el AS (SELECT *, lag("time") OVER (PARTITION BY video_id ORDER BY "time", seq) AS pv FROM kill_event SEMI JOIN scan USING (video_id)),
+es AS (SELECT *, sum((pv IS NULL OR "time" - pv > 4.5)::INT) OVER (PARTITION BY video_id ORDER BY "time", seq) AS g FROM el),
+sp AS (SELECT video_id, g, min("time") AS t0, max("time") AS t1, max(starts_with(roi, 'top_right')::INT) AS feed, count(*) AS flashes FROM es GROUP BY 1, 2),
+gun AS (SELECT p.*, coalesce((SELECT arg_min(s.idx, (-s.delta, s.idx)) FROM scan s WHERE s.video_id = p.video_id AND s.delta > 0 AND s.idx BETWEEN greatest(0, floor(((t0 + t1) / 2 - (t1 - t0 + 5)) / 0.5)) AND ceil(((t0 + t1) / 2 + 2) / 0.5)) * 0.5::DOUBLE, (t0 + t1) / 2) AS loud_at FROM sp p),
+pool AS (SELECT e.*, t0, loud_at, flashes, abs(e."time" - loud_at) AS dist, row_number() OVER (PARTITION BY e.video_id, e.g ORDER BY e."time", e.seq) AS rn FROM es e JOIN gun USING (video_id, g) WHERE feed = 0 OR starts_with(roi, 'top_right')),
+wk AS (SELECT video_id, g, rn, seq, dist, confidence FROM pool WHERE rn = 1 UNION ALL SELECT w.video_id, w.g, p.rn,
+  CASE WHEN p.dist < w.dist - 0.05 OR (abs(p.dist - w.dist) < 0.05 AND p.confidence > w.confidence) THEN p.seq ELSE w.seq END,
+  CASE WHEN p.dist < w.dist - 0.05 OR (abs(p.dist - w.dist) < 0.05 AND p.confidence > w.confidence) THEN p.dist ELSE w.dist END,
+  CASE WHEN p.dist < w.dist - 0.05 OR (abs(p.dist - w.dist) < 0.05 AND p.confidence > w.confidence) THEN p.confidence ELSE w.confidence END FROM wk w JOIN pool p ON p.video_id = w.video_id AND p.g = w.g AND p.rn = w.rn + 1),
+won AS (SELECT video_id, g, arg_max(seq, rn) AS seq FROM wk GROUP BY 1, 2)"""
+
+
+@query("loud_engagements", sql("SELECT p.video_id, p.t0 AS session_start, p.seq, p.flashes, p.loud_at FROM pool p JOIN won USING (video_id, g, seq)", "long_loud", "long_event", more=ENGAGED.replace("FROM kill_event SEMI", 'FROM (SELECT * REPLACE ("time" % 256 AS "time") FROM kill_event) SEMI'), recursive=True))
+def loud_engagements(spark, d):
+    """One detection per engagement, anchored by the loudest moment around it."""
+    scan = settle(l.loudness_scan(views.long_loudness(spark, d)))
+    events = views.long_events(spark, d)
+    dense = events.withColumn("time", F.col("time") % END)
+    return l.loud_engagements(dense, scan).select("video_id", "session_start", "seq", "flashes", "loud_at")

@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import half_up, nz
-from tideline.operators.ordered import TILE, top_per_key, with_halo
+from tideline.functions import events as ev
+from tideline.operators.ordered import TILE, gap_sessions, top_per_key, with_halo
 from tideline.operators.ranges import band_join, overlap_join
-from tideline.operators.scans import spaced_peaks
+from tideline.operators.scans import scan_sessions, spaced_peaks
 
 KEY = ["video_id"]
 
@@ -104,6 +105,32 @@ def combat_peak(points: DataFrame, scan: DataFrame, at: str = "time", before: fl
         *points.columns, nz(F.col("_b.idx") * BUCKET_SEC, F.col(at)).alias("peak_time"), nz(F.col("_b.delta").cast("double"), 0.0).alias("peak_delta"))
 
 
+def loud_engagements(events: DataFrame, scan: DataFrame, gap: float = 4.5) -> DataFrame:
+    """One detection per engagement of a recording with loudness: the one nearest to the loudest moment around it.
+
+    The moment is the loudest bucket above its surroundings from the engagement's length and 5 s before its middle to 2 s after, else
+    the middle. Detections are taken in order of time, feed regions only if there are any: one that is nearer by more than 0.05 s
+    wins, one that is as near to 0.05 s wins by confidence. The walk keeps one detection, so long engagements are scanned in pieces."""
+    rows = gap_sessions(ev.complete(events).withColumn("at", ev.event_time()).join(scan.select(*KEY).distinct(), KEY, "left_semi"), KEY, "at", gap, ["seq"])
+    spans = rows.groupBy(*KEY, "session_start").agg(F.max("at").alias("_t1"), F.max(ev.top_right().cast("int")).alias("_feed"), F.count(F.lit(1)).alias("flashes"))
+    middle = (F.col("session_start") + F.col("_t1")) / 2
+    low = F.greatest(F.lit(0), F.floor((middle - (F.col("_t1") - F.col("session_start") + 5)) / BUCKET_SEC))
+    spans = spans.withColumns({"_middle": middle, "_lo": low, "_hi": F.ceil((middle + 2) / BUCKET_SEC)})
+    loud = overlap_join(scan.filter("delta > 0").select(*KEY, "idx", "delta"), spans.select(*KEY, "session_start", "_lo", "_hi"), KEY, (F.col("idx"), F.col("idx")), (F.col("_lo"), F.col("_hi")), bin_sec=120)
+    best = loud.groupBy(*KEY, "session_start").agg(F.max_by("idx", F.struct("delta", -F.col("idx"))).alias("_idx"))
+    spans = spans.join(best, [*KEY, "session_start"], "left").select(*KEY, "session_start", "flashes", "_feed", nz(F.col("_idx") * BUCKET_SEC, F.col("_middle")).alias("loud_at"))
+    pool = rows.join(spans, [*KEY, "session_start"]).filter((F.col("_feed") == 0) | ev.top_right())
+    slim = pool.select(*KEY, "session_start", "at", "seq", F.abs(F.col("at") - F.col("loud_at")).alias("dist"), nz(F.col("confidence"), 0.0).alias("conf"))
+
+    def step(prev: Column, row: Column) -> Column:
+        better = prev.isNull() | (row["dist"] < prev["dist"] - 0.05) | ((F.abs(row["dist"] - prev["dist"]) < 0.05) & (row["conf"] > prev["conf"]))
+        return F.struct(*[F.when(better, row[n]).otherwise(prev[n]).alias(n) for n in ("dist", "conf", "seq")])
+
+    walked = scan_sessions(slim, KEY, "session_start", "at", ["seq"], "struct<dist:double,conf:double,seq:bigint>", step)
+    won = walked.groupBy(*KEY, "session_start").agg(F.max_by("state.seq", F.struct("at", "seq")).alias("seq"))
+    return pool.join(won, [*KEY, "session_start", "seq"], "left_semi").drop("_feed")
+
+
 def snap_to_gunshot(points: DataFrame, scan: DataFrame, at: str = "time") -> DataFrame:
     """Move each point to the best gunshot-like bucket just before it, else 0.68 s earlier."""
     spikes = scan.filter(F.col("delta") >= 4.2).select(*KEY, "idx", "delta", "shot")
