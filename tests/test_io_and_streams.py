@@ -75,6 +75,19 @@ def test_project_sink_and_text_report(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == [f"line {i:02d}" for i in range(12)]
 
 
+def test_versions_are_written_once_and_broken_ones_again(spark, tmp_path):
+    rows, path = spark.range(5), str(tmp_path / "v")
+    assert sinks.latest_version(spark, path) is None
+    first = sinks.write_version(rows, path, "1")
+    sinks.write_version(spark.range(9), path, "1")
+    assert spark.read.json(first).count() == 5
+    broken = sinks.write_version(spark.range(3), path, "2")
+    (tmp_path / "v" / "version=2" / "_SUCCESS").unlink()
+    assert sinks.latest_version(spark, path) == first
+    assert sinks.write_version(rows, path, "2") == broken == sinks.latest_version(spark, path)
+    assert spark.read.json(broken).count() == 5
+
+
 def _stream(spark, tmp_path, df):
     src = str(tmp_path / "in")
     df.write.parquet(src)

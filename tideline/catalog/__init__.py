@@ -28,4 +28,4 @@ def load_all() -> None:
         importlib.import_module(f"tideline.catalog.{module}")
 
 
-MODULES = ["kill_queries", "loudness_queries", "text_queries", "report_queries", "project_queries", "caption_queries", "classify_queries", "select_queries", "story_queries", "source_queries", "stream_queries", "chain_queries", "shooter_queries", "detail_queries"]
+MODULES = ["kill_queries", "loudness_queries", "text_queries", "report_queries", "project_queries", "caption_queries", "classify_queries", "select_queries", "story_queries", "source_queries", "stream_queries", "chain_queries", "shooter_queries", "detail_queries", "sink_queries"]

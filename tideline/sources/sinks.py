@@ -1,7 +1,7 @@
 """Writers. Every write goes to a new version or replaces whole partitions; nothing is updated in place."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.plans.projects import newest
@@ -33,8 +33,36 @@ def write_annotated(annotated: DataFrame, path: str) -> DataFrame:
     return total
 
 
-def write_projects(projects: DataFrame, path: str, version: str) -> str:
-    """The newest two hundred projects as a new version folder; returns its path."""
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the committer leaves its marker last."""
+    files, target = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
+def write_version(rows: DataFrame, path: str, version: str) -> str:
+    """``rows`` as one version folder of JSON, written once: a committed version stays as it is, the leftovers of a broken run are
+    replaced. Returns the folder."""
     target = f"{path}/version={version}"
-    newest(projects).write.mode("error").json(target)
+    if not is_committed(rows.sparkSession, target):
+        rows.write.mode("overwrite").json(target)
     return target
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest committed version, by name."""
+    files, target = _path(spark, path)
+    if not files.exists(target):
+        return None
+    names = sorted(s.getPath().getName() for s in files.listStatus(target) if s.isDirectory() and s.getPath().getName().startswith("version="))
+    done = [n for n in names if is_committed(spark, f"{path}/{n}")]
+    return f"{path}/{done[-1]}" if done else None
+
+
+def write_projects(projects: DataFrame, path: str, version: str) -> str:
+    """The newest two hundred projects as a new version folder; returns its path."""
+    return write_version(newest(projects), path, version)
