@@ -10,7 +10,9 @@ from tideline.catalog.select_queries import CAND, _cand
 from tideline.catalog.shooter_queries import FLAGGED
 from tideline.catalog.story_queries import PANELS, _hits
 from tideline.catalog.text_queries import LINES, _profile_sql
+from tideline.functions import frames as fr
 from tideline.functions import text as tx
+from tideline.plans import classify as cl
 from tideline.plans import panels as pn
 from tideline.plans import review as r
 from tideline.plans import select as s
@@ -171,3 +173,39 @@ def talked_panels(spark, d):
     lines = views.transcript(spark, d).withColumn("text", F.when(F.length("text") % 5 == 0, F.concat(F.lit("look at the menu: "), "text")).otherwise(F.col("text")))
     made = pn.boost_by_talk(panels, lines, F.lit(10000.0))
     return made.select("video_id", "named", F.round("confidence", 6).alias("confidence"), F.round("end_time", 6).alias("end_time"))
+
+
+REGIONS = ["top_right", "top_center", "bottom_bar", "hotbar"]
+
+
+def _frames(spark, d):
+    """Lines as the on-screen text of frames, with a density per region from the length of the text."""
+    n = F.length("text")
+    density = F.create_map(*[x for i, r in enumerate(REGIONS) for x in (F.lit(r), (n % (i + 3)) / 4987)])
+    return views.long_lines(spark, d).select("video_id", F.col("seq").alias("frame"), "text", density.alias("density"))
+
+
+def _frame_sql():
+    """Points per frame and game in SQL."""
+    parts = []
+    for i, sig in enumerate(fr.SIGNATURES):
+        text = " + ".join(f"CASE WHEN regexp_matches(text, '(?i){x}') THEN {sig['weight']} ELSE 0 END" for x in sig["patterns"])
+        shape = "".join(f" + CASE WHEN {r} >= {limit} THEN 2.8 ELSE 0 END" for r, limit in fr.LAYOUT.get(sig["category"], {}).items())
+        parts.append(f"SELECT video_id, '{sig['category']}' AS category, '{sig['game']}' AS game, {i} AS pos, ({text}{shape})::DOUBLE AS points FROM dens")
+    sums = ", ".join(f"sum((length(text) % {i + 3})::DOUBLE / 4987) OVER o AS {r}" for i, r in enumerate(REGIONS))
+    return f"""dens AS (SELECT video_id, seq, text, {sums} FROM ln WINDOW o AS (PARTITION BY video_id ORDER BY seq)),
+pts AS ({" UNION ALL ".join(parts)}),
+games AS (SELECT video_id, category, game, round(sum(points), 6) AS score, min(pos) AS pos FROM pts WHERE points > 0 GROUP BY 1, 2, 3)"""
+
+
+@query("frame_scores", sql("""SELECT video_id, category, game, score, place, CASE WHEN place = 1 THEN CASE WHEN score >= 45 THEN 94 WHEN score >= 30 THEN 86 WHEN score >= 18 THEN 76 WHEN score >= 10 THEN 64 ELSE 50 END END AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, pos)::INT AS place FROM games) WHERE place <= 8""", "line", "long_line", more=_frame_sql()))
+def frame_scores(spark, d):
+    """The best games of every recording by on-screen text and layout."""
+    scores = cl.frame_scores(_frames(spark, d), fr.SIGNATURES, fr.LAYOUT)
+    return cl.shown_scores(scores, fr.SHOWN_SCORES).select("video_id", "category", "game", "score", "place", "confidence")
+
+
+@query("frame_layout", sql("SELECT video_id, count(*) AS frames, " + ", ".join(f"floor(sum((length(text) % {i + 3})::DOUBLE / 4987) / count(*) * 10000 + 0.5) / 10000 AS {r}" for i, r in enumerate(REGIONS)) + " FROM ln GROUP BY 1", "line", "long_line"))
+def frame_layout(spark, d):
+    return cl.frame_layout(_frames(spark, d), REGIONS)

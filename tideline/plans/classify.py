@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import nz
 from tideline.functions.patterns import BORING_WORDS, KILL_WORDS, has, java, java_lower, tokens
 from tideline.functions.profiles import GAMING_WORDS, PROFILES, SHOOTER_GAMES, SOURCE_WEIGHTS, SPOKEN_MATCHERS, TITLE_MATCHERS
-from tideline.operators.ordered import ordered, windowed
+from tideline.operators.ordered import ordered, top_per_key, windowed
 
 KEY = ["video_id"]
 MATCH_CAP, KEYWORD_CAP, KEYWORD_LEAST, KEYWORD_POINTS = 3, 4, 3, 2.5
@@ -205,6 +205,18 @@ def frame_scores(frames: DataFrame, signatures: list[dict], layout: dict[str, di
     return long.groupBy(*KEY, "category", "game").agg(F.round(F.sum("points"), 6).alias("score"), F.min("pos").alias("pos"))
 
 
+def frame_layout(frames: DataFrame, regions: list[str]) -> DataFrame:
+    """Frames of each recording and the mean density of each region over them."""
+    mean = [(F.floor(F.sum(nz(F.col("density")[r], 0.0)) / F.count(F.lit(1)) * 10_000 + 0.5) / 10_000).alias(r) for r in regions]
+    return frames.groupBy(*KEY).agg(F.count(F.lit(1)).alias("frames"), *mean)
+
+
+def shown_scores(scores: DataFrame, most: int) -> DataFrame:
+    """The best games of each recording with the confidence of the first one's score."""
+    top = top_per_key(scores, KEY, [F.desc("score"), F.col("pos")], most, rank="place")
+    return top.withColumn("confidence", F.when(F.col("place") == 1, frame_confidence(F.col("score"))))
+
+
 def frame_confidence(score: Column) -> Column:
     return F.when(score >= 45, 94).when(score >= 30, 86).when(score >= 18, 76).when(score >= 10, 64).otherwise(50)
 
