@@ -11,9 +11,11 @@ from tideline.catalog.kill_queries import CONFIRMED
 from tideline.catalog.loudness_queries import CLUSTERS, SCAN
 from tideline.catalog import shooter_sql as q
 from tideline.catalog.prefix import sql
+from tideline.catalog.text_queries import METRICS
 from tideline.functions import patterns as p
 from tideline.plans import loudness as l
 from tideline.plans import shooter as sh
+from tideline.plans import windows as w
 from tideline.session import settle
 
 END = 256.0
@@ -194,3 +196,26 @@ def loud_engagements(spark, d):
     events = views.long_events(spark, d)
     dense = events.withColumn("time", F.col("time") % END)
     return l.loud_engagements(dense, scan).select("video_id", "session_start", "seq", "flashes", "loud_at")
+
+
+ALL_TERMS = METRICS.replace("FROM line", "FROM ln") + ",\n" + SCAN + """,
+lastb AS (SELECT video_id, max(idx) AS li FROM scan GROUP BY 1),
+st AS (SELECT m.video_id, m.wid, max(delta)::DOUBLE AS mx, avg(delta::DOUBLE) AS av, arg_min(idx, (-delta, idx)) * 0.5::DOUBLE AS pt FROM m5 m JOIN lastb USING (video_id) JOIN scan s ON s.video_id = m.video_id
+  AND s.idx BETWEEN greatest(0, least(li, floor(w_start / 0.5))) AND greatest(0, least(li, floor(w_end / 0.5))) GROUP BY 1, 2),
+hy AS (SELECT *, mx >= 5 AND EXISTS (SELECT 1 FROM flagged f WHERE f.video_id = st.video_id AND f."end" >= pt - 6 AND f."start" <= pt + 6 AND (f.score >= 8 OR regexp_matches(f.text, '[?!]'))) AS hype FROM st),
+au AS (SELECT *, floor(least(150, greatest(0, mx) * 9 + greatest(0, av) * 5) + 0.5) + CASE WHEN hype THEN 50 ELSE 0 END - CASE WHEN mx < 2 AND av < 0.5 THEN 25 ELSE 0 END AS sound FROM hy),
+ev AS (SELECT m.video_id, m.wid, count(*) AS hk, least(120.0, count(*) * 28 + count(*) FILTER (WHERE confidence >= 0.65) * 12) AS boost FROM m5 m JOIN kill_event e ON e.video_id = m.video_id AND confidence >= 0.5 AND e."time" BETWEEN w_start - 0.5 AND w_end + 0.5 GROUP BY 1, 2),
+tm AS (SELECT m.*, coalesce(sound, 0) AS snd, coalesce(mx, 0) AS mx0, coalesce(hk, 0) AS hud_kills, coalesce(boost, 0) AS hud, coalesce(hype, false) AS hyped, m.video_id IN (SELECT video_id FROM kill_event) AS known
+  FROM m5 m LEFT JOIN au USING (video_id, wid) LEFT JOIN ev USING (video_id, wid)),
+tn AS (SELECT *, snd - CASE WHEN known AND hud_kills = 0 AND snd > 40 THEN 35 ELSE 0 END AS audio, CASE WHEN borings >= 1 AND kills = 0 THEN 120 WHEN hud_kills = 0 AND kills = 0 AND mx0 < 7 THEN 80 ELSE 0 END AS boring FROM tm)"""
+
+
+@query("window_all_terms", sql("SELECT video_id, wid, audio::DOUBLE AS audio, hud_kills, hud::DOUBLE AS hud, boring::DOUBLE AS boring, hyped OR hud_kills >= 2 AS hype, round(comp + audio + hud - boring, 3) AS composite FROM tn", "long_loud", "line", "long_line", "long_event", more=ALL_TERMS))
+def window_all_terms(spark, d):
+    """Windows scored by speech, loudness, kill feed and boredom together."""
+    scan, _, events, _ = _signals(spark, d)
+    lines = settle(w.scored_lines(views.long_lines(spark, d)))
+    ends = lines.groupBy("video_id").agg(F.max("end").alias("e"))
+    spans = ends.withColumn("wid", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / 20).cast("int")))).select("video_id", "wid", (F.col("wid") * 20).cast("double").alias("w_start"), (F.col("wid") * 20 + 28).cast("double").alias("w_end"))
+    made = w.full_scores(settle(w.window_metrics(lines, spans)), lines, events, scan, shooter=True)
+    return made.select("video_id", "wid", "audio", "hud_kills", "hud", "boring", "hype", F.round("composite", 3).alias("composite"))

@@ -166,6 +166,25 @@ def event_boost(events: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("boost", F.when(F.col("kills") > 0, F.least(F.lit(120.0), F.col("kills") * 28.0 + F.col("high") * 12.0)).otherwise(0.0)).drop("high")
 
 
+def full_scores(metrics: DataFrame, lines: DataFrame, events: DataFrame, scan: DataFrame, category: Column | None = None, shooter: bool = False) -> DataFrame:
+    """``metrics`` with ``audio``, ``hud_kills``, ``hud``, ``boring``, ``hype`` and ``composite``: all terms of a window's score.
+
+    A recording without loudness or without events has nothing for them. In shooter recordings loud windows without a kill lose 35 where
+    events are known, and talk about holding and windows without any sign of a fight are penalised."""
+    from tideline.plans.loudness import window_stats
+
+    spans = metrics.select(*WIN, "w_start", "w_end")
+    heard = audio_delta(lines, window_stats(scan, spans), tx.profile_value(category, "audio_weight")).select(*WIN, "audio_delta", "max_delta", F.col("hype").alias("_hype"))
+    seen = event_boost(events, spans).select(*WIN, F.col("kills").alias("hud_kills"), F.col("boost").alias("hud"))
+    known = events.select(*KEY).distinct().withColumn("_known", F.lit(True))
+    rows = metrics.join(heard, WIN, "left").join(seen, WIN).join(known, KEY, "left")
+    sound, loudest = nz(F.col("audio_delta"), 0.0), nz(F.col("max_delta"), 0.0)
+    alone = nz(F.col("_known"), False) & (F.col("hud_kills") == 0) & (sound > 40) & F.lit(shooter)
+    rows = rows.withColumns({
+        "audio": sound - F.when(alone, 35).otherwise(0), "boring": boring_penalty(F.col("hud_kills"), loudest) if shooter else F.lit(0.0), "hype": nz(F.col("_hype"), False) | (F.col("hud_kills") >= 2)})
+    return rows.withColumn("composite", composite(category, F.col("audio"), F.col("hud"), F.col("boring"))).drop("audio_delta", "max_delta", "_hype", "_known")
+
+
 def anchors(lines: DataFrame, chapters: DataFrame | None = None, peaks: DataFrame | None = None) -> DataFrame:
     """Four-second anchors scored by lines, chapter marks (+18) and loudness peaks (30 + 6 per dB)."""
     bucket = lambda c: (F.floor(F.col(c) / 4) * 4).cast("double")
