@@ -9,7 +9,7 @@ from tideline.catalog.prefix import sql
 from tideline.catalog.select_queries import CAND, _cand
 from tideline.catalog.shooter_queries import FLAGGED
 from tideline.catalog.story_queries import PANELS, _hits
-from tideline.catalog.text_queries import LINES, _profile_sql
+from tideline.catalog.text_queries import LINES, METRICS, _grid, _lines, _profile_sql
 from tideline.functions import frames as fr
 from tideline.functions import text as tx
 from tideline.plans import classify as cl
@@ -18,6 +18,7 @@ from tideline.plans import review as r
 from tideline.plans import select as s
 from tideline.plans import shooter as sh
 from tideline.plans import windows as w
+from tideline.session import settle
 
 
 @query("kill_line_scores", sql(f"""SELECT video_id, seq, round(CASE WHEN kill THEN score + {_profile_sql()} + 12 ELSE 0 END, 6) AS score FROM (SELECT *, 'shooter' AS cat FROM scored) JOIN (SELECT video_id, seq, kill FROM flag) USING (video_id, seq)""",
@@ -209,3 +210,20 @@ def frame_scores(spark, d):
 @query("frame_layout", sql("SELECT video_id, count(*) AS frames, " + ", ".join(f"floor(sum((length(text) % {i + 3})::DOUBLE / 4987) / count(*) * 10000 + 0.5) / 10000 AS {r}" for i, r in enumerate(REGIONS)) + " FROM ln GROUP BY 1", "line", "long_line"))
 def frame_layout(spark, d):
     return cl.frame_layout(_frames(spark, d), REGIONS)
+
+
+DOSSIER = METRICS + """,
+pr AS (SELECT video_id, wid, seq, trim(text) AS tx, "start" AS s, score, w_start + 14 AS pa FROM pairs),
+pz AS (SELECT video_id, wid, coalesce(min({'s': s, 'q': seq}) FILTER (WHERE abs(s - pa) < 1.5), arg_max({'s': s, 'q': seq}, (score, -s, -seq))) AS pk FROM pr GROUP BY 1, 2),
+rl AS (SELECT pr.*, pk, CASE WHEN s < pk.s - 0.3 THEN 'b' WHEN s > pk.s + 0.3 THEN 'a' ELSE 'n' END AS part FROM pr JOIN pz USING (video_id, wid)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, wid ORDER BY s, seq) AS r1, row_number() OVER (PARTITION BY video_id, wid, part ORDER BY s DESC, seq DESC) AS rb, row_number() OVER (PARTITION BY video_id, wid, part ORDER BY s, seq) AS ra,
+  row_number() OVER (PARTITION BY video_id, wid, score > 2 ORDER BY seq) AS rg FROM rl),
+tx AS (SELECT video_id, wid, coalesce(string_agg(tx, ' ' ORDER BY s, seq) FILTER (WHERE part = 'b' AND rb <= 2), any_value(tx) FILTER (WHERE r1 = 1)) AS setup, any_value(tx) FILTER (WHERE s = pk.s AND seq = pk.q) AS peak,
+  string_agg(tx, ' ' ORDER BY s, seq) FILTER (WHERE part = 'a' AND ra <= 2) AS tail, string_agg(tx, ' ' ORDER BY seq) FILTER (WHERE score > 2 AND rg <= 6) AS ex FROM rk GROUP BY 1, 2)"""
+
+
+@query("window_texts", sql("SELECT video_id, wid, left(coalesce(setup, ''), 72) AS setup_line, left(coalesce(peak, ''), 72) AS peak_line, left(coalesce(tail, ''), 72) AS tail_line, left(coalesce(ex, ''), 220) AS excerpt FROM win LEFT JOIN tx USING (video_id, wid)", "line", more=DOSSIER))
+def window_texts(spark, d):
+    """Setup, peak and tail lines and the excerpt of windows."""
+    spans = _grid(spark, d).withColumn("at", F.col("w_start") + 14)
+    return w.window_texts(settle(_lines(spark, d)), spans).select("video_id", "wid", "setup_line", "peak_line", "tail_line", "excerpt")

@@ -166,6 +166,34 @@ def event_boost(events: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("boost", F.when(F.col("kills") > 0, F.least(F.lit(120.0), F.col("kills") * 28.0 + F.col("high") * 12.0)).otherwise(0.0)).drop("high")
 
 
+def window_texts(lines: DataFrame, windows: DataFrame) -> DataFrame:
+    """Texts of each window ``(video_id, wid, w_start, w_end, at)``: ``setup_line`` (the two lines before the peak line, else the first one),
+    ``peak_line`` (the first line within 1.5 s of ``at``, else the best one), ``tail_line`` (the two after it), 72 characters each, and
+    ``excerpt`` (the first six lines worth more than 2, 220 characters).
+
+    Lines are ranked by time and score alone; only the dozen that a window shows are joined with their text."""
+    slim = lines.select(*KEY, "seq", F.col("start").alias("_s"), F.col("end").alias("_e"), "score")
+    pairs = overlap_join(slim, windows.select(*WIN, "w_start", "w_end", "at"), KEY, (F.col("_s"), F.col("_e")), (F.col("w_start"), F.col("w_end")))
+    whole = W.partitionBy(*WIN)
+    place, near = F.struct("_s", "seq"), F.abs(F.col("_s") - F.col("at")) < 1.5
+    best = F.max_by(place, F.struct("score", -F.col("_s"), -F.col("seq"))).over(whole)
+    pairs = pairs.withColumn("_pk", F.coalesce(F.min(F.when(near, place)).over(whole), best))
+    part = F.when(F.col("_s") < F.col("_pk._s") - 0.3, "before").when(F.col("_s") > F.col("_pk._s") + 0.3, "after").otherwise("beside")
+    pairs = pairs.withColumn("_part", part).withColumn("_good", F.col("score") > 2)
+    rank = lambda keys, order: F.row_number().over(W.partitionBy(*WIN, *keys).orderBy(*order))
+    pairs = pairs.withColumns({
+        "_first": rank([], ["_s", "seq"]), "_back": rank(["_part"], [F.desc("_s"), F.desc("seq")]), "_on": rank(["_part"], ["_s", "seq"]), "_nth": rank(["_good"], ["seq"])})
+    role = F.array_compact(F.array(
+        F.when((F.col("_part") == "before") & (F.col("_back") <= 2), "setup"), F.when(F.col("_first") == 1, "first"), F.when(place == F.col("_pk"), "peak"),
+        F.when((F.col("_part") == "after") & (F.col("_on") <= 2), "tail"), F.when(F.col("_good") & (F.col("_nth") <= 6), "excerpt")))
+    shown = pairs.select(*WIN, "seq", "_s", F.explode(role).alias("_role")).join(lines.select(*KEY, "seq", "text"), [*KEY, "seq"])
+    said = lambda name, *order: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_role") == name, F.struct(*order, "text")))), lambda x: x["text"]), " ")
+    out = shown.groupBy(*WIN).agg(*[said(name, "_s", "seq").alias(f"_{name}") for name in ("setup", "first", "peak", "tail")], said("excerpt", "seq").alias("_excerpt"))
+    cut = lambda text, n: F.left(F.coalesce(text, F.lit("")), F.lit(n))
+    texts = out.select(*WIN, cut(F.when(F.col("_setup") == "", F.col("_first")).otherwise(F.col("_setup")), 72).alias("setup_line"), cut(F.col("_peak"), 72).alias("peak_line"), cut(F.col("_tail"), 72).alias("tail_line"), cut(F.col("_excerpt"), 220).alias("excerpt"))
+    return windows.join(texts, WIN, "left").withColumns({n: nz(F.col(n), "") for n in ("setup_line", "peak_line", "tail_line", "excerpt")})
+
+
 def full_scores(metrics: DataFrame, lines: DataFrame, events: DataFrame, scan: DataFrame, category: Column | None = None, shooter: bool = False) -> DataFrame:
     """``metrics`` with ``audio``, ``hud_kills``, ``hud``, ``boring``, ``hype`` and ``composite``: all terms of a window's score.
 
