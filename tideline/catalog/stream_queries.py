@@ -94,3 +94,21 @@ def stream_expiry(spark, d):
     """Projects that a sweep removes: six hours after an update that did not save them, unless another one came."""
     e = _events(spark, d).select(F.col("video_id").alias("id"), "ts", "seq", (F.col("value") >= 40).alias("saved"), (F.unix_millis("ts") + 21_600_000).alias("expires_ms"))
     return live.run_to_table(live.expiries(e), _folder(spark))
+
+
+@query("stream_baseline", sql(f"""SELECT video_id, (b + 300) * 1000000 AS centre_us, round(avg(value), 6) AS base FROM (SELECT user_id AS video_id, value, (epoch_us(ts) // 60000000 - k) * 60 AS b, epoch_us(ts) AS us FROM events, range(0, 10) AS g(k))
+WHERE us >= b * 1000000 AND us < (b + 600) * 1000000 AND (b + 600) * 1000000 <= epoch_us({LAST}) - 30000000 GROUP BY video_id, b"""))
+def stream_baseline(spark, d):
+    """Means around every minute, sent once five minutes and the delay have passed."""
+    rows = live.run_to_table(live.baseline(_events(spark, d).select("video_id", "ts", "value"), 300, "60 seconds"), _folder(spark))
+    return rows.select("video_id", F.unix_micros("centre").alias("centre_us"), F.round("base", 6).alias("base"))
+
+
+@query("stream_words_in_clips", sql("""SELECT w.user_id AS video_id, c.event_id AS clip_id, epoch_us(w.ts) AS word_us, w.event_type AS text FROM events w JOIN events c ON w.user_id = c.user_id AND c.event_type = 'purchase' AND w.event_type <> 'purchase'
+AND w.ts >= c.ts AND w.ts <= c.ts + to_seconds((c.event_id % 5000)::BIGINT) AND w.ts <= c.ts + INTERVAL 1 HOUR"""))
+def stream_words_in_clips(spark, d):
+    """Words of two streams that meet their clips, whichever comes first."""
+    words = _events(spark, d).filter("event_type <> 'purchase'").select("video_id", F.col("ts").alias("word_ts"), F.col("event_type").alias("text"))
+    clips = _events(spark, d).filter("event_type = 'purchase'").select("video_id", F.col("seq").alias("clip_id"), F.col("ts").alias("clip_start"), (F.col("ts") + F.make_dt_interval(secs=(F.col("seq") % 5000).cast("decimal(18,6)"))).alias("clip_end"))
+    rows = live.run_to_table(live.words_in_clips(words, clips), _folder(spark))
+    return rows.select("video_id", "clip_id", F.unix_micros("word_ts").alias("word_us"), "text")
