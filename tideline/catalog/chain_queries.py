@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tideline import views
 from tideline.catalog import query
-from tideline.catalog.loudness_queries import CLUSTERS, _scan
+from tideline.catalog import shooter_sql as q
+from tideline.catalog.loudness_queries import CLUSTERS, _scan, greedy
 from tideline.catalog.prefix import sql
 from tideline.catalog.text_queries import _ends, _lines
 from tideline.plans import chains as c
@@ -102,19 +103,47 @@ def tight_peaks(spark, d):
     return c.strongest_tight(rows, ["video_id", "cluster_at"]).select("video_id", "cluster_at", "time")
 
 
-@query("peak_montages")
+PEAK_CUTS = CLUSTERS + """,
+tight AS (SELECT * FROM (SELECT *, sum(late) OVER (PARTITION BY video_id, c0 ORDER BY "time" ROWS UNBOUNDED PRECEDING) AS cut FROM (SELECT *, coalesce(("time" - lag("time") OVER (PARTITION BY video_id, c0 ORDER BY "time") > 22)::INT, 0) AS late
+  FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY video_id, c0 ORDER BY strength DESC, "time") <= 4))) WHERE cut = 0),
+pm_ow AS (SELECT video_id, c0, count(*) OVER (PARTITION BY video_id, c0) AS n, greatest(0, "time" - 0.2) AS a, 6.0 AS span, 4.0 AS low FROM tight),
+""" + q.peak_cuts("pm", 32) + """,
+""" + q.PAYOFF_PEAKS + """,
+pm_l AS (SELECT *, pt[-1] AS lk, floor(list_sum(du) * 10 + 0.5) / 10 AS total FROM pm_oh),
+pm_p AS (SELECT *, CASE WHEN len(st) >= 3 THEN (SELECT min(p."time") FROM pay_peaks p WHERE p.video_id = m.video_id AND p."time" BETWEEN lk + 1.5 AND least(32, lk + 20)) END AS pa FROM pm_l m),
+pm_d AS (SELECT *, CASE WHEN greatest(0, pa - 0.5) + 6.5 > 32 THEN greatest(0, 32 - 6.5) ELSE greatest(0, pa - 0.5) END AS ps FROM pm_p),
+pm_e AS (SELECT *, CASE WHEN greatest(0, pa - 0.5) + 6.5 > 32 THEN 32 - ps ELSE 6.5 END AS pd FROM pm_d),
+pm AS (SELECT *, coalesce(pa > lk + 2 AND total < 47 AND pd >= 5 AND total + pd <= 47, false) AS pays FROM pm_e)"""
+
+
+def _with_cuts(made):
+    """Cut lists as two arrays."""
+    return made.withColumns({name: F.transform("segments", lambda x: x[field]) for name, field in (("starts", "start"), ("lengths", "duration"))}).drop("segments")
+
+
+@query("peak_montages", sql("""SELECT video_id, c0 AS cluster_at, st AS starts, du AS lengths, len(st)::INT AS kill_count, st[1] AS start_time, pays AS has_payoff,
+  CASE WHEN pays THEN floor((floor(ps * 10 + 0.5) / 10 + floor(pd * 10 + 0.5) / 10) * 10 + 0.5) / 10 ELSE floor((st[-1] + du[-1]) * 10 + 0.5) / 10 END AS end_time,
+  CASE WHEN pays THEN floor((total + floor(pd * 10 + 0.5) / 10) * 10 + 0.5) / 10 ELSE total END AS output_duration FROM pm""", "loud", more=PEAK_CUTS, recursive=True))
 def peak_montages(spark, d):
     """Cut lists from loudness peak chains, with payoff moments appended."""
     rows = k.gap_span_clusters(_peaks(spark, d).select("video_id", "time", "idx", "strength"), "time", ["idx"], 18.0, 105.0)
     made = c.peak_segments(c.strongest_tight(rows, ["video_id", "cluster_at"]), ["video_id", "cluster_at"], 32.0)
     payoffs = l.loudness_peaks(_scan(spark, d), "payoff").select("video_id", "time")
-    return c.append_payoff(made, payoffs, 32.0).drop("segments", "payoff")
+    return _with_cuts(c.append_payoff(made, payoffs, 32.0)).drop("payoff")
+
+
+SPARSE_CUTS = greedy(*l.PRESETS["kill"]) + """,
+sq AS (SELECT video_id, list({'t': "time", 's': strength::DOUBLE} ORDER BY strength DESC, "time") AS ps FROM peaks GROUP BY 1),
+sr AS (SELECT video_id, unnest(list_reduce(list_transform(ps, lambda y: [y]), lambda acc, p: CASE WHEN len(acc) < 5 AND abs(p[1].t - acc[1].t) <= 75 AND abs(p[1].t - acc[-1].t) <= 22 THEN list_append(acc, p[1]) ELSE acc END)) AS v FROM sq),
+ss AS (SELECT video_id, v.t AS t, count(*) OVER (PARTITION BY video_id) AS n FROM sr),
+sc_ow AS (SELECT video_id, 0 AS c0, n, greatest(0, t - 0.2) AS a, 6.0 AS span, 4.0 AS low FROM ss WHERE n >= 2),
+""" + q.peak_cuts("sc", 32)
 
 
-@query("sparse_montages")
+@query("sparse_montages", sql("""SELECT video_id, st AS starts, du AS lengths, len(st)::INT AS kill_count, st[1] AS start_time, floor((st[-1] + du[-1]) * 10 + 0.5) / 10 AS end_time, floor(list_sum(du) * 10 + 0.5) / 10 AS output_duration FROM sc_oh""", "loud", more=SPARSE_CUTS, recursive=True))
 def sparse_montages(spark, d):
     """The strongest peak of a recording with its neighbours, as cuts."""
-    return c.peak_segments(c.sparse_peaks(_peaks(spark, d)), ["video_id"], 32.0).drop("segments")
+    return _with_cuts(c.peak_segments(c.sparse_peaks(_peaks(spark, d)), ["video_id"], 32.0))
 
 
 @query("highlight_candidates")

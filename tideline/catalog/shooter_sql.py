@@ -35,6 +35,19 @@ def payoff(src: str, name: str) -> str:
 {name} AS (SELECT *, st[1] AS start_time, {_tenth('st[-1] + du[-1]')} AS end_time, {_tenth('list_sum(du)')} AS output_duration FROM {name}_e)"""
 
 
+def peak_cuts(x: str, end: int = 256) -> str:
+    """``{x}_oh`` cut lists of the anchored peaks ``{x}_ow`` (video_id, c0, n, a, span, low): none overlaps the last, 26 s in all."""
+    return f"""{x}_ox AS (SELECT *, row_number() OVER (PARTITION BY video_id, c0 ORDER BY a) AS rn, CASE WHEN greatest(0, a - 2) + span > {end} THEN greatest(0, {end} - span) ELSE greatest(0, a - 2) END AS b FROM {x}_ow),
+{x}_oy AS (SELECT *, CASE WHEN greatest(0, a - 2) + span > {end} THEN {end} - b ELSE span END AS d FROM {x}_ox),
+{x}_og AS (SELECT video_id, c0, n, 0::BIGINT AS i, []::DOUBLE[] AS st, []::DOUBLE[] AS du, []::DOUBLE[] AS pt, 0.0::DOUBLE AS total, -1e9::DOUBLE AS ends, true AS going FROM {x}_oy WHERE rn = 1
+  UNION ALL SELECT video_id, c0, n, i + 1, CASE WHEN going AND NOT skip AND NOT big THEN list_append(st, {_tenth('b')}) ELSE st END, CASE WHEN going AND NOT skip AND NOT big THEN list_append(du, {_tenth('d')}) ELSE du END,
+    CASE WHEN going AND NOT skip AND NOT big THEN list_append(pt, {_tenth('a')}) ELSE pt END, CASE WHEN going AND NOT skip AND NOT big THEN total + d ELSE total END,
+    CASE WHEN going AND NOT skip AND NOT big THEN b + d ELSE ends END, going AND (skip OR NOT big)
+  FROM (SELECT g.*, o.a, o.b, o.d, o.d < o.low OR o.b < g.ends - 0.2 AS skip, (g.total + o.d > 26 AND g.total >= 12) OR g.total + o.d > 26 + o.span AS big
+    FROM {x}_og g JOIN {x}_oy o ON o.video_id = g.video_id AND o.c0 = g.c0 AND o.rn = g.i + 1)),
+{x}_oh AS (SELECT video_id, c0, st, du, pt, 26.0 AS most FROM {x}_og WHERE i = n AND len(st) >= 1 AND (n < 2 OR (len(st) >= 2 AND total >= 12)))"""
+
+
 def montages(ladder: str, chains: str, x: str) -> str:
     """``{x}`` montages of the peaks ``ladder`` (video_id, c0, rung, t, s, roi) of ``chains``, with their composite."""
     event = "rung IN ('feed', 'feed_wide', 'near_feed')"
@@ -54,15 +67,7 @@ def montages(ladder: str, chains: str, x: str) -> str:
 {x}_eg AS (SELECT video_id, c0, list(st ORDER BY u) AS st, list(d ORDER BY u) AS du, list(pt ORDER BY u) AS pt, 44.0 AS most FROM {x}_ed WHERE d >= 1.15 GROUP BY video_id, c0
   HAVING count(*) >= 2 AND {_tenth('sum(d)')} >= CASE WHEN count(*) >= 4 THEN 12 WHEN count(*) >= 3 THEN 7 ELSE 4 END),
 {x}_ow AS (SELECT video_id, c0, n, greatest(0, u + CASE WHEN ev THEN -0.75 WHEN rung = 'lines' THEN -0.15 ELSE -0.2 END) AS a, CASE WHEN n = 1 THEN 10.0 ELSE 6.0 END AS span, CASE WHEN n = 1 THEN 8.0 ELSE 4.0 END AS low FROM {x}_at WHERE NOT (ev AND n >= 2)),
-{x}_ox AS (SELECT *, row_number() OVER (PARTITION BY video_id, c0 ORDER BY a) AS rn, CASE WHEN greatest(0, a - 2) + span > 256 THEN greatest(0, 256 - span) ELSE greatest(0, a - 2) END AS b FROM {x}_ow),
-{x}_oy AS (SELECT *, CASE WHEN greatest(0, a - 2) + span > 256 THEN 256 - b ELSE span END AS d FROM {x}_ox),
-{x}_og AS (SELECT video_id, c0, n, 0::BIGINT AS i, []::DOUBLE[] AS st, []::DOUBLE[] AS du, []::DOUBLE[] AS pt, 0.0::DOUBLE AS total, -1e9::DOUBLE AS ends, true AS going FROM {x}_oy WHERE rn = 1
-  UNION ALL SELECT video_id, c0, n, i + 1, CASE WHEN going AND NOT skip AND NOT big THEN list_append(st, {_tenth('b')}) ELSE st END, CASE WHEN going AND NOT skip AND NOT big THEN list_append(du, {_tenth('d')}) ELSE du END,
-    CASE WHEN going AND NOT skip AND NOT big THEN list_append(pt, {_tenth('a')}) ELSE pt END, CASE WHEN going AND NOT skip AND NOT big THEN total + d ELSE total END,
-    CASE WHEN going AND NOT skip AND NOT big THEN b + d ELSE ends END, going AND (skip OR NOT big)
-  FROM (SELECT g.*, o.a, o.b, o.d, o.d < o.low OR o.b < g.ends - 0.2 AS skip, (g.total + o.d > 26 AND g.total >= 12) OR g.total + o.d > 26 + o.span AS big
-    FROM {x}_og g JOIN {x}_oy o ON o.video_id = g.video_id AND o.c0 = g.c0 AND o.rn = g.i + 1)),
-{x}_oh AS (SELECT video_id, c0, st, du, pt, 26.0 AS most FROM {x}_og WHERE i = n AND len(st) >= 1 AND (n < 2 OR (len(st) >= 2 AND total >= 12))),
+{peak_cuts(x)},
 {x}_cut AS (SELECT * FROM {x}_eg UNION ALL SELECT * FROM {x}_oh),
 {x}_pk AS (SELECT video_id, c0, any_value(rung) AS rung, max(u) AS hook, count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM kill_event e WHERE e.video_id = a.video_id AND abs(e."time" - a.u) <= 3.5) THEN u END) AS sure FROM {x}_at a GROUP BY 1, 2),
 {x}_m AS (SELECT c.*, c.c0 AS id, k.rung, k.hook, k.sure, len(st) >= 3 AND k.sure >= 2 AS may, (SELECT count(*) FROM confirmed f WHERE f.video_id = c.video_id) AS confirmed FROM {x}_cut c JOIN {x}_pk k USING (video_id, c0)),
