@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import views
 from tideline.catalog import query
+from tideline.catalog.kill_queries import PACKS
 from tideline.catalog.prefix import sql
 from tideline.session import shared_folder
 from tideline.streaming import live
@@ -67,7 +68,8 @@ def stream_dedupe(spark, d):
     return live.run_to_table(live.dedupe_detections(e, "1 hour"), _folder(spark))
 
 
-@query("stream_packs")
+@query("stream_packs", sql("""SELECT video_id, pack_at, kills, last_at FROM (SELECT *, lead(pack_at) OVER (PARTITION BY video_id ORDER BY pack_at, pack_seq) AS nx, (SELECT floor(max("time") * 1000) / 1000 - 10 FROM kill_event) AS seen
+FROM (SELECT video_id, pack_at, pack_seq, count(*)::INT AS kills, max("time") AS last_at FROM packs GROUP BY 1, 2, 3)) WHERE coalesce(nx <= seen, false) OR seen > last_at + 22""", "kill_event", more=PACKS, recursive=True))
 def stream_packs(spark, d):
     """Burst packs that are closed by a later event or by the watermark."""
     e = _events(spark, d)
