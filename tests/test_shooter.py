@@ -80,3 +80,11 @@ def test_worthy_candidates_need_a_kill(spark):
     lines = frame(spark, [(1, 1, 9.0, 11.0, *base[1:], True, True), (1, 2, 25.0, 26.0, *base[1:], False, True)],
                   "video_id int, seq int, start double, end double, score double, words int, mark string, reaction boolean, monologue boolean, setup boolean, negative boolean, kill_talk boolean, boring_talk boolean")
     assert {r["wid"] for r in sh.worthy(cands, lines).collect()} == {0, 2}
+
+
+def test_prompt_buckets_close_across_gaps(spark):
+    from tideline.plans import captions
+
+    lines = frame(spark, [(1, i, t, f"w{i}") for i, t in enumerate([0.0, 1.0, 7.0, 8.0, 9.0, 12.5, 13.0, 30.0])] + [(2, 0, 4.0, "um"), (2, 1, 6.5, "x")], "video_id long, seq int, start double, text string")
+    got = sorted((r["video_id"], r["start"], r["stamp"], r["text"]) for r in captions.prompt_buckets(lines).collect())
+    assert got == [(1, 0.0, 0, "w0"), (1, 1.0, 1, "w1 w2"), (1, 8.0, 7, "w3 w4 w5"), (1, 13.0, 12, "w6 w7"), (2, 6.5, 6, "x")]

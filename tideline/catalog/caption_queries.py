@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tideline import views
 from tideline.catalog import query
 from tideline.catalog.kill_queries import PACKS
+from tideline.catalog.text_queries import LINES
 from tideline.catalog.prefix import sql, tenth
 from tideline.functions.patterns import FILLERS
 from tideline.plans import captions as c
@@ -212,7 +213,14 @@ def output_from_source(spark, d):
     return c.output_from_source(layout, points, PACK).withColumn("out_t", F.round("out_t", 6))
 
 
-@query("prompt_buckets")
+BUCKETS = LINES + """,
+cl AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", seq) AS rn FROM cleaned WHERE clean <> ''),
+bk AS (SELECT video_id, rn, seq, "start" AS s, clean, "start" AS closed, seq AS bucket, true AS shut, 0.0::DOUBLE AS opened FROM cl WHERE rn = 1
+  UNION ALL SELECT c.video_id, c.rn, c.seq, c."start", c.clean, CASE WHEN c."start" - b.closed >= 5 THEN c."start" ELSE b.closed END, CASE WHEN b.shut THEN c.seq ELSE b.bucket END, c."start" - b.closed >= 5, b.closed
+  FROM bk b JOIN cl c ON c.video_id = b.video_id AND c.rn = b.rn + 1)"""
+
+
+@query("prompt_buckets", sql("""SELECT video_id, bucket, min(s) AS "start", floor(CASE WHEN arg_min(opened, (s, seq)) = 0 THEN min(s) ELSE arg_min(opened, (s, seq)) END)::BIGINT AS stamp, string_agg(clean, ' ' ORDER BY seq) AS text FROM bk GROUP BY 1, 2""", "line", more=BUCKETS, recursive=True))
 def prompt_buckets(spark, d):
     """Transcript text in buckets of about five seconds."""
     return c.prompt_buckets(views.transcript(spark, d))

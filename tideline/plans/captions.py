@@ -227,8 +227,11 @@ def output_from_source(layout: DataFrame, points: DataFrame, keys: Sequence[str]
 
 def prompt_buckets(lines: DataFrame, step: float = PROMPT_STEP) -> DataFrame:
     """Filler-free lines gathered into buckets: a bucket closes with the first line that starts ``step`` seconds or
-    more after the line that closed the last one. Text is joined per bucket, which spans at most ``step`` seconds of
-    lines; only times enter the scan."""
+    more after the line that closed the last one. Its ``stamp`` is the whole second of that last line, or of its own first
+    line if there is none before or that was at 0.
+
+    A line ``step`` or more after its neighbour always closes, so the scan starts anew there; only whether it joins an
+    open bucket depends on the line before. Text is joined per bucket, only times enter the scan."""
     rows = lines.withColumn("clean", strip_fillers(F.col("text"))).filter("clean != ''")
     rows = gap_sessions(rows, KEY, "start", step, ["seq"], strict=True)
     slim = rows.select(*KEY, "session_start", "start", "seq")
@@ -239,9 +242,13 @@ def prompt_buckets(lines: DataFrame, step: float = PROMPT_STEP) -> DataFrame:
         return F.struct(F.when(close, row["start"]).otherwise(prev["closed"]).alias("closed"), bucket.alias("bucket"), close.alias("shut"))
 
     marked = scan_sessions(slim, KEY, "session_start", "start", ["seq"], "struct<closed:double,bucket:int,shut:boolean>", advance)
-    placed = marked.select(*KEY, "seq", F.col("state.bucket").alias("bucket"))
-    return rows.join(placed, [*KEY, "seq"]).groupBy(*KEY, "bucket").agg(
-        F.min("start").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "clean"))), lambda r: r["clean"]), " ").alias("text"))
+    marked = ordered(marked.select(*KEY, "session_start", "start", "seq", "state"), KEY, "start", ["seq"], lag={"_before": "state", "_session": "session_start"})
+    joins = nz(F.col("_session") != F.col("session_start"), False) & ~nz(F.col("_before.shut"), True)
+    placed = marked.select(*KEY, "seq", F.when(joins, F.col("_before.bucket")).otherwise(F.col("state.bucket")).alias("bucket"), F.col("_before.closed").alias("_closed"))
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "clean"))), lambda r: r["clean"]), " ")
+    out = rows.join(placed, [*KEY, "seq"]).groupBy(*KEY, "bucket").agg(F.min("start").alias("start"), F.min_by("_closed", F.struct("start", "seq")).alias("_closed"), said.alias("text"))
+    opened = F.when(nz(F.col("_closed"), 0.0) == 0, F.col("start")).otherwise(F.col("_closed"))
+    return out.select(*KEY, "bucket", "start", F.floor(opened).alias("stamp"), "text")
 
 
 def sample_text(df: DataFrame, text: str, out: str, budget: int = 6000, head: int = 2000, tail: int = 1000) -> DataFrame:
