@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tideline import views
 from tideline.catalog import query
 from tideline.catalog import shooter_sql as q
+from tideline.catalog.kill_queries import CLIPS, PACKS, SMALL
 from tideline.catalog.loudness_queries import CLUSTERS, _scan, greedy
 from tideline.catalog.prefix import sql
 from tideline.catalog.text_queries import _ends, _lines
@@ -32,7 +33,12 @@ def event_clusters(spark, d):
     return c.event_clusters(views.kill_events(spark, d)).select("video_id", "cluster_at", "seq")
 
 
-@query("cluster_montages")
+WIDE_PACKS = WIDE + """,
+packs AS (SELECT video_id, seq, "time", c0 AS pack_at, min(seq) OVER (PARTITION BY video_id, c0) AS pack_seq, 1 AS pos FROM w4 QUALIFY count(*) OVER (PARTITION BY video_id, c0) >= 2)""" + SMALL[len(PACKS):]
+WIDE_CLIPS = CLIPS.replace("AND max(pt) - min(pt) <= 55 AND coalesce(max(jump), 0) <= 35", "AND max(pt) - min(pt) <= 600 AND (coalesce(max(jump), 0) > 35 OR max(pt) - min(pt) <= 55)")
+
+
+@query("cluster_montages", sql(f"SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY kill_count DESC, pack_at)::INT AS place FROM ({WIDE_CLIPS})", "kill_event", more=WIDE_PACKS, recursive=True))
 def cluster_montages(spark, d):
     """One montage per wide cluster."""
     return c.cluster_montages(views.kill_events(spark, d), views.RECORDING_SEC).drop("segments")
