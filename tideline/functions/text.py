@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numeric import half_up, nz
 from tideline.functions.patterns import (
-    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_lower, has_lower, hits_lower, java, may_hit, tokens)
+    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_of, has_lower, hits_lower, java, lead_tokens, may_hit, one_of, split_words, token_hit, token_hits, tokens)
 from tideline.functions.profiles import PROFILES
 
 SPACES = "\t\n\x0b\x0c\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,18 +47,33 @@ def profile_value(category: Column | None, field: str) -> Column:
     return out
 
 
+def _may_fill(tok: Column, squeezed: Column) -> Column:
+    """Whether stripping fillers may change a squeezed text with these tokens."""
+    words, rest = [], []
+    for alt in FILLERS[3:-3].split("|"):
+        (rest if " " in alt else words).append(alt)
+    phrase = may_hit(tok, [rf"\b({'|'.join(rest)})\b"]) & F.lower(squeezed).rlike("|".join([*rest, "[ſı]"]))
+    return one_of(tok, words) | phrase
+
+
+#: Patterns that rules on measured lines may ask for, and the tokens these ask for.
+LINE_PATTERNS = (*REACTION, *LORE, *NEGATIVE, SETUP_WORDS, KILL_WORDS, BORING_WORDS, FILLERS,
+                 *[p for profile in PROFILES.values() for p in profile["keywords"] + profile["lore"] if p.startswith(r"\b(")])
+VOCABULARY = frozenset(lead_tokens(LINE_PATTERNS)) | {w for p in LINE_PATTERNS for w in split_words(p)[0]}
+
+
 CAPS_JAVA = r"(?:(?<![A-Za-z0-9_])(?=[A-Z])|(?<=[A-Za-z0-9_])(?=[ÄÖÜ]))[A-ZÄÖÜ]{2,}(?:(?<=[A-Z])(?![A-Za-z0-9_])|(?<=[ÄÖÜ])(?=[A-Za-z0-9_]))"
 
 
 def measure_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the helper columns the line rules read, in layers so that each is computed once per line:
-    ``clean`` (filler-free text), ``low``/``raw_low`` (lower case), ``tok`` (tokens), word counts and marks."""
+    ``clean`` (filler-free text), ``low``/``raw_low`` (lower case), ``tok`` (tokens that some rule asks for), word counts and marks."""
     src = F.col(text)
     rows = df.withColumns({"raw_low": F.lower(src), "_sq": squeeze(src)})
-    rows = rows.withColumns({"tok": tokens(F.col("raw_low")), "words": count_squeezed(F.col("_sq"))})
-    rows = rows.withColumn("clean", F.when(may_hit(F.col("tok"), [FILLERS]), squeeze(F.regexp_replace("_sq", java(FILLERS), ""))).otherwise(F.col("_sq")))
+    rows = rows.withColumns({"tok": F.filter(tokens(F.col("raw_low")), lambda w: w.isin(*sorted(VOCABULARY))), "words": count_squeezed(F.col("_sq"))})
+    rows = rows.withColumn("clean", F.when(_may_fill(F.col("tok"), F.col("_sq")), squeeze(F.regexp_replace("_sq", java(FILLERS), ""))).otherwise(F.col("_sq")))
     rows = rows.withColumn("low", F.lower("clean"))
-    upper = F.when(F.col("clean") != F.col("low"), F.regexp_count("clean", F.lit(CAPS_JAVA))).otherwise(0)
+    upper = F.when((F.col("clean") != F.col("low")) & F.col("clean").rlike("[A-ZÄÖÜ]{2}"), F.regexp_count("clean", F.lit(CAPS_JAVA))).otherwise(0)
     return rows.withColumns({"n": count_squeezed(F.col("clean")), "caps": upper, "ask": F.contains("clean", F.lit("?")), "cry": F.contains("clean", F.lit("!"))}).drop("_sq")
 
 
@@ -72,19 +87,18 @@ def line_score(gap: Column, duration: Column, category: Column | None = None) ->
     size = (F.when(n <= 4, F.when(emphatic, 12).otherwise(5)).when(n <= 8, F.when(emphatic, 9).otherwise(4)).when(n <= 14, 2)
             .when(n >= 32, -22).when(n >= 24, -14).when(n >= 18, -6).otherwise(0)).cast("double")
     marks = (F.when(ask, 7).otherwise(0) + F.when(cry, 8).otherwise(0) + F.when(ask & (n <= 12), 5).otherwise(0)
-             + F.when(cry & (n <= 10), 6).otherwise(0) + F.when(F.col("clean").rlike(r"\.\.\.|—|–|…"), 2).otherwise(0))
+             + F.when(cry & (n <= 10), 6).otherwise(0) + F.when(any_of(F.col("clean"), "...", "—", "–", "…"), 2).otherwise(0))
     bonus, penalty = profile_value(category, "keyword_bonus"), profile_value(category, "lore_penalty")
-    shared = hits_lower(low, REACTION) * bonus - hits_lower(low, LORE) * penalty - hits_lower(low, NEGATIVE) * 28.0
-    keywords = F.when(may_hit(tok, REACTION + LORE + NEGATIVE), shared).otherwise(0.0)
+    keywords = token_hits(tok, low, REACTION) * bonus - token_hits(tok, low, LORE) * penalty - token_hits(tok, low, NEGATIVE) * 28.0
     own = F.lit(0.0)
     if category is not None:
         for name, profile in PROFILES.items():
             plain = tuple(p for p in profile["keywords"] + profile["lore"] if p.startswith(r"\b("))
             marks_only = tuple(p for p in profile["keywords"] if p not in plain)
             if plain:
-                value = (hits_lower(low, tuple(p for p in profile["keywords"] if p in plain)) * float(profile["keyword_bonus"] + 2)
-                         - hits_lower(low, profile["lore"]) * float(int(profile["lore_penalty"] * 0.85 + 0.5)))
-                value = F.when(may_hit(tok, plain), value).otherwise(0.0) + hits_lower(low, marks_only) * float(profile["keyword_bonus"] + 2)
+                value = (token_hits(tok, low, tuple(p for p in profile["keywords"] if p in plain)) * float(profile["keyword_bonus"] + 2)
+                         - token_hits(tok, low, profile["lore"]) * float(int(profile["lore_penalty"] * 0.85 + 0.5)))
+                value = value + hits_lower(low, marks_only) * float(profile["keyword_bonus"] + 2)
                 own = F.when(category == name, value).otherwise(own)
     pause = F.when(gap >= 0.8, F.least(gap * 2.5, F.lit(8.0))).otherwise(0.0)
     rate = F.when(duration > 0, n / duration)
@@ -93,12 +107,17 @@ def line_score(gap: Column, duration: Column, category: Column | None = None) ->
 
 
 def talk(pattern: str) -> Column:
-    """Whether the raw text of a measured line contains the words."""
-    return F.when(may_hit(F.col("tok"), [pattern]), has_lower(F.col("raw_low"), pattern)).otherwise(False)
+    """Whether the raw text of a measured line contains the words of one of ``LINE_PATTERNS``."""
+    if pattern not in LINE_PATTERNS:
+        raise ValueError(f"not measured: {pattern}")
+    return token_hit(F.col("tok"), F.col("raw_low"), pattern)
 
 
 def _any(patterns) -> Column:
-    return F.when(may_hit(F.col("tok"), patterns), any_lower(F.col("raw_low"), patterns)).otherwise(False)
+    test = F.lit(False)
+    for p in patterns:
+        test = test | talk(p)
+    return test
 
 
 def shooter_line_score(category: Column | None = None) -> Column:
@@ -108,10 +127,10 @@ def shooter_line_score(category: Column | None = None) -> Column:
 def line_flags(text: str = "text") -> dict[str, Column]:
     """Flags of a measured line that window scores count."""
     src = F.col(text)
-    mark = src.rlike("[?!]")
+    mark = any_of(src, "?", "!")
     return {
         "mark": mark, "reaction": mark | _any(REACTION), "monologue": (F.col("words") >= 22) | _any(LORE), "setup": F.contains(src, F.lit("?")) | talk(SETUP_WORDS),
-        "negative": F.when(may_hit(F.col("tok"), NEGATIVE), hits_lower(F.col("raw_low"), NEGATIVE)).otherwise(0),
+        "negative": token_hits(F.col("tok"), F.col("raw_low"), NEGATIVE),
         "kill_talk": talk(KILL_WORDS), "boring_talk": talk(BORING_WORDS)}
 
 
@@ -130,7 +149,7 @@ DANGLING = r"(?:^|\s)(sonst|und|oder|aber|weil|dass|wenn|ich|er|sie|es|dem|den|d
 OPENERS = r"^(was|wie|warum|wieso|what|how|why|wait|warte)\b"
 
 
-def _let(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     """``body`` over a value that is evaluated once, however often the body refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -143,7 +162,7 @@ def teaser_score(clean: Column, base: Column, ratio: Column) -> Column:
     """Value of a line as opening scene; ``base`` is its line score and ``ratio`` its place in the clip."""
     place = (F.when((ratio >= 0.45) & (ratio <= 0.88), 6).when((ratio >= 0.35) & (ratio < 0.45), 1).otherwise(0)
              - F.when(ratio < 0.35, 18).otherwise(0) - F.when(ratio < 0.12, 8).otherwise(0) - F.when(ratio > 0.95, 5).otherwise(0))
-    words = _let(_seen(clean), lambda v: F.when(v["n"].between(4, 16), 5).otherwise(0) - F.when(v["n"] <= 2, 4).otherwise(0) + hits_lower(v["l"], TEASER) * 9 + F.when(v["c"].contains("!"), 4).otherwise(0))
+    words = once(_seen(clean), lambda v: F.when(v["n"].between(4, 16), 5).otherwise(0) - F.when(v["n"] <= 2, 4).otherwise(0) + hits_lower(v["l"], TEASER) * 9 + F.when(v["c"].contains("!"), 4).otherwise(0))
     return base + words + place
 
 
@@ -159,7 +178,7 @@ def _valid(v: Column) -> Column:
 
 def valid_cliffhanger(clean: Column) -> Column:
     """Whether the filler-free text reads as a complete tease."""
-    return _let(_seen(clean), _valid)
+    return once(_seen(clean), _valid)
 
 
 def cliffhanger_score(clean: Column, base: Column, ratio: Column, teaser_at: Column, at: Column) -> Column:
@@ -171,7 +190,7 @@ def cliffhanger_score(clean: Column, base: Column, ratio: Column, teaser_at: Col
             F.when(v["c"].rlike(r"\?\s*$"), 14.0).otherwise(0.0) + F.when(v["c"].rlike(r"\.\.\.|…"), 9).otherwise(0) + F.when(v["c"].endswith("!") & (v["n"] <= 10), 3).otherwise(0)
             + hits_lower(v["l"], TEASE) * 11 + F.when(v["n"].between(5, 12), 6).otherwise(0) - F.when(v["n"] > 16, 10).otherwise(0)))
 
-    return F.coalesce(_let(_seen(clean), words) + base * 0.55 + place, F.lit(-999.0))
+    return F.coalesce(once(_seen(clean), words) + base * 0.55 + place, F.lit(-999.0))
 
 
 def format_cliffhanger(clean: Column, most: int = 72) -> Column:
@@ -186,7 +205,7 @@ def format_cliffhanger(clean: Column, most: int = 72) -> Column:
         return F.when((clean != "") & valid_cliffhanger(strip_fillers(out)), out).otherwise("")
 
     marked = F.when(clean.rlike(r"[?!….]$"), clean).otherwise(F.concat(clean, F.lit("…")))
-    return _let(_let(marked, shorten), checked)
+    return once(once(marked, shorten), checked)
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -197,7 +216,7 @@ def word_overlap(a: Column, b: Column) -> Column:
         shared = F.size(F.filter(v["b"], lambda w: F.array_contains(v["a"], w)))
         return F.when((F.size(v["a"]) == 0) | (F.size(v["b"]) == 0), 0.0).otherwise(shared / F.greatest(F.size(v["b"]), F.lit(1)))
 
-    return _let(F.struct(F.array_distinct(keep(a)).alias("a"), keep(b).alias("b")), share)
+    return once(F.struct(F.array_distinct(keep(a)).alias("a"), keep(b).alias("b")), share)
 
 
 def teaser_seconds(clean: Column) -> Column:
