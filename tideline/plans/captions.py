@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numeric import hundredth, nz, tenth
 from tideline.functions.patterns import has
-from tideline.functions.text import strip_fillers
+from tideline.functions.text import once, strip_fillers
 from tideline.operators.ordered import gap_sessions, ordered
 from tideline.operators.ranges import overlap_join
 from tideline.operators.scans import scan_sessions
+from tideline.session import settle
 
 KEY = ["video_id"]
 CLIP = ["video_id", "wid"]
@@ -90,19 +91,28 @@ def sync_diagnostics(words: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
                                    F.count_if(F.col("start") < F.col("_pe") - 0.01).alias("overlaps"))
 
 
+#: Occurs in every lower-case text that can hold an impact word or phrase: a listed word of four letters or more, or the first
+#: run of letters of a phrase as a whole word. Stripping fillers never joins two ASCII letters, so neither comes from several words.
+_MAY_IMPACT = "|".join(["!", *[w for w in IMPACT_WORDS if len(w) >= 4], r"(?<![a-z0-9_])(?:oh|no|what|holy|wtf|omg|auf|alter|schei)(?![a-z0-9_])"])
+
+
 def impact_word(text: Column) -> Column:
     """Whether a caption word deserves emphasis."""
+    def full(clean: Column) -> Column:
+        token = F.element_at(F.split(clean, r"\s+"), 1)
+        listed = (F.length(token) >= 4) & token.isin(*IMPACT_WORDS)
+        phrase = has(clean, IMPACT_PHRASES[0]) | has(clean, IMPACT_PHRASES[1])
+        return F.when(F.length(clean) < 3, False).otherwise(listed | phrase | (F.contains(text, F.lit("!")) & (F.length(token) >= 3)))
+
     clean = F.lower(F.trim(F.regexp_replace(strip_fillers(text), r"[^A-Za-z0-9_äöüßÄÖÜ]", " ")))
-    token = F.element_at(F.split(clean, r"\s+"), 1)
-    listed = (F.length(token) >= 4) & token.isin(*IMPACT_WORDS)
-    phrase = has(clean, IMPACT_PHRASES[0]) | has(clean, IMPACT_PHRASES[1])
-    return F.when(F.length(clean) < 3, False).otherwise(listed | phrase | (F.contains(text, F.lit("!")) & (F.length(token) >= 3)))
+    return F.when(F.lower(text).rlike(_MAY_IMPACT), once(clean, full)).otherwise(False)
 
 
 def highlight_words(words: DataFrame, min_gap: int = HIGHLIGHT_GAP) -> DataFrame:
-    """Emphasised words, at most one in ``min_gap``. Only impact words enter the scan."""
-    hits = words.withColumn("_pos", F.col("seq").cast("double")).filter(impact_word(F.col("text")))
-    rows = gap_sessions(hits.select(*KEY, "seq", "_pos"), KEY, "_pos", float(min_gap), strict=True)
+    """Emphasised words, at most one in ``min_gap``. Only impact words enter the scan; they are written once, because the scan
+    reads them several times."""
+    hits = settle(words.withColumn("_pos", F.col("seq").cast("double")).filter(impact_word(F.col("text"))).select(*KEY, "seq", "_pos"))
+    rows = gap_sessions(hits, KEY, "_pos", float(min_gap), strict=True)
 
     def step(prev: Column, row: Column) -> Column:
         take = prev.isNull() | (row["_pos"] - prev["last"] >= min_gap)
