@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import nz
-from tideline.functions.patterns import BORING_WORDS, KILL_WORDS, has, java, java_lower, tokens
+from tideline.functions.patterns import BORING_WORDS, KILL_WORDS, any_of, has, java_lower, one_of
 from tideline.functions.profiles import GAMING_WORDS, PROFILES, SHOOTER_GAMES, SOURCE_WEIGHTS, SPOKEN_MATCHERS, TITLE_MATCHERS
 from tideline.operators.ordered import ordered, top_per_key, windowed
 
@@ -28,12 +28,23 @@ for _i, (_cat, _profile) in enumerate(PROFILES.items()):
     RULES += [{"set": "keywords", "pos": 200 + _i, "category": _cat, "game": None, "weight": 1.0, "pattern": p} for p in _profile["keywords"]]
 
 
-def _needs(rule: dict) -> tuple[set[str], set[str]]:
-    """Whole tokens and plain substrings one of which occurs in every text the rule matches: tokens where the
-    alternatives are plain words, substrings where words may be glued together."""
+def _single_words(rule: dict) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The rule's alternatives that are single ASCII words, whose matches are equal tokens, and the others."""
+    word = re.fullmatch(r"\\b([a-z0-9_]+)\\b", rule["pattern"])
+    if word:
+        return (word.group(1),), ()
+    group = re.fullmatch(r"\\b\((.*)\)\\b", rule["pattern"])
+    alts = (group.group(1) if group else rule["pattern"]).split("|")
+    single = tuple(a for a in alts if group and re.fullmatch(r"[a-z0-9_]+", a))
+    return single, tuple(a for a in alts if a not in single)
+
+
+def _needs(rule: dict, only: tuple[str, ...] | None = None) -> tuple[set[str], set[str]]:
+    """Whole tokens and plain substrings one of which occurs in every text the rule matches (by the alternatives ``only``): tokens
+    where the alternatives are plain words, substrings where words may be glued together."""
     words, parts = set(), set()
     group = re.fullmatch(r"\\b\((.*)\)\\b", rule["pattern"])
-    for alt in (group.group(1) if group else rule["pattern"]).split("|"):
+    for alt in only if only is not None else (group.group(1) if group else rule["pattern"]).split("|"):
         plain = re.sub(r"\\b|\(\?[!:].*$", "", alt)
         run = re.match(r"[a-z0-9_]+", re.sub(r"^[^a-z0-9_]+", "", plain))
         if run is None:
@@ -47,7 +58,7 @@ def _needs(rule: dict) -> tuple[set[str], set[str]]:
 
 def _guard(low: Column, tok: Column, words: set[str], parts: set[str]) -> Column:
     """A cheap test that holds wherever a rule with these needs matches."""
-    test = F.arrays_overlap(tok, F.array(*[F.lit(w) for w in sorted(words)])) if words else F.lit(False)
+    test = one_of(tok, words) if words else F.lit(False)
     for p in sorted(parts):
         test = test | F.contains(low, F.lit(p))
     return test
@@ -57,21 +68,34 @@ def rule_counts(texts: DataFrame, sets: tuple[str, ...], keys: list[str]) -> Dat
     """Matches per text and rule, as long rows ``(keys, rule, n)``, for texts in column ``low``; ``more`` holds the
     start of the following text, whose own matches are subtracted again.
 
-    Each text is cut into tokens once and only the tokens that start some rule are kept; a rule's pattern runs only on
-    texts that hold one of its own, and beyond the text only if it can match several words.
+    Each text is cut into tokens once and only the tokens that start some rule are kept. A rule of single words counts its
+    tokens. A pattern runs only on texts that hold the start of something else it can match, and beyond the text only if it
+    can match several words.
     """
-    rules = [(i, r, *_needs(r)) for i, r in enumerate(RULES) if r["set"] in sets]
-    words, parts = set().union(*[x[2] for x in rules]), set().union(*[x[3] for x in rules])
-    rows = texts.withColumn("_after", nz(F.col("more"), "")).withColumn("_ext", F.concat("low", "_after"))
-    rows = rows.withColumn("_tok", F.array_intersect(tokens(F.col("_ext")), F.array(*[F.lit(w) for w in sorted(words)])))
-    rows = rows.filter((F.size("_tok") > 0) | _guard(F.col("_ext"), F.col("_tok"), set(), parts))
+    rules = [(i, r, *_single_words(r)) for i, r in enumerate(RULES) if r["set"] in sets]
+    words = set().union(*[set(single) | _needs(r)[0] for _, r, single, _ in rules])
+    rows = texts.filter(F.col("low").isNotNull()).withColumn("_after", nz(F.col("more"), ""))
+    rows = rows.withColumns({"_ext": F.concat("low", "_after"), "_glued": (F.col("_after") != "") & ~F.col("_after").rlike(r"^\s")})
+    rows = rows.withColumn("_tok", F.filter(F.split("low", r"\W+"), lambda w: w.isin(*sorted(words))))
 
-    def count(pattern: str) -> Column:
+    def matches(pattern: str) -> Column:
         if not re.search(r" |\\s|\\W|(?<!\\)\.", pattern):
             return F.regexp_count("low", F.lit(java_lower(pattern)))
         return F.regexp_count("_ext", F.lit(java_lower(pattern))) - F.when(F.col("_after") == "", 0).otherwise(F.regexp_count("_after", F.lit(java_lower(pattern))))
 
-    found = F.array(*[F.struct(F.lit(i).alias("rule"), F.when(_guard(F.col("_ext"), F.col("_tok"), w, p), count(r["pattern"])).otherwise(0).alias("n")) for i, r, w, p in rules])
+    def count(rule: dict, single: tuple[str, ...], rest: tuple[str, ...]) -> Column:
+        # What may match in several words starts in the text, unless the text behind it goes on without a space.
+        other = F.col("_glued")
+        phrases = [a for a in rest if re.fullmatch(r"[a-z0-9_äöüß ]+", a)]
+        words, parts = _needs(rule, tuple(phrases))
+        if phrases:
+            other = other | (_guard(F.col("low"), F.col("_tok"), words, parts) & any_of(F.col("_ext"), *phrases))
+        if len(phrases) < len(rest):
+            other = other | _guard(F.col("low"), F.col("_tok"), *_needs(rule, tuple(a for a in rest if a not in phrases)))
+        alone = F.size(F.filter("_tok", lambda w: w.isin(*single))) if single else F.lit(0)
+        return F.when(other, matches(rule["pattern"])).otherwise(alone)
+
+    found = F.array(*[F.struct(F.lit(i).alias("rule"), count(r, single, rest).alias("n")) for i, r, single, rest in rules])
     return rows.select(*keys, F.explode(F.filter(found, lambda x: x["n"] != 0)).alias("_m")).select(*keys, "_m.rule", "_m.n")
 
 
@@ -110,13 +134,14 @@ def transcript_points(lines: DataFrame) -> DataFrame:
     speech = SOURCE_WEIGHTS["transcript"]
     kind = _rule_value("set")
     base = 5000
-    matched = total.filter(kind != "keywords").filter("n > 0").select(
-        *KEY, _rule_value("category").alias("category"), _rule_value("game").alias("game"),
-        (_rule_value("weight") * F.least(F.col("n"), F.lit(MATCH_CAP)) * F.when(kind == "title", speech * TITLE_ON_SPEECH).otherwise(speech)).alias("points"), (_rule_value("pos") + base).alias("pos"))
-    words = total.filter(kind == "keywords").groupBy(*KEY, _rule_value("category").alias("category")).agg(
-        F.sum(F.least(F.col("n"), F.lit(KEYWORD_CAP))).alias("_h"), F.min(_rule_value("pos")).alias("pos")).filter(F.col("_h") >= KEYWORD_LEAST)
-    dense = words.select(*KEY, "category", F.lit(None).cast("string").alias("game"), (F.col("_h") * KEYWORD_POINTS * speech * KEYWORDS_ON_SPEECH).alias("points"), (F.col("pos") + base).alias("pos"))
-    return matched.unionByName(dense)
+    # A row per matched rule and one per category of keywords, in one pass over the counts.
+    group = F.when(kind == "keywords", _rule_value("category")).otherwise(F.col("rule").cast("string"))
+    sums = total.filter((kind == "keywords") | (F.col("n") > 0)).groupBy(*KEY, group.alias("_g")).agg(
+        F.max("rule").alias("rule"), F.max("n").alias("n"), F.sum(F.least(F.col("n"), F.lit(KEYWORD_CAP))).alias("_h"), F.min(_rule_value("pos")).alias("pos"))
+    single = _rule_value("weight") * F.least(F.col("n"), F.lit(MATCH_CAP)) * F.when(kind == "title", speech * TITLE_ON_SPEECH).otherwise(speech)
+    points = F.when(kind == "keywords", F.col("_h") * KEYWORD_POINTS * speech * KEYWORDS_ON_SPEECH).otherwise(single)
+    return sums.filter((kind != "keywords") | (F.col("_h") >= KEYWORD_LEAST)).select(
+        *KEY, _rule_value("category").alias("category"), _rule_value("game").alias("game"), points.alias("points"), (F.col("pos") + base).alias("pos"))
 
 
 def merged_scores(*points: DataFrame) -> DataFrame:
@@ -184,19 +209,27 @@ def infer_shooter(videos: DataFrame) -> DataFrame:
     return videos.withColumn("reason", reason).filter(F.col("reason").isNotNull()).withColumn("confidence", F.lit(82))
 
 
+def _shows(low: Column, pattern: str) -> Column:
+    """Whether lower-case text matches; the pattern runs only on texts that hold its longest plain part."""
+    part = max(re.findall(r"[a-z0-9]+", re.sub(r"\\[a-z]|.\?", " ", pattern)), key=len)
+    held = F.contains(low, F.lit(part))
+    return held if part == pattern else held & low.rlike(java_lower(pattern))
+
+
 def frame_scores(frames: DataFrame, signatures: list[dict], layout: dict[str, dict[str, float]], running: bool = True) -> DataFrame:
     """Scores per category and game over sampled frames ``(video_id, frame, text, density map)``: each pattern counts
     once per frame, and a layout whose region densities pass their thresholds adds 8 x 0.35 per region to every
     game of the category. Densities add up over the frames unless ``running`` is off."""
     regions = sorted({r for rules in layout.values() for r in rules})
-    rows = frames.select(*KEY, "frame", F.lower(nz(F.col("text"), "")).alias("low"), *[nz(F.col("density")[r], 0.0).alias(f"_d_{r}") for r in regions])
+    plain = F.translate(F.lower(nz(F.col("text"), "")), "ſı", "si")  # as folding case for all scripts reads them
+    rows = frames.select(*KEY, "frame", plain.alias("low"), *[nz(F.col("density")[r], 0.0).alias(f"_d_{r}") for r in regions])
     if running:
         rows = ordered(rows, KEY, "frame", tile=10000, run_sum={f"_d_{r}": f"_d_{r}" for r in regions})
     parts = []
     for i, sig in enumerate(signatures):
         text = F.lit(0.0)
         for p in sig["patterns"]:
-            text = text + F.when(F.col("low").rlike(java(p)), float(sig["weight"])).otherwise(0.0)
+            text = text + F.when(_shows(F.col("low"), p), float(sig["weight"])).otherwise(0.0)
         shape = F.lit(0.0)
         for r, limit in layout.get(sig["category"], {}).items():
             shape = shape + F.when(F.col(f"_d_{r}") >= limit, 8 * 0.35).otherwise(0.0)
