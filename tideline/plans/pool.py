@@ -19,11 +19,11 @@ GRID_ID = 1_000_000_000
 def candidate_pool(lines: DataFrame, ends: DataFrame, chapters: DataFrame | None = None, peaks: DataFrame | None = None, category: Column | None = None) -> DataFrame:
     """Up to twelve ranked candidates per recording.
 
-    Scored lines are settled once, because anchors, peaks, tails and window scores all read them. Anchors are walked in
+    Scored lines are settled once, without their text, because anchors, peaks, tails and window scores all read them. Anchors are walked in
     order of score until 28 have a window of the profile's least length. Their windows and those of the evenly spaced fill
     points are scored in one pass; fill points enter only pools below eight.
     """
-    lines = settle(lines)
+    lines = settle(lines.select(*KEY, *w.LINE))
     points = settle(w.top_anchors(lines, ends, chapters, peaks, None).select(*KEY, "aid", "time", "peak", "chapter", "video_end"))
     points = w.worth_scoring(lines, points, category)
     grid = ends.select(*KEY, "video_end", F.posexplode(s.fill_grid(F.col("video_end"))).alias("i", "time")).withColumn("aid", F.col("i") + GRID_ID)

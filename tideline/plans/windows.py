@@ -9,6 +9,7 @@ from tideline.functions import text as tx
 from tideline.functions.numeric import half_up, nz, tenth
 from tideline.operators.ordered import ordered, top_per_key
 from tideline.operators.ranges import band_join, overlap_join
+from tideline.session import settle
 
 KEY = ["video_id"]
 WIN = ["video_id", "wid"]
@@ -35,12 +36,12 @@ def scored_lines(lines: DataFrame, category: Column | None = None, tile: float =
     return rows.withColumns({"score": tx.line_score(F.col("gap"), F.col("duration"), category), **tx.line_flags()}).drop(*tx.HELPERS)
 
 
-_LINE = ("seq", "start", "end", "score", "words", "mark", "reaction", "monologue", "setup", "negative", "kill_talk", "boring_talk")
+LINE = ("seq", "start", "end", "score", "words", "mark", "reaction", "monologue", "setup", "negative", "kill_talk", "boring_talk")
 
 
 def window_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
     """Lines that meet each window ``(video_id, wid, w_start, w_end)``; flags only, no text."""
-    slim = lines.select(*KEY, *_LINE)
+    slim = lines.select(*KEY, *LINE)
     return overlap_join(slim, windows, KEY, (F.col("start"), F.col("end")), (F.col("w_start"), F.col("w_end")))
 
 
@@ -305,12 +306,12 @@ def best_windows(lines: DataFrame, points: DataFrame, category: Column | None =
     For each point ``(video_id, aid, peak, video_end)`` the variant with the highest composite; earlier wins ties."""
     lo, hi = tx.profile_value(category, "min_clip"), tx.profile_value(category, "max_clip")
     tails = dynamic_tail(points.select(*KEY, "aid", "peak", "video_end"), lines, 45.0)
-    variants = shifted_windows(tails, lo, hi).select(*KEY, "aid", "pos", "w_start", "w_end")
-    wid = F.struct("aid", "pos")
-    metrics = window_metrics(lines, variants.select(*KEY, wid.alias("wid"), "w_start", "w_end"))
-    scored = variants.withColumn("wid", wid).join(metrics.drop("w_start", "w_end"), WIN, "left")
+    variants = settle(shifted_windows(tails, lo, hi).select(*KEY, "aid", "pos", "w_start", "w_end"))
+    # Anchors share peaks and variants share ends, so a window is measured once, however many points have it.
+    spans = variants.select(*KEY, "w_start", "w_end").distinct().withColumn("wid", F.struct("w_start", "w_end"))
+    scored = variants.join(window_metrics(lines, spans).drop("wid"), [*KEY, "w_start", "w_end"], "left")
     scored = scored.withColumn("composite", nz(composite(category), EMPTY_WINDOW))
-    kept = [c for c in scored.columns if c not in (*KEY, "aid", "pos", "wid")]
+    kept = [c for c in scored.columns if c not in (*KEY, "aid", "pos")]
     best = scored.groupBy(*KEY, "aid").agg(F.max_by(F.struct(*kept), F.struct(F.round("composite", 9), -F.col("pos"))).alias("_w"))
     return best.select(*KEY, "aid", "_w.*")
 
