@@ -4,7 +4,7 @@ import pytest
 from conftest_llm import JSON, key
 from test_tokens import check_packing
 
-from tideline.llm import packing, pii, quality_classifier, simhash, toxicity
+from tideline.llm import near_copies, packing, pii, quality_classifier, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,14 @@ def test_exact_copies_leave_one(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = corpus_pipeline.drop_near_copies(spark, docs, folder)
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4]
+
+
+def test_near_copies_are_proposed_by_simhash_too(spark):
+    """Bands of 2000 minima hardly ever agree, so the near copy is found through its fingerprint; whole sets decide."""
+    words = [f"word{i}" for i in range(400)]
+    copies = [" ".join([*words[:k], "odd", *words[k + 1:]]) for k in range(1, 400, 7)]
+    close = next(t for t in copies if 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(" ".join(words))).bit_count() <= simhash.DISTANCE)
+    rows = [(5, " ".join(words), "a"), (6, close, "b"), (1, " ".join(f"lone{i}" for i in range(50)), "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = near_copies.one_of_each_group(docs, bands=1, deep=2000)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 5]

@@ -2,7 +2,8 @@
 
 Equal sets count once. A set's minima under independent hashes are cut into bands; two sets of similarity s agree in one of
 them with probability 1 - (1 - s**DEEP)**BANDS: 0.9993 at 0.8, more above. Sets that agree in a band are compared as whole
-sets, so every link is exact. A band's sets are first compared with the smallest of them, which joins large groups without
+sets, so every link is exact. SimHash fingerprints of at most four differing bits (``simhash.near_links``) propose pairs too; their
+sets are compared like a band's. A band's sets are first compared with the smallest of them, which joins large groups without
 listing their pairs; what that leaves in different groups is compared pair by pair.
 """
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tideline.llm import simhash
 from tideline.llm.common import stash
 from tideline.llm.components import components
 
@@ -102,12 +104,23 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataF
     return stash(pairs.join(of("a"), "a").join(of("b"), "b").filter(common / (both - common) >= least).select("a", "b"))
 
 
-def _groups(distinct: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """``node`` and ``root``, the smallest node reachable, of the nodes of ``distinct`` (node, bands) that have a link."""
+def _proposed(prints: DataFrame, hot: int) -> DataFrame:
+    """Pairs a < b of nodes of ``prints`` (node, fp) that join what SimHash links join: nodes of one fingerprint with their smallest
+    one, and smallest ones of near fingerprints."""
+    heads = stash(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    same = prints.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
+    near = simhash.near_links(heads.select("fp"), hot).join(of("a"), "a").join(of("b"), "b")
+    return same.union(near.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b")))
+
+
+def _groups(distinct: DataFrame, texts: DataFrame, size: int, least: float, proposed: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest node reachable, of the nodes of ``distinct`` (node, bands) that have a link. ``proposed`` are
+    pairs to compare beside those of the bands."""
     entries = distinct.select("node", F.explode("bands").alias("key"))
     heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head")
     met = stash(entries.join(heads, "key"))
-    star = stash(met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    star = stash(met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).union(proposed).distinct())
     links = _links(star, texts, size, least)
     known = components(links)
     now = stash(met.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
@@ -121,17 +134,17 @@ def _groups(distinct: DataFrame, texts: DataFrame, size: int, least: float) -> D
     return components(links.union(more)) if more.limit(1).count() else known
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, bands: int = BANDS, deep: int = DEEP) -> DataFrame:
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, bands: int = BANDS, deep: int = DEEP, hot: int = simhash.HOT) -> DataFrame:
     """``docs`` with all its columns, and of each group one row: that of the smallest id (null last), of equal ids any one.
 
     Groups are what links of similarity ``least`` join. Null, empty and wordless texts are one group; rows with equal ids are
     rows of their own. An empty table gives an empty table."""
     names = set(docs.columns)
-    sketch, row = (next(n for n in (f"{name}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for name in ("near_copies_sketch", "near_copies_row"))
-    marked = stash(docs.select("*", sketches(F.col(text_col), size, bands, deep).alias(sketch)).withColumn(row, F.monotonically_increasing_id()))
+    sketch, row, fp = (next(n for n in (f"{name}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for name in ("near_copies_sketch", "near_copies_row", "near_copies_fp"))
+    marked = stash(docs.select("*", sketches(F.col(text_col), size, bands, deep).alias(sketch), simhash.fingerprints(F.col(text_col)).alias(fp)).withColumn(row, F.monotonically_increasing_id()))
     rows = marked.select(F.col(id_col).alias("id"), F.col(sketch)["whole"].alias("whole"), F.col(row).alias("row"))
-    distinct = stash(marked.groupBy(F.col(sketch)["whole"].alias("whole")).agg(F.min(F.struct(F.col(row).alias("row"), F.col(sketch)["bands"].alias("bands"))).alias("first")).select("whole", F.col("first.row").alias("node"), "first.bands"))
-    known = _groups(distinct.select("node", "bands"), marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")), size, least)
+    distinct = stash(marked.groupBy(F.col(sketch)["whole"].alias("whole")).agg(F.min(F.struct(F.col(row).alias("row"), F.col(sketch)["bands"].alias("bands"), F.col(fp).alias("fp"))).alias("first")).select("whole", F.col("first.row").alias("node"), "first.bands", "first.fp"))
+    known = _groups(distinct.select("node", "bands"), marked.select(F.col(row).alias("row"), F.col(text_col).alias("text")), size, least, _proposed(distinct.select("node", "fp"), hot))
     grouped = distinct.select("whole", "node").join(known, "node", "left").select(F.col("whole").alias("of"), F.coalesce("root", "node").alias("group"))
     groups = rows.join(grouped, F.col("whole") == F.col("of"))
     stay = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias(row))
