@@ -57,6 +57,20 @@ def test_ocr_log_and_report_history(spark, tmp_path):
     assert len(got) == 12 and got[0] == "2025-14" and got[-1] == "2025-03"
 
 
+def test_job_document_runs_replace_only_their_recordings(spark, tmp_path):
+    path, ddl = str(tmp_path / "docs"), "video_id long, kills long"
+    schema = spark.createDataFrame([], ddl).schema
+    assert sinks.read_job_documents(spark, path, schema).count() == 0
+    sinks.write_job_documents(spark.createDataFrame([(v, 1) for v in range(500)] + [(None, 1), (7, 2)], ddl).repartition(2), path)
+    sinks.write_job_documents(spark.createDataFrame([(3, 5), (None, 6)], ddl), path)
+    (tmp_path / "docs" / "run=00000009").mkdir()
+    (tmp_path / "docs" / "run=00000009" / "part-0.json").write_text('{"video_id": 1, "kills": 99}\n')
+    rows = [(r.video_id, r.kills) for r in sinks.read_job_documents(spark, path, schema).collect()]
+    assert len(rows) == 502 and {r for r in rows if r[1] != 1} == {(3, 5), (None, 6), (7, 2)} and rows.count((3, 1)) == 0 and (1, 1) in rows
+    assert len(list((tmp_path / "docs").rglob("*.json"))) < 20
+    assert sinks.write_job_documents(spark.createDataFrame([(1, 8)], ddl), path).endswith("run=00000010")
+
+
 def test_report_sink_replaces_only_its_month(spark, tmp_path):
     path = str(tmp_path / "report")
     make = lambda rows: spark.createDataFrame(rows, "month string, total long")

@@ -24,7 +24,7 @@ def sink_job_documents(spark, d):
     path = _folder(spark)
     sinks.write_job_documents(rows, path)
     sinks.write_job_documents(rows.filter("video_id % 2 = 1"), path)
-    return spark.read.schema(rows.schema).json(path).select(*rows.columns)
+    return sinks.read_job_documents(spark, path, rows.schema)
 
 
 @query("sink_monthly_report", catalog.ORACLES["monthly_report"])

@@ -2,14 +2,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tideline.plans.projects import newest
 
 
-def write_job_documents(results: DataFrame, path: str) -> None:
-    """One result document per recording, partitioned so that a rerun replaces only its recordings."""
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").json(path)
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The folders in ``path`` whose names begin with ``prefix``, by name."""
+    files, target = _path(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in files.listStatus(target) if s.isDirectory() and s.getPath().getName().startswith(prefix))
+
+
+def write_job_documents(results: DataFrame, path: str) -> str:
+    """One result document, a line of JSON, per recording, as a new run beside those before; returns its folder.
+
+    A run has as many files as tasks, not one per recording. :func:`read_job_documents` takes each recording from its newest run, so a
+    rerun replaces only its recordings."""
+    runs = _folders(results.sparkSession, path, "run=")
+    target = f"{path}/run={int(runs[-1][4:]) + 1 if runs else 1:08d}"
+    results.write.json(target)
+    return target
+
+
+def read_job_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest documents of every recording; a run that was not written to its end doesn't count."""
+    runs = [f"{path}/{n}" for n in _folders(spark, path, "run=") if is_committed(spark, f"{path}/{n}")]
+    if not runs:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", LongType())])).option("basePath", path).json(runs)
+    newest_run = F.max("run").over(W.partitionBy("video_id"))
+    return rows.withColumn("_newest", newest_run).filter(F.col("run") == F.col("_newest")).select(*schema.names)
 
 
 def write_report(report: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
@@ -55,11 +81,7 @@ def write_version(rows: DataFrame, path: str, version: str) -> str:
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
     """The folder of the newest committed version, by name."""
-    files, target = _path(spark, path)
-    if not files.exists(target):
-        return None
-    names = sorted(s.getPath().getName() for s in files.listStatus(target) if s.isDirectory() and s.getPath().getName().startswith("version="))
-    done = [n for n in names if is_committed(spark, f"{path}/{n}")]
+    done = [n for n in _folders(spark, path, "version=") if is_committed(spark, f"{path}/{n}")]
     return f"{path}/{done[-1]}" if done else None
 
 
