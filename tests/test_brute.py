@@ -220,3 +220,23 @@ def test_short_windows_do_not_use_up_the_anchor_limit(spark):
     some = w.worth_scoring(lines, points)
     assert long_enough(w.best_windows(lines, some)) == long_enough(w.best_windows(lines, points))
     assert 28 <= some.count() <= points.count()
+
+
+def test_close_names_are_those_of_the_plain_ratio():
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abcx1-") for _ in range(rnd.randint(0, 9))) for _ in range(120)] + ["simple", "s1mple", "p1mples"]
+    for limit in (0.55, 0.62, 0.85):
+        for a in names:
+            for b in names:
+                assert identity._close(a, b, limit) == (identity._ratio(a, b) >= limit)
+
+
+def test_feed_lines_are_parsed_once_and_names_clustered_without_a_group_per_recording(spark):
+    ocr = spark.createDataFrame([(v, v * 10 + i, float(40 + i), f"Simple{i % 2} [x] raven_{v}", 0.1) for v in range(40) for i in range(5)], "video_id long, seq long, time double, raw_ocr string, border_score double")
+    reads = identity.read_feed(ocr)
+    plan = reads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    clusters = identity.name_clusters(reads.select("video_id", F.col("seq").cast("double").alias("pos"), F.col("killer").alias("name")))
+    assert "FlatMapGroupsInPandas" not in clusters._jdf.queryExecution().toString()
+    rows = clusters.collect()
+    assert len(rows) == 40 and all(r["count"] == 5 and r["representative"] == "simple0" for r in rows)

@@ -116,8 +116,8 @@ def pov_cluster(spark, d):
 
 def _classified(spark, d):
     _, entries = _entries(spark, d)
-    clusters = i.name_clusters(entries.filter("killer <> ''").select("video_id", F.col("entry").cast("double").alias("pos"), F.col("killer").alias("name")))
-    return entries, i.classify_entries(entries, i.pov_cluster(entries), clusters)
+    clusters = settle(i.name_clusters(entries.filter("killer <> ''").select("video_id", F.col("entry").cast("double").alias("pos"), F.col("killer").alias("name"))))
+    return entries, i.classify_entries(entries, settle(i.pov_cluster(entries, clusters)), clusters)
 
 
 @query("classify_entries")

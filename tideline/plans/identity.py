@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tideline.functions.numeric import nz
+from tideline.functions.text import once
 from tideline.operators.chunks import carry_chunks
 from tideline.operators.ranges import band_join
+from tideline.session import settle
 
 KEY = ["video_id"]
 
@@ -68,11 +70,15 @@ def plausible_tag(name: Column) -> Column:
 
 def parse_feed(raw: Column) -> Column:
     """Killer, assist and victim from one recognised line; a single name is a partial reading."""
-    names = F.filter(F.transform(F.regexp_extract_all(nz(raw, ""), F.lit(f"({NAME})"), 1), normalise_name), lambda n: F.length(n) >= 3)
-    n = F.size(names)
+    found = F.filter(F.transform(F.regexp_extract_all(nz(raw, ""), F.lit(f"({NAME})"), 1), normalise_name), lambda n: F.length(n) >= 3)
     none = F.lit("")
-    return F.struct(F.when(n >= 1, F.get(names, F.lit(0))).otherwise(none).alias("killer"), F.when(n > 2, F.get(names, F.lit(1))).otherwise(none).alias("assist"),
-                    F.when(n >= 2, F.get(names, n - 1)).otherwise(none).alias("victim"), (n == 1).alias("partial"), names.alias("names"))
+
+    def parts(names: Column) -> Column:
+        n = F.size(names)
+        return F.struct(F.when(n >= 1, F.get(names, F.lit(0))).otherwise(none).alias("killer"), F.when(n > 2, F.get(names, F.lit(1))).otherwise(none).alias("assist"),
+                        F.when(n >= 2, F.get(names, n - 1)).otherwise(none).alias("victim"), (n == 1).alias("partial"), names.alias("names"))
+
+    return once(found, parts)
 
 
 def valid_reading() -> Column:
@@ -86,9 +92,12 @@ def reading_key() -> Column:
 
 
 def read_feed(ocr: DataFrame) -> DataFrame:
-    """Valid readings of ``(video_id, seq, time, raw_ocr, border_score)`` with names, key and confidence."""
-    rows = ocr.withColumn("_p", parse_feed(F.col("raw_ocr"))).select(*ocr.columns, "_p.*")
-    rows = rows.withColumn("read_key", reading_key()).filter(valid_reading() & (F.col("read_key") != ""))
+    """Valid readings of ``(video_id, seq, time, raw_ocr, border_score)`` with names, key and confidence.
+
+    A line is parsed once: ``inline`` keeps the optimizer from copying the rules into every column that uses them."""
+    rows = ocr.select(*ocr.columns, F.inline(F.array(parse_feed(F.col("raw_ocr")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(reading_key().alias("read_key"), valid_reading().alias("_valid")))))
+    rows = rows.filter(F.col("_valid") & (F.col("read_key") != "")).drop("_valid")
     return rows.withColumn("confidence", F.bround(F.least(F.lit(0.99), F.lit(0.55) + F.col("border_score") * 4), 3))
 
 
@@ -140,26 +149,48 @@ def backward_anchors(seeds: DataFrame, reads: DataFrame) -> DataFrame:
     return seeds.join(found, [*KEY, "seq"], "left").withColumns({"anchor": nz(F.col("anchor"), F.col("time")), "best_conf": nz(F.col("best_conf"), 0.5)})
 
 
+_BITS: dict[tuple[str, int], int] = {}
+
+
+@lru_cache(maxsize=200_000)
+def _letters(name: str) -> int:
+    """The characters of a name as bits, repeats as bits of their own."""
+    seen: dict[str, int] = {}
+    mask = 0
+    for c in name:
+        seen[c] = seen.get(c, 0) + 1
+        mask |= 1 << _BITS.setdefault((c, seen[c]), len(_BITS))
+    return mask
+
+
 def _close(a: str, b: str, threshold: float) -> bool:
-    """Whether the similarity reaches the threshold; the length bound rules most pairs out without comparing."""
-    if not a or not b or 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+    """Whether the similarity reaches the threshold; length and shared characters, which no matching blocks exceed, rule most pairs out."""
+    if not a or not b:
+        return False
+    size = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / size < threshold or 2.0 * (_letters(a) & _letters(b)).bit_count() / size < threshold:
         return False
     return _ratio(a, b) >= threshold
 
 
+_close_names = lru_cache(maxsize=200_000)(_close)
+
+
 def _same(a: dict, b: dict, threshold: float) -> bool:
     """The reading rule on two plain records."""
     if a["partial"] != b["partial"]:
         part, full = (a, b) if a["partial"] else (b, a)
-        return len(part["killer"]) >= 3 and any(_close(part["killer"], full[f], threshold) for f in ("killer", "victim"))
+        name = part["killer"]
+        return len(name) >= 3 and (_close_names(name, full["killer"], threshold) or _close_names(name, full["victim"], threshold))
     if a["partial"]:
-        return min(len(a["killer"]), len(b["killer"])) >= 3 and _close(a["killer"], b["killer"], threshold)
-    if a["key"] and b["key"] and _close(a["key"], b["key"], threshold):
+        return len(a["killer"]) >= 3 and len(b["killer"]) >= 3 and _close_names(a["killer"], b["killer"], threshold)
+    if _close(a["key"], b["key"], threshold):
         return True
-    if min(len(x[f]) for x in (a, b) for f in ("killer", "victim")) < 3:
+    if not (_close_names(a["killer"], b["killer"], threshold) and _close_names(a["victim"], b["victim"], threshold)):
+        return False
+    if len(a["killer"]) < 3 or len(b["killer"]) < 3 or len(a["victim"]) < 3 or len(b["victim"]) < 3:
         return False
-    close = all(_close(a[f], b[f], threshold) for f in ("killer", "victim"))
-    return close and not (a["assist"] and b["assist"] and not _close(a["assist"], b["assist"], threshold))
+    return not a["assist"] or not b["assist"] or _close_names(a["assist"], b["assist"], threshold)
 
 
 def registry(reads: DataFrame, threshold: float = FEED_RATIO) -> DataFrame:
@@ -168,18 +199,20 @@ def registry(reads: DataFrame, threshold: float = FEED_RATIO) -> DataFrame:
     slim = reads.withColumns({c: normalise_name(F.col(c)) for c in ("killer", "assist", "victim")}).select(
         *KEY, "time", "seq", "read_key", "killer", "assist", "victim", "partial", F.array_join("names", " ").alias("names"), "anchor", F.col("best_conf").alias("conf"))
 
+    fields = ("killer", "assist", "victim", "partial", "read_key", "names", "anchor", "conf")
+
     def process(state: str | None, rows: pd.DataFrame) -> str:
         entries = json.loads(state) if state else []
-        for r in rows.itertuples():
-            fp = {"killer": r.killer, "assist": r.assist, "victim": r.victim, "partial": bool(r.partial), "key": r.read_key, "names": r.names}
+        for killer, assist, victim, partial, key, names, anchor, conf in zip(*(rows[c].tolist() for c in fields)):
+            fp = {"killer": killer, "assist": assist, "victim": victim, "partial": bool(partial), "key": key, "names": names}
             known = next((e for e in entries if _same(fp, e, threshold)), None)
             if known is None:
-                entries.append({**fp, "anchor": round(float(r.anchor), 2), "conf": round(float(r.conf), 3)})
+                entries.append({**fp, "anchor": round(float(anchor), 2), "conf": round(float(conf), 3)})
                 continue
             if known["partial"] and not fp["partial"]:
                 known.update(fp)
-            known["anchor"] = round(min(known["anchor"], float(r.anchor)), 2)
-            known["conf"] = round(max(known["conf"], float(r.conf)), 3)
+            known["anchor"] = round(min(known["anchor"], float(anchor)), 2)
+            known["conf"] = round(max(known["conf"], float(conf)), 3)
         return json.dumps(entries)
 
     state = carry_chunks(slim, KEY, "time", ["seq"], process)
@@ -195,7 +228,7 @@ def name_clusters(names: DataFrame, threshold: float = CLUSTER_RATIO) -> DataFra
     def process(state: str | None, group: pd.DataFrame) -> str:
         clusters = json.loads(state) if state else []
         for norm in group["norm"]:
-            home = next((c for c in clusters if _ratio(norm, c["rep"]) >= threshold), None)
+            home = next((c for c in clusters if _close(norm, c["rep"], threshold)), None)
             if home is None:
                 clusters.append({"rep": norm, "members": {norm: 1}})
                 continue
@@ -211,11 +244,13 @@ def name_clusters(names: DataFrame, threshold: float = CLUSTER_RATIO) -> DataFra
     return parsed.select(*KEY, "cluster", F.col("_c.rep").alias("representative"), F.array_sort(members).alias("members"), F.aggregate(F.map_values("_c.members"), F.lit(0), lambda a, x: a + x).alias("count"))
 
 
-def pov_cluster(entries: DataFrame) -> DataFrame:
-    """The dominant player per recording from registry entries, with its coverage of all entries."""
+def pov_cluster(entries: DataFrame, killers: DataFrame | None = None) -> DataFrame:
+    """The dominant player per recording from registry entries, with its coverage of all entries. ``killers`` are the settled clusters of
+    the entries' killers, if they are known already."""
     order = F.col("entry") if "entry" in entries.columns else F.col("seq")
-    killers = name_clusters(entries.filter("killer <> ''").select(*KEY, order.cast("double").alias("pos"), F.col("killer").alias("name")))
-    victims = name_clusters(entries.filter("victim <> ''").select(*KEY, order.cast("double").alias("pos"), F.col("victim").alias("name")))
+    if killers is None:
+        killers = settle(name_clusters(entries.filter("killer <> ''").select(*KEY, order.cast("double").alias("pos"), F.col("killer").alias("name"))))
+    victims = settle(name_clusters(entries.filter("victim <> ''").select(*KEY, order.cast("double").alias("pos"), F.col("victim").alias("name"))))
     v = victims.select(*KEY, F.col("representative").alias("_v"), F.col("count").alias("_vc"))
     near = killers.join(v, KEY).filter(name_ratio("representative", "_v") >= POV_RATIO).groupBy(*KEY, "cluster").agg((F.sum("_vc") * 5).alias("_bonus"))
     length = F.length("representative")
@@ -263,7 +298,8 @@ def matches_any(names: Column, pov: Column, members: Column) -> Column:
     kin = nz(members, F.expr("cast(array() as array<string>)"))
     long_ = F.filter(F.transform(names, normalise_name), lambda k: F.length(k) >= 3)
     like = pair_ratio(long_, F.concat(kin, F.array(p))) >= SAME_RATIO
-    return (p != "") & (like | F.exists(long_, lambda k: _looks_like(k, p, kin)))
+    seen = F.struct(p.alias("p"), long_.alias("names"), kin.alias("kin"))
+    return (p != "") & (like | once(seen, lambda s: F.exists(s["names"], lambda k: _looks_like(k, s["p"], s["kin"]))))
 
 
 def matches_pov(name: Column, pov: Column, members: Column) -> Column:
