@@ -213,6 +213,16 @@ def test_strongest_reading_wins_whatever_the_batches(spark, tmp_path, cuts):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_strongest_keys_share_calls(spark, tmp_path):
+    """Every key was a call of its own; keys dealt to one call stay apart, null ones and large ids included."""
+    ids = [None, 0, 2**60 + 1, 2**60 + 2]
+    rows = [(v, k_, _utc(1000 + t), q, x) for v in ids for k_ in ("a", None) for t, q, x in ((0.0, 1, 1.0), (3.0, 2, 5.0), (20.0, 3, 2.0))] + [(9, "z", _utc(9000), 99, 1.0)]
+    schema = "video_id long, key string, ts timestamp, seq long, strength double"
+    got = _twice(spark, tmp_path, rows, schema, 2, lambda s: live.strongest(s, groups=1))
+    want = {(v, k_, *r) for v in ids for k_ in ("a", None) for r in ((1_000_000, 2, 5.0, 2), (1_020_000, 3, 2.0, 1))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("cuts", [1, 5])
 def test_expiry_sweeps_whatever_the_batches(spark, tmp_path, cuts):
     rnd = random.Random(9)

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Lateness we accept: seconds for detections, the look-ahead for baselines.
 DETECTION_DELAY, BASELINE_DELAY = "10 seconds", "30 seconds"
+# Calls into which the keys of a stream are dealt by hash where each key has little to do.
+KEY_GROUPS = 4096
 
 
 def dedupe_detections(events: DataFrame, delay: str = DETECTION_DELAY) -> DataFrame:
@@ -107,23 +109,22 @@ def _wait(state: GroupState, times: list[int]) -> None:
     state.setTimeoutTimestamp(max(min(times) - 1, state.getCurrentWatermarkMs() + 1))
 
 
-def strongest(readings: DataFrame, within: float = 7.0, keep: float = 86400.0, delay: str = DETECTION_DELAY) -> DataFrame:
+def strongest(readings: DataFrame, within: float = 7.0, keep: float = 86400.0, delay: str = DETECTION_DELAY, groups: int = KEY_GROUPS) -> DataFrame:
     """Kills from repeated readings ``(video_id, key, ts, seq, strength)``: of those within ``within`` seconds of a key's first
     reading the strongest, with the first one's time; each later moment of the key is a kill of its own.
 
     State per key is the first reading, the strongest so far and what the watermark has not passed; it goes ``keep`` seconds after
-    the first one, and the key starts anew. Ties go to the earlier reading; of later readings of one moment the last one counts."""
+    the first one, and the key starts anew. Ties go to the earlier reading; of later readings of one moment the last one counts.
+    A call from Spark costs far more than a reading, so keys share ``groups`` calls by hash; each is still judged on its own."""
     out = "video_id bigint, key string, anchor_ms bigint, seq bigint, strength double, readings int"
-    held = "first bigint, best double, best_seq bigint, n int, open boolean, times array<bigint>, strengths array<double>, seqs array<bigint>"
+    held = ("ids array<bigint>, keys array<string>, firsts array<bigint>, bests array<double>, best_seqs array<bigint>, ns array<int>, opens array<boolean>, "
+            "owners array<int>, times array<bigint>, strengths array<double>, seqs array<bigint>")
     reach, life = int(within * 1000), int(keep * 1000)
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, best, best_seq, n, open_, *waiting = state.get if state.exists else (-1, 0.0, 0, 0, False, [], [], [])
-        rows = list(zip(*waiting))
-        if not state.hasTimedOut:
-            rows += [(int(t), float(x), int(q)) for p in batches for t, x, q in zip(p["ms"], p["strength"], p["seq"])]
+    def judge_key(mark: tuple, rows: list, passed: int) -> tuple[tuple, list, list]:
+        first, best, best_seq, n, open_ = mark
         rows.sort(key=lambda r: (r[0], r[2]))
-        passed, kills, later = state.getCurrentWatermarkMs(), [], {}
+        kills, later = [], {}
 
         def close(upto: int) -> None:
             nonlocal first, open_
@@ -144,18 +145,42 @@ def strongest(readings: DataFrame, within: float = 7.0, keep: float = 86400.0, d
             else:
                 later[t] = (t, q, x, later[t][3] + 1 if t in later else 1)
         close(passed)
-        rows = [r for r in rows if r[0] > passed]
-        if first >= 0 or rows:
-            times, strengths, seqs = (list(c) for c in zip(*rows)) if rows else ([], [], [])
-            state.update((first, best, best_seq, n, open_, times, strengths, seqs))
-            _wait(state, [*times[:1], *([first + reach] if open_ else []), *([first + life] if first >= 0 else [])])
+        return (first, best, best_seq, n, open_), [r for r in rows if r[0] > passed], [*kills, *later.values()]
+
+    def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        marks, waiting = {}, {}
+        if state.exists:
+            ids, keys, *fields, owners, times, strengths, seqs = state.get
+            names = list(zip(ids, keys))
+            marks = dict(zip(names, zip(*fields)))
+            for at, *row in zip(owners, times, strengths, seqs):
+                waiting.setdefault(names[at], []).append(tuple(row))
+        if not state.hasTimedOut:
+            for p in batches:
+                for no_id, i, k, t, x, q in zip(p["no_id"], p["video_id"], p["key"], p["ms"], p["strength"], p["seq"]):
+                    waiting.setdefault((None if no_id else int(i), k), []).append((int(t), float(x), int(q)))
+        passed, kills, left, due = state.getCurrentWatermarkMs(), [], [], []
+        for name in marks.keys() | waiting.keys():
+            mark, rows, found = judge_key(marks.get(name, (-1, 0.0, 0, 0, False)), waiting.get(name, []), passed)
+            kills += [(*name, *k) for k in found]
+            if mark[0] >= 0 or rows:
+                left.append((name, mark, rows))
+                due += [*([rows[0][0]] if rows else []), *([mark[0] + reach] if mark[4] else []), *([mark[0] + life] if mark[0] >= 0 else [])]
+        if left:
+            owned = [(at, *r) for at, (_, _, rows) in enumerate(left) for r in rows]
+            state.update((*(list(c) for c in zip(*((*name, *mark) for name, mark, _ in left))), *((list(c) for c in zip(*owned)) if owned else ([], [], [], []))))
+            _wait(state, due)
         elif state.exists:
             state.remove()
-        kills += later.values()
-        yield pd.DataFrame([(key[0], key[1], *k) for k in kills], columns=["video_id", "key", "anchor_ms", "seq", "strength", "readings"])
-
-    rows = readings.withWatermark("ts", delay).select("video_id", "key", "ts", F.unix_millis("ts").alias("ms"), "seq", "strength")
-    return rows.groupBy("video_id", "key").applyInPandasWithState(judge, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+        if not kills:
+            return
+        columns = zip(("video_id", "key", "anchor_ms", "seq", "strength", "readings"), zip(*kills))
+        yield pd.DataFrame({name: pd.Series(values, dtype="object") if name in ("video_id", "key") else list(values) for name, values in columns})
+
+    rows = readings.withWatermark("ts", delay).select(
+        F.pmod(F.hash("video_id", "key"), F.lit(groups)).alias("group"), F.col("video_id").isNull().alias("no_id"), F.coalesce("video_id", F.lit(0).cast("bigint")).alias("video_id"), "key", "ts",
+        F.unix_millis("ts").alias("ms"), "seq", "strength")
+    return rows.groupBy("group").applyInPandasWithState(judge, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expiries(updates: DataFrame, sweep: float = 600.0, delay: str = "10 minutes") -> DataFrame:
