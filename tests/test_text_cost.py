@@ -1,5 +1,7 @@
 """Cheap tests before patterns: the same answers as the patterns alone, and work that is done once."""
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,34 @@ def test_a_window_is_measured_once(spark, monkeypatch):
     best = windows.best_windows(lines, points).collect()
     assert len(best) == 5 and len({(r["w_start"], r["w_end"]) for r in best}) == 1
     assert seen[0] <= 9
+
+
+def test_buckets_clean_the_text_once(spark):
+    """The filler pattern ran in each of the steps that find sessions, scan them and join the text again."""
+    lines = spark.createDataFrame([(1, i, f"um line {i} like", i * 2.0, i * 2.0 + 1) for i in range(6)], "video_id long, seq int, text string, start double, end double")
+    assert "basically" not in plan(captions.prompt_buckets(lines))
+
+
+def test_cleaned_text_is_evaluated_once_by_the_tease_rules(spark):
+    """What a rule was given stood in its expression once per use, nested rules multiplied that."""
+    lines = spark.createDataFrame([("why did that happen?",)], "t string").select(tx.format_cliffhanger(F.col("t")).alias("f"), tx.valid_cliffhanger(tx.strip_fillers(F.col("t"))).alias("v"))
+    assert plan(lines.select("f")).count("basically") == 2 and plan(lines.select("v")).count("basically") == 2
+    assert tuple(lines.first()) == ("why did that happen?", True)
+
+
+def test_fillers_match_as_by_the_folding_pattern(spark):
+    texts = ["um, so LIKE it", "summer like_this unlike", "ſort of like", "Kind of um", "lİke lıke UH", "äum umä um", "i  mean you know it", "like like likes", "", None, "éum umé 2um um2 _um um-um"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.strip_fillers(F.col("t")).alias("got"), tx.squeeze(F.regexp_replace("t", p.java(p.FILLERS), "")).alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_shared_words_count_repeats_and_stay_linear(spark):
+    rnd, words = random.Random(5), ["alpha", "beta", "gamma", "größe", "of", "it", "delta_1", "x"]
+    made = [(" ".join(rnd.choices(words, k=rnd.randint(0, 9))), ", ".join(rnd.choices(words, k=rnd.randint(0, 9)))) for _ in range(80)] + [("Alpha-BETA gamma", "alpha\tbeta!gammas"), ("", ""), ("ÄÖÜß alpha", "äöüß ALPHA alpha")]
+    long_ = " ".join(f"word{i}" for i in range(30_000))
+    keep = lambda s: [w for w in re.split(r"[^A-Za-z0-9_äöüßÄÖÜ]+", s.lower()) if len(w) > 3]
+    want = [(sum(w in set(keep(a)) for w in keep(b)) / len(keep(b))) if keep(a) and keep(b) else 0.0 for a, b in made]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*made, (long_, long_)])], "i int, a string, b string").coalesce(1).sortWithinPartitions("i")
+    started = time.monotonic()
+    got = [r[0] for r in rows.select(tx.word_overlap(F.col("a"), F.col("b"))).collect()]
+    assert got == [*want, 1.0] and time.monotonic() - started < 30

@@ -1,12 +1,14 @@
 """Text rules on transcript lines."""
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import half_up, nz
 from tideline.functions.patterns import (
-    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_of, has_lower, hits_lower, java, lead_tokens, may_hit, one_of, split_words, token_hit, token_hits, tokens)
+    BORING_WORDS, FILLERS, KILL_WORDS, LORE, NEGATIVE, REACTION, SETUP_WORDS, any_of, has_lower, hits_lower, java, java_lower, lead_tokens, may_hit, one_of, split_words, token_hit, token_hits, tokens)
 from tideline.functions.profiles import PROFILES
 
 SPACES = "\t\n\x0b\x0c\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -18,8 +20,17 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
+#: Characters outside ASCII that equal an ASCII letter when case is folded for all scripts.
+FOLDED = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
+def _drop_fillers(text: Column) -> Column:
+    """Without the folded characters, folding ASCII case and plain look-arounds match the same and are many times cheaper."""
+    return F.when(any_of(text, *FOLDED), F.regexp_replace(text, java(FILLERS), "")).otherwise(F.regexp_replace(text, "(?i)" + java_lower(FILLERS), ""))
+
+
 def strip_fillers(text: Column) -> Column:
-    return squeeze(F.regexp_replace(text, java(FILLERS), ""))
+    return squeeze(_drop_fillers(text))
 
 
 def words_of(text: Column) -> Column:
@@ -71,7 +82,7 @@ def measure_lines(df: DataFrame, text: str = "text") -> DataFrame:
     src = F.col(text)
     rows = df.withColumns({"raw_low": F.lower(src), "_sq": squeeze(src)})
     rows = rows.withColumns({"tok": F.filter(tokens(F.col("raw_low")), lambda w: w.isin(*sorted(VOCABULARY))), "words": count_squeezed(F.col("_sq"))})
-    rows = rows.withColumn("clean", F.when(_may_fill(F.col("tok"), F.col("_sq")), squeeze(F.regexp_replace("_sq", java(FILLERS), ""))).otherwise(F.col("_sq")))
+    rows = rows.withColumn("clean", F.when(_may_fill(F.col("tok"), F.col("_sq")), squeeze(_drop_fillers(F.col("_sq")))).otherwise(F.col("_sq")))
     rows = rows.withColumn("low", F.lower("clean"))
     upper = F.when((F.col("clean") != F.col("low")) & F.col("clean").rlike("[A-ZÄÖÜ]{2}"), F.regexp_count("clean", F.lit(CAPS_JAVA))).otherwise(0)
     return rows.withColumns({"n": count_squeezed(F.col("clean")), "caps": upper, "ask": F.contains("clean", F.lit("?")), "cry": F.contains("clean", F.lit("!"))}).drop("_sq")
@@ -155,7 +166,7 @@ def once(value: Column, body) -> Column:
 
 
 def _seen(clean: Column) -> Column:
-    return F.struct(clean.alias("c"), F.lower(clean).alias("l"), count_squeezed(clean).alias("n"))
+    return once(clean, lambda c: F.struct(c.alias("c"), F.lower(c).alias("l"), count_squeezed(c).alias("n")))
 
 
 def teaser_score(clean: Column, base: Column, ratio: Column) -> Column:
@@ -196,27 +207,51 @@ def cliffhanger_score(clean: Column, base: Column, ratio: Column, teaser_at: Col
 def format_cliffhanger(clean: Column, most: int = 72) -> Column:
     """The tease with closing mark, cut at a word; empty when the result is not a complete tease."""
     def shorten(marked: Column) -> Column:
-        cut = F.substring(marked, 1, most)
-        space = F.length(cut) - F.instr(F.reverse(cut), " ")
-        short = F.trim(F.when(F.contains(cut, F.lit(" ")) & (space > 24), F.substring(cut, F.lit(1), space)).otherwise(cut))
-        return F.when(F.length(marked) <= most, marked).otherwise(F.when(short.rlike(r"[?!…]$"), short).otherwise(F.concat(short, F.lit("…"))))
+        def close(short: Column) -> Column:
+            return F.when(short.rlike(r"[?!…]$"), short).otherwise(F.concat(short, F.lit("…")))
 
-    def checked(out: Column) -> Column:
-        return F.when((clean != "") & valid_cliffhanger(strip_fillers(out)), out).otherwise("")
+        def cut_at(cut: Column) -> Column:
+            space = F.length(cut) - F.instr(F.reverse(cut), " ")
+            return F.trim(F.when(F.contains(cut, F.lit(" ")) & (space > 24), F.substring(cut, F.lit(1), space)).otherwise(cut))
 
-    marked = F.when(clean.rlike(r"[?!….]$"), clean).otherwise(F.concat(clean, F.lit("…")))
-    return once(once(marked, shorten), checked)
+        return F.when(F.length(marked) <= most, marked).otherwise(once(once(F.substring(marked, 1, most), cut_at), close))
 
+    def checked(v: Column) -> Column:
+        return F.when((v["c"] != "") & valid_cliffhanger(strip_fillers(v["o"])), v["o"]).otherwise("")
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """Share of the words of ``b`` (longer than three characters) that occur in ``a``."""
-    keep = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), r"[^A-Za-z0-9_äöüßÄÖÜ\s]", " "), r"\s+"), lambda w: F.length(w) > 3)
+    def marked(c: Column) -> Column:
+        return F.struct(c.alias("c"), once(F.when(c.rlike(r"[?!….]$"), c).otherwise(F.concat(c, F.lit("…"))), shorten).alias("o"))
+
+    return once(once(clean, marked), checked)
+
+
+#: Everything but word characters, listed one by one: Java then looks a character up in one table.
+_NO_WORD = f"[^{string.ascii_letters}{string.digits}_äöüßÄÖÜ]+"
 
+
+def long_words(text: Column) -> Column:
+    """The lower-case words of more than three characters, repeats included."""
+    return F.filter(F.split(F.lower(text), _NO_WORD), lambda w: F.length(w) > 3)
+
+
+def words_shared(a: Column, b: Column) -> Column:
+    """Share of the words of ``b`` that occur in ``a``, two arrays. Sets are met by hash; only words that ``b`` repeats are counted one by one."""
     def share(v: Column) -> Column:
-        shared = F.size(F.filter(v["b"], lambda w: F.array_contains(v["a"], w)))
-        return F.when((F.size(v["a"]) == 0) | (F.size(v["b"]) == 0), 0.0).otherwise(shared / F.greatest(F.size(v["b"]), F.lit(1)))
+        again = once(F.sort_array(v["b"]), lambda s: F.filter(s, lambda w, i: (i > 0) & (F.get(s, i - 1) == w)))
+        more = once(again, lambda x: F.when(F.size(x) == 0, 0).otherwise(_among(x, v["s"])))
+        return F.when((v["n"] == 0) | (F.size(v["b"]) == 0), 0.0).when(F.size(v["s"]) == 0, 0.0).otherwise((F.size(v["s"]) + more) / F.greatest(F.size(v["b"]), F.lit(1)))
+
+    return once(F.struct(F.size(a).alias("n"), b.alias("b"), F.array_intersect(b, a).alias("s")), share)
+
 
-    return once(F.struct(F.array_distinct(keep(a)).alias("a"), keep(b).alias("b")), share)
+def _among(words: Column, known: Column) -> Column:
+    """How many of the words, repeats included, are among ``known``."""
+    return once(F.array_intersect(words, known), lambda both: F.size(F.filter(words, lambda w: F.array_contains(both, w))))
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Share of the words of ``b`` (longer than three characters) that occur in ``a``."""
+    return once(F.struct(long_words(a).alias("a"), long_words(b).alias("b")), lambda v: words_shared(v["a"], v["b"]))
 
 
 def teaser_seconds(clean: Column) -> Column:

@@ -242,9 +242,9 @@ def prompt_buckets(lines: DataFrame, step: float = PROMPT_STEP) -> DataFrame:
 
     A line ``step`` or more after its neighbour always closes, so the scan starts anew there; only whether it joins an
     open bucket depends on the line before. Text is joined per bucket, only times enter the scan."""
-    rows = lines.withColumn("clean", strip_fillers(F.col("text"))).filter("clean != ''")
-    rows = gap_sessions(rows, KEY, "start", step, ["seq"], strict=True)
-    slim = rows.select(*KEY, "session_start", "start", "seq")
+    # The text is cleaned once; neither sessions nor scan carry it.
+    rows = settle(lines.select(*KEY, "seq", "start", strip_fillers(F.col("text")).alias("clean"))).filter("clean != ''")
+    slim = gap_sessions(rows.select(*KEY, "start", "seq"), KEY, "start", step, ["seq"], strict=True).select(*KEY, "session_start", "start", "seq")
 
     def advance(prev: Column, row: Column) -> Column:
         close = prev.isNull() | (row["start"] - prev["closed"] >= step)
