@@ -89,9 +89,9 @@ def cliffhangers(lines: DataFrame, teasers: DataFrame) -> DataFrame:
     spoken = spoken.withColumn("ratio", F.when(dur > 0, (F.col("start") - F.col("w_start")) / dur).otherwise(0.5))
     offers = spoken.select(*CLIP, F.lit(0).alias("src"), "seq", "start", "ratio", "text", "clean", "base").unionByName(
         _in_clip(lines, clips).select(*CLIP, F.lit(1).alias("src"), "seq", "start", "ratio", F.trim("text").alias("text"), "clean", "base").filter("text != ''"))
-    rows = offers.join(teasers.select(*CLIP, "teaser_at", "teaser_line"), CLIP)
+    rows = offers.join(teasers.select(*CLIP, "teaser_at", tx.long_words(F.col("teaser_line")).alias("_tw")), CLIP)
     limit = F.when(F.col("src") == 0, PHRASE_OVERLAP).otherwise(LINE_OVERLAP)
-    rows = rows.filter(tx.word_overlap(F.col("text"), F.col("teaser_line")) <= limit)
+    rows = rows.filter(tx.words_shared(tx.long_words(F.col("text")), F.col("_tw")) <= limit)
     rows = rows.withColumn("_s", tx.cliffhanger_score(F.col("clean"), F.col("base"), F.col("ratio"), F.col("teaser_at"), F.col("start")))
     best = rows.groupBy(*CLIP).agg(F.max_by(F.struct(F.col("clean").alias("cliff_clean"), F.col("_s").alias("cliff_score")), F.struct("_s", -F.col("src"), -F.col("seq"))).alias("_b"))
     return teasers.join(best, CLIP, "left").select(*teasers.columns, "_b.*")
@@ -106,21 +106,24 @@ def earlier_line(lines: DataFrame, teasers: DataFrame) -> DataFrame:
 
 def title_tease(title: Column) -> Column:
     """A title of eight to sixty characters as tease, else empty."""
-    clean = tx.strip_fillers(nz(title, ""))
-    line = F.when(clean.rlike(r"[?!…]$"), clean).otherwise(F.concat(clean, F.lit("…")))
-    n = tx.count_squeezed(line)
-    bad = (clean == "") | F.lower(clean).eqNullSafe("top moment") | ~F.length(clean).between(8, 60) | (n < 3) | line.rlike("(?i)" + tx.DANGLING)
-    return F.when(bad, "").otherwise(line)
+    def judged(v: Column) -> Column:
+        n = tx.count_squeezed(v["line"])
+        bad = (v["c"] == "") | F.lower(v["c"]).eqNullSafe("top moment") | ~F.length(v["c"]).between(8, 60) | (n < 3) | v["line"].rlike("(?i)" + tx.DANGLING)
+        return F.when(bad, "").otherwise(v["line"])
+
+    def closed(c: Column) -> Column:
+        return F.struct(c.alias("c"), F.when(c.rlike(r"[?!…]$"), c).otherwise(F.concat(c, F.lit("…"))).alias("line"))
+
+    return tx.once(tx.once(tx.strip_fillers(nz(title, "")), closed), judged)
 
 
 def _synthetic(title: Column) -> Column:
-    teaser = tx.strip_fillers(nz(F.col("teaser_line"), ""))
-    from_title = title_tease(title)
     template = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.floor(F.col("teaser_at")) % len(TEMPLATES) + 1).cast("int"))
     use_before = nz(F.col("before_text"), "") != ""
     use_before = use_before & (tx.word_overlap(nz(F.col("before_text"), ""), nz(F.col("teaser_line"), "")) < FALLBACK_OVERLAP)
     fallback = F.when(use_before, tx.format_cliffhanger(nz(F.col("before_clean"), ""))).otherwise(template)
-    return F.when(from_title != "", from_title).when((F.length(teaser) >= 12) & tx.valid_cliffhanger(teaser), tx.format_cliffhanger(teaser)).otherwise(fallback)
+    spoken = tx.once(tx.strip_fillers(nz(F.col("teaser_line"), "")), lambda teaser: F.when((F.length(teaser) >= 12) & tx.valid_cliffhanger(teaser), tx.format_cliffhanger(teaser)).otherwise(fallback))
+    return tx.once(title_tease(title), lambda given: F.when(given != "", given).otherwise(spoken))
 
 
 def analyse(lines: DataFrame, clips: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def analyse(lines: DataFrame, clips: DataFrame) -> DataFrame:
     made = tx.format_cliffhanger(nz(F.col("cliff_clean"), ""))
     rows = rows.withColumn("_made", F.when(nz(F.col("cliff_score"), -999.0) > -1e9, made).otherwise("")).withColumn("_syn", _synthetic(F.lit("")))
     text = F.when(~F.col("has_lines"), NO_LINES).when(F.col("_made") != "", F.col("_made")).otherwise(F.col("_syn"))
-    length = F.when(~F.col("has_lines"), 2.2).otherwise(tx.teaser_seconds(tx.strip_fillers(nz(F.col("teaser_line"), ""))))
+    length = F.when(~F.col("has_lines"), 2.2).otherwise(tx.once(tx.strip_fillers(nz(F.col("teaser_line"), "")), tx.teaser_seconds))
     return rows.withColumns({"tease": text, "cliff_score": nz(F.col("cliff_score"), 0.0), "teaser_sec": length}).drop("_made", "_syn", "cliff_clean")
 
 
