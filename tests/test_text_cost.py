@@ -117,3 +117,11 @@ def test_shared_words_count_repeats_and_stay_linear(spark):
     started = time.monotonic()
     got = [r[0] for r in rows.select(tx.word_overlap(F.col("a"), F.col("b"))).collect()]
     assert got == [*want, 1.0] and time.monotonic() - started < 30
+
+
+def test_buckets_of_repeated_rows_have_one_stamp(spark):
+    """Which of two equal rows gave the stamp followed from the order in which they arrived."""
+    rows = [(1, i, f"line {i}", t, t + 1) for i, t in enumerate((3.0, 9.5, 11.0, 17.25))]
+    got = {tuple(captions.prompt_buckets(spark.createDataFrame(r, "video_id long, seq int, text string, start double, end double").repartition(n)).orderBy("bucket").select("bucket", "stamp").collect())
+           for r, n in ((rows * 2, 1), (rows[::-1] * 2, 3), (rows * 2, 2))}
+    assert len(got) == 1

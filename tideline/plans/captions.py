@@ -256,7 +256,7 @@ def prompt_buckets(lines: DataFrame, step: float = PROMPT_STEP) -> DataFrame:
     joins = nz(F.col("_session") != F.col("session_start"), False) & ~nz(F.col("_before.shut"), True)
     placed = marked.select(*KEY, "seq", F.when(joins, F.col("_before.bucket")).otherwise(F.col("state.bucket")).alias("bucket"), F.col("_before.closed").alias("_closed"))
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "clean"))), lambda r: r["clean"]), " ")
-    out = rows.join(placed, [*KEY, "seq"]).groupBy(*KEY, "bucket").agg(F.min("start").alias("start"), F.min_by("_closed", F.struct("start", "seq")).alias("_closed"), said.alias("text"))
+    out = rows.join(placed, [*KEY, "seq"]).groupBy(*KEY, "bucket").agg(F.min("start").alias("start"), F.min_by("_closed", F.struct("start", "seq", "_closed")).alias("_closed"), said.alias("text"))
     opened = F.when(nz(F.col("_closed"), 0.0) == 0, F.col("start")).otherwise(F.col("_closed"))
     return out.select(*KEY, "bucket", "start", F.floor(opened).alias("stamp"), "text")
 
