@@ -305,15 +305,22 @@ def best_windows(lines: DataFrame, points: DataFrame, category: Column | None =
 
     For each point ``(video_id, aid, peak, video_end)`` the variant with the highest composite; earlier wins ties."""
     lo, hi = tx.profile_value(category, "min_clip"), tx.profile_value(category, "max_clip")
-    tails = dynamic_tail(points.select(*KEY, "aid", "peak", "video_end"), lines, 45.0)
-    variants = settle(shifted_windows(tails, lo, hi).select(*KEY, "aid", "pos", "w_start", "w_end"))
-    # Anchors share peaks and variants share ends, so a window is measured once, however many points have it.
+    # Anchors share peaks: what follows from the peak alone is worked out once per peak.
+    spots = points.select(*KEY, F.struct("peak", "video_end").alias("aid"), "peak", "video_end").distinct()
+    variants = settle(shifted_windows(dynamic_tail(spots, lines, 45.0), lo, hi).select(*KEY, "aid", "pos", "w_start", "w_end"))
+    # Variants share ends, so a window is measured once, however many peaks have it.
     spans = variants.select(*KEY, "w_start", "w_end").distinct().withColumn("wid", F.struct("w_start", "w_end"))
-    scored = variants.join(window_metrics(lines, spans).drop("wid"), [*KEY, "w_start", "w_end"], "left")
-    scored = scored.withColumn("composite", nz(composite(category), EMPTY_WINDOW))
+    measured = window_metrics(lines, spans).drop("wid").withColumn("composite", composite(category))
+    scored = variants.join(measured, [*KEY, "w_start", "w_end"], "left").withColumn("composite", nz(F.col("composite"), EMPTY_WINDOW))
     kept = [c for c in scored.columns if c not in (*KEY, "aid", "pos")]
-    best = scored.groupBy(*KEY, "aid").agg(F.max_by(F.struct(*kept), F.struct(F.round("composite", 9), -F.col("pos"))).alias("_w"))
-    return best.select(*KEY, "aid", "_w.*")
+    # One aggregate per column: those that nobody reads are neither shuffled nor compared.
+    order = F.struct(F.round("composite", 9), -F.col("pos"))
+    best = scored.groupBy(*KEY, "aid").agg(*[F.max_by(c, order).alias(c) for c in kept]).withColumnRenamed("aid", "_spot")
+    best = best.select(*[F.col(k).alias(f"_k_{k}") for k in KEY], F.col("_spot").alias("_of"), *kept)
+    same = F.col("_spot") == F.col("_of")
+    for k in KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return points.select(*KEY, "aid", F.struct("peak", "video_end").alias("_spot")).join(best, same).select(*KEY, "aid", *kept)
 
 
 def top_anchors(lines: DataFrame, video_end: DataFrame, chapters: DataFrame | None = None, peaks: DataFrame | None = None, most: int | None = MOST_RAW) -> DataFrame:
@@ -321,7 +328,9 @@ def top_anchors(lines: DataFrame, video_end: DataFrame, chapters: DataFrame | No
     order = [F.desc("score"), F.col("kind"), F.col("time")]
     found = anchors(lines, chapters, peaks)
     ranked = top_per_key(found, KEY, order, most, rank="aid") if most is not None else found.withColumn("aid", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)))
-    points = ranked.join(video_end, KEY)
-    near = peak_line_near(peak_line_near(points, lines, "time", 18.0, "_p18"), lines, "time", 45.0, "_p45")
+    near = settle(peak_line_near(ranked.join(video_end, KEY), lines, "time", 18.0, "_p18"))
+    # Only points without a line close by look for one further away.
+    far = peak_line_near(near.filter(F.col("_p18").isNull() & ~F.col("loud")), lines, "time", 45.0, "_p45")
+    near = near.filter(F.col("_p18").isNotNull() | F.col("loud")).withColumn("_p45", F.lit(None).cast("double")).unionByName(far)
     peak = F.when(F.col("loud"), F.col("time")).otherwise(F.coalesce("_p18", "_p45", "time"))
     return near.withColumn("peak", peak).drop("_p18", "_p45")
