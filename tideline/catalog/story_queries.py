@@ -24,7 +24,7 @@ def _hook_clips(spark, d):
 @query("teaser_peaks")
 def teaser_peaks(spark, d):
     """Opening moment of every clip."""
-    return h.teaser_peaks(_hook_lines(spark, d), _clips(spark, d)).select("video_id", "wid", "teaser_at", F.round("teaser_score", 4).alias("teaser_score"))
+    return h.teaser_peaks(h.hook_lines(views.transcript(spark, d)), _clips(spark, d)).select("video_id", "wid", "teaser_at", F.round("teaser_score", 4).alias("teaser_score"))
 
 
 @query("hook_phrases", sql("""SELECT video_id, wid, pseq::INT AS seq, array_to_string(ws[1:14], ' ') AS text FROM (SELECT video_id, wid, f AS pseq, string_split(string_agg(clean, ' ' ORDER BY seq), ' ') AS ws FROM walk GROUP BY 1, 2, 3) WHERE len(ws) >= 3""", "line", more=WIN + """,

@@ -16,8 +16,11 @@ CAPS = r"\b[A-ZÄÖÜ]{2,}\b"
 
 
 def squeeze(text: Column) -> Column:
-    """Collapse white space and trim. Characters are mapped first, which is far cheaper than a wide character class."""
-    return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
+    """Collapse white space and trim. Most texts have single blanks only and none of the ranges that hold other white space; in the rest
+    characters are mapped first, which is far cheaper than replacing a wide character class."""
+    plain = F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " ")
+    wide = (F.octet_length(text) != F.length(text)) & (F.contains(text, F.lit("\u00a0")) | text.rlike("[\u1680-\uffff]"))
+    return F.trim(F.when(F.contains(text, F.lit("  ")) | text.rlike("[\t-\r]") | wide, plain).otherwise(text))
 
 
 #: Characters outside ASCII that equal an ASCII letter when case is folded for all scripts.
@@ -67,8 +70,14 @@ def _may_fill(tok: Column, squeezed: Column) -> Column:
     return one_of(tok, words) | phrase
 
 
+# Reactions that make an opening scene.
+TEASER = (
+    r"\b(oh my god|no way|what the|holy shit|holy|bro|wtf|omg|insane|crazy)\b",
+    r"\b(oh mein gott|auf keinen|krass|wahnsinn|alter|scheiße|wtf|omg)\b",
+    r"\b(laugh|lacht|haha|lol|hilarious)\b",
+)
 #: Patterns that rules on measured lines may ask for, and the tokens these ask for.
-LINE_PATTERNS = (*REACTION, *LORE, *NEGATIVE, SETUP_WORDS, KILL_WORDS, BORING_WORDS, FILLERS,
+LINE_PATTERNS = (*REACTION, *LORE, *NEGATIVE, SETUP_WORDS, KILL_WORDS, BORING_WORDS, FILLERS, *TEASER,
                  *[p for profile in PROFILES.values() for p in profile["keywords"] + profile["lore"] if p.startswith(r"\b(")])
 VOCABULARY = frozenset(lead_tokens(LINE_PATTERNS)) | {w for p in LINE_PATTERNS for w in split_words(p)[0]}
 
@@ -145,12 +154,7 @@ def line_flags(text: str = "text") -> dict[str, Column]:
         "kill_talk": talk(KILL_WORDS), "boring_talk": talk(BORING_WORDS)}
 
 
-# Reaction and tease vocabulary for opening scenes.
-TEASER = (
-    r"\b(oh my god|no way|what the|holy shit|holy|bro|wtf|omg|insane|crazy)\b",
-    r"\b(oh mein gott|auf keinen|krass|wahnsinn|alter|scheiße|wtf|omg)\b",
-    r"\b(laugh|lacht|haha|lol|hilarious)\b",
-)
+# Tease vocabulary for opening scenes.
 TEASE = (
     r"\b(wait until|but then|what happens|you won't believe|and then)\b",
     r"\b(warte bis|und dann|was passiert|glaub mir|stell dir vor)\b",
@@ -169,12 +173,25 @@ def _seen(clean: Column) -> Column:
     return once(clean, lambda c: F.struct(c.alias("c"), F.lower(c).alias("l"), count_squeezed(c).alias("n")))
 
 
+def _teaser_words(base: Column, n: Column, hits: Column, cry: Column) -> Column:
+    return base + (F.when(n.between(4, 16), 5).otherwise(0) - F.when(n <= 2, 4).otherwise(0) + hits * 9 + F.when(cry, 4).otherwise(0))
+
+
+def measured_teaser_words(base: Column) -> Column:
+    """What the words of a measured line are worth as opening scene, wherever in the clip it is; ``base`` is its line score."""
+    return _teaser_words(base, F.col("n"), token_hits(F.col("tok"), F.col("low"), TEASER), F.col("cry"))
+
+
+def teaser_place(ratio: Column) -> Column:
+    """What a place in the clip is worth for an opening scene."""
+    return (F.when((ratio >= 0.45) & (ratio <= 0.88), 6).when((ratio >= 0.35) & (ratio < 0.45), 1).otherwise(0)
+            - F.when(ratio < 0.35, 18).otherwise(0) - F.when(ratio < 0.12, 8).otherwise(0) - F.when(ratio > 0.95, 5).otherwise(0))
+
+
 def teaser_score(clean: Column, base: Column, ratio: Column) -> Column:
     """Value of a line as opening scene; ``base`` is its line score and ``ratio`` its place in the clip."""
-    place = (F.when((ratio >= 0.45) & (ratio <= 0.88), 6).when((ratio >= 0.35) & (ratio < 0.45), 1).otherwise(0)
-             - F.when(ratio < 0.35, 18).otherwise(0) - F.when(ratio < 0.12, 8).otherwise(0) - F.when(ratio > 0.95, 5).otherwise(0))
-    words = once(_seen(clean), lambda v: F.when(v["n"].between(4, 16), 5).otherwise(0) - F.when(v["n"] <= 2, 4).otherwise(0) + hits_lower(v["l"], TEASER) * 9 + F.when(v["c"].contains("!"), 4).otherwise(0))
-    return base + words + place
+    words = once(F.struct(base.alias("b"), _seen(clean).alias("v")), lambda x: _teaser_words(x["b"], x["v"]["n"], hits_lower(x["v"]["l"], TEASER), x["v"]["c"].contains("!")))
+    return words + teaser_place(ratio)
 
 
 def _valid(v: Column) -> Column:

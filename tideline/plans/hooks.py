@@ -24,11 +24,12 @@ NO_LINES = "Wait for this…"
 
 
 def hook_lines(lines: DataFrame) -> DataFrame:
-    """Lines with pause and a score that ignores the speaking rate, as the hook rules want."""
+    """Lines with pause, a score that ignores the speaking rate, as the hook rules want, and what their words are worth as opening scene."""
     rows = ordered(lines, KEY, "seq", tile=4096, lag={"_pe": "end"})
     rows = rows.withColumn("gap", F.greatest(F.lit(0.0), F.col("start") - nz(F.col("_pe"), F.col("start")))).drop("_pe")
     rows = tx.measure_lines(rows)
-    return rows.withColumn("base", tx.line_score(F.col("gap"), F.lit(0.0))).select(*KEY, "seq", "start", "end", "gap", "text", "clean", "base")
+    rows = rows.withColumn("base", tx.line_score(F.col("gap"), F.lit(0.0))).withColumn("opening", tx.measured_teaser_words(F.col("base")))
+    return rows.select(*KEY, "seq", "start", "end", "gap", "text", "clean", "base", "opening")
 
 
 def _in_clip(lines: DataFrame, clips: DataFrame) -> DataFrame:
@@ -38,22 +39,28 @@ def _in_clip(lines: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def teaser_peaks(lines: DataFrame, clips: DataFrame) -> DataFrame:
-    """The best line late enough in each clip, else the 72 percent point with the line near it."""
-    rows = _in_clip(lines, clips)
+    """The best line late enough in each clip, else the 72 percent point with the line near it.
+
+    ``lines`` come from :func:`hook_lines`: their words are judged before they meet the clips. One pass over the pairs finds both lines."""
+    slim = lines.select(*KEY, "seq", "start", F.trim("text").alias("_line"), F.col("opening").alias("_words"))
+    rows = _in_clip(slim, clips)
     dur = F.col("w_end") - F.col("w_start")
     late = F.col("start") - F.col("w_start") >= least_peak_offset(dur)
-    scored = rows.filter(late).withColumn("_s", tx.teaser_score(F.col("clean"), F.col("base"), F.col("ratio")))
-    best = scored.groupBy(*CLIP).agg(F.max_by(F.struct(F.col("start").alias("teaser_at"), F.trim("text").alias("teaser_line"), F.col("_s").alias("teaser_score")), F.struct("_s", -F.col("seq"))).alias("_b"))
     at = F.col("w_start") + F.greatest(least_peak_offset(dur), dur * 0.72)
-    close = rows.withColumn("_at", at).filter(F.abs(F.col("start") - F.col("_at")) < 2.5)
-    share = F.when(dur > 0, (F.col("_at") - F.col("w_start")) / dur).otherwise(0.72)
-    near = close.groupBy(*CLIP).agg(F.min_by(F.struct(F.trim("text").alias("line"), tx.teaser_score(F.col("clean"), F.col("base"), share).alias("score")), "seq").alias("_n"))
-    any_line = rows.groupBy(*CLIP).agg(F.lit(True).alias("has_lines"))
-    out = clips.join(best, CLIP, "left").join(near, CLIP, "left").join(any_line, CLIP, "left")
-    fall = F.struct(at.alias("teaser_at"), nz(F.col("_n.line"), "").alias("teaser_line"), nz(F.col("_n.score"), 0.0).alias("teaser_score"))
-    none = F.struct((F.col("w_start") + dur * 0.72).alias("teaser_at"), F.lit("").alias("teaser_line"), F.lit(0.0).alias("teaser_score"))
-    pick = F.when(F.col("has_lines").isNull(), none).otherwise(F.coalesce("_b", fall))
-    return out.withColumn("_t", pick).select(*clips.columns, nz(F.col("has_lines"), False).alias("has_lines"), "_t.*")
+    share = F.when(dur > 0, (at - F.col("w_start")) / dur).otherwise(0.72)
+    rows = rows.withColumn("_s", F.col("_words") + tx.teaser_place(F.col("ratio")))
+    best = F.when(late, F.struct("_s", -F.col("seq")))
+    near = F.when(F.abs(F.col("start") - at) < 2.5, F.col("seq"))
+    found = rows.groupBy(*CLIP, "w_start", "w_end").agg(
+        F.lit(True).alias("has_lines"), F.max_by(F.struct("start", F.col("_s").alias("score")), best).alias("_b"), F.max_by("_line", best).alias("_b_line"),
+        F.min_by(F.col("_words") + tx.teaser_place(share), near).alias("_n_score"), F.min_by("_line", near).alias("_n_line")).drop("w_start", "w_end")
+    out = clips.join(found, CLIP, "left")
+    silent, given = F.col("has_lines").isNull(), F.col("_b").isNotNull()
+    return out.select(
+        *clips.columns, nz(F.col("has_lines"), False).alias("has_lines"),
+        F.when(silent, F.col("w_start") + dur * 0.72).when(given, F.col("_b.start")).otherwise(at).alias("teaser_at"),
+        F.when(silent, "").when(given, F.col("_b_line")).otherwise(nz(F.col("_n_line"), "")).alias("teaser_line"),
+        F.when(silent, 0.0).when(given, F.col("_b.score")).otherwise(nz(F.col("_n_score"), 0.0)).alias("teaser_score"))
 
 
 def phrases(lines: DataFrame, clips: DataFrame) -> DataFrame:
