@@ -85,8 +85,7 @@ win AS (SELECT video_id, i::INT AS wid, (i * 40)::DOUBLE AS w_start, (i * 40 + 2
 
 
 def _clips(spark, d):
-    ends = views.transcript(spark, d).groupBy("video_id").agg(F.max("end").alias("e"))
-    grid = ends.withColumn("wid", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / 40).cast("int"))))
+    grid = views.transcript_ends(spark, d).withColumn("wid", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / 40).cast("int"))))
     return grid.select("video_id", "wid", (F.col("wid") * 40).cast("double").alias("w_start"), (F.col("wid") * 40 + 28).cast("double").alias("w_end"))
 
 

@@ -117,8 +117,7 @@ METRICS = LINES + _FLAGS
 
 
 def _grid(spark, d):
-    ends = views.transcript(spark, d).groupBy("video_id").agg(F.max("end").alias("e"))
-    grid = ends.withColumn("wid", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / 20).cast("int"))))
+    grid = views.transcript_ends(spark, d).withColumn("wid", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / 20).cast("int"))))
     return grid.select("video_id", "wid", (F.col("wid") * 20).cast("double").alias("w_start"), (F.col("wid") * 20 + 28).cast("double").alias("w_end"))
 
 
@@ -180,7 +179,7 @@ def anchor_scores(spark, d):
 
 
 def _ends(spark, d):
-    return views.transcript(spark, d).groupBy("video_id").agg(F.max("end").alias("_e")).select("video_id", F.greatest(F.lit(12.0), F.col("_e")).alias("video_end"))
+    return views.transcript_ends(spark, d).select("video_id", F.greatest(F.lit(12.0), F.col("e")).alias("video_end"))
 
 
 @query("anchor_peaks", sql("""SELECT a.video_id, rk::INT AS aid, bucket, coalesce(max(CASE WHEN k18 = 1 THEN st END), max(CASE WHEN k45 = 1 THEN st END), bucket) AS peak FROM (

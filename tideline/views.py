@@ -47,20 +47,34 @@ def loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.select("video_id", "idx", (F.col("x").cast("double") * 40).alias("db"), F.col("x").cast("double").alias("sample"))
 
 
+LINE_TILE = 4096
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    words = F.size(F.array_remove(F.split("text", " "), ""))
+    lines = lines.withColumns({"_dur": F.greatest(F.lit(5), words * 4).cast("bigint"), "_gap": ((F.length("text") % 4) * 5).cast("bigint")})
+    return lines.withColumn("_len", F.col("_dur") + F.col("_gap"))
+
+
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as timed lines: one recording per document, one line per text line.
 
     Times are running sums of whole tenths of a second, so they are exact in any order of summation.
     """
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
-    lines = lines.withColumns({"_dur": F.greatest(F.lit(5), words * 4).cast("bigint"), "_gap": ((F.length("text") % 4) * 5).cast("bigint")})
-    lines = lines.withColumn("_len", F.col("_dur") + F.col("_gap"))
-    timed = ordered(lines, ["video_id"], "seq", tile=4096, run_sum={"_end": "_len"})
+    timed = ordered(_document_lines(spark, sf_dir), ["video_id"], "seq", tile=LINE_TILE, run_sum={"_end": "_len"})
     return timed.select("video_id", "seq", "text", ((F.col("_end") - F.col("_dur")) / 10).alias("start"), (F.col("_end") / 10).alias("end"),
                         (F.col("_dur") / 10).alias("duration"))
 
 
+def transcript_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ``end`` of each recording's :func:`transcript` as ``e``. Lines last longer than nothing, so it is the sum of their
+    lengths, and no line has to be put in order; running sums of rows without a recording begin anew in each tile."""
+    tiles = _document_lines(spark, sf_dir).groupBy("video_id", F.floor(F.col("seq") / F.lit(float(LINE_TILE))).alias("_tile")).agg(F.sum("_len").alias("_sum"))
+    total = F.when(F.col("video_id").isNull(), F.max("_sum")).otherwise(F.sum("_sum"))
+    return tiles.groupBy("video_id").agg((total / 10).alias("e"))
+
+
 # Longer recordings for analyses that need sound, kills and speech together.
 LONG_VECTORS, LONG_EVENTS, LONG_TEXTS, LONG_SEC = 8, 25, 16, 640.0
 
