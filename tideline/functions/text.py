@@ -15,12 +15,16 @@ SPACES = "\t\n\x0b\x0c\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u
 CAPS = r"\b[A-ZÄÖÜ]{2,}\b"
 
 
+def _squeeze_all(text: Column) -> Column:
+    """``squeeze`` of an expression: it stands here once."""
+    return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
+
+
 def squeeze(text: Column) -> Column:
-    """Collapse white space and trim. Most texts have single blanks only and none of the ranges that hold other white space; in the rest
+    """Collapse white space and trim a column. Most texts have single blanks only and none of the ranges that hold other white space; in the rest
     characters are mapped first, which is far cheaper than replacing a wide character class."""
-    plain = F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " ")
     wide = (F.octet_length(text) != F.length(text)) & (F.contains(text, F.lit("\u00a0")) | text.rlike("[\u1680-\uffff]"))
-    return F.trim(F.when(F.contains(text, F.lit("  ")) | text.rlike("[\t-\r]") | wide, plain).otherwise(text))
+    return F.when(F.contains(text, F.lit("  ")) | text.rlike("[\t-\r]") | wide, _squeeze_all(text)).otherwise(F.trim(text))
 
 
 #: Characters outside ASCII that equal an ASCII letter when case is folded for all scripts.
@@ -33,7 +37,7 @@ def _drop_fillers(text: Column) -> Column:
 
 
 def strip_fillers(text: Column) -> Column:
-    return squeeze(_drop_fillers(text))
+    return _squeeze_all(_drop_fillers(text))
 
 
 def words_of(text: Column) -> Column:
@@ -91,7 +95,7 @@ def measure_lines(df: DataFrame, text: str = "text") -> DataFrame:
     src = F.col(text)
     rows = df.withColumns({"raw_low": F.lower(src), "_sq": squeeze(src)})
     rows = rows.withColumns({"tok": F.filter(tokens(F.col("raw_low")), lambda w: w.isin(*sorted(VOCABULARY))), "words": count_squeezed(F.col("_sq"))})
-    rows = rows.withColumn("clean", F.when(_may_fill(F.col("tok"), F.col("_sq")), squeeze(_drop_fillers(F.col("_sq")))).otherwise(F.col("_sq")))
+    rows = rows.withColumn("clean", F.when(_may_fill(F.col("tok"), F.col("_sq")), _squeeze_all(_drop_fillers(F.col("_sq")))).otherwise(F.col("_sq")))
     rows = rows.withColumn("low", F.lower("clean"))
     upper = F.when((F.col("clean") != F.col("low")) & F.col("clean").rlike("[A-ZÄÖÜ]{2}"), F.regexp_count("clean", F.lit(CAPS_JAVA))).otherwise(0)
     return rows.withColumns({"n": count_squeezed(F.col("clean")), "caps": upper, "ask": F.contains("clean", F.lit("?")), "cry": F.contains("clean", F.lit("!"))}).drop("_sq")

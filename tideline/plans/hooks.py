@@ -49,8 +49,8 @@ def teaser_peaks(lines: DataFrame, clips: DataFrame) -> DataFrame:
     at = F.col("w_start") + F.greatest(least_peak_offset(dur), dur * 0.72)
     share = F.when(dur > 0, (at - F.col("w_start")) / dur).otherwise(0.72)
     rows = rows.withColumn("_s", F.col("_words") + tx.teaser_place(F.col("ratio")))
-    best = F.when(late, F.struct("_s", -F.col("seq")))
-    near = F.when(F.abs(F.col("start") - at) < 2.5, F.col("seq"))
+    best = F.when(late, F.struct("_s", -F.col("seq"), -F.col("start")))  # of a line that comes twice the earlier one
+    near = F.when(F.abs(F.col("start") - at) < 2.5, F.struct("seq", "start"))
     found = rows.groupBy(*CLIP, "w_start", "w_end").agg(
         F.lit(True).alias("has_lines"), F.max_by(F.struct("start", F.col("_s").alias("score")), best).alias("_b"), F.max_by("_line", best).alias("_b_line"),
         F.min_by(F.col("_words") + tx.teaser_place(share), near).alias("_n_score"), F.min_by("_line", near).alias("_n_line")).drop("w_start", "w_end")
