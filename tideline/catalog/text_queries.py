@@ -194,5 +194,5 @@ def anchor_peaks(spark, d):
 @query("best_shift")
 def best_shift(spark, d):
     """The best of nine shifted windows around every strong anchor."""
-    lines = settle(_lines(spark, d))
+    lines = settle(_lines(spark, d).select("video_id", *w.LINE))
     return w.best_windows(lines, w.top_anchors(lines, _ends(spark, d))).select("video_id", "aid", "w_start", "w_end", F.round("composite", 3).alias("composite"))

@@ -106,6 +106,11 @@ HELPERS = ("raw_low", "tok", "low", "n", "caps", "ask", "cry")
 
 def line_score(gap: Column, duration: Column, category: Column | None = None) -> Column:
     """Score of a measured line: short emphatic reactions win, monologues and adverts lose."""
+    return score_with_pause(line_words(category), line_pace(duration), gap)
+
+
+def line_words(category: Column | None = None) -> Column:
+    """What the words of a measured line are worth, null for a line without any."""
     n, caps, ask, cry, low, tok = (F.col(c) for c in ("n", "caps", "ask", "cry", "low", "tok"))
     emphatic = ask | cry | (caps > 0)
     size = (F.when(n <= 4, F.when(emphatic, 12).otherwise(5)).when(n <= 8, F.when(emphatic, 9).otherwise(4)).when(n <= 14, 2)
@@ -124,10 +129,20 @@ def line_score(gap: Column, duration: Column, category: Column | None = None) ->
                          - token_hits(tok, low, profile["lore"]) * float(int(profile["lore_penalty"] * 0.85 + 0.5)))
                 value = value + hits_lower(low, marks_only) * float(profile["keyword_bonus"] + 2)
                 own = F.when(category == name, value).otherwise(own)
-    pause = F.when(gap >= 0.8, F.least(gap * 2.5, F.lit(8.0))).otherwise(0.0)
+    return F.when(F.col("clean") != "", size + marks + F.least(caps * 2, F.lit(8)) + keywords + own)
+
+
+def line_pace(duration: Column) -> Column:
+    """What the speaking rate of a measured line is worth."""
+    n = F.col("n")
     rate = F.when(duration > 0, n / duration)
-    pace = F.when(nz(rate >= 3.2, False) & (n <= 16), 6.0).otherwise(0.0) - F.when(nz(rate <= 1.4, False) & (n >= 20), 8.0).otherwise(0.0)
-    return F.when(F.col("clean") == "", -5.0).otherwise(size + marks + F.least(caps * 2, F.lit(8)) + keywords + own + pause + pace)
+    return F.when(nz(rate >= 3.2, False) & (n <= 16), 6.0).otherwise(0.0) - F.when(nz(rate <= 1.4, False) & (n >= 20), 8.0).otherwise(0.0)
+
+
+def score_with_pause(words: Column, pace: Column, gap: Column) -> Column:
+    """Score of a line from :func:`line_words`, :func:`line_pace` and the pause before it."""
+    pause = F.when(gap >= 0.8, F.least(gap * 2.5, F.lit(8.0))).otherwise(0.0)
+    return F.coalesce(words + pause + pace, F.lit(-5.0))
 
 
 def talk(pattern: str) -> Column:

@@ -45,6 +45,31 @@ def overlap_join(
     raise ValueError(how)
 
 
+def reach_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_span: tuple[Column, Column],
+    right_span: tuple[Column, Column],
+    tile: str,
+    most: float,
+    *,
+    tile_sec: float = DEFAULT_BIN_SEC,
+) -> DataFrame:
+    """Left rows with the right rows whose closed intervals meet theirs; a left row without any comes once, with nulls.
+
+    ``tile`` names the column with the number of the tile of ``tile_sec`` in which a left interval begins; left intervals last ``most``
+    seconds at most. Only right rows are copied, so all pairs of a left row are where (keys, tile) was dealt: what is
+    then grouped by these columns and more is not shuffled again. Column names other than ``keys`` must differ between the sides."""
+    first, last = _bins(right_span[0] - F.lit(float(most)), right_span[1], tile_sec)
+    rhs = right.withColumns({"_rs": right_span[0], "_re": right_span[1], "_rtile": F.explode(F.sequence(first, F.greatest(first, last)))})
+    rhs = rhs.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in rhs.columns])
+    on = (F.col(tile) == F.col("_rtile")) & (left_span[1] >= F.col("_rs")) & (left_span[0] <= F.col("_re"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    return left.join(rhs, on, "left").drop("_rs", "_re", "_rtile", *[f"_k_{k}" for k in keys])
+
+
 def band_join(
     left: DataFrame,
     right: DataFrame,

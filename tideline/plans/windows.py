@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
 from tideline.functions.numeric import half_up, nz, tenth
+from tideline.functions.profiles import PROFILES
 from tideline.operators.ordered import ordered, top_per_key
-from tideline.operators.ranges import band_join, overlap_join
+from tideline.operators.ranges import DEFAULT_BIN_SEC, band_join, overlap_join, reach_join
 from tideline.session import settle
 
 KEY = ["video_id"]
@@ -21,19 +22,23 @@ SHIFT_STEP, SHIFT_MOST = 2, 8
 # A window without lines only has the penalty for missing interaction.
 EMPTY_WINDOW = -12.0
 PRE_PEAK, POST_PEAK, TAIL_SCORE, TAIL_BREAK = 18.0, 3.0, 4.0, 2.5
+# No window around a peak is longer: the longest clip of a profile, and what rounding may add. The column names the tile of a window.
+REACH, REACH_TILE = max(float(p["max_clip"]) for p in PROFILES.values()) + 1.0, "_reach_tile"
 
 
 def scored_lines(lines: DataFrame, category: Column | None = None, tile: float = 3600.0) -> DataFrame:
     """Lines ``(video_id, seq, text, start, end)`` with pause, score and the flags the window scores need.
 
-    All text work happens here, once per line; later joins carry only numbers and flags.
+    All text work happens here, once per line and before lines are put in order, so that text moves only where a caller reads it.
     """
-    rows = ordered(lines, KEY, "seq", tile=4096, lag={"_prev": "end"})
-    rows = rows.withColumns({
-        "text": F.trim("text"), "gap": F.greatest(F.lit(0.0), F.col("start") - nz(F.col("_prev"), F.col("start"))),
-        "duration": F.greatest(F.lit(0.3), F.col("end") - F.col("start"))}).drop("_prev").filter(F.col("text") != "")
+    rows = lines.withColumns({"text": F.trim("text"), "duration": F.greatest(F.lit(0.3), F.col("end") - F.col("start"))})
     rows = tx.measure_lines(rows)
-    return rows.withColumns({"score": tx.line_score(F.col("gap"), F.col("duration"), category), **tx.line_flags()}).drop(*tx.HELPERS)
+    flags = tx.line_flags()
+    rows = rows.withColumns({"_said": F.col("text") != "", "_worth": tx.line_words(category), "_pace": tx.line_pace(F.col("duration")), **flags}).drop(*tx.HELPERS)
+    rows = ordered(rows, KEY, "seq", tile=4096, lag={"_prev": "end"}).filter("_said")
+    rows = rows.withColumn("gap", F.greatest(F.lit(0.0), F.col("start") - nz(F.col("_prev"), F.col("start"))))
+    rows = rows.withColumn("score", tx.score_with_pause(F.col("_worth"), F.col("_pace"), F.col("gap")))
+    return rows.select(*dict.fromkeys([*lines.columns, "gap", "duration", "words", "clean", "score", *flags]))
 
 
 LINE = ("seq", "start", "end", "score", "words", "mark", "reaction", "monologue", "setup", "negative", "kill_talk", "boring_talk")
@@ -46,9 +51,14 @@ def window_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def window_metrics(lines: DataFrame, windows: DataFrame) -> DataFrame:
-    """Totals, density, arc, structure and dead time per window. One shuffle of the pairs on (video_id, wid)."""
-    pairs = window_lines(lines, windows)
-    whole = W.partitionBy(*WIN)
+    """Totals, density, arc, structure and dead time per window. One shuffle of the pairs on (video_id, wid).
+
+    Windows of at most ``reach`` seconds may carry the tile their start lies in (:func:`in_tiles`). Lines then come to the tiles, pairs
+    are not shuffled, and a window without lines has a row of nulls."""
+    tiled = REACH_TILE in windows.columns
+    pairs = reach_join(windows, lines.select(*KEY, *LINE), KEY, (F.col("w_start"), F.col("w_end")), (F.col("start"), F.col("end")), REACH_TILE, REACH) if tiled else window_lines(lines, windows)
+    at = [*KEY, REACH_TILE, "wid"] if tiled else WIN
+    whole = W.partitionBy(*at)
     order = whole.orderBy("start", "seq")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     upto = order.rowsBetween(W.unboundedPreceding, 0)
@@ -67,8 +77,8 @@ def window_metrics(lines: DataFrame, windows: DataFrame) -> DataFrame:
     turn = (F.col("_gap") >= 0.4) & (F.col("_gap") <= 6)
     zero = F.lit(0.0)
     total = lambda cond, value="score": nz(F.sum(F.when(cond, F.col(value))), 0.0)
-    out = pairs.groupBy(*WIN, "w_start", "w_end").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("score").alias("total"), F.greatest(zero, F.max("score")).alias("peak"), F.max("score").alias("peak_score"),
+    out = pairs.groupBy(*at, "w_start", "w_end").agg(
+        F.count("start" if tiled else F.lit(1)).alias("n_lines"), F.sum("score").alias("total"), F.greatest(zero, F.max("score")).alias("peak"), F.max("score").alias("peak_score"),
         F.max("_at").alias("peak_at"),
         F.sum("words").alias("_words"), F.sum(F.greatest(F.lit(0.3), F.col("end") - F.col("start"))).alias("_speech"),
         F.sum(F.when((F.col("words") <= 10) & F.col("reaction"), 1.0).otherwise(0.0) + F.when((F.col("score") >= 6) & (F.col("words") <= 14), 0.5).otherwise(0.0)).alias("_reactions"),
@@ -86,10 +96,19 @@ def window_metrics(lines: DataFrame, windows: DataFrame) -> DataFrame:
         "_a1": avg1, "density": F.col("total") / F.greatest(width / 10, F.lit(1.0)),
         "speech_rate": half_up(F.col("_words") / F.greatest(F.col("_speech"), F.lit(1.0)) * 60), "reaction_lines": half_up(F.col("_reactions")),
         "avg_gap": nz(F.col("_avg_gap"), 0.0), "speech_coverage": F.col("_speech") / F.greatest(F.lit(1.0), width)})
-    return out.withColumns(_arc()).withColumns(_structure()).select(
+    out = out.withColumns(_arc()).withColumns(_structure()).select(
         *WIN, "w_start", "w_end", "n_lines", "total", "peak", "peak_score", "peak_at", "density", "speech_rate", "reaction_lines", "monologue_lines",
         "interaction_turns", "avg_gap", "longest_run", "speech_coverage", "arc_score", "arc", "context_before", "reaction_after", "structure_bonus",
         "structure_label", "_mono_hits", "low_interaction", "dead_penalty", "negative_hits", "kill_lines", "boring_lines")
+    if not tiled:
+        return out
+    found, names = F.col("n_lines") > 0, [*WIN, "w_start", "w_end"]
+    return out.select(*names, *[F.when(found, F.col(c)).alias(c) for c in out.columns if c not in names])
+
+
+def in_tiles(windows: DataFrame) -> DataFrame:
+    """``windows`` of at most ``REACH`` seconds, dealt by recording and the tile in which they begin."""
+    return windows.withColumn(REACH_TILE, F.floor(F.col("w_start") / F.lit(DEFAULT_BIN_SEC))).repartition(*KEY, REACH_TILE)
 
 
 def _arc() -> dict[str, Column]:
@@ -308,10 +327,10 @@ def best_windows(lines: DataFrame, points: DataFrame, category: Column | None =
     # Anchors share peaks: what follows from the peak alone is worked out once per peak.
     spots = points.select(*KEY, F.struct("peak", "video_end").alias("aid"), "peak", "video_end").distinct()
     variants = settle(shifted_windows(dynamic_tail(spots, lines, 45.0), lo, hi).select(*KEY, "aid", "pos", "w_start", "w_end"))
-    # Variants share ends, so a window is measured once, however many peaks have it.
-    spans = variants.select(*KEY, "w_start", "w_end").distinct().withColumn("wid", F.struct("w_start", "w_end"))
-    measured = window_metrics(lines, spans).drop("wid").withColumn("composite", composite(category))
-    scored = variants.join(measured, [*KEY, "w_start", "w_end"], "left").withColumn("composite", nz(F.col("composite"), EMPTY_WINDOW))
+    # Variants share ends, so a window is measured once, however many peaks have it; it names them, so nothing is joined with its measures.
+    spans = in_tiles(variants).groupBy(*KEY, REACH_TILE, "w_start", "w_end").agg(F.collect_list(F.struct("aid", "pos")).alias("_of"))
+    measured = window_metrics(lines, spans.withColumn("wid", F.struct("w_start", "w_end", "_of")).drop("_of")).withColumn("composite", nz(composite(category), EMPTY_WINDOW))
+    scored = measured.withColumn("_of", F.explode("wid._of")).withColumns({"aid": F.col("_of.aid"), "pos": F.col("_of.pos")}).drop("wid", "_of")
     kept = [c for c in scored.columns if c not in (*KEY, "aid", "pos")]
     # One aggregate per column: those that nobody reads are neither shuffled nor compared.
     order = F.struct(F.round("composite", 9), -F.col("pos"))

@@ -37,8 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder, so that loops neither grow the plan nor recompute it
-    and a lost executor costs one task, not the whole history."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    and a lost executor costs one task, not the whole history.
+
+    What was shuffled on the way is deleted once the rows are written; else it stays on disk until the driver happens to
+    collect its garbage. Only shuffles of this call go: the selection is a plan of its own."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
