@@ -1,8 +1,11 @@
 """Live forms of the event and job analyses."""
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DETECTION_DELAY, BASELINE_DELAY = "10 seconds", "30 seconds"
 # Calls into which the keys of a stream are dealt by hash where each key has little to do.
 KEY_GROUPS = 4096
+# Values of a call that are held before they are summed up.
+STATE_ROWS = 1 << 20
 
 
 def dedupe_detections(events: DataFrame, delay: str = DETECTION_DELAY) -> DataFrame:
@@ -36,11 +41,74 @@ def tumbling(values: DataFrame, width: str, delay: str = DETECTION_DELAY, keys:
         *keys, F.col("w.start").alias("bucket"), "n", "total", "highest")
 
 
-def baseline(values: DataFrame, reach_sec: int = 30, step: str = "500 milliseconds", delay: str = BASELINE_DELAY) -> DataFrame:
-    """Mean around each half second from a sliding window; a row leaves once the look-ahead has passed."""
-    win = F.window("ts", f"{2 * reach_sec} seconds", step)
-    return values.withWatermark("ts", delay).groupBy(win.alias("w"), "video_id").agg(F.avg("value").alias("base")).select(
-        "video_id", (F.col("w.start") + F.expr(f"interval {reach_sec} seconds")).alias("centre"), "base")
+def baseline(values: DataFrame, reach_sec: int = 30, step: str = "500 milliseconds", delay: str = BASELINE_DELAY, groups: int = KEY_GROUPS) -> DataFrame:
+    """Mean around each half second from a sliding window; a row leaves once the look-ahead has passed.
+
+    State is a sum and a count per recording and ``step``, packed for all recordings of a group: a row of state for each window that a value
+    lies in would be ``2 * reach_sec / step`` times as many. Recordings share ``groups`` calls by hash, each is judged on its own. Windows in
+    a row with the same values are sent as one and listed outside. A value that comes after its delay counts in windows not yet sent."""
+    micros = lambda text: pd.Timedelta(text) // pd.Timedelta(microseconds=1)
+    width, slide = 2 * reach_sec * 1_000_000, micros(step)
+    unit = math.gcd(width, slide)
+    hop, reach = slide // unit, width // unit
+    names, kinds = ("video_id", "unit", "total", "n"), (np.int64, np.int64, np.float64, np.int64)
+    out = "video_id bigint, first bigint, last bigint, total double, n bigint"
+
+    def fold(parts: list) -> list:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = np.lexsort((columns[1], columns[0]))
+        ids, units, totals, ns = (c[order] for c in columns)
+        at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (units[1:] != units[:-1])][:len(ids)])
+        return [ids[at], units[at], np.add.reduceat(totals, at), np.add.reduceat(ns, at)] if len(at) else [ids, units, totals, ns]
+
+    def windows(units: np.ndarray, totals: np.ndarray, ns: np.ndarray, sent: int, upto: int) -> tuple:
+        """Runs of windows after ``sent`` up to ``upto`` that hold the same values, of one recording: first and last number, sum, count."""
+        edges = np.unique(np.r_[(units - reach) // hop + 1, units // hop + 1])
+        low, high = np.searchsorted(units, edges[:-1] * hop), np.searchsorted(units, edges[:-1] * hop + reach)
+        first, last = np.maximum(edges[:-1], sent + 1), np.minimum(edges[1:] - 1, upto)
+        some = np.flatnonzero((high > low) & (last >= first))
+        spans = np.c_[low[some], high[some]].ravel()
+        both = [np.add.reduceat(np.r_[x, x[:1] * 0], spans)[::2] if len(spans) else x[:0] for x in (totals, ns)]
+        return first[some], last[some], *both
+
+    def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        upto = (state.getCurrentWatermarkMs() * 1000 - width) // slide
+        *held, sent = state.get if state.exists else (*[zlib.compress(b"")] * 4, upto)
+        parts = [[np.frombuffer(zlib.decompress(c), k) for c, k in zip(held, kinds)]]
+        if not state.hasTimedOut:
+            for p in batches:
+                parts.append([p[c].to_numpy(k) for c, k in zip(names, kinds)])
+                if sum(len(x[0]) for x in parts[1:]) > STATE_ROWS:
+                    parts = [fold(parts)]
+        ids, units, totals, ns = fold(parts)
+        found = []
+        if upto > sent:
+            ends = np.r_[np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
+            for a, b in zip(np.r_[0, ends[:-1]], ends) if len(ids) else ():
+                rows = windows(units[a:b], totals[a:b], ns[a:b], sent, upto)
+                found.append((np.full(len(rows[0]), ids[a]), *rows))
+        left = units // hop > upto
+        if left.any():
+            state.update((*[zlib.compress(c[left].tobytes(), 1) for c in (ids, units, totals, ns)], int(max(sent, upto))))
+            after = max(upto + 1, int(((units[left] - reach) // hop + 1).min()))
+            _wait(state, [-(-(after * slide + width) // 1000)])
+        elif state.exists:
+            state.remove()
+        if found:
+            rows = pd.DataFrame(dict(zip(("video_id", "first", "last", "total", "n"), (np.concatenate(c) for c in zip(*found)))))
+            yield rows if group[0] < groups else rows.assign(video_id=pd.Series([None] * len(rows), dtype="object"))
+
+    # The mark is that of the end of the last window, so a row is late once all its windows are closed.
+    due = values.filter("ts is not null").withColumn("_due", F.timestamp_micros(F.unix_micros("ts") + width)).withWatermark("_due", f"{micros(delay) + width} microseconds")
+    at = F.unix_micros("ts")
+    rows = due.select(
+        F.when(F.col("video_id").isNull(), groups).otherwise(F.pmod(F.hash("video_id"), F.lit(groups))).alias("group"), F.coalesce("video_id", F.lit(0).cast("bigint")).alias("video_id"), "_due",
+        F.round((at - F.pmod(at, F.lit(unit))) / F.lit(unit)).cast("bigint").alias("unit"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("total"), F.col("value").isNotNull().cast("bigint").alias("n"))
+    held = "ids binary, units binary, totals binary, ns binary, sent bigint"
+    runs = rows.groupBy("group").applyInPandasWithState(judge, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    mean = F.when(F.col("n") > 0, F.coalesce("total", F.lit(float("nan"))) / F.col("n"))
+    return runs.select("video_id", F.explode(F.sequence("first", "last")).alias("_at"), mean.alias("base")).select(
+        "video_id", F.timestamp_micros(F.col("_at") * slide + reach_sec * 1_000_000).alias("centre"), "base")
 
 
 def job_state(updates: DataFrame) -> DataFrame:
