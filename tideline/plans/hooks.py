@@ -32,8 +32,9 @@ def hook_lines(lines: DataFrame) -> DataFrame:
     return rows.select(*KEY, "seq", "start", "end", "gap", "text", "clean", "base", "opening")
 
 
-def _in_clip(lines: DataFrame, clips: DataFrame) -> DataFrame:
-    pairs = overlap_join(lines, clips.select(*CLIP, "w_start", "w_end"), KEY, (F.col("start"), F.col("start")), (F.col("w_start"), F.col("w_end")))
+def _in_clip(lines: DataFrame, clips: DataFrame, *more: str) -> DataFrame:
+    """Lines with the clips they start in; ``more`` names further columns of the clips."""
+    pairs = overlap_join(lines, clips.select(*CLIP, "w_start", "w_end", *more), KEY, (F.col("start"), F.col("start")), (F.col("w_start"), F.col("w_end")))
     dur = F.col("w_end") - F.col("w_start")
     return pairs.withColumn("ratio", F.when(dur > 0, (F.col("start") - F.col("w_start")) / dur).otherwise(0.5))
 
@@ -68,12 +69,13 @@ def phrases(lines: DataFrame, clips: DataFrame) -> DataFrame:
 
     The scan carries a word count only. A phrase has at least one word per line, so at most fourteen lines.
     """
-    rows = _in_clip(lines, clips).select(*CLIP, "seq", "start", "end", "clean", "w_start", "w_end")
+    counted = lines.select(*KEY, "seq", "start", "end", tx.count_squeezed(F.col("clean")).alias("n"), (F.col("clean") != "").alias("_said"))
+    rows = _in_clip(counted, clips).select(*CLIP, "seq", "start", "end", "n", "_said")
     rows = ordered(rows, CLIP, "start", ["seq"], lag={"_pe": "end"})
-    rows = rows.filter("clean != ''").withColumn("_pause", F.greatest(F.lit(0.0), F.col("start") - F.col("_pe")))
+    rows = rows.filter("_said").withColumn("_pause", F.greatest(F.lit(0.0), F.col("start") - F.col("_pe")))
     rows = rows.withColumn("_mark", F.when(F.col("_pe").isNull() | (F.col("_pause") > PHRASE_GAP), F.col("start")))
     rows = ordered(rows, CLIP, "start", ["seq"], fill={"_sess": "_mark"}).withColumn("_sess", nz(F.col("_sess"), F.col("start")))
-    slim = rows.select(*CLIP, "_sess", "start", "seq", tx.count_squeezed(F.col("clean")).alias("n"))
+    slim = rows.select(*CLIP, "_sess", "start", "seq", "n")
 
     def step(prev: Column, row: Column) -> Column:
         fresh = prev.isNull() | (prev["n"] >= PHRASE_WORDS)
@@ -81,7 +83,11 @@ def phrases(lines: DataFrame, clips: DataFrame) -> DataFrame:
                         F.least(F.lit(PHRASE_WORDS), F.when(fresh, row["n"]).otherwise(prev["n"] + row["n"])).cast("int").alias("n"))
 
     placed = scan_sessions(slim, CLIP, "_sess", "start", ["seq"], "struct<first:int,n:int>", step).select(*CLIP, "seq", F.col("state.first").alias("first"))
-    joined = rows.join(placed, [*CLIP, "seq"]).groupBy(*CLIP, "first").agg(
+    placed = settle(placed.join(clips.select(*CLIP, "w_start", "w_end"), CLIP))
+    # Only here is text needed: a line joins the places of its number whose clip it starts in.
+    said = lines.filter("clean != ''").select(*KEY, "seq", "start", "clean")
+    joined = placed.join(said, [*KEY, "seq"]).filter(F.col("start").between(F.col("w_start"), F.col("w_end")))
+    joined = joined.repartition(*CLIP).groupBy(*CLIP, "first").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "clean"))), lambda r: r["clean"]), " ").alias("_t"), F.min("start").alias("start"),
         F.first("w_start").alias("w_start"), F.first("w_end").alias("w_end"))
     words = F.slice(F.split("_t", " "), 1, PHRASE_WORDS)
@@ -89,26 +95,35 @@ def phrases(lines: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def cliffhangers(lines: DataFrame, teasers: DataFrame) -> DataFrame:
-    """The best tease per clip: phrases first, then lines, without those that repeat the teaser line."""
+    """The best tease per clip: phrases first, then lines, without those that repeat the teaser line.
+
+    Each source settles its best offer per clip, so that what one has shuffled is gone when the next begins."""
     clips = teasers.select(*CLIP, "w_start", "w_end")
+    known = teasers.select(*CLIP, "w_start", "w_end", "teaser_at", "teaser_line")
     spoken = tx.measure_lines(phrases(lines, clips)).withColumn("base", tx.line_score(F.lit(0.0), F.lit(0.0)))
     dur = F.col("w_end") - F.col("w_start")
     spoken = spoken.withColumn("ratio", F.when(dur > 0, (F.col("start") - F.col("w_start")) / dur).otherwise(0.5))
-    offers = spoken.select(*CLIP, F.lit(0).alias("src"), "seq", "start", "ratio", "text", "clean", "base").unionByName(
-        _in_clip(lines, clips).select(*CLIP, F.lit(1).alias("src"), "seq", "start", "ratio", F.trim("text").alias("text"), "clean", "base").filter("text != ''"))
-    rows = offers.join(teasers.select(*CLIP, "teaser_at", tx.long_words(F.col("teaser_line")).alias("_tw")), CLIP)
-    limit = F.when(F.col("src") == 0, PHRASE_OVERLAP).otherwise(LINE_OVERLAP)
-    rows = rows.filter(tx.words_shared(tx.long_words(F.col("text")), F.col("_tw")) <= limit)
-    rows = rows.withColumn("_s", tx.cliffhanger_score(F.col("clean"), F.col("base"), F.col("ratio"), F.col("teaser_at"), F.col("start")))
-    best = rows.groupBy(*CLIP).agg(F.max_by(F.struct(F.col("clean").alias("cliff_clean"), F.col("_s").alias("cliff_score")), F.struct("_s", -F.col("src"), -F.col("seq"))).alias("_b"))
+    spoken = spoken.select(*CLIP, F.lit(0).alias("src"), "seq", "start", "ratio", "text", "clean", "base").join(known.drop("w_start", "w_end"), CLIP)
+    said = lines.select(*KEY, "seq", "start", F.trim("text").alias("text"), "clean", "base").filter("text != ''")
+    said = _in_clip(said, known, "teaser_at", "teaser_line").select(*CLIP, F.lit(1).alias("src"), "seq", "start", "ratio", "text", "clean", "base", "teaser_at", "teaser_line")
+    offers = settle(_best_offer(spoken, PHRASE_OVERLAP)).unionByName(settle(_best_offer(said, LINE_OVERLAP)))
+    best = offers.groupBy(*CLIP).agg(F.max_by("_b", "_o").alias("_b"))
     return teasers.join(best, CLIP, "left").select(*teasers.columns, "_b.*")
 
 
+def _best_offer(offers: DataFrame, limit: float) -> DataFrame:
+    """The best offer of each clip among those that share at most ``limit`` with the teaser line, and its rank."""
+    rows = offers.filter(tx.words_shared(tx.long_words(F.col("text")), tx.long_words(F.col("teaser_line"))) <= limit)
+    rows = rows.withColumn("_s", tx.cliffhanger_score(F.col("clean"), F.col("base"), F.col("ratio"), F.col("teaser_at"), F.col("start")))
+    order = F.struct("_s", (-F.col("src")).alias("_src"), (-F.col("seq")).alias("_seq"))
+    return rows.groupBy(*CLIP).agg(F.max_by(F.struct(F.col("clean").alias("cliff_clean"), F.col("_s").alias("cliff_score")), order).alias("_b"), F.max(order).alias("_o"))
+
+
 def earlier_line(lines: DataFrame, teasers: DataFrame) -> DataFrame:
     """The nearest line at least 1.5 s before the teaser."""
-    rows = _in_clip(lines, teasers.select(*CLIP, "w_start", "w_end")).join(teasers.select(*CLIP, "teaser_at"), CLIP)
-    rows = rows.filter((F.col("start") < F.col("teaser_at")) & (F.col("teaser_at") - F.col("start") >= 1.5))
-    return rows.groupBy(*CLIP).agg(F.max_by(F.struct(F.trim("text").alias("before_text"), F.col("clean").alias("before_clean")), F.struct("start", -F.col("seq"))).alias("_e")).select(*CLIP, "_e.*")
+    said = lines.select(*KEY, "seq", "start", F.trim("text").alias("before_text"), F.col("clean").alias("before_clean"))
+    rows = _in_clip(said, teasers, "teaser_at").filter((F.col("start") < F.col("teaser_at")) & (F.col("teaser_at") - F.col("start") >= 1.5))
+    return rows.groupBy(*CLIP).agg(F.max_by(F.struct("before_text", "before_clean"), F.struct("start", -F.col("seq"))).alias("_e")).select(*CLIP, "_e.*")
 
 
 def title_tease(title: Column) -> Column:
@@ -136,7 +151,7 @@ def _synthetic(title: Column) -> Column:
 def analyse(lines: DataFrame, clips: DataFrame) -> DataFrame:
     """Teaser, tease and teaser length per clip. ``lines`` come from :func:`hook_lines` and should be settled."""
     teasers = settle(teaser_peaks(lines, clips))
-    rows = cliffhangers(lines, teasers).join(earlier_line(lines, teasers), CLIP, "left")
+    rows = cliffhangers(lines, teasers).join(settle(earlier_line(lines, teasers)), CLIP, "left")
     made = tx.format_cliffhanger(nz(F.col("cliff_clean"), ""))
     rows = rows.withColumn("_made", F.when(nz(F.col("cliff_score"), -999.0) > -1e9, made).otherwise("")).withColumn("_syn", _synthetic(F.lit("")))
     text = F.when(~F.col("has_lines"), NO_LINES).when(F.col("_made") != "", F.col("_made")).otherwise(F.col("_syn"))
@@ -146,7 +161,8 @@ def analyse(lines: DataFrame, clips: DataFrame) -> DataFrame:
 
 def score_at(lines: DataFrame, points: DataFrame, at: str) -> DataFrame:
     """Teaser score of the first line within two seconds of a time in the clip, else 0."""
-    rows = _in_clip(lines, points.select(*CLIP, "w_start", "w_end")).join(points.select(*CLIP, F.col(at).alias("_at")), CLIP).filter(F.abs(F.col("start") - F.col("_at")) < 2)
+    said = lines.select(*KEY, "seq", "start", "clean", "base")
+    rows = _in_clip(said, points.withColumn("_at", F.col(at)), "_at").filter(F.abs(F.col("start") - F.col("_at")) < 2)
     dur = F.col("w_end") - F.col("w_start")
     share = F.when(dur > 0, (F.col("_at") - F.col("w_start")) / dur).otherwise(0.5)
     best = rows.groupBy(*CLIP).agg(F.min_by(tx.teaser_score(F.col("clean"), F.col("base"), share), "seq").alias("score_at"))
